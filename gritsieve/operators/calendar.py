@@ -2,13 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, functions as F
 
+from gritsieve import roles
 from gritsieve.functions import dates
 from gritsieve.functions.text import count_where, quoted
+from gritsieve.operators.profile import column_profile
+
+
+# Share of the values that must parse before the dates of a text column are used.
+ENOUGH_DATES = 0.8
+
+
+def usable_format(hits: Sequence[int], n_values: int) -> tuple[str | None, bool]:
+    """The best format of a text column, and whether it reads enough of it."""
+    most = max(hits)
+    if most == 0:
+        return None, False
+    return dates.CANDIDATES[list(hits).index(most)], most / n_values >= ENOUGH_DATES
+
+
+def date_formats(df: DataFrame) -> dict[str, str | None]:
+    """The date columns whose dates can be used, with the format of those held as text."""
+    fields = [field for field in df.schema.fields if roles.is_date(field)]
+    formats: dict[str, str | None] = {}
+    rows = {}
+    if any(roles.kind(field.dataType) != "datetime" for field in fields):
+        named = df.select(*(quoted(field.name) for field in fields))
+        rows = {r["column"]: r for r in column_profile(named, "n_values", "date_hits").collect()}
+    for field in fields:
+        if roles.kind(field.dataType) == "datetime":
+            formats[field.name] = None
+            continue
+        row = rows[field.name]
+        found, enough = usable_format(row["date_hits"], row["n_values"])
+        if enough:
+            formats[field.name] = found
+    return formats
 
 
 def date_summary(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from gritsieve.functions.text import count_where, quoted
-from gritsieve.operators.values import _union
+from gritsieve.operators.values import union
 
 # Row fingerprints that may be broadcast: 8 bytes each, 8 MB in all.
 BROADCAST_FINGERPRINTS = 1_000_000
@@ -69,7 +69,7 @@ def multi_valued_keys(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     Null keys and null categories are ignored. The distinct count is planned as a
     partial aggregate over (key, category), so a hot key is spread over its values.
     """
-    return _union(
+    return union(
         [
             df.where(quoted(key).isNotNull())
             .groupBy(quoted(key).alias("key"))

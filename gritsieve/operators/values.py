@@ -12,8 +12,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gritsieve import roles
 from gritsieve.functions import text
 from gritsieve.functions.text import quoted
+from gritsieve.operators.profile import FEW_VALUES, column_profile
 
 LISTED_VALUES = 20
 LISTED_LENGTHS = 5
@@ -23,7 +25,7 @@ LONGEST_PAYMENT = 50
 _HISTOGRAM = "column string, value string, n bigint"
 
 
-def _union(frames: Sequence[DataFrame]) -> DataFrame:
+def union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)
 
 
@@ -64,6 +66,31 @@ def category_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def category_candidates(df: DataFrame) -> list[str]:
+    """Columns that are categories by name, or may be by having few values.
+
+    The second kind is found by one scan without a shuffle, so that free text is
+    never grouped by value.
+    """
+    named = [name for name in df.columns if roles.is_category_name(name)]
+    if not any(field.name not in named for field in roles.fields_of(df, "text")):
+        return named
+    few = column_profile(df, "n_values", "distinct_floor").where(
+        (F.col("n_values") > 0) & (F.col("distinct_floor") <= FEW_VALUES)
+    )
+    found = {row["column"] for row in few.select("column").collect()}
+    return [name for name in df.columns if name in named or name in found]
+
+
+def category_summary(df: DataFrame) -> DataFrame:
+    """``category_values`` of the candidates, with the kind of the column."""
+    columns = category_candidates(df)
+    kinds = F.create_map(
+        *(F.lit(word) for f in df.schema.fields for word in (f.name, roles.kind(f.dataType)))
+    )
+    return category_values(df, columns).withColumn("kind", kinds[F.col("column")])
+
+
 def smallest_values(df: DataFrame, columns: Sequence[str], k: int = LISTED_VALUES) -> DataFrame:
     """(column, listed): up to k distinct values of each column, in order.
 
@@ -86,7 +113,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     One branch per column: a single multi-column distinct aggregate would copy
     every row once per column before the shuffle.
     """
-    return _union(
+    return union(
         [
             df.agg(
                 F.lit(name).alias("column"),
@@ -176,7 +203,7 @@ def column_samples(
             .groupBy("column")
             .agg(F.array_sort(F.collect_list("entry"))["value"].alias("sample"))
         )
-    return _union(branches)
+    return union(branches)
 
 
 def keys_named(keys: Sequence) -> list:

@@ -14,7 +14,6 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gritsieve import roles
-from gritsieve.functions import dates
 from gritsieve.functions.numbers import nan_to_null
 from gritsieve.operators import calendar, checks, duplicates, profile, quantiles, values
 
@@ -218,11 +217,10 @@ class _Measurements:
             if record["kind"] == "datetime":
                 formats[field.name] = None
                 continue
-            most = max(record["date_hits"])
-            if most > 0:
-                record["date_format"] = dates.CANDIDATES[record["date_hits"].index(most)]
-                if most / record["n_values"] >= 0.8:
-                    formats[field.name] = record["date_format"]
+            found, enough = calendar.usable_format(record["date_hits"], record["n_values"])
+            record["date_format"] = found
+            if enough:
+                formats[field.name] = found
         if formats:
             self._merge(calendar.date_summary(self.df, formats, self.as_of))
 
