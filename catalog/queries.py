@@ -10,7 +10,7 @@ import gritsieve
 from catalog.fixture import AS_OF, DATED, MONTHLY, TOKENS, TYPED, derived, dirty_sales, table
 from gritsieve import roles
 from gritsieve.functions import dates, numbers, text
-from gritsieve.functions.text import quoted
+from gritsieve.functions.text import ident, literal
 from gritsieve.operators import calendar, checks, duplicates, quantiles, values
 from gritsieve.operators.checks import run_check
 from gritsieve.operators.profile import column_profile, table_profile
@@ -65,7 +65,7 @@ def preview_100(df: DataFrame) -> DataFrame:
 
 def null_tokens_on_load(spark: SparkSession, folder: str) -> DataFrame:
     df = derived(spark, folder, TOKENS)
-    return df.select("o_orderkey", text.csv_null_tokens_to_null(F.col("raw")).alias("cleaned"))
+    return df.selectExpr("o_orderkey", f"{text.csv_null_tokens_to_null('raw')} AS cleaned")
 
 
 def infer_types(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,27 +77,27 @@ def infer_types(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def to_number(df: DataFrame) -> DataFrame:
-    return df.select("row_id", numbers.text_to_number(F.col("order_id")).alias("number"))
+    return df.selectExpr("row_id", f"{numbers.text_to_number('order_id')} AS number")
 
 
 @query
 def clean_currency(df: DataFrame) -> DataFrame:
-    return df.select("row_id", numbers.clean_currency(F.col("revenue")).alias("amount"))
+    return df.selectExpr("row_id", f"{numbers.clean_currency('revenue')} AS amount")
 
 
 @query
 def strip_lower(df: DataFrame) -> DataFrame:
-    return df.select("row_id", text.strip_lower(F.col("category")).alias("normal"))
+    return df.selectExpr("row_id", f"{text.strip_lower('category')} AS normal")
 
 
 def title_case(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
-    return orders.select("o_orderkey", text.title_case(F.col("o_orderpriority")).alias("title"))
+    return orders.selectExpr("o_orderkey", f"{text.title_case('o_orderpriority')} AS title")
 
 
 @query
 def pseudo_null_flag(df: DataFrame) -> DataFrame:
-    return df.select("row_id", text.is_placeholder(F.col("category")).alias("is_placeholder"))
+    return df.selectExpr("row_id", f"{text.is_placeholder('category')} AS is_placeholder")
 
 
 # Structure
@@ -127,35 +127,34 @@ def empty_columns(df: DataFrame) -> DataFrame:
 def date_format_ratios(spark: SparkSession, folder: str) -> DataFrame:
     """How much of each date column each candidate format reads."""
     profile = column_profile(derived(spark, folder, DATED), "n_values", "date_hits")
-    names = F.array(*(F.lit(name) for name in dates.CANDIDATES))
-    pairs = F.explode(F.arrays_zip(names.alias("fmt"), F.col("date_hits").alias("hits")))
+    names = f"array{text.one_of(dates.CANDIDATES)}"
     return (
-        profile.where(F.col("date_hits").isNotNull())
-        .select("column", "n_values", pairs.alias("pair"))
-        .select(
-            "column",
-            F.col("pair.fmt").alias("date_format"),
-            F.col("pair.hits").alias("n_parsed"),
-            F.round(F.try_divide("pair.hits", "n_values"), 6).alias("ratio"),
+        profile.where("date_hits IS NOT NULL")
+        .selectExpr("`column`", "n_values", "posexplode(date_hits) AS (place, n_parsed)")
+        .selectExpr(
+            "`column`",
+            f"get({names}, place) AS date_format",
+            "n_parsed",
+            "round(try_divide(n_parsed, n_values), 6) AS ratio",
         )
     )
 
 
 def best_date_format(spark: SparkSession, folder: str) -> DataFrame:
     profile = column_profile(derived(spark, folder, DATED), "n_values", "date_hits")
-    return profile.where(F.col("date_hits").isNotNull()).select(
-        "column",
-        dates.best_format(F.col("date_hits")).alias("date_format"),
-        F.array_max("date_hits").alias("n_parsed"),
+    return profile.where("date_hits IS NOT NULL").selectExpr(
+        "`column`",
+        f"{dates.best_format('date_hits')} AS date_format",
+        "array_max(date_hits) AS n_parsed",
     )
 
 
 @query
 def text_dates(df: DataFrame) -> DataFrame:
     profile = column_profile(df, "n_values", "date_hits")
-    return run_check("text_dates", profile).select(
-        "column", "severity", dates.best_format(F.col("date_hits")).alias("date_format"),
-        F.expr(f"round({checks.DATE_RATIO}, 6)").alias("ratio"),
+    return run_check("text_dates", profile).selectExpr(
+        "`column`", "severity", f"{dates.best_format('date_hits')} AS date_format",
+        f"round({checks.DATE_RATIO}, 6) AS ratio",
     )
 
 
@@ -187,14 +186,16 @@ def fix_proposals(df: DataFrame) -> DataFrame:
     gaps = profile.where("n_rows > n_values AND n_values > 0 AND kind = 'numeric'")
     counts = {row["column"]: row["n_values"] for row in gaps.collect()}
     medians = quantiles.exact_quantiles(df, counts, (0.5,))
-    median = F.lit(None).cast("double")
-    for name, (value,) in medians.items():
-        median = F.when(F.col("column") == name, F.lit(value)).otherwise(median)
+    cases = " ".join(
+        f"WHEN `column` = {literal(name)} THEN {quantiles.double(value)}"
+        for name, (value,) in medians.items()
+    )
+    median = f"CASE {cases} END" if cases else "CAST(NULL AS DOUBLE)"
     finding = checks.BY_NAME["null_severity"].finding(0)
     return (
-        profile.withColumn("median", median)
-        .select(F.inline(F.filter(F.array(finding), lambda f: f.isNotNull())))
-        .select("column", F.inline("fixes"))
+        profile.selectExpr("*", f"{median} AS median")
+        .selectExpr(f"inline(array_compact(array({finding})))")
+        .selectExpr("`column`", "inline(fixes)")
         .select("column", "fix_id", "label")
     )
 
@@ -242,7 +243,7 @@ profile_check("percent_out_of_range", ("n_out_of_range",), "n_out_of_range")
 @query
 def iqr_outliers(df: DataFrame) -> DataFrame:
     numeric = [field.name for field in roles.fields_of(df, "numeric")]
-    profile = column_profile(df.select(*map(quoted, numeric)), "n_values").collect()
+    profile = column_profile(df.select(*map(ident, numeric)), "n_values").collect()
     counts = {row["column"]: row["n_values"] for row in profile if row["n_values"] > 0}
     found = quantiles.outlier_counts(df, quantiles.exact_quantiles(df, counts))
     return run_check("iqr_outliers", found).selectExpr(

@@ -1,4 +1,4 @@
-"""Column builders for dates held as text.
+"""SQL for dates held as text.
 
 A format is tried by matching its shape with a regular expression and rearranging
 the parts into ISO order for a cast. That never throws on bad text, accepts
@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 from datetime import date, datetime
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import types as T
 
+from gritsieve.functions.text import literal
 from gritsieve.roles import kind
 
 # Formats in order of preference (an earlier one wins a tie).
@@ -22,78 +23,78 @@ DATE_FORMATS = (
 AUTO = "auto-inferred"
 CANDIDATES = (*DATE_FORMATS, AUTO)
 
-AMBIGUOUS = r"^\d{2}/\d{2}/\d{4}\z"
-OLDEST_PLAUSIBLE = "1990-01-01"
+AMBIGUOUS = r"r'^\d{2}/\d{2}/\d{4}\z'"
+OLDEST_PLAUSIBLE = "CAST('1990-01-01' AS TIMESTAMP_NTZ)"
 
-_TIMESTAMP = "timestamp_ntz"
-_ISO_LIKE = r"^\d{4}(-\d{1,2}(-\d{1,2}([ T].*)?)?)?\z"
+_ISO_LIKE = r"r'^\d{4}(-\d{1,2}(-\d{1,2}([ T].*)?)?)?\z'"
 
 
 def _shape(date_format: str) -> tuple[str, str]:
     """A strptime format as (matching pattern, replacement giving ISO order)."""
     order: list[str] = []
 
-    def group(match: re.Match) -> str:
-        directive = match.group(1)
+    def group(directive: str) -> str:
         if directive not in "YmdHMS" or directive in order:
             raise ValueError(f"date format not supported: {date_format!r}")
         order.append(directive)
         return r"(\d{4})" if directive == "Y" else r"(\d{1,2})"
 
-    pieces = re.split(r"(%.)", date_format)
     pattern = "".join(
-        group(re.match("%(.)", piece)) if piece.startswith("%") else re.escape(piece)
-        for piece in pieces
+        group(piece[1]) if piece.startswith("%") else re.escape(piece)
+        for piece in re.split(r"(%.)", date_format)
     )
     place = {directive: f"${index}" for index, directive in enumerate(order, start=1)}
     day = "-".join((place.get("Y", "1900"), place.get("m", "1"), place.get("d", "1")))
     clock = ":".join(place.get(directive, "0") for directive in "HMS")
     has_clock = any(directive in place for directive in "HMS")
-    return f"^{pattern}\\z", f"{day} {clock}" if has_clock else day
+    return literal(f"^{pattern}\\z"), literal(f"{day} {clock}" if has_clock else day)
 
 
-def parse_format(text: Column, date_format: str) -> Column:
+def parse_format(text: str, date_format: str) -> str:
     """Timestamp by one strptime format, null where the text does not fit it."""
     pattern, iso_order = _shape(date_format)
-    return F.when(
-        text.rlike(pattern), F.regexp_replace(text, pattern, iso_order).try_cast(_TIMESTAMP)
+    return (
+        f"CASE WHEN {text} RLIKE {pattern} THEN "
+        f"try_cast(regexp_replace({text}, {pattern}, {iso_order}) AS TIMESTAMP_NTZ) END"
     )
 
 
-def parse_any(text: Column) -> Column:
+def parse_any(text: str) -> str:
     """Timestamp by ISO spelling, else by the first known format that fits."""
-    iso = F.when(text.rlike(_ISO_LIKE), text.try_cast(_TIMESTAMP))
-    return F.coalesce(iso, *(parse_format(text, fmt) for fmt in DATE_FORMATS))
+    iso = f"CASE WHEN {text} RLIKE {_ISO_LIKE} THEN try_cast({text} AS TIMESTAMP_NTZ) END"
+    return f"coalesce({', '.join([iso, *(parse_format(text, fmt) for fmt in DATE_FORMATS)])})"
 
 
-def to_timestamp(value: Column, data_type: T.DataType, date_format: str | None) -> Column:
+def to_timestamp(value: str, data_type: T.DataType, date_format: str | None) -> str:
     """Timestamp from a column of any type; a datetime column is left alone."""
     if kind(data_type) == "datetime":
-        return value.cast(_TIMESTAMP)
-    text = value.cast("string")
+        return f"CAST({value} AS TIMESTAMP_NTZ)"
+    text = value if kind(data_type) == "text" else f"CAST({value} AS STRING)"
     if date_format is None or date_format == AUTO:
         return parse_any(text)
     return parse_format(text, date_format)
 
 
-def format_hits(text: Column) -> list[Column]:
-    """Aggregates: how many values each candidate parses, in order of preference."""
+def format_hits(text: str) -> str:
+    """Aggregate: how many values each candidate parses, in order of preference."""
     parsed = [parse_format(text, fmt) for fmt in DATE_FORMATS] + [parse_any(text)]
-    return [F.count(value) for value in parsed]
+    return f"array({', '.join(f'count({value})' for value in parsed)})"
 
 
-def best_format(hits: Column) -> Column:
+def best_format(hits: str) -> str:
     """The first candidate with the most hits, null when nothing parses."""
-    most = F.array_max(hits)
-    names = F.array(*(F.lit(name) for name in CANDIDATES))
-    return F.when(most > 0, F.get(names, F.array_position(hits, most).cast("int") - 1))
+    most = f"array_max({hits})"
+    names = f"array({', '.join(map(literal, CANDIDATES))})"
+    place = f"CAST(array_position({hits}, {most}) AS INT)"
+    return f"CASE WHEN {most} > 0 THEN get({names}, {place} - 1) END"
 
 
-def moment(as_of: str | date | datetime | None) -> Column:
+def moment(as_of: str | date | datetime | None) -> str:
     """The time that dates are "in the future" of."""
-    return (F.current_timestamp() if as_of is None else F.lit(as_of)).cast(_TIMESTAMP)
+    value = "current_timestamp()" if as_of is None else literal(str(as_of))
+    return f"CAST({value} AS TIMESTAMP_NTZ)"
 
 
-def days_between(first: Column, last: Column) -> Column:
+def days_between(first: str, last: str) -> str:
     """Whole 24-hour days, not midnights crossed."""
-    return F.timestamp_diff("DAY", first, last)
+    return f"timestampdiff(DAY, {first}, {last})"

@@ -1,29 +1,34 @@
-"""Column builders for numbers: lenient parsing, currency text, clipping, NaN."""
+"""SQL for numbers: lenient parsing, currency text, clipping, NaN."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from gritsieve.functions.text import quoted, strip
+from gritsieve.functions.text import ident, strip
 from gritsieve.roles import kind
 
 # What counts as number text; a bare cast would also take "1d", "nan" and the like.
-NUMBER_TEXT = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\z"
-INFINITY_TEXT = r"(?i)^[+-]?inf(inity)?\z"
-INFINITIES = (float("inf"), float("-inf"))
-
-
-def text_to_number(value: Column) -> Column:
-    """Double, or null where the text is no number or overflows."""
-    text = strip(value)
-    number = text.try_cast("double")
-    overflow = number.isin(*INFINITIES) & ~text.rlike(INFINITY_TEXT)
-    # A digit, sign, point or "i" must come first; most text is ruled out by that alone.
-    may_be_number = F.ascii(text).between(43, 57) | F.ascii(text).isin(73, 105)
-    return F.when(may_be_number & text.rlike(NUMBER_TEXT), F.when(~overflow, number))
+FINITE_TEXT = r"r'(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\z'"
+INFINITE_TEXT = r"r'(?i)^[+-]?inf(inity)?\z'"
+
+
+def text_to_number(value: str, stripped: bool = False) -> str:
+    """Double, or null where the text is no number or overflows.
+
+    A digit, sign or point (for infinity a sign or "i") must come first, and most
+    text is ruled out by that alone.
+    """
+    text = value if stripped else strip(value)
+    number = f"try_cast({text} AS DOUBLE)"
+    return (
+        f"CASE WHEN ascii({text}) BETWEEN 43 AND 57 AND {text} RLIKE {FINITE_TEXT} "
+        f"THEN CASE WHEN abs({number}) < CAST('Infinity' AS DOUBLE) THEN {number} END "
+        f"WHEN ascii({text}) IN (43, 45, 73, 105) AND {text} RLIKE {INFINITE_TEXT} "
+        f"THEN {number} END"
+    )
 
 
-def to_number(value: Column, data_type: T.DataType) -> Column:
+def to_number(value: str, data_type: T.DataType) -> str:
     """Numbers stay as they are, text is parsed, anything unparseable is null."""
     of = kind(data_type)
     if of == "numeric":
@@ -31,22 +36,22 @@ def to_number(value: Column, data_type: T.DataType) -> Column:
     if of == "text":
         return text_to_number(value)
     if of == "boolean":
-        return value.cast("double")
-    return F.lit(None).cast("double")
+        return f"CAST({value} AS DOUBLE)"
+    return "CAST(NULL AS DOUBLE)"
 
 
-def strip_currency(value: Column) -> Column:
+def strip_currency(value: str) -> str:
     """Drop %, currency signs, commas and whitespace, so "10,5" reads as 105."""
-    return F.regexp_replace(value, r"(?U)[%,$€£\s]", "")
+    return rf"regexp_replace({value}, r'(?U)[%,$€£\s]', '')"
 
 
-def clean_currency(value: Column) -> Column:
-    return text_to_number(strip_currency(value))
+def clean_currency(value: str) -> str:
+    return text_to_number(strip_currency(value), stripped=True)
 
 
-def clip(value: Column, low: Column, high: Column) -> Column:
+def clip(value: str, low: str, high: str) -> str:
     """Null stays null: greatest and least alone would skip it."""
-    return F.when(value.isNotNull(), F.least(F.greatest(value, low), high))
+    return f"CASE WHEN {value} IS NOT NULL THEN least(greatest({value}, {low}), {high}) END"
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -54,11 +59,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     floats = (T.FloatType, T.DoubleType)
     if not any(isinstance(field.dataType, floats) for field in df.schema.fields):
         return df
-    return df.select(
-        *(
-            F.when(~F.isnan(quoted(field.name)), quoted(field.name)).alias(field.name)
-            if isinstance(field.dataType, floats)
-            else quoted(field.name)
-            for field in df.schema.fields
-        )
-    )
+    cells = []
+    for field in df.schema.fields:
+        name = ident(field.name)
+        if isinstance(field.dataType, floats):
+            cells.append(f"CASE WHEN NOT isnan({name}) THEN {name} END AS {name}")
+        else:
+            cells.append(name)
+    return df.selectExpr(*cells)

@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from gritsieve import roles
 from gritsieve.functions import dates
-from gritsieve.functions.text import count_where, quoted
+from gritsieve.functions.text import count_where, ident, literal
 from gritsieve.operators.profile import column_profile
 
-
 # Share of the values that must parse before the dates of a text column are used.
 ENOUGH_DATES = 0.8
 
@@ -31,7 +30,7 @@ def date_formats(df: DataFrame) -> dict[str, str | None]:
     formats: dict[str, str | None] = {}
     rows = {}
     if any(roles.kind(field.dataType) != "datetime" for field in fields):
-        named = df.select(*(quoted(field.name) for field in fields))
+        named = df.select(*(ident(field.name) for field in fields))
         rows = {r["column"]: r for r in column_profile(named, "n_values", "date_hits").collect()}
     for field in fields:
         if roles.kind(field.dataType) == "datetime":
@@ -56,35 +55,31 @@ def date_summary(
     shuffled is bounded by the days in the range, not by the rows.
     """
     types_by_name = {field.name: field.dataType for field in df.schema.fields}
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(name).alias("column"),
-                dates.to_timestamp(quoted(name), types_by_name[name], fmt).alias("at"),
-                quoted(name).isNotNull().alias("filled"),
-            )
-            for name, fmt in formats.items()
-        )
+    cells = (
+        f"struct({literal(name)} AS `column`, "
+        f"{dates.to_timestamp(ident(name), types_by_name[name], fmt)} AS moment, "
+        f"{ident(name)} IS NOT NULL AS filled)"
+        for name, fmt in formats.items()
     )
-    at = F.col("at")
     per_day = (
-        df.select(F.inline(cells))
-        .groupBy("column", F.to_date(at).alias("day"))
+        df.selectExpr(f"inline(array({', '.join(cells)}))")
+        .selectExpr("*", "to_date(moment) AS day")
+        .groupBy("column", "day")
         .agg(
-            count_where(F.col("filled")).alias("n_filled"),
-            F.count(at).alias("n_dates"),
-            F.min(at).alias("first_date"),
-            F.max(at).alias("last_date"),
-            count_where(at > dates.moment(as_of)).alias("n_future"),
-            count_where(at < F.lit(dates.OLDEST_PLAUSIBLE).cast("timestamp_ntz")).alias("n_old"),
+            F.expr(f"{count_where('filled')} AS n_filled"),
+            F.expr("count(moment) AS n_dates"),
+            F.expr("min(moment) AS first_date"),
+            F.expr("max(moment) AS last_date"),
+            F.expr(f"{count_where(f'moment > {dates.moment(as_of)}')} AS n_future"),
+            F.expr(f"{count_where(f'moment < {dates.OLDEST_PLAUSIBLE}')} AS n_old"),
         )
     )
     return per_day.groupBy("column").agg(
-        (F.sum("n_filled") - F.sum("n_dates")).alias("n_unparsed"),
-        F.sum("n_dates").alias("n_dates"),
-        F.count("day").alias("n_days"),
-        F.min("first_date").alias("first_date"),
-        F.max("last_date").alias("last_date"),
-        F.sum("n_future").alias("n_future"),
-        F.sum("n_old").alias("n_old"),
+        F.expr("sum(n_filled) - sum(n_dates) AS n_unparsed"),
+        F.expr("sum(n_dates) AS n_dates"),
+        F.expr("count(day) AS n_days"),
+        F.expr("min(first_date) AS first_date"),
+        F.expr("max(last_date) AS last_date"),
+        F.expr("sum(n_future) AS n_future"),
+        F.expr("sum(n_old) AS n_old"),
     )

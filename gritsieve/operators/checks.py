@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from gritsieve import roles
 from gritsieve.functions import dates
+from gritsieve.functions.text import literal as text
 
 # Severities from worst to best, and the nine sections of a report.
 SEVERITIES = ("CRITICAL", "WARNING", "INFO", "OK")
@@ -32,18 +33,13 @@ ERROR_SECTION = "Error"
 
 FIX = "struct<label: string, fix_id: string, params: map<string, string>>"
 FINDING = (
-    "struct<check: string, section_no: int, severity: string, column: string, value: double, "
+    "struct<check: string, section_no: int, severity: string, column: string, related: string, value: double, "
     "metrics: map<string, double>, message: string, fix_text: string, details: string, "
     f"fixes: array<{FIX}>, seq: bigint>"
 )
 NO_FIXES = f"cast(array() AS array<{FIX}>)"
 
 
-def text(value: str) -> str:
-    """A SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def named(words: tuple[str, ...]) -> str:
     """SQL test: the column name contains one of the words."""
     tests = " OR ".join(f"contains(lower(`column`), {text(word)})" for word in words)
@@ -99,15 +95,16 @@ class Check:
     # Whether a finding stands against the section's closing OK.
     problem: bool = True
 
-    def finding(self, order: int) -> Column:
+    def finding(self, order: int) -> str:
         """The finding of one row, or null."""
         column = "CAST(NULL AS string)" if self.frame == "table" else "`column`"
+        related = "category" if self.frame == "links" else "CAST(NULL AS string)"
         place = "0" if self.frame == "table" else "position"
         pairs = ", ".join(f"{text(m)}, cast({m} AS double)" for m in self.metrics)
         metrics = f"map({pairs})" if pairs else "map()"
-        return F.expr(
+        return (
             f"CASE WHEN {self.when} THEN cast(struct({text(self.name)}, {self.section}, "
-            f"{self.severity_sql}, {column}, cast({self.value} AS double), "
+            f"{self.severity_sql}, {column}, {related}, cast({self.value} AS double), "
             f"cast({metrics} AS map<string, double>), {self.message}, {text(self.advice)}, "
             f"{self.details}, {self.fixes}, {order} * 100000L + {place}) AS {FINDING}) END"
         )
@@ -530,15 +527,13 @@ CLOSINGS = (
 
 def findings(frame_name: str, frame: DataFrame) -> DataFrame:
     """Everything the checks of one frame have to say, in one projection."""
-    entries = [
+    entries = (
         check.finding(order) for order, check in enumerate(CHECKS) if check.frame == frame_name
-    ]
-    return frame.select(
-        F.inline(F.filter(F.array(*entries), lambda entry: entry.isNotNull()))
     )
+    return frame.selectExpr(f"inline(array_compact(array({', '.join(entries)})))")
 
 
 def run_check(name: str, frame: DataFrame) -> DataFrame:
     """One check alone: the measures of the rows with a finding, and its severity."""
     check = BY_NAME[name]
-    return frame.where(check.when).withColumn("severity", F.expr(check.severity_sql))
+    return frame.where(check.when).selectExpr("*", f"{check.severity_sql} AS severity")

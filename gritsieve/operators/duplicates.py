@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gritsieve.functions.text import count_where, quoted
+from gritsieve.functions.text import count_where, ident, literal
 from gritsieve.operators.values import union
 
 # Row fingerprints that may be broadcast: 8 bytes each, 8 MB in all.
 BROADCAST_FINGERPRINTS = 1_000_000
+# Rows so few that shuffling them whole costs less than a second pass.
+FEW_ROWS = 1_000_000
 
 
 def surplus_rows(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
@@ -19,33 +21,42 @@ def surplus_rows(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
     Equal rows meet in the partial aggregate of their task, so a heavily repeated
     row is one record per task in the shuffle.
     """
-    columns = [quoted(name) for name in (df.columns if key is None else key)]
+    columns = map(ident, df.columns if key is None else key)
     return (
         df.groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_duplicates"))
+        .agg(F.expr("count(1) AS copies"))
+        .selectExpr("coalesce(sum(copies - 1), 0) AS n_duplicates")
     )
 
 
+def _fingerprint(df: DataFrame) -> str:
+    return f"xxhash64({', '.join(map(ident, df.columns))})"
+
+
 def repeated_fingerprints(df: DataFrame) -> DataFrame:
     """64-bit row hashes that occur more than once: a superset of the duplicates."""
     return (
-        df.select(F.xxhash64(*(quoted(name) for name in df.columns)).alias("fingerprint"))
+        df.selectExpr(f"{_fingerprint(df)} AS fingerprint")
         .groupBy("fingerprint")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .where(F.col("copies") > 1)
+        .agg(F.expr("count(1) AS copies"))
+        .where("copies > 1")
         .select("fingerprint")
     )
 
 
-def duplicate_rows(df: DataFrame, bound: int = BROADCAST_FINGERPRINTS) -> DataFrame:
+def duplicate_rows(
+    df: DataFrame, rows: int | None = None, bound: int = BROADCAST_FINGERPRINTS
+) -> DataFrame:
     """``surplus_rows`` of whole rows without shuffling whole rows.
 
     Only 8-byte fingerprints are shuffled first. Rows whose fingerprint is unique
     are certainly unique; the few others are compared in full, so a hash
     collision cannot change the count. With more repeated fingerprints than
-    ``bound`` the full rows are grouped instead, and nothing is broadcast.
+    ``bound`` the full rows are grouped instead, and nothing is broadcast. A table
+    known to have few ``rows`` is grouped right away.
     """
+    if rows is not None and rows <= FEW_ROWS:
+        return surplus_rows(df)
     repeated = repeated_fingerprints(df).persist()
     try:
         found = repeated.limit(bound + 1).count()
@@ -56,10 +67,11 @@ def duplicate_rows(df: DataFrame, bound: int = BROADCAST_FINGERPRINTS) -> DataFr
     finally:
         repeated.unpersist()
     if found == 0:
-        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("n_duplicates"))
-    hashed = df.withColumn("fingerprint", F.xxhash64(*(quoted(name) for name in df.columns)))
+        return df.sparkSession.range(1).selectExpr("0L AS n_duplicates")
+    hashed = df.selectExpr("*", f"{_fingerprint(df)} AS `row fingerprint`")
+    same = F.expr("`row fingerprint` = fingerprint")
     return surplus_rows(
-        hashed.join(F.broadcast(suspects), "fingerprint", "left_semi").drop("fingerprint")
+        hashed.join(F.broadcast(suspects), same, "left_semi").drop("row fingerprint")
     )
 
 
@@ -71,13 +83,13 @@ def multi_valued_keys(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     """
     return union(
         [
-            df.where(quoted(key).isNotNull())
-            .groupBy(quoted(key).alias("key"))
-            .agg(F.count_distinct(quoted(category)).alias("n_categories"))
-            .agg(
-                F.lit(key).alias("column"),
-                F.lit(category).alias("category"),
-                count_where(F.col("n_categories") > 1).alias("n_keys"),
+            df.where(f"{ident(key)} IS NOT NULL")
+            .groupBy(ident(key))
+            .agg(F.expr(f"count(DISTINCT {ident(category)}) AS n_categories"))
+            .selectExpr(
+                f"{literal(key)} AS `column`",
+                f"{literal(category)} AS category",
+                f"{count_where('n_categories > 1')} AS n_keys",
             )
             for key, category in pairs
         ]

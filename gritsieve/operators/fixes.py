@@ -12,12 +12,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gritsieve import roles
 from gritsieve.functions import dates, numbers, text
 from gritsieve.functions.numbers import nan_to_null
-from gritsieve.functions.text import count_where, quoted
+from gritsieve.functions.text import ident
 from gritsieve.operators import quantiles
 
 
@@ -32,25 +32,25 @@ class Target:
     order_by: Sequence[str] = ()
 
     @property
-    def column(self) -> Column:
-        return quoted(self.name)
+    def column(self) -> str:
+        return ident(self.name)
 
     @property
     def data_type(self) -> T.DataType:
         return self.df.schema[self.name].dataType
 
     @property
-    def number(self) -> Column:
+    def number(self) -> str:
         return numbers.to_number(self.column, self.data_type)
 
     @property
-    def as_text(self) -> Column:
-        return self.column.cast("string")
+    def as_text(self) -> str:
+        return f"CAST({self.column} AS STRING)"
 
     def quantiles(self, *probabilities: float) -> list[float | None]:
         """Exact quantiles; the count decides how they are found."""
-        values = self.df.select(self.number.cast("double").alias("value"))
-        counted = values.agg(F.count("value")).first()[0]
+        values = self.df.selectExpr(f"CAST({self.number} AS DOUBLE) AS value")
+        counted = values.selectExpr("count(value)").first()[0]
         if counted == 0:
             return [None] * len(probabilities)
         return quantiles.exact_quantiles(values, {"value": counted}, probabilities)["value"]
@@ -80,46 +80,54 @@ class TableFix:
 Fix = ColumnFix | RowFix | TableFix
 
 
-def _double(value: float | None) -> Column:
-    return F.lit(value).cast("double")
+def column_fix(value: str, statistic: str | None = None) -> ColumnFix:
+    return ColumnFix(F.expr(value), None if statistic is None else F.expr(statistic))
+
+
+def row_fix(keep: str, value: str | None = None) -> RowFix:
+    return RowFix(F.expr(keep), None if value is None else F.expr(value))
 
 
 def fill_mean(t: Target) -> Fix:
-    mean = t.df.agg(F.round(F.avg(t.number), 4).cast("double").alias("mean")).scalar()
-    return ColumnFix(F.coalesce(t.number.cast("double"), mean), mean)
+    mean = t.df.selectExpr(f"round(CAST(avg({t.number}) AS DOUBLE), 4) AS mean").scalar()
+    return ColumnFix(F.coalesce(F.expr(f"CAST({t.number} AS DOUBLE)"), mean), mean)
 
 
 def fill_median(t: Target) -> Fix:
-    median = F.round(_double(t.quantiles(0.5)[0]), 4)
-    return ColumnFix(F.coalesce(t.number.cast("double"), median), median)
+    found = t.quantiles(0.5)[0]
+    if found is None:
+        return column_fix(f"CAST({t.number} AS DOUBLE)")
+    median = f"round({quantiles.double(found)}, 4)"
+    return column_fix(f"coalesce(CAST({t.number} AS DOUBLE), {median})", median)
 
 
 def fill_mode(t: Target) -> Fix:
     """The most frequent value, the smallest on ties: a top-1 over the histogram."""
     top = (
-        t.df.where(t.column.isNotNull())
-        .groupBy(t.column.alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), F.col("value"))
+        t.df.selectExpr(f"{t.column} AS value")
+        .where("value IS NOT NULL")
+        .groupBy("value")
+        .agg(F.expr("count(1) AS n"))
+        .orderBy(F.expr("n").desc(), "value")
         .limit(1)
     )
     mode = top.select("value").scalar()
-    return ColumnFix(F.coalesce(t.column, mode), mode.cast("string"))
+    return ColumnFix(F.coalesce(F.expr(t.column), mode), mode.cast("string"))
 
 
 def fill_zero(t: Target) -> Fix:
     of = roles.kind(t.data_type)
     if of not in ("numeric", "text"):
-        return ColumnFix(t.column)
-    return ColumnFix(F.coalesce(t.column, F.lit(0).cast(t.data_type)))
+        return column_fix(t.column)
+    return column_fix(f"coalesce({t.column}, CAST(0 AS {t.data_type.simpleString()}))")
 
 
 def fill_unknown(t: Target) -> Fix:
-    return ColumnFix(F.coalesce(t.as_text, F.lit("Unknown")))
+    return column_fix(f"coalesce({t.as_text}, 'Unknown')")
 
 
 def drop_null_rows(t: Target) -> Fix:
-    return RowFix(t.column.isNotNull())
+    return row_fix(f"{t.column} IS NOT NULL")
 
 
 def drop_full_duplicates(t: Target) -> Fix:
@@ -135,61 +143,63 @@ def drop_col_duplicates(t: Target) -> Fix:
     independent of the partitioning.
     """
     keys = [*t.order_by, *(name for name in t.df.columns if name not in t.order_by)]
-    first = Window.partitionBy(t.column).orderBy(*(quoted(name) for name in keys))
-    place = "place in its group"
-    ranked = t.df.withColumn(place, F.row_number().over(first))
-    return TableFix(ranked.where(quoted(place) == 1).drop(place))
+    order = ", ".join(map(ident, keys))
+    place = f"row_number() OVER (PARTITION BY {t.column} ORDER BY {order}) AS `place in group`"
+    ranked = t.df.selectExpr("*", place)
+    return TableFix(ranked.where("`place in group` = 1").drop("place in group"))
 
 
 def cast_to_numeric(t: Target) -> Fix:
     if roles.kind(t.data_type) == "text":
-        return ColumnFix(numbers.clean_currency(t.column))
-    return ColumnFix(t.number)
+        return column_fix(numbers.clean_currency(t.column))
+    return column_fix(t.number)
 
 
 def cast_to_datetime(t: Target) -> Fix:
-    return ColumnFix(dates.to_timestamp(t.column, t.data_type, t.params.get("format")))
+    return column_fix(dates.to_timestamp(t.column, t.data_type, t.params.get("format")))
 
 
 def cast_to_string(t: Target) -> Fix:
-    return ColumnFix(t.as_text)
+    return column_fix(t.as_text)
 
 
 def strip_lowercase(t: Target) -> Fix:
-    return ColumnFix(text.strip_lower(t.as_text))
+    return column_fix(text.strip_lower(t.as_text))
 
 
 def strip_titlecase(t: Target) -> Fix:
-    return ColumnFix(text.title_case(text.strip(t.as_text)))
+    return column_fix(text.title_case(text.strip(t.as_text)))
 
 
 def replace_pseudo_nulls(t: Target) -> Fix:
-    return ColumnFix(F.when(~text.is_placeholder(t.as_text), t.column))
+    return column_fix(
+        f"CASE WHEN NOT ({text.is_placeholder(t.as_text)}) THEN {t.column} END"
+    )
 
 
 def drop_negative_rows(t: Target) -> Fix:
-    return RowFix(t.number.isNull() | (t.number >= 0), t.number)
+    return row_fix(f"{t.number} IS NULL OR {t.number} >= 0", t.number)
 
 
 def abs_negative(t: Target) -> Fix:
-    return ColumnFix(F.abs(t.number))
+    return column_fix(f"abs({t.number})")
 
 
 def cap_outliers_iqr(t: Target) -> Fix:
     quartiles = t.quantiles(*quantiles.QUARTILES)
     if None in quartiles:
-        return ColumnFix(t.number)
-    low, high = quantiles.fences(quartiles)
-    capped = numbers.clip(t.number.cast("double"), F.lit(low), F.lit(high))
-    return ColumnFix(capped, F.format_string("[%.2f, %.2f]", F.lit(low), F.lit(high)))
+        return column_fix(t.number)
+    low, high = map(quantiles.double, quantiles.fences(quartiles))
+    capped = numbers.clip(f"CAST({t.number} AS DOUBLE)", low, high)
+    return column_fix(capped, f"format_string('[%.2f, %.2f]', {low}, {high})")
 
 
 def drop_zero_rows(t: Target) -> Fix:
-    return RowFix(t.number.isNull() | (t.number != 0), t.number)
+    return row_fix(f"{t.number} IS NULL OR {t.number} <> 0", t.number)
 
 
 def percent_divide_100(t: Target) -> Fix:
-    return ColumnFix(t.number.cast("double") / 100)
+    return column_fix(f"CAST({t.number} AS DOUBLE) / 100")
 
 
 def drop_column(t: Target) -> Fix:
@@ -197,7 +207,7 @@ def drop_column(t: Target) -> Fix:
 
 
 def drop_empty_columns(t: Target) -> Fix:
-    row = t.df.agg(*(F.count(quoted(name)) for name in t.df.columns)).first()
+    row = t.df.selectExpr(*(f"count({ident(name)})" for name in t.df.columns)).first()
     empty = [name for name, n in zip(t.df.columns, row) if n == 0]
     return TableFix(t.df.drop(*empty))
 
@@ -207,12 +217,12 @@ def drop_full_duplicate_columns(t: Target) -> Fix:
     names = t.df.columns
     first = [i for i, name in enumerate(names) if names.index(name) == i]
     numbered = t.df.toDF(*(str(i) for i in range(len(names))))
-    return TableFix(numbered.select(*(quoted(str(i)).alias(names[i]) for i in first)))
+    return TableFix(numbered.selectExpr(*(f"`{i}` AS {ident(names[i])}" for i in first)))
 
 
 def drop_future_dates(t: Target) -> Fix:
     parsed = dates.to_timestamp(t.column, t.data_type, t.params.get("format"))
-    return RowFix(parsed.isNull() | (parsed <= dates.moment(t.as_of)))
+    return row_fix(f"{parsed} IS NULL OR {parsed} <= {dates.moment(t.as_of)}")
 
 
 # The names that fixes are requested by.
@@ -250,7 +260,7 @@ def _prepare(
 def _with_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Replace one column in place."""
     return df.select(
-        *(value.alias(name) if other == name else quoted(other) for other in df.columns)
+        *(value.alias(name) if other == name else ident(other) for other in df.columns)
     )
 
 
@@ -299,49 +309,42 @@ def audit(
 ) -> DataFrame:
     """One row telling what a fix would do: rows and columns dropped, values changed."""
     target, fix = _prepare(df, fix_id, params, as_of, order_by)
-    total = F.count(F.lit(1))
-    dropped = changed = F.lit(0).cast("bigint")
-    statistic = F.lit(None)
     columns_after = len(df.columns)
+    rows_after, changed, statistic = F.expr("count(1)"), F.expr("0L"), F.expr("NULL")
     if isinstance(fix, ColumnFix):
-        before = target.column
-        same_type = target.df.select(fix.value).schema[0].dataType == target.data_type
-        after = fix.value if same_type else fix.value.cast("string")
-        changed = count_where(~(before if same_type else target.as_text).eqNullSafe(after))
-        statistic = statistic if fix.statistic is None else F.first(fix.statistic)
-        counts = target.df.agg(
-            total.alias("rows_before"), total.alias("rows_after"), changed.alias("changed"),
-            statistic.cast("string").alias("statistic"),
-        )
+        after = fix.value
+        if target.df.select(after).schema[0].dataType == target.data_type:
+            same = F.expr(target.column).eqNullSafe(after)
+        else:
+            same = F.expr(target.as_text).eqNullSafe(after.cast("string"))
+        changed = F.count(F.when(~same, True))
+        if fix.statistic is not None:
+            statistic = F.first(fix.statistic)
     elif isinstance(fix, RowFix):
-        kept = count_where(fix.keep)
-        counts = target.df.agg(
-            total.alias("rows_before"), kept.alias("rows_after"), changed.alias("changed"),
-            statistic.cast("string").alias("statistic"),
-        )
+        rows_after = F.count(F.when(fix.keep, True))
     else:
         columns_after = len(fix.result.columns)
-        rows_after = (
-            fix.result.agg(total.alias("n")).scalar()
-            if fix_id in ("drop_full_duplicates", "drop_col_duplicates")
-            else F.col("rows_before")
-        )
-        counts = target.df.agg(total.alias("rows_before")).select(
-            "rows_before", rows_after.alias("rows_after"), dropped.alias("changed"),
-            statistic.cast("string").alias("statistic"),
-        )
-    message = F.format_string(
-        "%s: %,d rows dropped, %,d values changed, %d columns dropped%s",
-        F.lit(fix_id), F.col("rows_dropped"), F.col("values_changed"), F.col("columns_dropped"),
-        F.coalesce(F.concat(F.lit(", using "), F.col("statistic")), F.lit("")),
+        if fix_id in ("drop_full_duplicates", "drop_col_duplicates"):
+            rows_after = F.first(fix.result.selectExpr("count(1) AS n").scalar())
+    counts = target.df.agg(
+        F.expr("count(1) AS rows_before"),
+        rows_after.alias("rows_after"),
+        changed.alias("values_changed"),
+        statistic.cast("string").alias("statistic"),
     )
-    return counts.select(
-        F.lit(fix_id).alias("fix_id"),
-        F.lit(target.name).cast("string").alias("column"),
+    name = "NULL" if target.name is None else text.literal(target.name)
+    return counts.selectExpr(
+        f"{text.literal(fix_id)} AS fix_id",
+        f"CAST({name} AS STRING) AS `column`",
         "rows_before",
         "rows_after",
-        (F.col("rows_before") - F.col("rows_after")).alias("rows_dropped"),
-        F.col("changed").alias("values_changed"),
-        F.lit(len(df.columns) - columns_after).alias("columns_dropped"),
+        "rows_before - rows_after AS rows_dropped",
+        "values_changed",
+        f"{len(df.columns) - columns_after} AS columns_dropped",
         "statistic",
-    ).withColumn("message", message)
+    ).selectExpr(
+        "*",
+        "format_string('%s: %,d rows dropped, %,d values changed, %d columns dropped%s', fix_id, "
+        "rows_dropped, values_changed, columns_dropped, coalesce(concat(', using ', statistic), "
+        "'')) AS message",
+    )

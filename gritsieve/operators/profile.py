@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Collection, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from gritsieve import roles
 from gritsieve.functions import dates, numbers, text
-from gritsieve.functions.text import count_where, quoted
+from gritsieve.functions.text import count_where, ident
 
 # Text columns with at most this many values may be categories by content.
 FEW_VALUES = 50
@@ -26,9 +26,11 @@ TOTAL_TOLERANCE = 0.05
 
 @dataclass(frozen=True)
 class Measure:
+    """An aggregate (SQL over a column) and the columns it is taken of."""
+
     sql_type: str
     applies: Callable[[T.StructField], bool]
-    aggregate: Callable[[Column], Column]
+    aggregate: Callable[[str], str]
 
 
 def _of(*kinds: str, words: Collection[str] = ()) -> Callable[[T.StructField], bool]:
@@ -53,64 +55,71 @@ def _maybe_category(field: T.StructField) -> bool:
     return roles.kind(field.dataType) == "text" and not roles.is_category_name(field.name)
 
 
-def _distinct_floor(value: Column) -> Column:
+def _distinct_floor(value: str) -> str:
     """A lower bound of the distinct count: bits set in a 64-bit map of hashes.
 
     Up to fifty distinct values set at most fifty bits, so a column showing more
     can be ruled out as a category without counting its values.
     """
-    slot = F.pmod(F.xxhash64(value), F.lit(64)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot)
-    seen = F.bit_count(F.bit_or(F.when(value.isNotNull(), bit)))
-    return F.coalesce(seen, F.lit(0))
+    slot = f"CAST(pmod(xxhash64({value}), 64) AS INT)"
+    bit = f"CASE WHEN {value} IS NOT NULL THEN shiftleft(1L, {slot}) END"
+    return f"coalesce(bit_count(bit_or({bit})), 0)"
 
 
 MEASURES: dict[str, Measure] = {
-    "n_values": Measure("bigint", lambda field: True, F.count),
+    "n_values": Measure("bigint", lambda field: True, lambda c: f"count({c})"),
     "n_pseudo": Measure("bigint", _of("text"), lambda c: count_where(text.is_placeholder(c))),
-    "n_numeric": Measure("bigint", _of("text"), lambda c: F.count(numbers.text_to_number(c))),
-    "n_clean": Measure("bigint", _number_by_name, lambda c: F.count(numbers.clean_currency(c))),
+    "n_numeric": Measure(
+        "bigint", _of("text"), lambda c: f"count({numbers.text_to_number(c)})"
+    ),
+    "n_clean": Measure(
+        "bigint", _number_by_name, lambda c: f"count({numbers.clean_currency(c)})"
+    ),
     "distinct_floor": Measure("bigint", _maybe_category, _distinct_floor),
-    "min_value": Measure("double", _of("numeric"), lambda c: F.min(c).cast("double")),
-    "max_value": Measure("double", _of("numeric"), lambda c: F.max(c).cast("double")),
-    "mean": Measure("double", _of("numeric"), lambda c: F.avg(c).cast("double")),
+    "min_value": Measure("double", _of("numeric"), lambda c: f"min({c})"),
+    "max_value": Measure("double", _of("numeric"), lambda c: f"max({c})"),
+    "mean": Measure("double", _of("numeric"), lambda c: f"avg({c})"),
     "n_negative": Measure(
-        "bigint", _of("numeric", words=roles.NON_NEGATIVE_WORDS), lambda c: count_where(c < 0)
+        "bigint", _of("numeric", words=roles.NON_NEGATIVE_WORDS), lambda c: count_where(f"{c} < 0")
     ),
     "n_zero": Measure(
-        "bigint", _of("numeric", words=roles.NON_ZERO_WORDS), lambda c: count_where(c == 0)
+        "bigint", _of("numeric", words=roles.NON_ZERO_WORDS), lambda c: count_where(f"{c} = 0")
     ),
     "n_out_of_range": Measure(
         "bigint",
         _of("numeric", words=roles.PERCENT_WORDS),
-        lambda c: count_where((c < 0) | (c > 100)),
+        lambda c: count_where(f"{c} < 0 OR {c} > 100"),
     ),
     "date_hits": Measure(
-        "array<bigint>",
-        _date_by_name,
-        lambda c: F.array(*dates.format_hits(c.cast("string"))),
+        "array<bigint>", _date_by_name, lambda c: dates.format_hits(f"CAST({c} AS STRING)")
     ),
     "n_ambiguous": Measure(
         "bigint",
         _of("text", words=roles.DATE_WORDS),
-        lambda c: count_where(c.rlike(dates.AMBIGUOUS)),
+        lambda c: count_where(f"{c} RLIKE {dates.AMBIGUOUS}"),
     ),
 }
 
 
-def _column_aggregates(df: DataFrame, measures: Iterable[str]) -> dict[str, Column]:
+def _column_aggregates(df: DataFrame, measures: Iterable[str]) -> dict[str, str]:
     """The aggregates of every column, under the name ``position.measure``."""
     found = {}
     for position, field in enumerate(df.schema.fields):
         for name in measures:
-            if MEASURES[name].applies(field):
-                found[f"{position}.{name}"] = MEASURES[name].aggregate(quoted(field.name))
+            measure = MEASURES[name]
+            if measure.applies(field):
+                value = measure.aggregate(ident(field.name))
+                found[f"{position}.{name}"] = f"CAST({value} AS {measure.sql_type})"
     return found
 
 
-def _numbers_of(df: DataFrame, names: Iterable[str]) -> list[Column]:
+def _numbers_of(df: DataFrame, names: Iterable[str]) -> list[str]:
     types_by_name = {field.name: field.dataType for field in df.schema.fields}
-    return [numbers.to_number(quoted(name), types_by_name[name]) for name in names]
+    return [numbers.to_number(ident(name), types_by_name[name]) for name in names]
+
+
+def _complete(names: Iterable[str]) -> str:
+    return " AND ".join(f"{ident(name)} IS NOT NULL" for name in names)
 
 
 def total_rule(df: DataFrame) -> dict[str, str] | None:
@@ -121,29 +130,28 @@ def total_rule(df: DataFrame) -> dict[str, str] | None:
     return found if required and len(set(found.values())) == len(found) else None
 
 
-def _total_measures(df: DataFrame) -> dict[str, Column]:
+def _total_measures(df: DataFrame) -> dict[str, str]:
     """Both readings of the discount in one pass: as a fraction and as a percent."""
     rule = total_rule(df)
     if rule is None:
         return {}
-    complete = F.lit(True)
-    for name in rule.values():
-        complete = complete & quoted(name).isNotNull()
+    complete = _complete(rule.values())
     quantity, price, total = _numbers_of(df, (rule["quantity"], rule["price"], rule["total"]))
 
-    def mismatches(factor: Column) -> Column:
-        expected = quantity.cast("double") * price.cast("double") * factor
-        deviation = F.abs(total.cast("double") - expected) / (F.abs(expected) + F.lit(1e-9))
-        return count_where(complete & (deviation > TOTAL_TOLERANCE))
+    def mismatches(factor: str) -> str:
+        expected = f"CAST({quantity} AS DOUBLE) * CAST({price} AS DOUBLE) * {factor}"
+        deviation = f"abs(CAST({total} AS DOUBLE) - {expected}) / (abs({expected}) + 1e-9D)"
+        return count_where(
+            f"{complete} AND {deviation} > {TOTAL_TOLERANCE}D AND NOT isnan({deviation})"
+        )
 
     if "discount" not in rule:
-        return {"n_mismatch": mismatches(F.lit(1.0))}
-    discount = _numbers_of(df, (rule["discount"],))[0].cast("double")
-    in_percent = F.max(F.when(complete, discount)) > 1
+        return {"n_mismatch": mismatches("1D")}
+    discount = f"CAST({_numbers_of(df, (rule['discount'],))[0]} AS DOUBLE)"
+    in_percent = f"max(CASE WHEN {complete} THEN {discount} END) > 1"
     return {
-        "n_mismatch": F.when(in_percent, mismatches(1 - discount / 100)).otherwise(
-            mismatches(1 - discount)
-        )
+        "n_mismatch": f"CASE WHEN {in_percent} THEN {mismatches(f'(1 - {discount} / 100)')} "
+        f"ELSE {mismatches(f'(1 - {discount})')} END"
     }
 
 
@@ -154,43 +162,41 @@ def discount_rule(df: DataFrame) -> tuple[str, str, str] | None:
     return names if None not in names and len(set(names)) == 3 else None
 
 
-def _discount_measures(df: DataFrame) -> dict[str, Column]:
+def _discount_measures(df: DataFrame) -> dict[str, str]:
     rule = discount_rule(df)
     if rule is None:
         return {}
     discount, total, price = _numbers_of(df, rule)
-    complete = F.lit(True)
-    for name in rule:
-        complete = complete & quoted(name).isNotNull()
-    return {"n_discount_ignored": count_where(complete & (discount > 0) & (total > price))}
+    ignored = f"{_complete(rule)} AND {discount} > 0 AND {total} > {price}"
+    return {"n_discount_ignored": count_where(ignored)}
 
 
-def _mostly_empty(df: DataFrame) -> dict[str, Column]:
+def _mostly_empty(df: DataFrame) -> dict[str, str]:
     if not df.columns:
-        return {"n_mostly_empty": F.lit(0)}
-    empty = F.lit(0)
-    for name in df.columns:
-        empty = empty + quoted(name).isNull().cast("int")
-    return {"n_mostly_empty": count_where(empty * 2 > len(df.columns))}
+        return {"n_mostly_empty": "0"}
+    empty = " + ".join(f"CAST({ident(name)} IS NULL AS INT)" for name in df.columns)
+    return {"n_mostly_empty": count_where(f"({empty}) * 2 > {len(df.columns)}")}
 
 
-TABLE_MEASURES: dict[str, Callable[[DataFrame], dict[str, Column]]] = {
+TABLE_MEASURES: dict[str, Callable[[DataFrame], dict[str, str]]] = {
     "n_mostly_empty": _mostly_empty,
     "n_mismatch": _total_measures,
     "n_discount_ignored": _discount_measures,
 }
 
 
-def _table_aggregates(df: DataFrame, measures: Iterable[str]) -> dict[str, Column]:
+def _table_aggregates(df: DataFrame, measures: Iterable[str]) -> dict[str, str]:
     found = {}
     for name in measures:
         found.update(TABLE_MEASURES[name](df))
     return found
 
 
-def _aggregate(df: DataFrame, found: dict[str, Column]) -> DataFrame:
-    total = F.count(F.lit(1)).alias("n_rows")
-    return df.agg(total, *(column.alias(name) for name, column in found.items()))
+def _aggregate(df: DataFrame, found: dict[str, str]) -> DataFrame:
+    return df.agg(
+        F.expr("count(1) AS n_rows"),
+        *(F.expr(f"{aggregate} AS {ident(name)}") for name, aggregate in found.items()),
+    )
 
 
 def scan(df: DataFrame) -> tuple[list[dict], dict]:
@@ -224,26 +230,28 @@ def _identity(position: int, field: T.StructField) -> dict:
 def column_profile(df: DataFrame, *measures: str) -> DataFrame:
     """One row per column with the measures asked for, from one scan."""
     found = _column_aggregates(df, measures)
-    structs = []
+    entries = []
     for position, field in enumerate(df.schema.fields):
-        parts = [F.lit(v).alias(k) for k, v in _identity(position, field).items()]
-        parts.append(F.col("n_rows"))
+        parts = [f"{position} AS position"]
+        for key in ("column", "kind", "type"):
+            parts.append(f"{text.literal(_identity(position, field)[key])} AS `{key}`")
+        parts.append("n_rows")
         for name in measures:
             key = f"{position}.{name}"
-            value = quoted(key) if key in found else F.lit(None)
-            parts.append(value.cast(MEASURES[name].sql_type).alias(name))
-        structs.append(F.struct(*parts))
-    return _aggregate(df, found).select(F.inline(F.array(*structs)))
+            value = ident(key) if key in found else f"CAST(NULL AS {MEASURES[name].sql_type})"
+            parts.append(f"{value} AS {name}")
+        entries.append(f"struct({', '.join(parts)})")
+    return _aggregate(df, found).selectExpr(f"inline(array({', '.join(entries)}))")
 
 
 def table_profile(df: DataFrame, *measures: str) -> DataFrame:
     """One row with the table measures asked for, from one scan."""
     found = _table_aggregates(df, measures)
-    return _aggregate(df, found).select(
+    return _aggregate(df, found).selectExpr(
         "n_rows",
-        F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
+        f"CAST({len(df.columns)} AS BIGINT) AS n_columns",
         *(
-            (F.col(name) if name in found else F.lit(None)).cast("bigint").alias(name)
+            f"CAST({name if name in found else 'NULL'} AS BIGINT) AS {name}"
             for name in measures
         ),
     )

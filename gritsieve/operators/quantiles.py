@@ -14,9 +14,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from gritsieve.functions.text import count_where, quoted
+from gritsieve.functions.text import count_where, ident, literal
 
 QUARTILES = (0.25, 0.5, 0.75)
 OUTLIER_SPREADS = 3
@@ -47,10 +47,11 @@ def exact_quantiles(
     large = {name: n for name, n in counts.items() if n > in_memory}
     result: dict[str, list[float]] = {}
     if small:
+        wanted = ", ".join(f"{probability}D" for probability in probabilities)
         row = df.agg(
             *(
-                F.percentile(quoted(name).cast("double"), F.lit(list(probabilities))).alias(str(i))
-                for i, name in enumerate(small)
+                F.expr(f"percentile(CAST({ident(name)} AS DOUBLE), array({wanted}))")
+                for name in small
             )
         ).first()
         result.update({name: list(row[i]) for i, name in enumerate(small)})
@@ -88,23 +89,21 @@ def _values_at(
     """The value at each (column, zero-based rank) of the sorted non-null values."""
     spark = df.sparkSession
     ranks = sorted(ranks)
-    cells = F.array(
-        *(
-            F.struct(F.lit(name).alias("column"), quoted(name).cast("double").alias("value"))
-            for name in sorted({name for name, _ in ranks})
-        )
+    cells = (
+        f"struct({literal(name)} AS `column`, CAST({ident(name)} AS DOUBLE) AS value)"
+        for name in sorted({name for name, _ in ranks})
     )
-    values = df.select(F.inline(cells)).where(F.col("value").isNotNull())
-    value = F.col("value")
+    values = df.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
 
     # First pass: bins of equal ratio, so far-off outliers do not swallow the rest.
-    scale = F.floor(F.log2(F.abs(value) + 1) * FIRST_PASS_BINS)
-    infinite = F.abs(value) == float("inf")
-    first_bin = F.when(infinite, value).otherwise(F.signum(value) * scale)
+    first_bin = (
+        "CASE WHEN abs(value) = CAST('Infinity' AS DOUBLE) THEN value "
+        f"ELSE signum(value) * floor(log2(abs(value) + 1) * {FIRST_PASS_BINS}) END AS bin"
+    )
     targets = spark.createDataFrame(
         [(name, rank, None, None, 0, None) for name, rank in ranks], _BRACKET
     )
-    bins = values.groupBy("column", first_bin.alias("bin")).agg(*_bin_measures())
+    bins = values.selectExpr("*", first_bin).groupBy("column", "bin").agg(*_bin_measures())
     brackets = _holding(bins, targets, ["column"])
 
     found: dict[tuple[str, int], float] = {}
@@ -116,37 +115,34 @@ def _values_at(
         if not open_rows:
             return found
         targets = spark.createDataFrame(open_rows, _BRACKET)
-        share = (value - F.col("low")) / (F.col("high") - F.col("low"))
         last_pass = sum(r["n"] for r in open_rows) <= finish
-        next_bin = value if last_pass else F.floor(share * BINS).cast("double")
+        scaled = f"CAST(floor((value - low) / (high - low) * {BINS}) AS DOUBLE)"
+        next_bin = "value AS bin" if last_pass else f"{scaled} AS bin"
         bins = (
             values.join(F.broadcast(targets.select("column", "rank", "low", "high")), "column")
-            .where(value.between(F.col("low"), F.col("high")))
-            .groupBy("column", "rank", next_bin.alias("bin"))
+            .where("value BETWEEN low AND high")
+            .selectExpr("`column`", "rank", "value", next_bin)
+            .groupBy("column", "rank", "bin")
             .agg(*_bin_measures())
         )
         brackets = _holding(bins, targets, ["column", "rank"])
 
 
 def _bin_measures() -> list:
-    return [
-        F.count(F.lit(1)).alias("n"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
-    ]
+    return [F.expr("count(1) AS n"), F.expr("min(value) AS low"), F.expr("max(value) AS high")]
 
 
 def _holding(bins: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
     """For each target rank, the bin that holds it, as the next bracket."""
-    running = Window.partitionBy(*key).orderBy("bin")
-    placed = bins.select(
-        *key, "low", "high", "n", (F.sum("n").over(running) - F.col("n")).alias("before")
+    group = ", ".join(map(ident, key))
+    placed = bins.selectExpr(
+        *map(ident, key), "low", "high", "n",
+        f"sum(n) OVER (PARTITION BY {group} ORDER BY bin) - n AS before",
     )
-    start = F.col("below") + F.col("before")
     return (
         placed.join(F.broadcast(targets.select("column", "rank", "below")), key)
-        .where((F.col("rank") >= start) & (F.col("rank") < start + F.col("n")))
-        .select("column", "rank", "low", "high", start.alias("below"), "n")
+        .where("rank >= below + before AND rank < below + before + n")
+        .selectExpr("`column`", "rank", "low", "high", "below + before AS below", "n")
     )
 
 
@@ -162,21 +158,20 @@ def outlier_counts(df: DataFrame, quartiles: Mapping[str, Sequence[float]]) -> D
 
     A spread of zero gives no fences, hence a null count.
     """
-    structs = []
+    entries = []
     for name, (first, median, third) in quartiles.items():
         low, high = fences((first, median, third))
-        value = quoted(name).cast("double")
-        outside = count_where((value < low) | (value > high))
-        structs.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.count(value).alias("n_values"),
-                F.min(value).alias("min_value"),
-                F.max(value).alias("max_value"),
-                F.lit(float(first)).alias("q1"),
-                F.lit(float(median)).alias("median"),
-                F.lit(float(third)).alias("q3"),
-                (outside if third - first > 0 else F.lit(None)).cast("bigint").alias("n_outliers"),
-            )
+        value = f"CAST({ident(name)} AS DOUBLE)"
+        outside = count_where(f"{value} < {double(low)} OR {value} > {double(high)}")
+        entries.append(
+            f"struct({literal(name)} AS `column`, count({value}) AS n_values, "
+            f"min({value}) AS min_value, max({value}) AS max_value, {double(first)} AS q1, "
+            f"{double(median)} AS median, {double(third)} AS q3, "
+            f"{outside if third > first else 'CAST(NULL AS BIGINT)'} AS n_outliers)"
         )
-    return df.agg(F.array(*structs).alias("columns")).select(F.inline("columns"))
+    return df.selectExpr(f"inline(array({', '.join(entries)}))")
+
+
+def double(value: float) -> str:
+    """A double as SQL, to the last bit."""
+    return f"CAST('{value!r}' AS DOUBLE)"

@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gritsieve import roles
 from gritsieve.functions import text
-from gritsieve.functions.text import quoted
+from gritsieve.functions.text import ident, literal
 from gritsieve.operators.profile import FEW_VALUES, column_profile
 
 LISTED_VALUES = 20
@@ -31,37 +31,34 @@ def union(frames: Sequence[DataFrame]) -> DataFrame:
 
 def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The named columns as text, one (column, value) row per non-null cell."""
-    cells = F.array(
-        *(
-            F.struct(F.lit(name).alias("column"), quoted(name).cast("string").alias("value"))
-            for name in columns
-        )
+    cells = (
+        f"struct({literal(name)} AS `column`, CAST({ident(name)} AS STRING) AS value)"
+        for name in columns
     )
-    return df.select(F.inline(cells)).where(F.col("value").isNotNull())
+    return df.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
 
 
 def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n): how often each non-null value occurs."""
     if not columns:
         return df.sparkSession.createDataFrame([], _HISTOGRAM)
-    return _cells(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _cells(df, columns).groupBy("column", "value").agg(F.expr("count(1) AS n"))
 
 
 def category_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column with any value: distinct values raw and normalised, placeholder rows."""
-    normal = text.strip_lower(F.col("value"))
+    placeholder = f"normal IN {text.one_of(text.PLACEHOLDERS)}"
     return (
         histogram(df, columns)
-        .groupBy("column", normal.alias("normal"))
-        .agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n"))
+        .selectExpr("`column`", f"{text.strip_lower('value')} AS normal", "n")
+        .groupBy("column", "normal")
+        .agg(F.expr("count(1) AS spellings"), F.expr("sum(n) AS n"))
         .groupBy("column")
         .agg(
-            F.sum("n").alias("n_values"),
-            F.sum("spellings").alias("n_distinct"),
-            F.count(F.lit(1)).alias("n_normalised"),
-            F.sum(F.when(F.col("normal").isin(*text.PLACEHOLDERS), F.col("n")).otherwise(0)).alias(
-                "n_placeholder"
-            ),
+            F.expr("sum(n) AS n_values"),
+            F.expr("sum(spellings) AS n_distinct"),
+            F.expr("count(1) AS n_normalised"),
+            F.expr(f"sum(CASE WHEN {placeholder} THEN n ELSE 0 END) AS n_placeholder"),
         )
     )
 
@@ -76,7 +73,7 @@ def category_candidates(df: DataFrame) -> list[str]:
     if not any(field.name not in named for field in roles.fields_of(df, "text")):
         return named
     few = column_profile(df, "n_values", "distinct_floor").where(
-        (F.col("n_values") > 0) & (F.col("distinct_floor") <= FEW_VALUES)
+        f"n_values > 0 AND distinct_floor <= {FEW_VALUES}"
     )
     found = {row["column"] for row in few.select("column").collect()}
     return [name for name in df.columns if name in named or name in found]
@@ -85,10 +82,11 @@ def category_candidates(df: DataFrame) -> list[str]:
 def category_summary(df: DataFrame) -> DataFrame:
     """``category_values`` of the candidates, with the kind of the column."""
     columns = category_candidates(df)
-    kinds = F.create_map(
-        *(F.lit(word) for f in df.schema.fields for word in (f.name, roles.kind(f.dataType)))
+    kinds = ", ".join(
+        f"{literal(field.name)}, {literal(roles.kind(field.dataType))}"
+        for field in df.schema.fields
     )
-    return category_values(df, columns).withColumn("kind", kinds[F.col("column")])
+    return category_values(df, columns).selectExpr("*", f"map({kinds})[`column`] AS kind")
 
 
 def smallest_values(df: DataFrame, columns: Sequence[str], k: int = LISTED_VALUES) -> DataFrame:
@@ -97,13 +95,13 @@ def smallest_values(df: DataFrame, columns: Sequence[str], k: int = LISTED_VALUE
     The rank limit is applied before the shuffle as well (a partial group limit),
     so no task holds more than k values of a column.
     """
-    first = Window.partitionBy("column").orderBy("value")
+    place = "row_number() OVER (PARTITION BY `column` ORDER BY value) AS place"
     return (
         histogram(df, columns)
-        .select("column", "value", F.row_number().over(first).alias("place"))
-        .where(F.col("place") <= k)
+        .selectExpr("`column`", "value", place)
+        .where(f"place <= {k}")
         .groupBy("column")
-        .agg(F.array_sort(F.collect_list("value")).alias("listed"))
+        .agg(F.expr("array_sort(collect_list(value)) AS listed"))
     )
 
 
@@ -115,10 +113,10 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     return union(
         [
-            df.agg(
-                F.lit(name).alias("column"),
-                F.count(quoted(name)).alias("n_values"),
-                F.count_distinct(quoted(name)).alias("n_distinct"),
+            df.selectExpr(
+                f"{literal(name)} AS `column`",
+                f"count({ident(name)}) AS n_values",
+                f"count(DISTINCT {ident(name)}) AS n_distinct",
             )
             for name in columns
         ]
@@ -127,52 +125,48 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def length_histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, length, n): text lengths of the non-null values."""
-    lengths = F.array(
-        *(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.length(quoted(name).cast("string")).cast("bigint").alias("length"),
-            )
-            for name in columns
-        )
+    lengths = (
+        f"struct({literal(name)} AS `column`, "
+        f"CAST(length(CAST({ident(name)} AS STRING)) AS BIGINT) AS length)"
+        for name in columns
     )
     return (
-        df.select(F.inline(lengths))
-        .where(F.col("length").isNotNull())
+        df.selectExpr(f"inline(array({', '.join(lengths)}))")
+        .where("length IS NOT NULL")
         .groupBy("column", "length")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.expr("count(1) AS n"))
     )
 
 
 def length_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n_lengths, top_lengths): the five most frequent lengths."""
-    by_count = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("length"))
-    ranked = length_histogram(df, columns).select(
+    ranked = length_histogram(df, columns).selectExpr(
         "*",
-        F.row_number().over(by_count).alias("place"),
-        F.count(F.lit(1)).over(Window.partitionBy("column")).alias("n_lengths"),
+        "row_number() OVER (PARTITION BY `column` ORDER BY n DESC, length) AS place",
+        "count(1) OVER (PARTITION BY `column`) AS n_lengths",
     )
-    listed = F.array_sort(F.collect_list(F.struct("place", "length", "n")))
     return (
-        ranked.where(F.col("place") <= LISTED_LENGTHS)
+        ranked.where(f"place <= {LISTED_LENGTHS}")
         .groupBy("column")
-        .agg(F.max("n_lengths").alias("n_lengths"), listed.alias("top"))
-        .select(
-            "column",
+        .agg(
+            F.expr("max(n_lengths) AS n_lengths"),
+            F.expr("array_sort(collect_list(struct(place, length, n))) AS top"),
+        )
+        .selectExpr(
+            "`column`",
             "n_lengths",
-            F.transform("top", lambda e: F.struct(e["length"].alias("length"), e["n"].alias("n")))
-            .alias("top_lengths"),
+            "transform(top, e -> struct(e.length AS length, e.n AS n)) AS top_lengths",
         )
     )
 
 
 def suspicious_values(df: DataFrame, column: str) -> DataFrame:
     """Distinct normalised values that are placeholders or overlong."""
-    normal = text.strip_lower(quoted(column).cast("string"))
+    normal = text.strip_lower(f"CAST({ident(column)} AS STRING)")
     return (
-        df.select(F.lit(column).alias("column"), normal.alias("value"))
+        df.selectExpr(f"{literal(column)} AS `column`", f"{normal} AS value")
         .where(
-            F.col("value").isin(*text.PLACEHOLDERS) | (F.length("value") > LONGEST_PAYMENT)
+            f"value IN {text.one_of(text.PLACEHOLDERS)} OR length(value) > {LONGEST_PAYMENT}"
         )
         .distinct()
     )
@@ -188,23 +182,19 @@ def column_samples(
     """
     branches = []
     for name in columns:
-        keys = [quoted(key) for key in order_by] + [quoted(name).cast("string")]
+        value = f"CAST({ident(name)} AS STRING)"
+        keys = [*map(ident, order_by), value]
+        places = [f"key_{i}" for i in range(len(keys))]
         first = (
-            df.where(quoted(name).isNotNull())
-            .select(quoted(name).cast("string").alias("value"), *keys_named(keys))
-            .orderBy(*(f"key_{i}" for i in range(len(keys))))
+            df.where(f"{ident(name)} IS NOT NULL")
+            .selectExpr(*(f"{key} AS {place}" for key, place in zip(keys, places)))
+            .orderBy(*places)
             .limit(k)
         )
+        entries = f"array_sort(collect_list(struct({', '.join(places)})))"
         branches.append(
-            first.select(
-                F.lit(name).alias("column"),
-                F.struct(*(f"key_{i}" for i in range(len(keys))), "value").alias("entry"),
-            )
-            .groupBy("column")
-            .agg(F.array_sort(F.collect_list("entry"))["value"].alias("sample"))
+            first.selectExpr(
+                f"{literal(name)} AS `column`", f"{entries}.{places[-1]} AS sample"
+            ).where("size(sample) > 0")
         )
     return union(branches)
-
-
-def keys_named(keys: Sequence) -> list:
-    return [key.alias(f"key_{i}") for i, key in enumerate(keys)]

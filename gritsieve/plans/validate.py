@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 
 from gritsieve import roles
 from gritsieve.functions.numbers import nan_to_null
+from gritsieve.functions.text import literal, one_of
 from gritsieve.operators import calendar, checks, duplicates, profile, quantiles, values
 
 COLUMNS_FRAME = (
@@ -40,11 +43,15 @@ TABLE_FRAME = (
     "n_category_columns bigint, n_id_columns bigint, n_date_columns bigint"
 )
 ISSUE_COLUMNS = (
-    "issue_id", "check", "section", "severity", "column", "value", "metrics", "message",
+    "issue_id", "check", "section", "severity", "column", "related", "value", "metrics", "message",
     "fix_text", "details", "fixes", "section_no", "seq",
 )
 
 
+# Jobs of one validation that may run side by side.
+CONCURRENT_JOBS = 4
+
+
 def unique_names(names: Sequence[str]) -> list[str]:
     """Tell repeated and blank names apart: "a", "a.1", "Unnamed: 2"."""
     result: list[str] = []
@@ -102,23 +109,32 @@ class _Measurements:
         }
 
     def run(self) -> None:
-        steps: tuple[tuple[Callable[[], None], tuple[int, ...]], ...] = (
-            (self.scan, (1, 2, 3, 5, 6, 7, 8, 9)),
-            (self.categories, (6,)),
-            (self.keys, (8,)),
+        """The scan first, then the passes that build on it, several jobs at a time.
+
+        A pass that fails is reported and the others go on; the sections it serves
+        get no closing OK.
+        """
+        self._attempt(self.scan, ())
+        if self.errors:
+            return
+        passes: tuple[tuple[Callable[[], None], tuple[int, ...]], ...] = (
+            (self.duplicates, ()),
+            (self.categories_and_keys, (6, 8, 9)),
             (self.outliers, (5,)),
             (self.calendar, (7,)),
-            (self.duplicates, ()),
-            (self.dependencies, (8, 9)),
             (self.payments, (9,)),
             (self.samples, ()),
         )
-        for step, sections in steps:
-            try:
-                step()
-            except Exception as error:  # one failing group must not stop the others
-                self.errors.append((step.__name__, f"{type(error).__name__}: {error}"))
-                self.withheld.update(sections)
+        attempt = inheritable_thread_target(self._attempt)
+        with ThreadPoolExecutor(max_workers=CONCURRENT_JOBS) as pool:
+            list(pool.map(lambda one: attempt(*one), passes))
+
+    def _attempt(self, step: Callable[[], None], sections: tuple[int, ...]) -> None:
+        try:
+            step()
+        except Exception as error:
+            self.errors.append((step.__name__, f"{type(error).__name__}: {error}"))
+            self.withheld.update(sections)
 
     def _merge(self, frame: DataFrame, only: Iterable[str] | None = None) -> None:
         """Add a frame with one row per column to the records of the columns."""
@@ -177,6 +193,11 @@ class _Measurements:
             and record["n_distinct"] / record["n_values"] < profile.FEW_VALUES_SHARE
         )
 
+    def categories_and_keys(self) -> None:
+        self.categories()
+        self.keys()
+        self.dependencies()
+
     def keys(self) -> None:
         ids = [name for name in self.columns if roles.is_id(name)]
         uncounted = [name for name in ids if self.columns[name].get("n_distinct") is None]
@@ -225,7 +246,8 @@ class _Measurements:
             self._merge(calendar.date_summary(self.df, formats, self.as_of))
 
     def duplicates(self) -> None:
-        self.table["n_duplicates"] = duplicates.duplicate_rows(self.df).first()[0]
+        rows = self.table["n_rows"]
+        self.table["n_duplicates"] = duplicates.duplicate_rows(self.df, rows).first()[0]
         if self.table["soft_key"]:
             soft = duplicates.surplus_rows(self.df, self.table["soft_key"])
             self.table["n_soft_duplicates"] = soft.first()[0]
@@ -300,44 +322,43 @@ class _Measurements:
         }
 
 
+def _local(found: DataFrame) -> DataFrame:
+    """The same few rows as a local relation: one per finding, bounded by the schema."""
+    return found.sparkSession.createDataFrame(found.toArrow(), found.schema)
+
+
 def _closings(found: DataFrame, table: DataFrame, withheld: Iterable[int]) -> DataFrame:
     """The OK of each section that applies and has no problem."""
-    entries = [
-        F.expr(
-            f"named_struct('section_no', {c.section}, 'message', {checks.text(c.message)}, "
-            f"'applies', {c.when})"
-        )
+    entries = (
+        f"struct({c.section} AS section_no, {literal(c.message)} AS message, {c.when} AS applies)"
         for c in checks.CLOSINGS
         if c.section not in withheld
-    ]
-    problems = [check.name for check in checks.CHECKS if check.problem]
-    blamed = found.where(
-        F.col("check").isin(*problems) & F.col("severity").isin("CRITICAL", "WARNING")
-    ).select("section_no")
+    )
+    problems = one_of(tuple(check.name for check in checks.CHECKS if check.problem))
+    blamed = found.where(f"check IN {problems} AND severity IN ('CRITICAL', 'WARNING')")
     return (
-        table.select(F.inline(F.array(*entries)))
+        table.selectExpr(f"inline(array({', '.join(entries)}))")
         .where("applies")
-        .join(blamed.distinct(), "section_no", "left_anti")
-        .select(
-            F.expr(
-                "inline(array(cast(struct('section_ok', section_no, 'OK', CAST(NULL AS string), "
-                "0D, cast(map() AS map<string, double>), message, '', '', "
-                f"{checks.NO_FIXES}, 10000000L) AS {checks.FINDING})))"
-            )
+        .join(blamed.select("section_no").distinct(), "section_no", "left_anti")
+        .selectExpr(
+            "inline(array(cast(struct('section_ok', section_no, 'OK', CAST(NULL AS string), "
+            "CAST(NULL AS string), 0D, "
+            f"cast(map() AS map<string, double>), message, '', '', {checks.NO_FIXES}, 10000000L) "
+            f"AS {checks.FINDING})))"
         )
     )
 
 
 def issues_frame(found: DataFrame) -> DataFrame:
     """Findings with their section name and an id that is the same in every run."""
-    names = F.array(*(F.lit(name) for name in checks.SECTIONS))
-    section = F.coalesce(F.get(names, F.col("section_no") - 1), F.lit(checks.ERROR_SECTION))
-    subject = F.concat_ws("|", "check", section, F.coalesce("column", F.lit("")), "seq")
-    return found.select(
-        F.sha2(subject, 256).alias("issue_id"),
+    names = f"array{one_of(checks.SECTIONS)}"
+    section = f"coalesce(get({names}, section_no - 1), {literal(checks.ERROR_SECTION)})"
+    return found.selectExpr(
+        f"sha2(concat_ws('|', check, {section}, coalesce(`column`, ''), coalesce(related, '')), "
+        "256) AS issue_id",
         "check",
-        section.alias("section"),
-        *(name for name in ISSUE_COLUMNS[3:]),
+        f"{section} AS section",
+        *ISSUE_COLUMNS[3:],
     )
 
 
@@ -345,7 +366,7 @@ def single_issue(
     spark: SparkSession, check: str, section_no: int, severity: str, message: str,
     fix_text: str = "",
 ) -> DataFrame:
-    row = (check, section_no, severity, None, 0.0, {}, message, fix_text, "", [], -1)
+    row = (check, section_no, severity, None, None, 0.0, {}, message, fix_text, "", [], -1)
     return issues_frame(
         spark.createDataFrame([(row,)], f"f {checks.FINDING}").select("f.*")
     )
@@ -380,7 +401,8 @@ def validate(
         found = checks.findings("table", frames["table"])
         for name in ("columns", "links"):
             found = found.unionAll(checks.findings(name, frames[name]))
-        found = found.unionAll(_closings(found, frames["table"], measured.withheld))
+        found = _local(found)
+        found = _local(found.unionAll(_closings(found, frames["table"], measured.withheld)))
     spark = df.sparkSession
     result = None if found is None else issues_frame(found)
     for name, message in measured.errors:

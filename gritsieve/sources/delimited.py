@@ -13,11 +13,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from gritsieve.functions import text
 from gritsieve.functions.numbers import text_to_number
-from gritsieve.functions.text import quoted
+from gritsieve.functions.text import ident, literal
 from gritsieve.plans.validate import single_issue, unique_names, validate
 
 # Separators and encodings in the order they are tried.
@@ -29,7 +29,7 @@ NOT_CP1251 = 0x98
 
 TRUE_TEXT = ("True", "TRUE", "true")
 FALSE_TEXT = ("False", "FALSE", "false")
-INTEGER_TEXT = r"^[+-]?\d+\z"
+INTEGER_TEXT = r"r'^[+-]?\d+\z'"
 
 
 @dataclass(frozen=True)
@@ -61,20 +61,18 @@ def sniff(
 ) -> Layout:
     """Encoding and quoting from all lines, separator and header from the first one."""
     lines = spark.read.text(path)
-    raw = F.col("value")
-    quotes = F.length(raw) - F.length(F.replace(raw, F.lit('"'), F.lit("")))
-    flags = lines.agg(
-        F.coalesce(F.bool_or(~F.is_valid_utf8(raw)), F.lit(False)).alias("not_utf8"),
-        F.coalesce(
-            F.bool_or(F.contains(raw.cast("binary"), F.lit(bytes([NOT_CP1251])))), F.lit(False)
-        ).alias("not_cp1251"),
-        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open_quote"),
+    quotes = "octet_length(value) - octet_length(replace(value, '\"', ''))"
+    flags = lines.selectExpr(
+        "coalesce(bool_or(NOT is_valid_utf8(value)), false) AS not_utf8",
+        f"coalesce(bool_or(contains(CAST(value AS BINARY), X'{NOT_CP1251:02X}')), false) "
+        "AS not_cp1251",
+        f"coalesce(bool_or(({quotes}) % 2 = 1), false) AS open_quote",
     ).first()
     if encoding is None:
         encoding = UTF8
         if flags["not_utf8"]:
             encoding = LATIN1 if flags["not_cp1251"] else CP1251
-    first = lines.where(F.length(raw) > 0).select(raw.cast("binary")).first()
+    first = lines.where("octet_length(value) > 0").selectExpr("CAST(value AS BINARY)").first()
     if first is None:
         raise ValueError("the file has no header")
     line = bytes(first[0]).decode("utf-8-sig" if encoding == UTF8 else encoding)
@@ -87,12 +85,12 @@ def _split(line: str, separator: str) -> list[str]:
     return next(csv.reader([line], delimiter=separator))
 
 
-def _from_cp1251(value: Column) -> Column:
+def _from_cp1251(value: str) -> str:
     """Text that was read as latin-1, with the characters that cp1251 means."""
     high = [code for code in range(0x80, 0x100) if code != NOT_CP1251]
     wrong = "".join(map(chr, high))
     right = bytes(high).decode(CP1251)
-    return F.translate(value, wrong, right)
+    return f"translate({value}, {literal(wrong)}, {literal(right)})"
 
 
 def read_text_table(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
@@ -115,47 +113,37 @@ def read_text_table(spark: SparkSession, path: str, layout: Layout) -> DataFrame
         .csv(path)
     )
 
-    def cell(name: str) -> Column:
-        value = quoted(name)
+    def cell(name: str) -> str:
+        value = ident(name)
         if layout.encoding == CP1251:
             value = _from_cp1251(value)
-        return text.csv_null_tokens_to_null(value).alias(name)
+        return f"{text.csv_null_tokens_to_null(value)} AS {ident(name)}"
 
-    return df.select(*map(cell, names))
+    return df.selectExpr(*map(cell, names))
 
 
-def _type_name(total: Column, integers: Column, decimals: Column, flags: Column, rows: Column):
+def _type_name(value: str) -> str:
     """The narrowest type that all values fit; a gap turns integers into doubles."""
+    number = text.strip(value)
+    integers = f"CASE WHEN {number} RLIKE {INTEGER_TEXT} THEN try_cast({number} AS BIGINT) END"
+    flags = f"CASE WHEN {value} IN {text.one_of(TRUE_TEXT + FALSE_TEXT)} THEN true END"
     return (
-        F.when(total == 0, "double")
-        .when((integers == total) & (total == rows), "bigint")
-        .when(decimals == total, "double")
-        .when((flags == total) & (total == rows), "boolean")
-        .otherwise("string")
+        f"CASE WHEN count({value}) = 0 THEN 'double' "
+        f"WHEN count({integers}) = count(1) THEN 'bigint' "
+        f"WHEN count({text_to_number(value)}) = count({value}) THEN 'double' "
+        f"WHEN count({flags}) = count(1) THEN 'boolean' ELSE 'string' END"
     )
 
 
 def inferred_types(df: DataFrame) -> DataFrame:
     """(column, inferred_type) of the text columns, from one scan."""
-    rows = F.count(F.lit(1))
-    entries = []
-    for item in df.schema.fields:
-        if not isinstance(item.dataType, T.StringType):
-            continue
-        value = quoted(item.name)
-        number = text.strip(value)
-        integer = F.when(number.rlike(INTEGER_TEXT), number.try_cast("bigint"))
-        flag = F.when(value.isin(*TRUE_TEXT, *FALSE_TEXT), True)
-        entries.append(
-            F.struct(
-                F.lit(item.name).alias("column"),
-                _type_name(
-                    F.count(value), F.count(integer), F.count(text_to_number(value)),
-                    F.count(flag), rows,
-                ).alias("inferred_type"),
-            )
-        )
-    return df.agg(F.array(*entries).alias("columns")).select(F.inline("columns"))
+    entries = (
+        f"struct({literal(item.name)} AS `column`, {_type_name(ident(item.name))} "
+        "AS inferred_type)"
+        for item in df.schema.fields
+        if isinstance(item.dataType, T.StringType)
+    )
+    return df.selectExpr(f"inline(array({', '.join(entries)}))")
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -165,18 +153,18 @@ def infer_types(df: DataFrame) -> DataFrame:
     # One row per column of the schema.
     types = {row["column"]: row["inferred_type"] for row in inferred_types(df).collect()}
 
-    def converted(name: str) -> Column:
-        value = quoted(name)
+    def converted(name: str) -> str:
+        value = ident(name)
         to = types.get(name, "string")
         if to == "bigint":
-            return text.strip(value).try_cast("bigint").alias(name)
+            return f"try_cast({text.strip(value)} AS BIGINT) AS {value}"
         if to == "double":
-            return text_to_number(value).alias(name)
+            return f"{text_to_number(value)} AS {value}"
         if to == "boolean":
-            return value.isin(*TRUE_TEXT).alias(name)
+            return f"{value} IN {text.one_of(TRUE_TEXT)} AS {value}"
         return value
 
-    return df.select(*map(converted, df.columns))
+    return df.selectExpr(*map(converted, df.columns))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -260,30 +248,26 @@ def preview(df: DataFrame, order_by: Sequence[str], k: int = 100) -> DataFrame:
     """The first k rows by a given order, datetimes as text; a top-k, not a full sort."""
     shown = []
     for item in df.schema.fields:
-        value = quoted(item.name)
+        name = value = ident(item.name)
         if isinstance(item.dataType, (T.TimestampType, T.TimestampNTZType)):
-            value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+            value = f"date_format({name}, 'yyyy-MM-dd HH:mm:ss')"
         elif isinstance(item.dataType, T.DateType):
-            value = value.cast("string")
+            value = f"CAST({name} AS STRING)"
         elif isinstance(item.dataType, (T.FloatType, T.DoubleType)):
-            value = F.when(~F.isnan(value), value)
-        shown.append(value.alias(item.name))
-    return df.orderBy(*map(quoted, order_by)).limit(k).select(*shown)
+            value = f"CASE WHEN NOT isnan({name}) THEN {name} END"
+        shown.append(f"{value} AS {name}")
+    return df.orderBy(*map(ident, order_by)).limit(k).selectExpr(*shown)
 
 
 def describe(df: DataFrame) -> DataFrame:
     """(position, column, type, n_rows, n_columns), one row per column."""
-    entries = F.array(
-        *(
-            F.struct(
-                F.lit(position).alias("position"),
-                F.lit(item.name).alias("column"),
-                F.lit(item.dataType.simpleString()).alias("type"),
-            )
-            for position, item in enumerate(df.schema.fields)
-        )
+    entries = (
+        f"struct({position} AS position, {literal(item.name)} AS `column`, "
+        f"{literal(item.dataType.simpleString())} AS type)"
+        for position, item in enumerate(df.schema.fields)
     )
-    total = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    return total.select(
-        F.inline(entries), "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns")
+    return df.selectExpr("count(1) AS n_rows").selectExpr(
+        f"inline(array({', '.join(entries)}))",
+        "n_rows",
+        f"CAST({len(df.columns)} AS BIGINT) AS n_columns",
     )

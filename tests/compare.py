@@ -88,7 +88,7 @@ if __name__ == "__main__":
         try:
             problem = difference(queries[name](session, folder), con, oracles[name])
         except Exception as error:
-            problem = f"{type(error).__name__}: {str(error)[:600]}"
+            problem = f"{type(error).__name__}: {str(error)[:300]}"
         failed += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {time.time() - start:6.2f}s {name}"
               + (f": {problem}" if problem else ""), flush=True)
