@@ -370,18 +370,15 @@ def id_lengths(df: DataFrame) -> DataFrame:
 
 @query
 def id_maps_to_many_categories(df: DataFrame) -> DataFrame:
-    categories = [
-        row["column"]
+    found = {
+        row["column"]: row["n_hashes"] == row["n_distinct"]
         for row in values.category_summary(df).where(checks.IS_CATEGORY).collect()
-    ]
-    chosen = [name for name in df.columns if name in categories]
-    pairs = [
-        (key, category)
-        for key in ids(df)
-        for category in [name for name in chosen if name != key][:2]
-    ]
+    }
+    chosen = [name for name in df.columns if name in found]
+    wanted = {key: [name for name in chosen if name != key][:2] for key in ids(df)}
+    hashable = [name for name in chosen if found[name]]
     return run_check(
-        "id_maps_to_many_categories", duplicates.multi_valued_keys(df, pairs)
+        "id_maps_to_many_categories", duplicates.multi_valued_keys(df, wanted, hashable)
     ).select("column", "category", "n_keys", "severity")
 
 
@@ -395,8 +392,8 @@ def discount_not_applied(df: DataFrame) -> DataFrame:
 
 @query
 def product_multi_category(df: DataFrame) -> DataFrame:
-    pair = (roles.product_id_column(df.columns), roles.category_column(df.columns))
-    return duplicates.multi_valued_keys(df, [pair])
+    product, category = roles.product_id_column(df.columns), roles.category_column(df.columns)
+    return duplicates.multi_valued_keys(df, {product: [category]})
 
 
 @query

@@ -63,7 +63,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         name = ident(field.name)
         if isinstance(field.dataType, floats):
-            cells.append(f"CASE WHEN NOT isnan({name}) THEN {name} END AS {name}")
+            of = field.dataType.simpleString()
+            cells.append(f"nanvl({name}, CAST(NULL AS {of})) AS {name}")
         else:
             cells.append(name)
     return df.selectExpr(*cells)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -75,22 +75,49 @@ def duplicate_rows(
     )
 
 
-def multi_valued_keys(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(column, category, n_keys): keys with more than one distinct category value.
+def key_summary(
+    df: DataFrame, categories: Mapping[str, Sequence[str]], hashable: Collection[str] = ()
+) -> DataFrame:
+    """(column, n_distinct, links): what grouping by each key column shows at once.
+
+    ``links`` lists, per category asked for, how many keys have more than one
+    distinct value of it. Null keys and null categories are ignored.
 
-    Null keys and null categories are ignored. The distinct count is planned as a
-    partial aggregate over (key, category), so a hot key is spread over its values.
+    Each key column is shuffled once, in its own type, after partial aggregation: a
+    hot key is one record per task. Whether a key has several categories shows in
+    the smallest and largest hash of its categories, given that the hash keeps the
+    values of that column apart (``hashable``); otherwise values are counted, which
+    takes a second shuffle.
     """
-    return union(
-        [
-            df.where(f"{ident(key)} IS NOT NULL")
-            .groupBy(ident(key))
-            .agg(F.expr(f"count(DISTINCT {ident(category)}) AS n_categories"))
-            .selectExpr(
-                f"{literal(key)} AS `column`",
-                f"{literal(category)} AS category",
-                f"{count_where('n_categories > 1')} AS n_keys",
-            )
-            for key, category in pairs
-        ]
+    return union([_one_key(df, key, found, hashable) for key, found in categories.items()])
+
+
+def _one_key(
+    df: DataFrame, key: str, categories: Sequence[str], hashable: Collection[str]
+) -> DataFrame:
+    several = []
+    for i, name in enumerate(categories):
+        if name in hashable:
+            value = f"CAST({ident(name)} AS STRING)"
+            hashed = f"CASE WHEN {value} IS NOT NULL THEN xxhash64({value}) END"
+            several.append(f"min({hashed}) < max({hashed}) AS several_{i}")
+        else:
+            several.append(f"count(DISTINCT {ident(name)}) > 1 AS several_{i}")
+    groups = df.where(f"{ident(key)} IS NOT NULL").groupBy(ident(key))
+    grouped = groups.agg(*map(F.expr, several)) if several else groups.agg(F.expr("1 AS present"))
+    links = ", ".join(
+        f"struct({literal(name)} AS category, {count_where(f'several_{i}')} AS n_keys)"
+        for i, name in enumerate(categories)
     )
+    return grouped.selectExpr(
+        f"{literal(key)} AS `column`",
+        "count(1) AS n_distinct",
+        f"CAST(array({links}) AS array<struct<category: string, n_keys: bigint>>) AS links",
+    )
+
+
+def multi_valued_keys(
+    df: DataFrame, categories: Mapping[str, Sequence[str]], hashable: Collection[str] = ()
+) -> DataFrame:
+    """(column, category, n_keys): keys with more than one value of a category."""
+    return key_summary(df, categories, hashable).selectExpr("`column`", "inline(links)")

@@ -252,8 +252,7 @@ def _prepare(
     name = params.get("col")
     if fix_id not in WITHOUT_COLUMN and fix_id != "drop_column" and name not in df.columns:
         raise ValueError(f"{fix_id} needs an existing column, got {name!r}")
-    clean = df if fix_id == "drop_full_duplicate_columns" else nan_to_null(df)
-    target = Target(clean, name, params, as_of, order_by)
+    target = Target(df, name, params, as_of, order_by)
     return target, FIXES[fix_id](target)
 
 
@@ -277,7 +276,10 @@ def apply_fix(
     ``as_of`` is the time ``drop_future_dates`` compares with; ``order_by`` says
     which row is the first for ``drop_col_duplicates``.
     """
-    target, fix = _prepare(df, fix_id, params, as_of, order_by)
+    return apply_plan(df, [(fix_id, params or {})], as_of=as_of, order_by=order_by)
+
+
+def _apply(target: Target, fix: Fix) -> DataFrame:
     if isinstance(fix, ColumnFix):
         return _with_column(target.df, target.name, fix.value)
     if isinstance(fix, RowFix):
@@ -293,9 +295,11 @@ def apply_plan(
     as_of: str | date | datetime | None = None,
     order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Apply a list of (fix_id, params) in order."""
+    """Apply a list of (fix_id, params) in order. Float NaN counts as missing throughout."""
+    if len(set(df.columns)) == len(df.columns):
+        df = nan_to_null(df)
     for fix_id, params in plan:
-        df = apply_fix(df, fix_id, params, as_of=as_of, order_by=order_by)
+        df = _apply(*_prepare(df, fix_id, params, as_of, order_by))
     return df
 
 
@@ -308,6 +312,8 @@ def audit(
     order_by: Sequence[str] = (),
 ) -> DataFrame:
     """One row telling what a fix would do: rows and columns dropped, values changed."""
+    if fix_id != "drop_full_duplicate_columns":
+        df = nan_to_null(df)
     target, fix = _prepare(df, fix_id, params, as_of, order_by)
     columns_after = len(df.columns)
     rows_after, changed, statistic = F.expr("count(1)"), F.expr("0L"), F.expr("NULL")

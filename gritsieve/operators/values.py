@@ -46,18 +46,21 @@ def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def category_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column with any value: distinct values raw and normalised, placeholder rows."""
-    placeholder = f"normal IN {text.one_of(text.PLACEHOLDERS)}"
+    """Per column with any value: distinct values raw and normalised, placeholder rows.
+
+    ``n_hashes`` tells whether 64-bit hashes keep the values apart, see
+    ``duplicates.key_summary``.
+    """
+    normal = text.strip_lower("value")
+    placeholder = f"{normal} IN {text.one_of(text.PLACEHOLDERS)}"
     return (
         histogram(df, columns)
-        .selectExpr("`column`", f"{text.strip_lower('value')} AS normal", "n")
-        .groupBy("column", "normal")
-        .agg(F.expr("count(1) AS spellings"), F.expr("sum(n) AS n"))
         .groupBy("column")
         .agg(
             F.expr("sum(n) AS n_values"),
-            F.expr("sum(spellings) AS n_distinct"),
-            F.expr("count(1) AS n_normalised"),
+            F.expr("count(1) AS n_distinct"),
+            F.expr(f"count(DISTINCT {normal}) AS n_normalised"),
+            F.expr("count(DISTINCT xxhash64(value)) AS n_hashes"),
             F.expr(f"sum(CASE WHEN {placeholder} THEN n ELSE 0 END) AS n_placeholder"),
         )
     )

@@ -11,9 +11,12 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
+from functools import cache
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gritsieve import roles
 from gritsieve.functions.numbers import nan_to_null
@@ -49,7 +52,7 @@ ISSUE_COLUMNS = (
 
 
 # Jobs of one validation that may run side by side.
-CONCURRENT_JOBS = 4
+CONCURRENT_JOBS = 6
 
 
 def unique_names(names: Sequence[str]) -> list[str]:
@@ -65,10 +68,6 @@ def unique_names(names: Sequence[str]) -> list[str]:
     return result
 
 
-def _field_names(frame: str) -> list[str]:
-    return SparkSession.active().createDataFrame([], frame).columns
-
-
 class _Measurements:
     """The records of one table, filled in pass by pass."""
 
@@ -118,14 +117,15 @@ class _Measurements:
         if self.errors:
             return
         passes: tuple[tuple[Callable[[], None], tuple[int, ...]], ...] = (
-            (self.duplicates, ()),
             (self.categories_and_keys, (6, 8, 9)),
+            (self.duplicates, ()),
+            (self.lengths, (8,)),
             (self.outliers, (5,)),
             (self.calendar, (7,)),
             (self.payments, (9,)),
             (self.samples, ()),
         )
-        attempt = inheritable_thread_target(self._attempt)
+        attempt = inheritable_thread_target(self.spark)(self._attempt)
         with ThreadPoolExecutor(max_workers=CONCURRENT_JOBS) as pool:
             list(pool.map(lambda one: attempt(*one), passes))
 
@@ -196,14 +196,47 @@ class _Measurements:
     def categories_and_keys(self) -> None:
         self.categories()
         self.keys()
-        self.dependencies()
 
     def keys(self) -> None:
+        """One grouping per key column: distinct keys, and keys with several categories."""
+        ids = [name for name in self.columns if roles.is_id(name)]
+        categories = [name for name, c in self.columns.items() if self.is_category(c)]
+        linked = {
+            key: [name for name in categories if name != key][:2]
+            for key in ids
+            if self.columns[key]["n_values"] > 0
+        }
+        wanted = {key: list(linked.get(key, ())) for key in ids}
+        product = roles.product_id_column(self.df.columns)
+        category = roles.category_column(self.df.columns)
+        has_rule = product is not None and category is not None and product != category
+        if has_rule and category not in wanted.setdefault(product, []):
+            wanted[product].append(category)
+        if not wanted:
+            return
+        hashable = [
+            name
+            for name, c in self.columns.items()
+            if c.get("n_hashes") is not None and c["n_hashes"] == c["n_distinct"]
+        ]
+        for row in duplicates.key_summary(self.df, wanted, hashable).collect():
+            key = row["column"]
+            found = {link["category"]: link["n_keys"] for link in row["links"]}
+            self.columns[key]["n_distinct"] = row["n_distinct"]
+            self.links += [
+                {
+                    "position": self.columns[key]["position"],
+                    "column": key,
+                    "category": name,
+                    "n_keys": found[name],
+                }
+                for name in linked.get(key, ())
+            ]
+            if has_rule and key == product:
+                self.table["n_multi_category"] = found[category]
+
+    def lengths(self) -> None:
         ids = [name for name in self.columns if roles.is_id(name)]
-        uncounted = [name for name in ids if self.columns[name].get("n_distinct") is None]
-        if uncounted:
-            counts = values.distinct_counts(self.df, uncounted)
-            self._merge(counts, ("n_distinct",))
         if ids:
             self._merge(values.length_summary(self.df, ids))
 
@@ -252,36 +285,6 @@ class _Measurements:
             soft = duplicates.surplus_rows(self.df, self.table["soft_key"])
             self.table["n_soft_duplicates"] = soft.first()[0]
 
-    def dependencies(self) -> None:
-        categories = [name for name, c in self.columns.items() if self.is_category(c)]
-        pairs = [
-            (key, category)
-            for key, record in self.columns.items()
-            if roles.is_id(key) and record["n_values"] > 0
-            for category in [name for name in categories if name != key][:2]
-        ]
-        product = roles.product_id_column(self.df.columns)
-        category = roles.category_column(self.df.columns)
-        rule = (product, category) if product and category and product != category else None
-        wanted = pairs if rule is None or rule in pairs else [*pairs, rule]
-        if not wanted:
-            return
-        found = {
-            (row["column"], row["category"]): row["n_keys"]
-            for row in duplicates.multi_valued_keys(self.df, wanted).collect()
-        }
-        self.links = [
-            {
-                "position": self.columns[pair[0]]["position"],
-                "column": pair[0],
-                "category": pair[1],
-                "n_keys": found[pair],
-            }
-            for pair in pairs
-        ]
-        if rule is not None:
-            self.table["n_multi_category"] = found[rule]
-
     def payments(self) -> None:
         column = roles.payment_column(self.df.columns)
         if column is None:
@@ -310,18 +313,26 @@ class _Measurements:
             self._merge(values.column_samples(self.df, names, self.order_by))
 
     def frames(self) -> dict[str, DataFrame]:
-        def frame(records: list[dict], schema: str) -> DataFrame:
-            names = _field_names(schema)
-            rows = [tuple(record.get(name) for name in names) for record in records]
-            return self.spark.createDataFrame(rows, schema)
-
         return {
-            "table": frame([self.table], TABLE_FRAME),
-            "columns": frame(list(self.columns.values()), COLUMNS_FRAME),
-            "links": frame(self.links, LINKS_FRAME),
+            "table": _local_frame(self.spark, [self.table], TABLE_FRAME),
+            "columns": _local_frame(self.spark, list(self.columns.values()), COLUMNS_FRAME),
+            "links": _local_frame(self.spark, self.links, LINKS_FRAME),
         }
 
 
+@cache
+def _schema(definition: str) -> T.StructType:
+    return SparkSession.active().createDataFrame([], definition).schema
+
+
+def _local_frame(spark: SparkSession, records: list[dict], definition: str) -> DataFrame:
+    """A local relation of a few records; what a record lacks is null."""
+    schema = _schema(definition)
+    return spark.createDataFrame(
+        pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema
+    )
+
+
 def _local(found: DataFrame) -> DataFrame:
     """The same few rows as a local relation: one per finding, bounded by the schema."""
     return found.sparkSession.createDataFrame(found.toArrow(), found.schema)

@@ -254,7 +254,7 @@ def preview(df: DataFrame, order_by: Sequence[str], k: int = 100) -> DataFrame:
         elif isinstance(item.dataType, T.DateType):
             value = f"CAST({name} AS STRING)"
         elif isinstance(item.dataType, (T.FloatType, T.DoubleType)):
-            value = f"CASE WHEN NOT isnan({name}) THEN {name} END"
+            value = f"nanvl({name}, CAST(NULL AS {item.dataType.simpleString()}))"
         shown.append(f"{value} AS {name}")
     return df.orderBy(*map(ident, order_by)).limit(k).selectExpr(*shown)
 
