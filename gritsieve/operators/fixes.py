@@ -246,8 +246,6 @@ def _prepare(
     as_of: str | date | datetime | None,
     order_by: Sequence[str],
 ) -> tuple[Target, Fix]:
-    if fix_id not in FIXES:
-        raise ValueError(f"unknown fix: {fix_id!r}")
     params = dict(params or {})
     name = params.get("col")
     if fix_id not in WITHOUT_COLUMN and fix_id != "drop_column" and name not in df.columns:
@@ -296,6 +294,9 @@ def apply_plan(
     order_by: Sequence[str] = (),
 ) -> DataFrame:
     """Apply a list of (fix_id, params) in order. Float NaN counts as missing throughout."""
+    unknown = [fix_id for fix_id, _ in plan if fix_id not in FIXES]
+    if unknown:
+        raise ValueError(f"unknown fix: {', '.join(map(repr, unknown))}")
     if len(set(df.columns)) == len(df.columns):
         df = nan_to_null(df)
     for fix_id, params in plan:
