@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from gritsieve.functions.text import count_where, ident, literal
 
@@ -22,14 +22,14 @@ QUARTILES = (0.25, 0.5, 0.75)
 OUTLIER_SPREADS = 3
 
 # Non-null values of one column that a single task may hold.
-IN_MEMORY_VALUES = 1_000_000
+IN_MEMORY_VALUES = 100_000
 # Values left in all brackets together that may be grouped by value.
 FINISH_VALUES = 1_000_000
 BINS = 1024
 # Bins per doubling of the magnitude in the first pass.
 FIRST_PASS_BINS = 64
 
-_BRACKET = "column string, rank bigint, low double, high double, below bigint, n bigint"
+_TARGETS = "bracket int, column string, rank bigint, below bigint"
 
 
 def exact_quantiles(
@@ -87,62 +87,73 @@ def _values_at(
     df: DataFrame, ranks: Iterable[tuple[str, int]], finish: int
 ) -> dict[tuple[str, int], float]:
     """The value at each (column, zero-based rank) of the sorted non-null values."""
-    spark = df.sparkSession
     ranks = sorted(ranks)
-    cells = (
-        f"struct({literal(name)} AS `column`, CAST({ident(name)} AS DOUBLE) AS value)"
-        for name in sorted({name for name, _ in ranks})
-    )
-    values = df.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
+    names = sorted({name for name, _ in ranks})
 
     # First pass: bins of equal ratio, so far-off outliers do not swallow the rest.
+    cells = ", ".join(
+        f"struct({i} AS bracket, CAST({ident(name)} AS DOUBLE) AS value)"
+        for i, name in enumerate(names)
+    )
     first_bin = (
         "CASE WHEN abs(value) = CAST('Infinity' AS DOUBLE) THEN value "
         f"ELSE signum(value) * floor(log2(abs(value) + 1) * {FIRST_PASS_BINS}) END AS bin"
     )
-    targets = spark.createDataFrame(
-        [(name, rank, None, None, 0, None) for name, rank in ranks], _BRACKET
-    )
-    bins = values.selectExpr("*", first_bin).groupBy("column", "bin").agg(*_bin_measures())
-    brackets = _holding(bins, targets, ["column"])
+    values = df.selectExpr(f"inline(array({cells}))").where("value IS NOT NULL")
+    targets = [(names.index(name), name, rank, 0) for name, rank in ranks]
+    rows = _holding(values.selectExpr("*", first_bin), targets)
 
     found: dict[tuple[str, int], float] = {}
     while True:
-        # One row per (column, rank) at most: bounded by the columns asked for.
-        rows = brackets.collect()
+        # One row per (column, rank): bounded by the columns asked for.
         found.update({(r["column"], r["rank"]): r["low"] for r in rows if r["low"] == r["high"]})
-        open_rows = [r for r in rows if r["low"] != r["high"]]
-        if not open_rows:
+        rows = [r for r in rows if r["low"] != r["high"]]
+        if not rows:
             return found
-        targets = spark.createDataFrame(open_rows, _BRACKET)
-        last_pass = sum(r["n"] for r in open_rows) <= finish
-        scaled = f"CAST(floor((value - low) / (high - low) * {BINS}) AS DOUBLE)"
-        next_bin = "value AS bin" if last_pass else f"{scaled} AS bin"
-        bins = (
-            values.join(F.broadcast(targets.select("column", "rank", "low", "high")), "column")
-            .where("value BETWEEN low AND high")
-            .selectExpr("`column`", "rank", "value", next_bin)
-            .groupBy("column", "rank", "bin")
-            .agg(*_bin_measures())
+        brackets = sorted({(r["column"], r["low"], r["high"], r["n"]) for r in rows})
+        last_pass = sum(bracket[-1] for bracket in brackets) <= finish
+        scaled = f"CAST(floor((value - low) / (high - low) * {BINS}) AS DOUBLE) AS bin"
+        values = _inside(df, brackets).selectExpr("*", "value AS bin" if last_pass else scaled)
+        place = {bracket[:3]: i for i, bracket in enumerate(brackets)}
+        targets = [
+            (place[r["column"], r["low"], r["high"]], r["column"], r["rank"], r["below"])
+            for r in rows
+        ]
+        rows = _holding(values, targets)
+
+
+def _inside(df: DataFrame, brackets: Sequence[tuple[str, float, float, int]]) -> DataFrame:
+    """(bracket, value, low, high) of the cells inside a bracket; the few brackets are literals."""
+    tests, cells = [], []
+    for i, (name, low, high, _) in enumerate(brackets):
+        value = f"CAST({ident(name)} AS DOUBLE)"
+        test = f"{value} BETWEEN {double(low)} AND {double(high)}"
+        tests.append(test)
+        cells.append(
+            f"CASE WHEN {test} THEN struct({i} AS bracket, {value} AS value, "
+            f"{double(low)} AS low, {double(high)} AS high) END"
         )
-        brackets = _holding(bins, targets, ["column", "rank"])
-
-
-def _bin_measures() -> list:
-    return [F.expr("count(1) AS n"), F.expr("min(value) AS low"), F.expr("max(value) AS high")]
+    return df.where(" OR ".join(tests)).selectExpr(
+        f"inline(array_compact(array({', '.join(cells)})))"
+    )
 
 
-def _holding(bins: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
+def _holding(values: DataFrame, targets: Sequence[tuple[int, str, int, int]]) -> list[Row]:
     """For each target rank, the bin that holds it, as the next bracket."""
-    group = ", ".join(map(ident, key))
-    placed = bins.selectExpr(
-        *map(ident, key), "low", "high", "n",
-        f"sum(n) OVER (PARTITION BY {group} ORDER BY bin) - n AS before",
+    wanted = values.sparkSession.createDataFrame(list(targets), _TARGETS)
+    placed = (
+        values.groupBy("bracket", "bin")
+        .agg(F.expr("count(1) AS n"), F.expr("min(value) AS low"), F.expr("max(value) AS high"))
+        .selectExpr(
+            "bracket", "low", "high", "n",
+            "sum(n) OVER (PARTITION BY bracket ORDER BY bin) - n AS before",
+        )
     )
     return (
-        placed.join(F.broadcast(targets.select("column", "rank", "below")), key)
+        placed.join(F.broadcast(wanted), "bracket")
         .where("rank >= below + before AND rank < below + before + n")
         .selectExpr("`column`", "rank", "low", "high", "below + before AS below", "n")
+        .collect()
     )
 
 
