@@ -236,6 +236,9 @@ FIXES: dict[str, Callable[[Target], Fix]] = {
         drop_column, drop_empty_columns, drop_full_duplicate_columns, drop_future_dates,
     )
 }
+# Fixes that shuffle whole rows, and fixes that look at the table before they change it.
+SHUFFLES = ("drop_full_duplicates", "drop_col_duplicates")
+LOOKS_FIRST = ("fill_mean", "fill_median", "fill_mode", "cap_outliers_iqr", "drop_empty_columns")
 WITHOUT_COLUMN = ("drop_full_duplicates", "drop_empty_columns", "drop_full_duplicate_columns")
 
 
@@ -292,14 +295,23 @@ def apply_plan(
     *,
     as_of: str | date | datetime | None = None,
     order_by: Sequence[str] = (),
+    stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Apply a list of (fix_id, params) in order. Float NaN counts as missing throughout."""
+    """Apply a list of (fix_id, params) in order. Float NaN counts as missing throughout.
+
+    With ``stage`` the table is written after a shuffle of whole rows when the next
+    fixes need a statistic of it, so that the shuffle is not repeated for each one.
+    """
     unknown = [fix_id for fix_id, _ in plan if fix_id not in FIXES]
     if unknown:
         raise ValueError(f"unknown fix: {', '.join(map(repr, unknown))}")
     if len(set(df.columns)) == len(df.columns):
         df = nan_to_null(df)
+    shuffled = False
     for fix_id, params in plan:
+        if stage is not None and shuffled and fix_id in LOOKS_FIRST:
+            df, shuffled = stage(df), False
+        shuffled = shuffled or fix_id in SHUFFLES
         df = _apply(*_prepare(df, fix_id, params, as_of, order_by))
     return df
 

@@ -24,5 +24,5 @@ def clean_then_validate(
     The cleaned table is written once, so that the passes of the validation read
     columns of a file instead of repeating the fixes.
     """
-    cleaned = stage(apply_plan(df, plan, as_of=as_of, order_by=order_by))
+    cleaned = stage(apply_plan(df, plan, as_of=as_of, order_by=order_by, stage=stage))
     return cleaned, validate(cleaned, as_of=as_of, order_by=order_by)

@@ -189,6 +189,20 @@ def test_plan_folds_fixes(words):
     assert sorted(r["x"] for r in out.collect()) == ["it's", "toys", "toys", "toys"]
 
 
+def test_plan_stages_once_between_a_shuffle_and_the_statistics(words):
+    staged = []
+
+    def stage(df):
+        staged.append(df.columns)
+        return df
+
+    plan = [("fill_mode", {"col": "x"}), ("drop_full_duplicates", {}),
+            ("strip_lowercase", {"col": "x"}), ("fill_mode", {"col": "x"}),
+            ("drop_empty_columns", {})]
+    assert gritsieve.apply_plan(words, plan, stage=stage).count() == 6
+    assert len(staged) == 1
+
+
 def test_large_quantiles_are_narrowed(frame, monkeypatch):
     monkeypatch.setattr(fixes.quantiles.exact_quantiles, "__defaults__",
                         (fixes.quantiles.QUARTILES, 0, 3))
