@@ -75,9 +75,9 @@ ORACLES = {
         links AS (
           SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
           WHERE 100 * common.n >= 90 * (x.n + y.n - common.n)),
-        both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reach AS (
-          SELECT a AS node, a AS seen FROM both UNION SELECT r.node, e.b FROM reach r JOIN both e ON e.a = r.seen)
+          SELECT a AS node, a AS seen FROM pairs UNION SELECT r.node, e.b FROM reach r JOIN pairs e ON e.a = r.seen)
         SELECT s.doc_id, s.n AS n_shingles, coalesce(min(r.seen), s.doc_id) AS component_id
         FROM sizes s LEFT JOIN reach r ON r.node = s.doc_id GROUP BY ALL
     """,
