@@ -29,7 +29,7 @@ from gritsieve.llm.common import (
     components, local_hubs, mix, shingle_sets, signed, slices, stage, table, texts_of,
 )
 
-TILE_SHINGLES = 300_000  # shingles of a block: 2.4 MB
+TILE_SHINGLES = 64_000  # shingles of a block: 0.5 MB
 BROADCAST_IDS = 2_000_000  # ids of candidates that may be broadcast: 16 MB
 
 
