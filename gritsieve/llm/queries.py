@@ -5,10 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gritsieve.llm import exact_dedup, ngram_join, packing, quality, records, substring, toxicity
+from gritsieve.llm import (
+    exact_dedup, language_model, licences, ngram_join, packing, quality, records, sentence_pieces,
+    substring, toxicity,
+)
 from gritsieve.llm.common import read
 
 
+#: The documents as a tree of files: a directory for a thousand and for a hundred ids of a
+#: source, with some of the documents as its licence files.
+PATH = """concat(source, '/', doc_id div 1000, '/', CASE WHEN doc_id % 500 = 0 THEN 'LICENSE'
+  WHEN doc_id % 25 = 0 THEN concat(doc_id div 100, '/LICENSE') ELSE concat(doc_id div 100, '/', doc_id, '.txt') END)"""
+
+
+def op1_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.language_model(read(spark, folder, "documents"))
+
+
 def op2_records(spark: SparkSession, folder: str) -> DataFrame:
     manifest = records.write_records(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
     return records.read_digests(manifest)
@@ -41,10 +54,20 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_groups(read(spark, folder, "documents"), width=3, percent=90)
 
 
+def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
+    files = read(spark, folder, "documents").selectExpr("doc_id", "text", f"{PATH} AS path")
+    return licences.licences(files)
+
+
+def op10_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return sentence_pieces.digests(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_records, op3_packing, op4_quality, op5_exact_dedup, op6_toxicity, op7_substring, op8_ngram_join,
+        op1_language_model, op2_records, op3_packing, op4_quality, op5_exact_dedup, op6_toxicity,
+        op7_substring, op8_ngram_join, op9_licences, op10_sentence_pieces,
     )
 }
 
@@ -79,6 +102,6 @@ ORACLES = {
         reach AS (
           SELECT a AS node, a AS seen FROM pairs UNION SELECT r.node, e.b FROM reach r JOIN pairs e ON e.a = r.seen)
         SELECT s.doc_id, s.n AS n_shingles, coalesce(min(r.seen), s.doc_id) AS component_id
-        FROM sizes s LEFT JOIN reach r ON r.node = s.doc_id GROUP BY ALL
+        FROM sizes s LEFT JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.n
     """,
 }
