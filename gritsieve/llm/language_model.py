@@ -90,9 +90,15 @@ class Counts:
 def count_words(training: DataFrame) -> Counts:
     """Counts over all texts of training (column text)."""
     every = stage(training.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = every.orderBy(F.desc("n"), "word").limit(TABLE_WORDS).toPandas()
-    words = [bytes(x) for x in top["word"]]
-    counts = top["n"].to_numpy(np.int64)
+    # the least level of counts from which on there are TABLE_WORDS words at most
+    leveled = every.withColumn("level", F.expr("int(64 * ln(n))"))
+    levels = leveled.groupBy("level").count().orderBy(F.desc("level")).collect()  # 3000 at most
+    reached = np.cumsum([x["count"] for x in levels])
+    taken = [x["level"] for x, total in zip(levels, reached) if total <= TABLE_WORDS]
+    top = leveled.where(F.col("level") >= (taken[-1] if taken else 1 << 30)).select("word", "n").collect()
+    top.sort(key=lambda x: (-x["n"], bytes(x["word"])))
+    words = [bytes(x["word"]) for x in top]
+    counts = np.array([x["n"] for x in top], np.int64)
     class_counts, class_words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for row in every.groupBy(F.expr(SUFFIX_CLASS).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         class_counts[row["c"]], class_words[row["c"]] = row["n"], row["v"]
