@@ -30,6 +30,7 @@ from gritsieve.llm.common import (
 )
 
 TILE_SHINGLES = 64_000  # shingles of a block: 0.5 MB
+LARGE_CLUSTER = 500
 BROADCAST_IDS = 2_000_000  # ids of candidates that may be broadcast: 16 MB
 
 
@@ -62,7 +63,9 @@ def _segment_keys(members: np.ndarray, band: int, starts: np.ndarray, percent: i
     return keys
 
 
-def _set_rows(width: int, percent: int, schema: pa.Schema) -> Callable:
+def _set_rows(width: int, percent: int, kind: str | None, schema: pa.Schema) -> Callable:
+    """Sizes and digests of sets with their keys: of segments, of the prefix, or none."""
+
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = bands(percent, 1 << 12)
         for batch in slices(batches, "text"):
@@ -73,9 +76,13 @@ def _set_rows(width: int, percent: int, schema: pa.Schema) -> Callable:
                     starts = bands(percent, 2 * size)
                 sizes.append(size)
                 digests.append(xxhash.xxh3_128_digest(members.tobytes()) if size else None)
-                if not size:
+                if not size or not kind:
                     keys.append(None)
                     continue
+                if kind == "prefix":
+                    # of all orders the hashes' own: linked sets share one of these at least
+                    keys.append(signed(members[: size - -(-percent * size // 100) + 1]))
+                    continue
                 band = int(np.searchsorted(starts, size, "right")) - 1
                 own = [_segment_keys(members, band, starts, percent)]
                 if band and percent * size <= 100 * (int(starts[band]) - 1):
@@ -220,8 +227,29 @@ def _tiles(members: DataFrame) -> DataFrame:
     )
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with these ids, which are broadcast if they are few."""
+    wanted = stage(ids.distinct())
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
+
+
+def _shared_keys(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) from each set to the smallest id that has one of its keys.
+
+    A key has one row for each batch at most.
+    """
+    fields = [("key", pa.int64()), ("id", pa.int64()), ("hub", pa.int64())]
+    shared = sets.where("size(keys) > 0").select("id", "digest", "keys").mapInArrow(
+        _first_of_each(pa.schema(fields)), "key long, id long, hub long"
+    )
+    return shared.selectExpr(
+        "id AS a", "coalesce(hub, min(id) OVER (PARTITION BY key)) AS b"
+    ).where("a <> b").distinct()
+
+
 def ngram_groups(
-    df: DataFrame, text: str = "text", id: str = "doc_id", width: int = 5, percent: int = 80
+    df: DataFrame, text: str = "text", id: str = "doc_id", width: int = 5, percent: int = 80,
+    by_prefix: bool = False,
 ) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id.
 
@@ -231,36 +259,42 @@ def ngram_groups(
     runs and are linked with nothing; rows with a null id have a null component_id.
     Repeated rows with one id get the same result, each from its own text. Other columns
     are ignored; an empty table gives no rows.
+
+    by_prefix: look for candidates by the smallest hashes of each set first, of which
+    linked sets share one, and by segments only in clusters of more than LARGE_CLUSTER
+    documents. The result is the same; at low thresholds half the rows are shuffled.
     """
-    spark = df.sparkSession
     base = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     fields = [("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))]
-    sets = stage(base.mapInArrow(
-        _set_rows(width, percent, pa.schema(fields)),
-        "id long, n_shingles long, digest binary, keys array<long>",
-    ))
+    fields = [("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))]
+
+    def keyed(rows: DataFrame, kind: str | None) -> DataFrame:
+        return rows.select("id", "text").mapInArrow(
+            _set_rows(width, percent, kind, pa.schema(fields)),
+            "id long, n_shingles long, digest binary, keys array<long>",
+        )
+
+    sets = stage(keyed(base, None if by_prefix else "segments"))
     named = sets.where("id IS NOT NULL AND n_shingles > 0")
-    # segments: one row per batch and key, so a key's rows are as many as batches at most
-    fields = [("key", pa.int64()), ("id", pa.int64()), ("hub", pa.int64())]
-    shared = named.where("size(keys) > 0").select("id", "digest", "keys").mapInArrow(
-        _first_of_each(pa.schema(fields)), "key long, id long, hub long"
-    )
-    edges = shared.selectExpr(
-        "id AS a", "coalesce(hub, min(id) OVER (PARTITION BY key)) AS b"
-    ).where("a <> b").distinct()
-    clusters = components(edges)
+    if by_prefix:
+        ided = base.where("id IS NOT NULL")
+        coarse = components(_shared_keys(keyed(ided, "prefix")))
+        counts = coarse.groupBy("component").agg((F.count("*") > LARGE_CLUSTER).alias("large"))
+        sized = stage(coarse.join(counts, "component"))
+        again = sized.where("large").select(F.col("node").alias("id"))
+        finer = components(_shared_keys(keyed(_only(ided, again), "segments")))
+        clusters = sized.where("NOT large").select("node", "component").unionByName(finer)
+    else:
+        clusters = components(_shared_keys(named))
     # one row for each different set of a cluster
     candidates = clusters.join(named.select("id", "digest", "n_shingles"), F.col("id") == F.col("node"))
     members = stage(
         candidates.groupBy(F.col("component").alias("cluster"), "digest", "n_shingles")
         .agg(F.min("id").alias("id"))
     )
-    wanted = members.select("id").distinct()
-    if members.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    fields = [("id", pa.int64()), ("digest", pa.binary()), ("members", pa.binary())]
-    arrays = base.where("id IS NOT NULL").join(wanted, "id", "left_semi").select("id", "text").mapInArrow(
-        _arrays(width, pa.schema(fields)), "id long, digest binary, members binary"
+    fields_of_arrays = [("id", pa.int64()), ("digest", pa.binary()), ("members", pa.binary())]
+    arrays = _only(base.where("id IS NOT NULL"), members.select("id")).select("id", "text").mapInArrow(
+        _arrays(width, pa.schema(fields_of_arrays)), "id long, digest binary, members binary"
     )
     tiles = _tiles(members).join(arrays.dropDuplicates(["id", "digest"]), ["id", "digest"])
     links = tiles.groupBy("cluster", "lower", "upper", "x", "y").applyInArrow(
@@ -282,6 +316,6 @@ def drop_near_copies(
 ) -> DataFrame:
     """The rows of df without those that are linked, through others or directly, to a
     smaller id. Rows with a null id stay."""
-    groups = ngram_groups(df, text, id, width, percent)
+    groups = ngram_groups(df, text, id, width, percent, by_prefix=True)
     gone = groups.where(f"component_id <> `{id}`").select(F.col(id).alias("__gone")).distinct()
     return df.join(gone, F.col(id).cast("long") == F.col("__gone"), "left_anti")
