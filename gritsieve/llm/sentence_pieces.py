@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ UNIGRAM, BPE = 1, 2
 TRAINER, NORMALIZER = 2, 3
 MODEL_TYPE, CHARSMAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE = 3, 2, 3, 4, 5
 INNER = -1
-CACHED_PARTS, CACHED_PAIRS = 250_000, 400_000
+CACHED_PARTS, CACHED_PAIRS = 400_000, 600_000  # the memo of parts has two halves
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -96,6 +97,7 @@ class Transducer:
         self.arcs = {x[:k]: INNER for x in self.pieces for k in range(1, len(x))} | self.pieces
         self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before known became full
         self.pairs: dict[str, bool] = {}
         if any(re.search(f"[^{MARK}]{MARK}", x) for x in self.pieces):
             raise ValueError("a piece has a mark after another character")
@@ -184,12 +186,15 @@ class Transducer:
 
     def encode(self, text: str) -> np.ndarray:
         if len(self.known) > CACHED_PARTS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         out = []
         for part in self.parts.findall(self.normalised(text)):
             found = self.known.get(part)
             if found is None:
-                found = self.known[part] = np.array(self.shortest(part), "<u4").tobytes()
+                found = self.older.get(part)
+                if found is None:
+                    found = array("I", self.shortest(part)).tobytes()
+                self.known[part] = found
             out.append(found)
         return np.frombuffer(b"".join(out), "<u4")
 
