@@ -1,10 +1,10 @@
 """Exact Jaccard join of word n-gram sets, as groups of linked documents.
 
 1. Every document's set is cut into segments by hash. The number of segments belongs to
-   a band of set sizes and exceeds, by two, the largest difference that two linked sets
-   of the band can have, so linked sets share two whole segments at least. Identical
-   sets of one batch are one row, and a segment that several rows of a batch share goes
-   through the shuffle once.
+   a band of set sizes and exceeds the largest difference that two linked sets of the
+   band can have by more than the segments that may be empty, so linked sets share a
+   whole segment that is not. Identical sets of one batch are one row, and a segment that
+   several rows of a batch share goes through the shuffle once.
 2. Documents that share a segment form clusters of candidates.
 3. Clusters are dealt out as tiles: the whole cluster, or for a large one pairs of
    blocks of neighbouring size bands. In a tile, hashed parity bitmaps bound the overlap
@@ -16,6 +16,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,41 +32,66 @@ from gritsieve.llm.common import (
 )
 
 TILE_SHINGLES = 64_000  # shingles of a block: 0.5 MB
-LARGE_CLUSTER = 500
 BROADCAST_IDS = 2_000_000  # ids of candidates that may be broadcast: 16 MB
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
-    """First sizes of the bands; each band spans about three links of the threshold."""
+    """First sizes of the bands; each band spans about two links of the threshold."""
     starts = [1]
     while starts[-1] <= largest:
-        starts.append(max(starts[-1] + 1, int(starts[-1] * (100 / percent) ** 3)))
+        starts.append(max(starts[-1] + 1, int(starts[-1] * (100 / percent) ** 2)))
     return np.array(starts, np.int64)
 
 
-def _segment_keys(members: np.ndarray, band: int, starts: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of one set in one band: of its segments, and of pairs of empty ones."""
-    low = int(starts[band + 1]) - 1  # the smaller set of a pair has this size at most
-    total = low + low * 100 // percent
+@functools.lru_cache(maxsize=None)  # an entry for each band
+def _segments(start: int, end: int, percent: int) -> tuple[int, int]:
+    """Number of segments of a band of sizes, and how many at least linked sets share.
+
+    They share two, of which both may be empty, or more than the smallest sets have
+    empty ones, as far as chance goes: what gives fewer keys. (0, 0): linked sets of the
+    band are identical.
+    """
+    total = end - 1 + (end - 1) * 100 // percent  # the smaller of a pair is in the band
     difference = (100 - percent) * total // (100 + percent)
-    if not difference:  # linked sets are identical
+    if not difference:
+        return 0, 0
+
+    def empty(count: int) -> float:
+        return count * math.exp(-start / count)
+
+    plain = difference + 2
+    spare = 2
+    while (wanted := int(empty(difference + spare) + 4 * math.sqrt(empty(difference + spare))) + 2) > spare:
+        if difference + wanted > end:
+            return plain, 2
+        spare = wanted
+    keys = difference + spare - empty(difference + spare)
+    pairs = plain - empty(plain) + empty(plain) ** 2 / 2
+    return (difference + spare, spare) if keys < pairs else (plain, 2)
+
+
+def _segment_keys(members: np.ndarray, band: int, starts: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of one set in one band: of its filled segments, and for what empty ones share."""
+    count, shared = _segments(int(starts[band]), int(starts[band + 1]), percent)
+    if not count:
         return np.empty(0, np.uint64)
-    count = difference + 2
     segment = (members % np.uint64(count)).astype(np.int64)
     order = np.argsort(segment, kind="stable")
     filled, first = np.unique(segment[order], return_index=True)
     sums = np.add.reduceat(mix(members[order], 7), first)
     keys = mix(sums + mix(filled.astype(np.uint64) + np.uint64(band << 32), 11), 13)
+    if count - len(filled) < shared:  # one of those shared is filled
+        return keys
+    if shared > 2:  # a rare set, which has a key with all others of its band that are
+        return np.r_[keys, mix(np.array([band], np.uint64), 19)]
+    a, b = np.triu_indices(count - len(filled), 1)
     empty = np.setdiff1d(np.arange(count), filled)
-    if len(empty) > 1:  # two shared segments may both be empty
-        a, b = np.triu_indices(len(empty), 1)
-        pair = (empty[a] * count + empty[b]).astype(np.uint64) + np.uint64(band << 40)
-        keys = np.r_[keys, mix(pair, 17)]
-    return keys
+    pair = (empty[a] * count + empty[b]).astype(np.uint64) + np.uint64(band << 40)
+    return np.r_[keys, mix(pair, 17)]
 
 
-def _set_rows(width: int, percent: int, kind: str | None, schema: pa.Schema) -> Callable:
-    """Sizes and digests of sets with their keys: of segments, of the prefix, or none."""
+def _set_rows(width: int, percent: int, with_keys: bool, schema: pa.Schema) -> Callable:
+    """Sizes and digests of sets, with the keys of their segments or without."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = bands(percent, 1 << 12)
@@ -76,13 +103,9 @@ def _set_rows(width: int, percent: int, kind: str | None, schema: pa.Schema) ->
                     starts = bands(percent, 2 * size)
                 sizes.append(size)
                 digests.append(xxhash.xxh3_128_digest(members.tobytes()) if size else None)
-                if not size or not kind:
+                if not size or not with_keys:
                     keys.append(None)
                     continue
-                if kind == "prefix":
-                    # of all orders the hashes' own: linked sets share one of these at least
-                    keys.append(signed(members[: size - -(-percent * size // 100) + 1]))
-                    continue
                 band = int(np.searchsorted(starts, size, "right")) - 1
                 own = [_segment_keys(members, band, starts, percent)]
                 if band and percent * size <= 100 * (int(starts[band]) - 1):
@@ -248,8 +271,7 @@ def _shared_keys(sets: DataFrame) -> DataFrame:
 
 
 def ngram_groups(
-    df: DataFrame, text: str = "text", id: str = "doc_id", width: int = 5, percent: int = 80,
-    by_prefix: bool = False,
+    df: DataFrame, text: str = "text", id: str = "doc_id", width: int = 5, percent: int = 80
 ) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id.
 
@@ -260,32 +282,21 @@ def ngram_groups(
     Repeated rows with one id get the same result, each from its own text. Other columns
     are ignored; an empty table gives no rows.
 
-    by_prefix: look for candidates by the smallest hashes of each set first, of which
-    linked sets share one, and by segments only in clusters of more than LARGE_CLUSTER
-    documents. The result is the same; at low thresholds half the rows are shuffled.
+    Sets are made anew for their keys, for their sizes and for the tiles: reading a text
+    again takes less than keeping its set on disk.
     """
     base = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     fields = [("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))]
-    fields = [("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))]
 
-    def keyed(rows: DataFrame, kind: str | None) -> DataFrame:
-        return rows.select("id", "text").mapInArrow(
-            _set_rows(width, percent, kind, pa.schema(fields)),
+    def sets_of(rows: DataFrame, with_keys: bool) -> DataFrame:
+        return rows.mapInArrow(
+            _set_rows(width, percent, with_keys, pa.schema(fields)),
             "id long, n_shingles long, digest binary, keys array<long>",
         )
 
-    sets = stage(keyed(base, None if by_prefix else "segments"))
+    sets = stage(sets_of(base, with_keys=False).drop("keys"))
     named = sets.where("id IS NOT NULL AND n_shingles > 0")
-    if by_prefix:
-        ided = base.where("id IS NOT NULL")
-        coarse = components(_shared_keys(keyed(ided, "prefix")))
-        counts = coarse.groupBy("component").agg((F.count("*") > LARGE_CLUSTER).alias("large"))
-        sized = stage(coarse.join(counts, "component"))
-        again = sized.where("large").select(F.col("node").alias("id"))
-        finer = components(_shared_keys(keyed(_only(ided, again), "segments")))
-        clusters = sized.where("NOT large").select("node", "component").unionByName(finer)
-    else:
-        clusters = components(_shared_keys(named))
+    clusters = components(_shared_keys(sets_of(base.where("id IS NOT NULL"), with_keys=True)))
     # one row for each different set of a cluster
     candidates = clusters.join(named.select("id", "digest", "n_shingles"), F.col("id") == F.col("node"))
     members = stage(
@@ -316,6 +327,6 @@ def drop_near_copies(
 ) -> DataFrame:
     """The rows of df without those that are linked, through others or directly, to a
     smaller id. Rows with a null id stay."""
-    groups = ngram_groups(df, text, id, width, percent, by_prefix=True)
+    groups = ngram_groups(df, text, id, width, percent)
     gone = groups.where(f"component_id <> `{id}`").select(F.col(id).alias("__gone")).distinct()
     return df.join(gone, F.col(id).cast("long") == F.col("__gone"), "left_anti")

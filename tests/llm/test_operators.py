@@ -132,15 +132,37 @@ def groups_by_brute_force(rows, width, percent):
     return sorted([(i, len(x), label[i]) for i, x in sets], key=str)
 
 
-@pytest.mark.parametrize("by_prefix", [False, True])
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
-def test_ngram_groups(odd, monkeypatch, by_prefix, width, percent):
-    monkeypatch.setattr(ngram_join, "LARGE_CLUSTER", 2)
+def test_ngram_groups(odd, monkeypatch, width, percent):
     monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 200)  # clusters of several blocks
-    found = ngram_join.ngram_groups(odd, width=width, percent=percent, by_prefix=by_prefix)
+    found = ngram_join.ngram_groups(odd, width=width, percent=percent)
     assert sorted_rows(found) == groups_by_brute_force(ROWS, width, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sets_at_the_threshold_share_a_key(percent):
+    rng, starts = np.random.default_rng(1), ngram_join.bands(percent, 40_000)
+
+    def keys(members):
+        band = int(np.searchsorted(starts, len(members), "right")) - 1
+        own = [ngram_join._segment_keys(members, band, starts, percent)]
+        if band and percent * len(members) <= 100 * (int(starts[band]) - 1):
+            own.append(ngram_join._segment_keys(members, band - 1, starts, percent))
+        return np.concatenate(own)
+
+    kept = 0
+    for size in [*range(5, 90, 3), *rng.integers(90, 8000, 150).tolist()]:
+        shared = -(-percent * size // 100)  # a subset that is just similar enough
+        big = rng.integers(0, 2**64, size, dtype=np.uint64)
+        both = 2 * percent * size // (100 + percent) + 1  # and one of equal size
+        other = np.r_[big[:both], rng.integers(0, 2**64, size - both, dtype=np.uint64)]
+        for near in (big[:shared], other):
+            if len(near) < size or both < size:
+                assert np.intersect1d(keys(big), keys(near)).size
+        kept += len(keys(big)) / size
+    assert kept < 180 * 0.6
+
+
 def test_bitmaps_never_miss_a_link():
     rng = np.random.default_rng(0)
     base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
