@@ -7,11 +7,14 @@
    several rows of a batch share goes through the shuffle once.
 2. Documents that share a segment form clusters of candidates.
 3. Clusters are dealt out as tiles: the whole cluster, or for a large one pairs of
-   blocks of neighbouring size bands. In a tile, hashed parity bitmaps bound the overlap
-   of two sets from above (each element in one set alone flips one bit), and pairs that
-   pass are intersected exactly. Pairs that the tile already connects are skipped, so a
-   tile gives fewer edges than it has sets.
-4. Components of the edges are the groups.
+   blocks of neighbouring size bands. Hashed parity bitmaps bound the overlap of two sets
+   from above (each element in one set alone flips one bit). Tiles of large clusters first
+   get the bitmaps alone, about a thirtieth of the sets, and cut the clusters into those
+   that pairs within the bound connect.
+4. Tiles of these and of small clusters get the sets, and pairs that pass their bitmaps
+   are intersected exactly. Pairs that the tile already connects are skipped, so a tile
+   gives fewer edges than it has sets.
+5. Components of the edges are the groups.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from gritsieve.llm.common import (
 )
 
 TILE_SHINGLES = 64_000  # shingles of a block: 0.5 MB
+BITMAP_SHINGLES = 256_000  # shingles of a block of bitmaps: 64 to 128 kB
 BROADCAST_IDS = 2_000_000  # ids of candidates that may be broadcast: 16 MB
 
 
@@ -165,9 +169,8 @@ def _arrays(width: int, schema: pa.Schema) -> Callable:
     return make
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+def _bitmaps(sets: list[np.ndarray], words: int) -> np.ndarray:
     """Parity bitmaps: a bit is the number of elements hashed to it, modulo two."""
-    words = max(1, -(-max(map(len, sets)) // 64))
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     spot = mix(np.concatenate(sets), 23) % np.uint64(64 * words)
     maps = np.zeros((len(sets), words), np.uint64)
@@ -175,6 +178,59 @@ def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return maps
 
 
+def _bitmap_rows(width: int, schema: pa.Schema) -> Callable:
+    """A bitmap for each set, of two to four bits an element and a power of two."""
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(texts_of(batch, "text"), width)
+            yield table({
+                "id": batch.column("id"),
+                "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets],
+                "bitmap": [_bitmaps([x], 1 << (len(x) // 32).bit_length()).tobytes() for x in sets],
+            }, schema)
+
+    return make
+
+
+def _passes(apart: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets whose bitmaps have so many bits apart may be linked: the overlap is
+    (both - apart) / 2 at most, and a link needs (100 + percent) overlap >= percent both."""
+    return (100 + percent) * ((both - apart) // 2) >= percent * both
+
+
+def near_in_tile(
+    ids: np.ndarray, sizes: np.ndarray, bitmaps: list[bytes], blocks: np.ndarray, percent: int
+) -> list[tuple[int, int]]:
+    """Edges that connect, within the tile, what pairs within the bitmaps' bound connect.
+
+    Bitmaps are folded to the length of the smaller set's. blocks: as in links_of_tile.
+    """
+    order = np.lexsort((ids, sizes))
+    ids, sizes, blocks = ids[order], sizes[order], blocks[order]
+    maps = [np.frombuffer(bitmaps[i], np.uint64) for i in order]
+    words = np.array([len(x) for x in maps])  # grow with the sizes
+    group, one_block = np.arange(len(ids)), len(np.unique(blocks)) < 2
+    found = []
+    for length in np.unique(words):
+        first, last = np.searchsorted(words, length), np.searchsorted(words, length, "right")
+        end = np.searchsorted(sizes, 100 * sizes[last - 1] // percent, "right")
+        folded = np.array([np.bitwise_xor.reduce(x.reshape(-1, length), axis=0) for x in maps[first:end]])
+        for i in range(first, last):
+            near = np.arange(i + 1, np.searchsorted(sizes, 100 * sizes[i] // percent, "right"))
+            near = near[group[near] != group[i]]
+            if not one_block:
+                near = near[blocks[near] != blocks[i]]
+            if not len(near):
+                continue
+            apart = np.bitwise_count(folded[near - first] ^ folded[i - first]).sum(axis=1, dtype=np.int64)
+            for j in near[_passes(apart, sizes[near] + sizes[i], percent)]:
+                if group[i] != group[j]:
+                    found.append((int(ids[i]), int(ids[j])))
+                    group[group == group[j]] = group[i]
+    return found
+
+
 def links_of_tile(
     ids: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, percent: int
 ) -> list[tuple[int, int]]:
@@ -186,7 +242,7 @@ def links_of_tile(
     sizes = np.array([len(x) for x in sets])
     order = np.lexsort((ids, sizes))
     ids, sizes, blocks, sets = ids[order], sizes[order], blocks[order], [sets[i] for i in order]
-    maps, group = _bitmaps(sets), np.arange(len(sets))
+    maps, group = _bitmaps(sets, max(1, -(-int(sizes[-1]) // 64))), np.arange(len(sets))
     one_block = len(np.unique(blocks)) < 2
     found = []
     for i in range(len(sets) - 1):
@@ -198,10 +254,7 @@ def links_of_tile(
         if not len(near):
             continue
         apart = np.bitwise_count(maps[near] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        both = sizes[near] + sizes[i]
-        # overlap <= (both - apart) / 2, and a link needs (100 + percent) overlap >= percent both
-        near = near[(100 + percent) * ((both - apart) // 2) >= percent * both]
-        for j in near:
+        for j in near[_passes(apart, sizes[near] + sizes[i], percent)]:
             if group[i] == group[j]:
                 continue
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -224,17 +277,28 @@ def _tile_links(percent: int, schema: pa.Schema) -> Callable:
     return make
 
 
-def _tiles(members: DataFrame) -> DataFrame:
+def _near(percent: int, schema: pa.Schema) -> Callable:
+    def make(tile: pa.Table) -> pa.Table:
+        edges = near_in_tile(
+            *(tile.column(x).to_numpy() for x in ("id", "n_shingles")), tile.column("bitmap").to_pylist(),
+            tile.column("block").to_numpy(), percent,
+        )
+        return pa.table({"a": [a for a, _ in edges], "b": [b for _, b in edges]}, schema=schema)
+
+    return make
+
+
+def _tiles(members: DataFrame, shingles: int) -> DataFrame:
     """A row for each tile a set is in: the whole cluster, or pairs of its blocks."""
     members = members.withColumn("size_band", F.expr("int(ln(n_shingles) / ln(1.25D))"))
     weights = members.groupBy("cluster", "size_band").agg(F.sum("n_shingles").alias("weight"))
     # bands of a cluster are few: log(largest set) / log(1.25)
     lists = weights.groupBy("cluster").agg(
         F.sum("weight").alias("weight"),
-        F.map_from_entries(F.collect_list(F.struct("size_band", F.expr(f"int(weight / {TILE_SHINGLES}) + 1")))).alias("blocks"),
+        F.map_from_entries(F.collect_list(F.struct("size_band", F.expr(f"int(weight / {shingles}) + 1")))).alias("blocks"),
     )
     placed = members.join(lists, "cluster").selectExpr(
-        "*", f"weight <= {TILE_SHINGLES} AS small", "pmod(xxhash64(id), blocks[size_band]) AS own"
+        "*", f"weight <= {shingles} AS small", "pmod(xxhash64(id), blocks[size_band]) AS own"
     )
     spots = """
         IF(small, array(struct(-1 AS lower, 0 AS upper, 0L AS x, 0L AS y, 0 AS block)), concat(
@@ -246,7 +310,7 @@ def _tiles(members: DataFrame) -> DataFrame:
             k -> struct(size_band - 1 AS lower, size_band AS upper, bigint(k) AS x, own AS y, 1 AS block)))))
     """
     return placed.withColumn("spot", F.explode(F.expr(spots))).select(
-        "id", "digest", "cluster", "spot.lower", "spot.upper", "spot.x", "spot.y", "spot.block"
+        "id", "digest", "n_shingles", "cluster", "spot.lower", "spot.upper", "spot.x", "spot.y", "spot.block"
     )
 
 
@@ -299,18 +363,25 @@ def ngram_groups(
     clusters = components(_shared_keys(sets_of(base.where("id IS NOT NULL"), with_keys=True)))
     # one row for each different set of a cluster
     candidates = clusters.join(named.select("id", "digest", "n_shingles"), F.col("id") == F.col("node"))
-    members = stage(
-        candidates.groupBy(F.col("component").alias("cluster"), "digest", "n_shingles")
-        .agg(F.min("id").alias("id"))
-    )
-    fields_of_arrays = [("id", pa.int64()), ("digest", pa.binary()), ("members", pa.binary())]
-    arrays = _only(base.where("id IS NOT NULL"), members.select("id")).select("id", "text").mapInArrow(
-        _arrays(width, pa.schema(fields_of_arrays)), "id long, digest binary, members binary"
-    )
-    tiles = _tiles(members).join(arrays.dropDuplicates(["id", "digest"]), ["id", "digest"])
-    links = tiles.groupBy("cluster", "lower", "upper", "x", "y").applyInArrow(
-        _tile_links(percent, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long"
-    )
+    members = candidates.groupBy(F.col("component").alias("cluster"), "digest", "n_shingles").agg(F.min("id").alias("id"))
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    named_texts = base.where("id IS NOT NULL")
+
+    def tiled(rows: DataFrame, shingles: int, make: Callable, column: str, find: Callable) -> DataFrame:
+        schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), (column, pa.binary())])
+        made = _only(named_texts, rows.select("id")).mapInArrow(
+            make(width, schema), f"id long, digest binary, {column} binary"
+        )
+        tiles = _tiles(rows, shingles).join(made.dropDuplicates(["id", "digest"]), ["id", "digest"])
+        return tiles.groupBy("cluster", "lower", "upper", "x", "y").applyInArrow(find(percent, edge), "a long, b long")
+
+    weights = members.groupBy("cluster").agg((F.sum("n_shingles") > TILE_SHINGLES).alias("large"))
+    weighed = stage(members.join(weights, "cluster"))
+    large = weighed.where("large").drop("large")
+    near = components(tiled(large, BITMAP_SHINGLES, _bitmap_rows, "bitmap", _near))
+    finer = large.drop("cluster").join(near, F.col("id") == F.col("node")).withColumnRenamed("component", "cluster")
+    closer = stage(weighed.where("NOT large").drop("large").unionByName(finer.drop("node")))
+    links = tiled(closer, TILE_SHINGLES, _arrays, "members", _tile_links)
     groups = components(links)
     classes = named.groupBy("digest").agg(F.min("id").alias("first"))
     classes = classes.join(groups, F.col("first") == F.col("node"), "left").select(

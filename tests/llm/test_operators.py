@@ -135,6 +135,7 @@ def groups_by_brute_force(rows, width, percent):
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
 def test_ngram_groups(odd, monkeypatch, width, percent):
     monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 200)  # clusters of several blocks
+    monkeypatch.setattr(ngram_join, "BITMAP_SHINGLES", 400)
     found = ngram_join.ngram_groups(odd, width=width, percent=percent)
     assert sorted_rows(found) == groups_by_brute_force(ROWS, width, percent)
 
@@ -167,15 +168,32 @@ def test_bitmaps_never_miss_a_link():
     rng = np.random.default_rng(0)
     base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
     sets = [np.unique(np.r_[rng.choice(base, 290, replace=False), rng.integers(0, 2**63, k, dtype=np.uint64)]) for k in range(40)]
-    linked = ngram_join.links_of_tile(np.arange(40), sets, np.zeros(40, int), 90)
-    reach = list(range(40))
-    for a, b in linked:
-        reach = [min(reach[a], reach[b]) if r in (reach[a], reach[b]) else r for r in reach]
-    for i in range(40):
-        for j in range(i):
-            shared = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * shared >= 90 * (len(sets[i]) + len(sets[j]) - shared):
-                assert reach[i] == reach[j]
+    sizes = np.array([len(x) for x in sets])
+    bitmaps = [ngram_join._bitmaps([x], 1 << (len(x) // 32).bit_length()).tobytes() for x in sets]
+    for linked in (
+        ngram_join.links_of_tile(np.arange(40), sets, np.zeros(40, int), 90),
+        ngram_join.near_in_tile(np.arange(40), sizes, bitmaps, np.zeros(40, int), 90),
+    ):
+        reach = list(range(40))
+        for a, b in linked:
+            reach = [min(reach[a], reach[b]) if r in (reach[a], reach[b]) else r for r in reach]
+        for i in range(40):
+            for j in range(i):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * shared >= 90 * (len(sets[i]) + len(sets[j]) - shared):
+                    assert reach[i] == reach[j]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_bitmaps_of_many_sizes_keep_links_and_leave_others_apart(percent):
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 2**64, size, dtype=np.uint64) for size in rng.integers(20, 3000, 60)]
+    sets += [x[: -(-percent * len(x) // 100)] for x in sets]
+    bitmaps = [ngram_join._bitmaps([x], 1 << (len(x) // 32).bit_length()).tobytes() for x in sets]
+    sizes = np.array([len(x) for x in sets])
+    for blocks in (np.zeros(120, int), np.arange(120) // 60):
+        found = ngram_join.near_in_tile(np.arange(120), sizes, bitmaps, blocks, percent)
+        assert {tuple(sorted(x)) for x in found} == {(i, i + 60) for i in range(60)}
 
 
 def test_components(spark):
