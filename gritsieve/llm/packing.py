@@ -23,6 +23,7 @@ from gritsieve.llm.common import slices, table
 from gritsieve.llm.tokens import encoder
 
 POOL_IDS = 8_000_000  # ids that a task packs together: 16 MB, or 32 MB of wide ones
+ROWS_IDS = 500_000  # ids of the pieces that a task returns at once
 SEQUENCES_BITS = 33  # sequences of one partition
 
 
@@ -123,10 +124,10 @@ def _pack(path: str, end: int, window: int, with_ids: bool, schema: pa.Schema) -
                 columns["ids"] = [x.astype(np.int32) for x in wide]
             return table(columns, schema)
 
-        def packed() -> list[tuple]:
-            nonlocal sequence
+        def packed() -> Iterator[list[tuple]]:
+            nonlocal sequence, held
             lengths = [len(x[3]) for x in pool]
-            out = []
+            out, size_of_out = [], 0
             for pieces in fill_up(best_fit_decreasing(lengths, window), lengths, window):
                 offset = 0
                 for item, start, size in pieces:
@@ -134,8 +135,14 @@ def _pack(path: str, end: int, window: int, with_ids: bool, schema: pa.Schema) -
                     out.append((id_, before + start, size, tokens, sequence, offset, ids[start : start + size]))
                     offset += size
                 sequence += 1
+                size_of_out += offset
+                if size_of_out > ROWS_IDS:
+                    yield out
+                    out, size_of_out = [], 0
+            if out:
+                yield out
             pool.clear()
-            return out
+            held = 0
 
         for batch in slices(batches, "text"):
             texts = [x or "" for x in batch.column("text").to_pylist()]
@@ -148,13 +155,12 @@ def _pack(path: str, end: int, window: int, with_ids: bool, schema: pa.Schema) -
                 if whole < len(ids):
                     pool.append((id_, whole, len(ids), ids[whole:].copy()))
                     held += len(ids) - whole
-            if held > POOL_IDS:
-                done += packed()
-                held = 0
             if done:
                 yield rows(done)
+            if held > POOL_IDS:
+                yield from map(rows, packed())
         if pool:
-            yield rows(packed())
+            yield from map(rows, packed())
 
     return make
 
