@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,6 +38,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Record
         starts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows]
         for start, end in zip(starts[:-1], starts[1:]):
             yield batch.slice(start, end - start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system: worker processes go on to other operators."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not every C library has it
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -14,6 +14,8 @@ from array import array
 
 import numpy as np
 
+from gritsieve.llm.common import WORD_HASHES, give_back
+
 CACHED_PARTS = 400_000  # of the younger and of the older half of the memo
 ODD_SPACE = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -     　]")
 DOUBLE_SPACE = re.compile("[ \n][ \n]")
@@ -27,6 +29,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        WORD_HASHES.clear()  # of operators that ran in this process before
+        give_back()
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = b"" if end is None else np.array([end], self.type).tobytes()
