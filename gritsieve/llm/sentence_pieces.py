@@ -16,11 +16,14 @@ is made with each part between such places, and the result kept for its next occ
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +35,6 @@ MARK = "▁"  # fixed values: the mark of a space, model kinds and field numbers
 UNIGRAM, BPE = 1, 2
 TRAINER, NORMALIZER = 2, 3
 MODEL_TYPE, CHARSMAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE = 3, 2, 3, 4, 5
-INNER = -1
 CACHED_PARTS, CACHED_PAIRS = 400_000, 600_000  # the memo of parts has two halves
 
 
@@ -62,6 +64,20 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Memo(dict):
+    """Results of a function; starts afresh when it holds as many as it may."""
+
+    def __init__(self, function: Callable, most: float = math.inf):
+        super().__init__()
+        self.function, self.most = function, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.function(key)
+        return value
+
+
 class Transducer:
     def __init__(self, path: str):
         import sentencepiece
@@ -93,18 +109,25 @@ class Transducer:
                 self.written.append(piece.replace(MARK, " ").encode())
             self.weight.append(-model.get_score(id))
         self.unknown = model.unk_id()
-        # the lexicon: ids of pieces, and INNER for what only begins pieces
-        self.arcs = {x[:k]: INNER for x in self.pieces for k in range(1, len(x))} | self.pieces
         self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known: dict[str, bytes] = {}
+        self.known = Memo(self._known_part)
         self.older: dict[str, bytes] = {}  # what was known before known became full
-        self.pairs: dict[str, bool] = {}
+        self.pairs = Memo(self.follows, CACHED_PAIRS)
         if any(re.search(f"[^{MARK}]{MARK}", x) for x in self.pieces):
             raise ValueError("a piece has a mark after another character")
 
     def normalised(self, text: str) -> str:
         return (self.prefix + text).replace(" ", MARK) if text else ""
 
+    @cached_property
+    def lexicon(self) -> ahocorasick.Automaton:
+        """An arc for each piece."""
+        machine = ahocorasick.Automaton()
+        for piece in self.pieces:
+            machine.add_word(piece, piece)
+        machine.make_automaton()
+        return machine
+
     def _apart(self, before: str, after: str) -> bool:
         """Whether merging the characters of both, in order of score and the leftmost
         first, never merges across the place between them."""
@@ -128,75 +151,63 @@ class Transducer:
             if at < len(ranks):
                 ranks[at] = pieces.get(parts[at] + parts[at + 1])
 
-    def follows(self, before: str, after: str) -> bool:
+    def follows(self, pair: tuple[str, str]) -> bool:
         """Whether the acceptor has the arc from one piece to the other."""
-        if self.kind == UNIGRAM:
-            return True
-        pair = before, after
-        found = self.pairs.get(pair)
-        if found is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[pair] = self._apart(before, after)
-        return found
+        return self.kind == UNIGRAM or self._apart(*pair)
 
     def shortest(self, part: str) -> list[int]:
         """Ids of the least path through the composition with one part.
 
-        States are a place in the part and the piece that ends there; of each state the
-        least sum of weights is kept, with the state before it. With merges one piece
-        alone can end at a place, so others are not tried once it is found.
+        The automaton of the lexicon gives the arcs in order of their ends, so whatever
+        leads to the start of an arc is known when the arc comes. A state is a place in
+        the part, with the least sum of weights and the piece that ends there: with
+        merges one piece alone can, and others are not tried once it is found; without,
+        what follows does not depend on the piece.
         """
-        count, arcs, weights, alone = len(part), self.arcs, self.weight, self.kind == BPE
-        states: list[dict[str, tuple[float, str | None]]] = [{} for _ in range(count + 1)]
-        states[0][""] = 0.0, None
-        for start in range(count):
-            ending = states[start].items()
-            for end in range(start + 1, count + 1):
-                piece = part[start:end]
-                id = arcs.get(piece)
-                if id is None and end > start + 1:
-                    break
-                here = states[end]
-                if id == INNER and end > start + 1 or alone and here:
-                    continue
-                cost = weights[id] if id is not None and id != INNER else 1e6  # bytes, for want of a piece
-                best = None
-                for last, (sum_, _) in ending:
-                    if (best is None or sum_ < best[0]) and (not last or self.follows(last, piece)):
-                        best = sum_, last
-                if best is not None:
-                    here[piece] = best[0] + cost, best[1]
-                if id is None:
-                    break
-        at, piece = count, min(states[count], key=lambda x: states[count][x][0])
-        path = []
-        while at:
-            path.append(piece)
-            at, piece = at - len(piece), states[at][piece][1]
+        arcs, pieces, weights = self.lexicon.iter(part), self.pieces, self.weight
+        if not pieces.keys() >= set(part):  # some are spelled as bytes, for want of a piece
+            spelled = [(i, x) for i, x in enumerate(part) if x not in pieces]
+            arcs = sorted([*arcs, *spelled], key=lambda arc: arc[0])
+        last: list[str | None] = [None] * (len(part) + 1)
+        last[0] = ""
+        if self.kind == BPE:
+            pairs = self.pairs
+            for end, piece in arcs:
+                end += 1
+                if last[end] is None:
+                    before = last[end - len(piece)]
+                    if before is not None and (not before or pairs[before, piece]):
+                        last[end] = piece
+        else:
+            sums = [0.0] * (len(part) + 1)
+            for end, piece in arcs:
+                end += 1
+                id = pieces.get(piece)
+                sum_ = sums[end - len(piece)] + (1e6 if id is None else weights[id])
+                if last[end] is None or sum_ < sums[end]:
+                    sums[end], last[end] = sum_, piece
         ids: list[int] = []
-        for piece in reversed(path):
-            id = self.pieces.get(piece)
+        at = len(part)
+        while at:
+            piece = last[at]
+            at -= len(piece)
+            id = pieces.get(piece)
             if id is not None:
                 ids.append(id)
             else:
                 spelled = [self.bytes[b] for b in piece.encode()]
-                ids += [self.unknown] if None in spelled else spelled
+                ids += [self.unknown] if None in spelled else reversed(spelled)
+        ids.reverse()
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         if len(self.known) > CACHED_PARTS:
-            self.older, self.known = self.known, {}
-        out = []
-        for part in self.parts.findall(self.normalised(text)):
-            found = self.known.get(part)
-            if found is None:
-                found = self.older.get(part)
-                if found is None:
-                    found = array("I", self.shortest(part)).tobytes()
-                self.known[part] = found
-            out.append(found)
-        return np.frombuffer(b"".join(out), "<u4")
+            self.older, self.known = self.known, Memo(self._known_part)
+        parts = self.parts.findall(self.normalised(text))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
+
+    def _known_part(self, part: str) -> bytes:
+        return self.older.get(part) or array("I", self.shortest(part)).tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; the mark that the normaliser put first goes."""
