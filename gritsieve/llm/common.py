@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Record
         starts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows]
         for start, end in zip(starts[:-1], starts[1:]):
             yield batch.slice(start, end - start)
+    WORD_HASHES.clear()
     give_back()
 
 
@@ -64,6 +66,18 @@ class WordHashes(dict):
 
 
 WORD_HASHES = WordHashes()
+HELD: dict[tuple, Any] = {}
+
+
+def held(key: tuple, make: Callable) -> Any:
+    """What make() gave in this process, kept from task to task: one thing at a time, so
+    that worker processes do not keep the memos of operators that ran before."""
+    if key not in HELD:
+        HELD.clear()
+        WORD_HASHES.clear()
+        give_back()
+        HELD[key] = make()
+    return HELD[key]
 
 
 def hashed_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +85,9 @@ def hashed_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np
 
     bytes.lower() changes A-Z only and bytes.split() splits at 0x20 and 0x09-0x0D.
     """
+    if HELD:
+        HELD.clear()
+        give_back()
     words: list[bytes] = []
     starts = np.zeros(len(texts) + 1, np.int64)
     for i, text in enumerate(texts):

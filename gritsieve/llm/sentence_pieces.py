@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritsieve.llm.common import slices, table
+from gritsieve.llm.common import held, slices, table
 
 MARK = "▁"  # fixed values: the mark of a space, model kinds and field numbers of the format
 UNIGRAM, BPE = 1, 2
@@ -215,13 +215,9 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_TRANSDUCERS: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
-    if path not in _TRANSDUCERS:
-        _TRANSDUCERS[path] = Transducer(path)
-    return _TRANSDUCERS[path]
+    """This process's transducer for a model file."""
+    return held(("pieces", path), lambda: Transducer(path))
 
 
 ENCODED = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])

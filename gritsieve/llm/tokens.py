@@ -14,7 +14,7 @@ from array import array
 
 import numpy as np
 
-from gritsieve.llm.common import WORD_HASHES, give_back
+from gritsieve.llm.common import held
 
 CACHED_PARTS = 400_000  # of the younger and of the older half of the memo
 ODD_SPACE = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -     　]")
@@ -29,8 +29,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        WORD_HASHES.clear()  # of operators that ran in this process before
-        give_back()
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = b"" if end is None else np.array([end], self.type).tobytes()
@@ -87,11 +85,6 @@ class Encoder:
         return [np.frombuffer(b"".join(found) + self.end, self.type) for found, _, _ in out]
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, end: int | None = None) -> Encoder:
     """This process's encoder for a vocabulary file."""
-    if (path, end) not in _ENCODERS:
-        _ENCODERS[path, end] = Encoder(path, end)
-    return _ENCODERS[path, end]
+    return held(("tokens", path, end), lambda: Encoder(path, end))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritsieve.llm.common import hashed_words, mix, slices, split_of, table, texts_of
+from gritsieve.llm.common import give_back, hashed_words, mix, slices, split_of, table, texts_of
 
 BITS = 20
 SAMPLE_ROWS = 20_000
@@ -79,9 +79,11 @@ def _weights(z: np.ndarray, n: np.ndarray, free: np.ndarray) -> np.ndarray:
 def _trained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
-        for label, buckets in zip(batch.column("label").to_pylist(), batch.column("buckets").to_pylist()):
-            rows.append((label, np.frombuffer(buckets, np.int32)))
+        for label, buckets in zip(batch.column("label").to_pylist(), batch.column("buckets")):
+            rows.append((label, np.frombuffer(buckets.as_buffer(), np.int32)))  # no copy of the bytes
     weights = ftrl(rows)
+    del rows
+    give_back()
     kept = np.flatnonzero(weights)
     schema = pa.schema([("bucket", pa.int32()), ("weight", pa.float64())])
     yield table({"bucket": kept.astype(np.int32), "weight": weights[kept]}, schema)
