@@ -103,7 +103,11 @@ def windows(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
 
 
 OCCURRENCE = ("id", "place", "reach")
-SIGNATURES = pa.schema([(x, pa.int64()) for x in ("key", *OCCURRENCE, "hub_id", "hub_place", "hub_reach")])
+ALSO = pa.list_(pa.struct([("place", pa.int64()), ("reach", pa.int64())]))
+SIGNATURES = pa.schema([
+    *((x, pa.int64()) for x in ("key", "salt", "company", *OCCURRENCE, "hub_id", "hub_place", "hub_reach")),
+    ("also", ALSO),
+])
 #: Windows of about the same reach to either side, as copies have them, are of one class.
 CLASS = "int(log2((reach >> 32) + 1)) * 64 + int(log2((reach & 4294967295) + 1))"
 
@@ -117,30 +121,46 @@ def _signatures(length: int) -> Callable:
     """The first window of each key and class of a batch, and the ties of all others.
 
     Classes are at most a few hundred, so a key has a bounded number of rows per batch.
+    Windows of the same document as the first one are listed in its row (also) and get
+    the hub that it gets. company: whether the batch has the key in several documents.
     """
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = windows(texts_of(batch, "text"), length)
-            found["id"] = batch.column("id").to_numpy(zero_copy_only=False)[found["text"]]
+            ids = found["id"] = batch.column("id").to_numpy(zero_copy_only=False)[found["text"]]
             kind = (found["key"] ^ signed(mix(_classes(found["reach"]).astype(np.uint64), 43)))
-            rows, hubs = local_hubs(kind, found["id"], found["place"])
+            rows, hubs = local_hubs(kind, ids, found["place"])
             firsts = rows[rows == hubs]
             ties = [(rows[rows != hubs], hubs[rows != hubs])]
-            rows, hubs = local_hubs(found["key"], found["id"], found["place"])
+            own = (rows != hubs) & (ids[rows] == ids[hubs])
+            repeats = rows[own]  # in the order of their firsts
+            counts = np.zeros(len(ids), np.int64)
+            np.add.at(counts, hubs[own], 1)
+            rows, hubs = local_hubs(found["key"], ids, found["place"])
             ties.append((rows[rows != hubs], hubs[rows != hubs]))
+            company = np.zeros(len(ids), bool)
+            company[hubs[ids[rows] != ids[hubs]]] = True
+            company[rows] = company[hubs]
             tied = np.unique(np.concatenate([np.c_[a, b] for a, b in ties]), axis=0)
-            tied = tied[found["id"][tied[:, 0]] != found["id"][tied[:, 1]]]
+            tied = tied[ids[tied[:, 0]] != ids[tied[:, 1]]]
             rows, hubs = tied[:, 0], tied[:, 1]
             # a row that is tied already needs no company, so its key is just scattered
-            spread = mix((found["key"][rows] ^ found["id"][rows] ^ found["id"][hubs] << 1).astype(np.uint64), 41)
-            columns = {"key": np.r_[found["key"][firsts], signed(spread)]}
+            spread = mix((ids[rows] ^ ids[hubs] << 1).astype(np.uint64), 41) >> np.uint64(48)
+            columns = {
+                "key": np.r_[found["key"][firsts], found["key"][rows]],
+                "salt": np.r_[np.zeros(len(firsts), np.int64), 1 + spread.astype(np.int64)],
+                "company": np.r_[company[firsts], np.ones(len(rows), bool)].astype(np.int64),
+            }
             mask = np.r_[np.ones(len(firsts), bool), np.zeros(len(rows), bool)]
             for name in OCCURRENCE:
                 columns[name] = np.r_[found[name][firsts], found[name][rows]]
                 columns[f"hub_{name}"] = pa.array(
                     np.r_[np.zeros(len(firsts), np.int64), found[name][hubs]], mask=mask
                 )
+            ends = np.r_[0, np.cumsum(np.r_[counts[firsts], np.zeros(len(rows), np.int64)])]
+            listed = pa.StructArray.from_arrays([found["place"][repeats], found["reach"][repeats]], ["place", "reach"])
+            columns["also"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed)
             yield table(columns, SIGNATURES)
 
     return make
@@ -273,15 +293,21 @@ def repeated_spans(
         "id IS NOT NULL AND text IS NOT NULL"
     )
     length = least - WIDTH + 1
-    fields = ", ".join(f"{name} long" for name in SIGNATURES.names)
-    shared = base.mapInArrow(_signatures(length), fields)
+    fields = ", ".join(f"{name} long" for name in SIGNATURES.names[:-1])
+    shared = base.mapInArrow(
+        _signatures(length), f"{fields}, also array<struct<place: long, reach: long>>"
+    ).withColumn("kind", F.expr(CLASS))
     free = F.when(F.col("hub_id").isNull(), F.struct(*OCCURRENCE))
     own_hub = F.when(F.col("hub_id").isNotNull(), F.struct(*(F.col(f"hub_{x}").alias(x) for x in OCCURRENCE)))
-    hubs = F.array(
-        F.coalesce(own_hub, F.min(free).over(Window.partitionBy("key", "kind"))),
-        F.coalesce(own_hub, F.min(free).over(Window.partitionBy("key"))),
-    )
-    tied = shared.withColumn("kind", F.expr(CLASS)).withColumn("hubs", F.array_distinct(hubs))
+    whole = Window.partitionBy("key", "salt")
+    shared = shared.withColumns({
+        "by_key": F.coalesce(own_hub, F.min(free).over(whole)),
+        "low": F.min("id").over(whole), "high": F.max("id").over(whole), "company": F.max("company").over(whole),
+    }).where("company = 1 OR low < high")
+    by_kind = F.coalesce(own_hub, F.min(free).over(Window.partitionBy("key", "salt", "kind")))
+    tied = shared.withColumn("hubs", F.array_distinct(F.array(by_kind, "by_key")))
+    each = "inline(concat(array(struct(place, reach)), also)) AS (place, reach)"
+    tied = tied.selectExpr("id", "hubs", each)
     tied = tied.withColumn("hub", F.explode("hubs")).where("hub.id < id")
     # the window that both have around the centre, in places of either
     joint = tied.selectExpr(

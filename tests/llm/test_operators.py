@@ -253,6 +253,22 @@ def test_passages_cover_all_exact_repeats(spark):
                 assert set(range(k, k + 50)) <= removed.get(i, set())
 
 
+def removed_words(docs):
+    removed: dict = {}
+    for r in substring.passages(docs).where("removed").collect():
+        removed.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    return removed
+
+
+def test_a_passage_many_times_in_one_document_however_batches_fall(spark):
+    once = (1, f"{sentence(21, 80)} {PASSAGE} {sentence(22, 80)}")
+    often = (2, " ".join([sentence(23, 40), *[PASSAGE] * 20, sentence(24, 40)]))
+    schema = "doc_id long, text string"
+    apart = spark.createDataFrame([once], schema).unionByName(spark.createDataFrame([often], schema))
+    for docs in (apart, apart.coalesce(1)):
+        assert set(range(40, 40 + 20 * 60)) <= removed_words(docs).get(2, set())
+
+
 def test_packing(odd):
     tokenizer = Tokenizer.from_file(WORDS)
     found = packing.pack(odd, WORDS, 1, 256, with_ids=True).collect()
