@@ -12,6 +12,10 @@
    of ENOUGH functions.
 4. The words of what remains are compared: spans of at least ``least`` words on both sides
    whose token sets have the wanted similarity.
+5. The first document of a signature may have its token only, not the passage around it (a
+   frequent line). So windows of the least length whose centres all occur elsewhere, and
+   which no comparison has covered, go round again under a hash of all their words: the
+   first document with that hash does have them. No exact repeat is left after that.
 
 A passage stays in the document with the smallest id.
 """
@@ -305,10 +309,12 @@ def repeated_spans(
         "low": F.min("id").over(whole), "high": F.max("id").over(whole), "company": F.max("company").over(whole),
     }).where("company = 1 OR low < high")
     by_kind = F.coalesce(own_hub, F.min(free).over(Window.partitionBy("key", "salt", "kind")))
-    tied = shared.withColumn("hubs", F.array_distinct(F.array(by_kind, "by_key")))
     each = "inline(concat(array(struct(place, reach)), also)) AS (place, reach)"
-    tied = tied.selectExpr("id", "hubs", each)
-    tied = tied.withColumn("hub", F.explode("hubs")).where("hub.id < id")
+    later = "(hub_id IS NOT NULL OR low < id) AS later"
+    seen = stage(
+        shared.withColumn("hubs", F.array_distinct(F.array(by_kind, "by_key"))).selectExpr("key", "id", "hubs", later, each)
+    )
+    tied = seen.withColumn("hub", F.explode("hubs")).where("hub.id < id")
     # the window that both have around the centre, in places of either
     joint = tied.selectExpr(
         "id", "hub.id AS hub_id", f"place % {FUNCTIONS} AS function",
@@ -319,6 +325,34 @@ def repeated_spans(
         "id", "hub_id", "function", "at - before AS lo", "at + after AS hi",
         "hub_at - before AS hub_lo", "hub_at + after AS hub_hi",
     )
+    spans = stage(_verified(base, joint, ENOUGH, least, percent))
+    # what no comparison has covered, by hashes of whole windows
+    covered = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one document
+    open_keys = stage(
+        seen.groupBy("id").agg(F.collect_list(F.struct("key", "place", "reach", "later")).alias("seen"))
+        .join(covered, "id", "left").select("seen", "spans").mapInArrow(_open_keys(length), "key long").distinct()
+    )
+    few = open_keys.count() <= BROADCAST_IDS
+    wanted = (
+        seen.where(f"place % {FUNCTIONS} = 0").join(F.broadcast(open_keys) if few else open_keys, "key", "left_semi")
+        .groupBy("id").agg(F.collect_set(F.struct("place", "reach")).alias("wanted"))
+    )
+    whole_windows = stage(
+        base.join(wanted, "id").select("id", "text", "wanted")
+        .mapInArrow(_whole_windows(length), "hash long, id long, start long")
+    )
+    firsts = whole_windows.groupBy("hash").agg(
+        F.min(F.struct("id", "start")).alias("hub"), F.max("id").alias("high")
+    ).where("hub.id < high")
+    again = whole_windows.join(firsts, "hash").where("hub.id < id").selectExpr(
+        "id", "hub.id AS hub_id", "0L AS function", "start AS lo", f"start + {length - 1} AS hi",
+        "hub.start AS hub_lo", f"hub.start + {length - 1} AS hub_hi",
+    )
+    return spans.unionByName(_verified(base, again, 1, least, percent))
+
+
+def _verified(base: DataFrame, joint: DataFrame, enough: int, least: int, percent: int) -> DataFrame:
+    """The spans of joint intervals, joined where they overlap, that the words confirm."""
     pair = Window.partitionBy("id", "hub_id").orderBy("lo", "hi", "hub_lo")
     above = F.max("hi").over(pair.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.coalesce((F.col("lo") > above).cast("long"), F.lit(1))
@@ -328,7 +362,7 @@ def repeated_spans(
             F.min("lo").alias("lo"), F.max("hi").alias("hi"),
             F.min("hub_lo").alias("hub_lo"), F.max("hub_hi").alias("hub_hi"),
             F.bit_count(F.bit_or(F.expr("shiftleft(1, int(function))"))).alias("functions"),
-        ).where(f"functions >= {ENOUGH}")
+        ).where(f"functions >= {enough}")
     )
     intervals = stage(joined.withColumn("pair", F.xxhash64("id", "hub_id", "island")))
     # the words of both sides, cut out where each document is
@@ -350,6 +384,74 @@ def repeated_spans(
     return sides(mine).join(hub, "pair").mapInArrow(_compared(least, percent), SPAN)
 
 
+def _open_keys(length: int) -> Callable:
+    """The keys of windows that may be repeats and that no span covers.
+
+    Every window of the least length has one centre for each function, so an exact repeat
+    is a window whose centres occur in other documents, all of them.
+    """
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for seen, spans in zip(batch.column("seen"), batch.column("spans")):
+                key, place, reach, later = (
+                    seen.values.field(x).to_numpy(zero_copy_only=False) for x in ("key", "place", "reach", "later")
+                )
+                lo, hi = _starts(place // FUNCTIONS, reach, length)
+                size = int(hi.max()) + 2
+                steps = np.zeros((FUNCTIONS, size), np.int32)
+                np.add.at(steps, (place % FUNCTIONS, lo), 1)
+                np.add.at(steps, (place % FUNCTIONS, hi + 1), -1)
+                free = (np.cumsum(steps, axis=1) > 0).all(axis=0)
+                if spans.is_valid and free.any():
+                    covered = np.zeros(size + length + WIDTH, np.int32)
+                    for start, end in zip(*(spans.values.field(x).to_pylist() for x in ("start", "end"))):
+                        covered[start:end] = 1
+                    total = np.r_[0, np.cumsum(covered)]
+                    words = length + WIDTH - 1
+                    free &= total[words : words + size] - total[:size] < words
+                total = np.r_[0, np.cumsum(free)]
+                some = later & (place % FUNCTIONS == 0) & (total[hi + 1] > total[lo])
+                out.append(np.unique(key[some]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64())], names=["key"])
+
+    return make
+
+
+def _starts(at: np.ndarray, reach: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last window of that length around each centre, within its reach."""
+    left, right = reach >> 32, reach & 0xFFFFFFFF
+    return np.maximum(at - left, at - length + 1), np.minimum(at, at + right - length + 1)
+
+
+WHOLE = pa.schema([("hash", pa.int64()), ("id", pa.int64()), ("start", pa.int64())])
+
+
+def _whole_windows(length: int) -> Callable:
+    """A hash of all words of each window around the wanted centres."""
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for i, text in enumerate(texts_of(batch, "text")):
+                words, _ = hashed_words([text])
+                hashes = rolled(words, length + WIDTH - 1)
+                wanted = batch.column("wanted")[i].values
+                place, reach = (wanted.field(x).to_numpy(zero_copy_only=False) for x in ("place", "reach"))
+                lo, hi = _starts(place // FUNCTIONS, reach, length)
+                steps = np.zeros(int(hi.max()) + 2, np.int64)
+                np.add.at(steps, lo, 1)
+                np.add.at(steps, hi + 1, -1)
+                starts = np.flatnonzero(np.cumsum(steps) > 0)
+                starts = starts[starts < len(hashes)]  # an id may have texts of several lengths
+                columns = {"hash": signed(hashes[starts]), "id": np.full(len(starts), ids[i]), "start": starts}
+                yield table(columns, WHOLE)
+
+    return make
+
+
 def _merged(spans: DataFrame, *keys: str) -> DataFrame:
     """Overlapping or touching spans of the same keys as one; with the smallest match."""
     order = Window.partitionBy(*keys).orderBy("start", "end")

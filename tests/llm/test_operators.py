@@ -269,6 +269,19 @@ def test_a_passage_many_times_in_one_document_however_batches_fall(spark):
         assert set(range(40, 40 + 20 * 60)) <= removed_words(docs).get(2, set())
 
 
+def test_passages_that_hold_a_frequent_line(spark):
+    rows, due = [], {}
+    for k in range(0, 400, 4):
+        line, around = sentence(1000 + k, 45), sentence(2000 + k, 10).split()
+        passage = " ".join([*around[:5], line, *around[5:]])
+        for i, middle in enumerate((line, passage, passage)):
+            rows.append((k + i, f"{sentence(3000 + k + i, 60)} {middle} {sentence(5000 + k + i, 60)}"))
+        due[k + 2] = set(range(60, 115))
+    found = removed_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert not [i for i, places in due.items() if not places <= found.get(i, set())]
+    assert not set(found) - set(due) - {i - 1 for i in due}
+
+
 def test_packing(odd):
     tokenizer = Tokenizer.from_file(WORDS)
     found = packing.pack(odd, WORDS, 1, 256, with_ids=True).collect()
