@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from gritsieve.llm.common import hashed_words, local_hubs, mix, rolled, signed, slices, stage, table, texts_of
 
 WIDTH = 5
-FUNCTIONS, ENOUGH = 4, 2
+FUNCTIONS, ENOUGH = 8, 2
 GAP = 12  # tokens without a match that a span may bridge
 SLACK = 12  # tokens around an interval that are compared as well
 BROADCAST_IDS = 2_000_000  # 16 MB

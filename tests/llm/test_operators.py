@@ -282,6 +282,16 @@ def test_passages_that_hold_a_frequent_line(spark):
     assert not set(found) - set(due) - {i - 1 for i in due}
 
 
+def test_planted_near_copies_are_found(spark):
+    rows = []
+    for k in range(0, 800, 2):  # a word of 52 changed: 43 tokens of 53 are shared
+        copy = sentence(7000 + k, 52).split()
+        for i, middle in enumerate((copy, [*copy[:26], "changed", *copy[27:]])):
+            rows.append((k + i, f"{sentence(9000 + k + i, 60)} {' '.join(middle)} {sentence(11000 + k + i, 60)}"))
+    found = removed_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert not [k for k in range(0, 800, 2) if len(found.get(k + 1, set()) & set(range(60, 112))) < 50]
+
+
 def test_packing(odd):
     tokenizer = Tokenizer.from_file(WORDS)
     found = packing.pack(odd, WORDS, 1, 256, with_ids=True).collect()
