@@ -1,9 +1,10 @@
-"""Licence scan in SQL: TF-IDF cosine of sentences to templates, then inheritance.
+"""Licence scan in SQL: TF-IDF cosine of parts of texts to templates, then inheritance.
 
-Every sentence of a text (lines too end sentences) is compared with short statements of
-licences. A sentence can only reach the threshold if it has one of a template's heavy
-words, those without which the rest of the template is too light; sentences without any
-are not split into words. Weights come from the words' document counts in the whole
+Parts are sentences (lines too end sentences), paragraphs, leading paragraphs together
+and, of licence files, the whole text. They are compared with statements, headers and
+texts of licences; SPDX identifiers count as they stand. A part can only reach the threshold if
+it has one of a template's heavy words, those without which the rest of the template is
+too light; parts without any are not split into words. Weights come from the words' document counts in the whole
 table. Files without a licence of their own take that of the licence file in the nearest
 directory above them.
 """
@@ -17,6 +18,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gritsieve.llm.common import stage
+from gritsieve.llm.licence_headers import HEADERS, TITLES, whole_texts
+
 #: Identifiers and customary statements of licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -35,6 +39,10 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 LICENCE_FILE = "(?i)(^|/)(licen[cs]e|copying|unlicense)([.][a-z]+)?$"
+PARAGRAPHS = r"\n[^a-z0-9\n]*(?=\n)"  # lines without words, comment marks or none, lie between
+HEAD = 4000  # leading characters in which a header is looked for: twice the longest one
+SPDX = r"spdx-license-identifier:\s*\(?([a-z0-9.-]+)"
+BROADCAST_WORDS = 1_000_000
 SENTENCES = r"\n|(?<=[.!?;])[ \t]+"
 
 
@@ -55,54 +63,83 @@ def heavy(weights: dict[str, float], threshold: float) -> set[str]:
     return found
 
 
+def document_counts(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """In how many texts each wanted word is."""
+    few = wanted.count() <= BROADCAST_WORDS
+    every = base.selectExpr("explode(array_distinct(split(lower(text), '[^a-z0-9]+'))) AS word")
+    return every.join(F.broadcast(wanted) if few else wanted, "word", "left_semi").groupBy("word").count()
+
+
 def own_licences(
-    df: DataFrame, text: str = "text", id: str = "doc_id", threshold: float = THRESHOLD
+    df: DataFrame, text: str = "text", id: str = "doc_id", threshold: float = THRESHOLD, path: str | None = None
 ) -> DataFrame:
-    """id, own_licence and score of each row with a sentence that reaches the threshold:
-    the best one, of equal ones the first by name. Null and empty texts have none; rows
-    that share an id share the result."""
+    """id, own_licence and score of each row with a part that reaches the threshold: the
+    best one, of equal ones the first by name. Null and empty texts have none; rows that
+    share an id share the result. path: the column that tells licence files, if any."""
     spark = df.sparkSession
-    base = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    terms = sorted({w for x in TEMPLATES.values() for w in words(x)})
-    listed = "array(" + ", ".join(f"'{x}'" for x in terms) + ")"
-    counted = base.selectExpr(
-        f"explode(array_union(array(''), array_intersect(split(lower(text), '[^a-z0-9]+'), {listed}))) AS word"
-    ).groupBy("word").count()
-    rows = {x["word"]: x["count"] for x in counted.collect()}  # one for each word of the templates
-    # the empty word, added to every text, counts the texts that aren't null
-    total = rows.get("", 0)
+    is_file = F.coalesce(F.col(path).cast("string").rlike(LICENCE_FILE), F.lit(False)) if path else F.lit(False)
+    base = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), is_file.alias("file"))
+    short = [*TEMPLATES.items(), *HEADERS]
+    every = [*((*x, False) for x in short), *((*x, True) for x in whole_texts())]
+    terms = sorted({w for _, template, _ in every for w in words(template)})
+    total = base.agg(F.count("text")).first()[0]
+    rows = {
+        x["word"]: x["count"]  # one for each word of the templates
+        for x in document_counts(base, spark.createDataFrame([(w,) for w in terms], "word string")).collect()
+    }
     weight = {x: math.log((1 + total) / (1 + rows.get(x, 0))) + 1 for x in terms}
-    other = math.log((1 + total) / 2) + 1  # of a word outside the templates
     vectors, needed = [], set()
-    for name, template in TEMPLATES.items():
+    for number, (name, template, whole) in enumerate(every):
         vector = {w: n * weight[w] for w, n in Counter(words(template)).items()}
         length = math.sqrt(sum(x * x for x in vector.values()))
-        vectors += [(name, w, x / length) for w, x in vector.items()]
-        needed |= heavy(vector, threshold)
-    weights = spark.createDataFrame([(w, weight[w]) for w in terms], "word string, weight double")
-    templates = spark.createDataFrame(vectors, "licence string, word string, part double")
-    sentence = (
-        base.withColumn("low", F.lower("text"))
-        .where(F.col("low").rlike("(^|[^a-z0-9])(" + "|".join(sorted(needed)) + ")([^a-z0-9]|$)"))
-        .select("id", F.posexplode(F.split("low", SENTENCES)).alias("place", "sentence"))
-        .where(F.col("sentence").rlike("(^|[^a-z0-9])(" + "|".join(sorted(needed)) + ")([^a-z0-9]|$)"))
-        .select(F.xxhash64("id", "place", "sentence").alias("key"), "id", "sentence")
+        vectors += [(number, name, whole, w, x / length) for w, x in vector.items()]
+        if not whole:
+            needed |= heavy(vector, threshold)
+    templates = spark.createDataFrame(vectors, "template int, licence string, whole boolean, word string, part double")
+    has_heavy = "(^|[^a-z0-9])(" + "|".join(sorted(needed)) + ")([^a-z0-9]|$)"
+    head = f"split(substring(low, 1, {HEAD}), r'{PARAGRAPHS}')"
+    parts = F.array_distinct(F.concat(
+        F.split("low", SENTENCES), F.split("low", PARAGRAPHS),
+        F.expr(f"transform({head}, (x, i) -> array_join(slice({head}, 1, i + 1), ' '))"),
+    ))
+    low = base.withColumn("low", F.lower("text"))
+    part = (
+        low.where(F.col("low").rlike(has_heavy)).select("id", F.explode(parts).alias("part"), F.lit(False).alias("whole"))
+        .where(F.col("part").rlike(has_heavy))
+        .unionByName(low.where("file AND low IS NOT NULL").selectExpr("id", "low AS part", "true AS whole"))
+        .withColumn("key", F.xxhash64("id", "part", "whole"))
     )
-    vector = (
-        sentence.dropDuplicates(["key", "id"])
-        .select("key", "id", F.explode(F.split("sentence", "[^a-z0-9]+")).alias("word")).where("word <> ''")
-        .groupBy("key", "id", "word").agg(F.count("*").alias("n"))
-        .join(F.broadcast(weights), "word", "left")  # a row for each word of the templates
-        .withColumn("weight", F.col("n") * F.coalesce("weight", F.lit(other)))
+    listed = ", ".join(f"IF(contains(began, '{title}'), '{name}', NULL)" for name, title in TITLES.items())
+    began = "concat(regexp_replace(substring(part, 1, 400), '[^a-z0-9]+', ' '), ' ') AS began"
+    titled = F.array_compact(F.expr(f"IF(whole, array({listed}), array())"))
+    vector = stage(
+        part.dropDuplicates(["key", "id"]).selectExpr("*", began).withColumn("titled", titled)
+        .select("key", "id", "titled", F.explode(F.split("part", "[^a-z0-9]+")).alias("word")).where("word <> ''")
+        .groupBy("key", "id", "titled", "word").agg(F.count("*").alias("n"))
+    )
+    other = math.log((1 + total) / 2) + 1  # of a word outside the templates
+    weights = spark.createDataFrame([(w, weight[w]) for w in terms], "word string, weight double")
+    vector = vector.join(F.broadcast(weights), "word", "left").withColumn(
+        "weight", F.col("n") * F.coalesce("weight", F.lit(other))
     )
     lengths = vector.groupBy("key", "id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    dots = vector.join(F.broadcast(templates), "word").groupBy("key", "id", "licence").agg(
-        F.sum(F.col("weight") * F.col("part")).alias("dot")
+    dots = (
+        vector.join(F.broadcast(templates), "word").where("NOT whole OR array_contains(titled, licence)")
+        .groupBy("key", "id", "template", "licence").agg(F.sum(F.col("weight") * F.col("part")).alias("dot"))
     )
     scored = dots.join(lengths, ["key", "id"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6))
+    known = {name.lower(): name for name, _, _ in every}
+    known |= {f"{x}{end}": name for x, name in known.items() if "gpl" in x for end in ("-only", "-or-later")}
+    spelt = ", ".join(f"'{x}', '{name}'" for x, name in sorted(known.items()))
+    spdx = (
+        low.where("low LIKE '%spdx-license-identifier:%'")
+        .select("id", F.explode(F.regexp_extract_all("low", F.lit(SPDX), F.lit(1))).alias("spelt"))
+        .select("id", F.expr(f"map({spelt})[spelt]").alias("licence"), F.lit(1.0).alias("score")).where("licence IS NOT NULL")
+    )
     best = F.min(F.struct((-F.col("score")).alias("minus"), "licence"))
     return (
-        scored.where(F.col("score") >= threshold).groupBy("id").agg(best.alias("best"))
+        scored.where(F.col("score") >= threshold).select("id", "licence", "score").unionByName(spdx)
+        .groupBy("id").agg(best.alias("best"))
         .select("id", F.col("best.licence").alias("own_licence"), (-F.col("best.minus")).alias("score"))
     )
 
@@ -121,7 +158,7 @@ def licences(
     files = df.select(F.col(id).cast("long").alias("id"), F.col(path).cast("string").alias("path")).withColumn(
         "dir", F.regexp_replace("path", "/?[^/]*$", "")
     )
-    own = files.join(own_licences(df, text, id, threshold), "id", "left")
+    own = files.join(own_licences(df, text, id, threshold, path), "id", "left")
     best = F.min(F.struct((-F.col("score")).alias("minus"), "path", "own_licence"))
     given = own.where(F.col("own_licence").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy("dir").agg(
         best.alias("best")

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gritsieve.llm import (
-    exact_dedup, language_model, licences, ngram_join, packing, quality, records, sentence_pieces,
+    exact_dedup, language_model, licence_headers, licences, ngram_join, packing, quality, records, sentence_pieces,
     substring, toxicity,
 )
 from gritsieve.llm.common import components
@@ -472,6 +472,36 @@ def test_licences(spark):
     assert found[None, "a/q.txt"] == (None, "Apache-2.0", "a/LICENSE")
 
 
+def test_licence_headers_and_whole_files(spark):
+    def commented(text, width=9):
+        parts = text.split()
+        return "\n".join("# " + " ".join(parts[i : i + width]) for i in range(0, len(parts), width))
+
+    headers = dict(licence_headers.HEADERS[::-1])
+    gnu = [x for n, x in licence_headers.HEADERS if n == "GPL-2.0"]
+    mit = f"{licence_headers.GRANT}\n\n{licence_headers.MIT_REST}"
+    bsd = commented(licence_headers.BSD_2 + licence_headers.BSD_NAMES + licence_headers.BSD_REST)
+    texts = {name: text for name, text in licence_headers.whole_texts()}
+    rows = [
+        ("MIT", "a.py", f"{commented('Copyright 2020 Somebody')}\n#\n{commented(mit)}\n\ncode = 1\n"),
+        ("MIT", "b.py", "MIT License\n\nwords"), ("GPL-2.0", "c.c", f"{commented(gnu[0])}\n\nint x;"),
+        ("Apache-2.0", "d.c", "// SPDX-License-Identifier: Apache-2.0\nint x;"),
+        (None, "e.c", "// SPDX-License-Identifier: EPL-2.0\nint x;"),
+        ("BSD-3-Clause", "f.c", f"# Copyright 1999 Somebody Else\n{bsd}\n\nint x;"),
+        ("BSD-2-Clause", "g.txt", "BSD 2-Clause License"), ("AGPL-3.0", "h/LICENSE", texts["GPL-3.0"].replace(
+            "GNU GENERAL", "GNU AFFERO GENERAL").replace("29 June", "19 November")),
+        ("Apache-2.0", "i.c", commented(licence_headers.APACHE + licence_headers.APACHE_REST)),
+        ("MPL-2.0", "j.c", commented(headers["MPL-2.0"])),
+        *((name, f"k/{name}/LICENSE", text) for name, text in texts.items()), (None, "l.txt", "the general public"),
+    ]
+    data = [(i, path, text) for i, (_, path, text) in enumerate(rows)]
+    data += [(100 + i, f"x{i}", sentence(300 + i, 60)) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, path string, text string")
+    found = {r.doc_id: r.own_licence for r in licences.licences(df).collect()}
+    assert [found[i] for i in range(len(rows))] == [name for name, *_ in rows]
+    assert not any(found[100 + i] for i in range(60))
+
+
 def test_pipeline(spark, odd, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
