@@ -5,7 +5,7 @@ and, of licence files, the whole text. They are compared with statements, header
 texts of licences; SPDX identifiers count as they stand. A part can only reach the threshold if
 it has one of a template's heavy words, those without which the rest of the template is
 too light; parts without any are not split into words. Weights come from the words' document counts in the whole
-table. Files without a licence of their own take that of the licence file in the nearest
+table, for the words of templates and of parts alike. Files without a licence of their own take that of the licence file in the nearest
 directory above them.
 """
 
@@ -117,11 +117,10 @@ def own_licences(
         .select("key", "id", "titled", F.explode(F.split("part", "[^a-z0-9]+")).alias("word")).where("word <> ''")
         .groupBy("key", "id", "titled", "word").agg(F.count("*").alias("n"))
     )
-    other = math.log((1 + total) / 2) + 1  # of a word outside the templates
-    weights = spark.createDataFrame([(w, weight[w]) for w in terms], "word string, weight double")
-    vector = vector.join(F.broadcast(weights), "word", "left").withColumn(
-        "weight", F.col("n") * F.coalesce("weight", F.lit(other))
-    )
+    counts = document_counts(base, stage(vector.select("word").distinct()))
+    weights = stage(counts.selectExpr("word", f"ln({1 + total}D / (1 + count)) + 1 AS weight"))
+    few = weights.count() <= BROADCAST_WORDS
+    vector = vector.join(F.broadcast(weights) if few else weights, "word").withColumn("weight", F.col("n") * F.col("weight"))
     lengths = vector.groupBy("key", "id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
     dots = (
         vector.join(F.broadcast(templates), "word").where("NOT whole OR array_contains(titled, licence)")

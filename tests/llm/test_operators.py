@@ -502,6 +502,13 @@ def test_licence_headers_and_whole_files(spark):
     assert not any(found[100 + i] for i in range(60))
 
 
+def test_licence_weights_count_every_word(spark):
+    rows = [(i, "p", f"this zog that {i}") for i in range(2000)] + [(5000, "p", "zog released under the MIT License")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    (found,) = licences.own_licences(df).collect()
+    assert found.own_licence == "MIT" and found.score > 0.97
+
+
 def test_pipeline(spark, odd, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
