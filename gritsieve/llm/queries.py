@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gritsieve.llm import (
-    exact_dedup, language_model, licences, ngram_join, packing, quality, records, sentence_pieces,
-    substring, toxicity,
+    alignment, exact_dedup, hard_negatives, language_model, licences, ngram_join, packing, quality, records,
+    sentence_pieces, substring, toxicity, warc,
 )
 from gritsieve.llm.common import read
 
@@ -63,11 +64,27 @@ def op10_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_pieces.digests(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return hard_negatives.hard_negatives(read(spark, folder, "embeddings").withColumn("label", moved))
+
+
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read_digests(warc.write_archives(read(spark, folder, "pages")))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.digests(
+        read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_model, op2_records, op3_packing, op4_quality, op5_exact_dedup, op6_toxicity,
         op7_substring, op8_ngram_join, op9_licences, op10_sentence_pieces,
+        op11_hard_negatives, op12_warc, op13_alignment,
     )
 }
 
@@ -104,4 +121,35 @@ ORACLES = {
         SELECT s.doc_id, s.n AS n_shingles, coalesce(min(r.seen), s.doc_id) AS component_id
         FROM sizes s LEFT JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.n
     """,
+    "op11_hard_negatives": """
+        WITH base AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+          SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other,
+            list_dot_product(a.v, b.v)::BIGINT AS score
+          FROM base a JOIN base b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS (
+          SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT p.anchor_id, p.positive_id,
+          CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS INTEGER) AS rank,
+          s.other AS negative_id, p.positive_score, s.score AS negative_score
+        FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+          AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+        QUALIFY rank <= 10
+    """,
+    "op12_warc": """
+        WITH plain AS (
+          SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+          FROM pages),
+        firsts AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM plain)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+          CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM firsts
+    """,
 }
