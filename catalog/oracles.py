@@ -715,3 +715,17 @@ dirty("column_samples", union(
     f"SELECT '{c}' AS \"column\", string_agg(v, '|' ORDER BY row_id, k NULLS FIRST, v) AS sample FROM "
     f"(SELECT row_id, order_id AS k, {c} AS v FROM dirty_sales WHERE {c} IS NOT NULL "
     f"ORDER BY row_id, order_id NULLS FIRST, {c} LIMIT 5)" for c in TEXT if c != "unnamed_0"))
+
+ORACLES["quoted_csv"] = (
+    f"SELECT doc_id, CASE WHEN text NOT IN {NULL_TOKENS} THEN text END AS text, lang, source, n_chars FROM documents"
+)
+ORACLES["folder_of_layouts"] = """
+    SELECT s_suppkey AS id, s_name AS name, CAST(s_nationkey AS DOUBLE) AS nation, CAST(s_acctbal AS DOUBLE) AS balance,
+      CAST(NULL AS VARCHAR) AS segment FROM supplier
+    UNION ALL SELECT c_custkey, 'Заказчик ' || c_name, NULL, CAST(c_acctbal AS DOUBLE), c_mktsegment FROM customer
+    UNION ALL SELECT n_nationkey, n_name || chr(10) || n_regionkey, NULL, NULL, NULL FROM nation
+"""
+ORACLES["file_layouts"] = """
+    SELECT * FROM (VALUES ('utf-8', ',', 4::INTEGER, false), ('cp1251', ';', 4, false), ('utf-8', chr(9), 2, true))
+      AS t(encoding, separator, n_columns, quoted_line_breaks)
+"""

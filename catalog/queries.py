@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +17,7 @@ from gritsieve.operators.checks import run_check
 from gritsieve.operators.profile import column_profile, table_profile
 from gritsieve.plans.clean import clean_then_validate
 from gritsieve.sources import delimited
+from gritsieve.sources.staging import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,6 +123,58 @@ def empty_columns(df: DataFrame) -> DataFrame:
     return column_profile(df, "n_values").where("n_values = 0").select("column", "n_rows")
 
 
+def _written_csv(df: DataFrame, path: str, **options) -> str:
+    """A folder of delimited files that lose nothing of the cells."""
+    df.write.options(
+        header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False, **options,
+    ).csv(path)
+    return path
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def quoted_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents written as text with quoted line breaks, and read back by many tasks."""
+    path = _written_csv(table(spark, folder, "documents"), _new_folder(spark, "quoted"))
+    read = delimited.read_text_table(spark, path, delimited.sniff(spark, path))
+    return read.selectExpr(
+        "try_cast(doc_id AS BIGINT) AS doc_id", "text", "lang", "source",
+        "try_cast(n_chars AS BIGINT) AS n_chars",
+    )
+
+
+def mixed_layouts(spark: SparkSession, folder: str) -> str:
+    """Suppliers, customers and nations in one folder, each table in a layout of its own."""
+    path = _new_folder(spark, "mixed")
+    _written_csv(table(spark, folder, "supplier").selectExpr(
+        "s_suppkey AS id", "s_name AS name", "s_nationkey AS nation", "s_acctbal AS balance"
+    ), f"{path}/suppliers")
+    word = "Заказчик".encode("cp1251").decode("latin-1")  # the same bytes in a charset that Spark writes
+    _written_csv(table(spark, folder, "customer").selectExpr(
+        "c_acctbal AS balance", "c_custkey AS id", f"concat('{word} ', c_name) AS name",
+        "c_mktsegment AS segment",
+    ), f"{path}/customers", sep=";", encoding="ISO-8859-1")
+    _written_csv(table(spark, folder, "nation").selectExpr(
+        "concat(n_name, '\n', n_regionkey) AS name", "n_nationkey AS id"
+    ), f"{path}/nations", sep="\t")
+    return f"{path}/*"
+
+
+def folder_of_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of three layouts read as one table, their columns put together by name."""
+    loaded = delimited.load(spark, mixed_layouts(spark, folder))
+    return loaded.df.selectExpr("id", "name", "nation", "balance", "segment")
+
+
+def file_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """The layouts that were found in that folder."""
+    found = delimited.layouts(spark, mixed_layouts(spark, folder))
+    return found.select("encoding", "separator", "n_columns", "quoted_line_breaks").distinct()
+
+
 # Types
 
 
@@ -547,6 +601,7 @@ def column_samples(df: DataFrame) -> DataFrame:
 
 for _function in (
     null_tokens_on_load, infer_types, title_case, few_rows, date_format_ratios, best_date_format,
-    high_cardinality, ambiguous_dates, date_density, validate_lineitem,
+    high_cardinality, ambiguous_dates, date_density, validate_lineitem, quoted_csv,
+    folder_of_layouts, file_layouts,
 ):
     register(_function.__name__, _function)

@@ -375,9 +375,9 @@ def issues_frame(found: DataFrame) -> DataFrame:
 
 def single_issue(
     spark: SparkSession, check: str, section_no: int, severity: str, message: str,
-    fix_text: str = "",
+    fix_text: str = "", related: str | None = None,
 ) -> DataFrame:
-    row = (check, section_no, severity, None, None, 0.0, {}, message, fix_text, "", [], -1)
+    row = (check, section_no, severity, None, related, 0.0, {}, message, fix_text, "", [], -1)
     return issues_frame(
         spark.createDataFrame([(row,)], f"f {checks.FINDING}").select("f.*")
     )

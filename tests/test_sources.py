@@ -1,12 +1,17 @@
 from __future__ import annotations
 
+import csv
+import io
+import random
 from collections import Counter
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 
 import gritsieve
-from gritsieve.sources import delimited, staging
+from gritsieve.functions import text
+from gritsieve.sources import delimited, quoted, staging
 
 GOLDEN = "order_id,price,quantity\n1,10.5,2\n2,20.0,1\n3,,3\n"
 
@@ -154,3 +159,86 @@ def test_staging_uses_the_shared_folder(spark):
     (file, *_) = staged.inputFiles()
     assert spark.conf.get("spark.checkpoint.dir") in file
     assert staged.count() == 5
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Files are cut into ranges of a few bytes, so that records lie over many of them."""
+    names = {"spark.sql.files.maxPartitionBytes": "61", "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def as_read(cells):
+    return tuple(cell if cell not in text.CSV_NULL_TOKENS else None for cell in cells)
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+@pytest.mark.parametrize("seed", range(2))
+def test_quoted_line_breaks_over_many_ranges(spark, write, small_ranges, seed, line_end):
+    rng = random.Random(seed)
+    cells = lambda: ["".join(rng.choices('ab",\n é', k=rng.randint(0, 30))) for _ in range(3)]
+    rows = [cells() for _ in range(60)] + [["x" * 200 + "\n" * 70 + '"', "", "y"], ["1", "2", "3"]]
+    out = io.StringIO()
+    csv.writer(out, lineterminator=line_end).writerows([["first\nname", "b", "c"], *rows])
+    path = write(out.getvalue().encode())
+    layout = delimited.Layout(",", "utf-8", ("first\nname", "b", "c"), True)
+    ranges = quoted.lines(spark, path).select("start").distinct().count()
+    assert ranges > 20
+    found = delimited.read_text_table(spark, path, layout).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(map(as_read, rows), key=str)
+
+
+def test_ranges_that_begin_inside_a_cell(spark, write, small_ranges):
+    path = write('a,b\n1,"' + "long\ntext " * 30 + '"\n5" pipe,x\n' + "plain,row\n" * 20 + '"open\n')
+    states = quoted.range_states(quoted.lines(spark, path), ",").orderBy("start").collect()
+    begins = [row["begins_inside"] for row in states]
+    data = Path(path).read_bytes()
+    closing = data.index(b'"\n5"')
+    firsts = [data.index(b"\n", row["start"]) + 1 if row["start"] else 0 for row in states]  # lines, not bytes
+    assert begins == [7 < first <= closing for first in firsts] and sum(begins) > 3
+
+
+def test_state_of_a_line_is_that_of_a_csv_reader():
+    rng = random.Random(3)
+    for _ in range(3000):
+        content = "".join(rng.choices('ab,"\n', weights=[3, 2, 3, 4, 2], k=rng.randint(1, 25)))
+        inside, records = False, 0
+        for line in content.split("\n"):
+            inside = quoted.ends_inside(line.encode(), inside, b',"')
+            records += not inside
+        ended = content if inside else content + "\n"
+        assert records + inside == len(list(csv.reader(io.StringIO(ended, newline=""))))
+
+
+def test_cp1251_with_quoted_line_breaks(spark, write, small_ranges):
+    content = 'имя;n\n"два\nслова ""и"" ещё";1\nпривет;2\n\n  \n'
+    loaded = gritsieve.load(spark, write(content, encoding="cp1251"))
+    assert loaded.layout.multi_line and loaded.layout.encoding == "cp1251"
+    assert rows_of(loaded) == [("два\nслова \"и\" ещё", 1), ("привет", 2)]
+
+
+def test_carriage_returns_alone_end_lines(spark, write):
+    loaded = gritsieve.load(spark, write('a,b\r"x\ry",1\rz,2\r'))
+    assert rows_of(loaded) == [("x\ry", 1), ("z", 2)]
+
+
+def test_folder_of_files_with_layouts_of_their_own(spark, write):
+    write("id,name\n1,x\n2,y\n", "one.csv")
+    write("id,name\n5,z\n", "two words.csv")
+    path = write("name;id;more\nпривет;3;4\n", "three.csv", encoding="cp1251")
+    write("", "empty.csv")
+    loaded = gritsieve.load(spark, str(Path(path).parent))
+    assert sorted(loaded.df.select("id", "name", "more").collect()) == [
+        (1, "x", None), (2, "y", None), (3, "привет", 4.0), (5, "z", None),
+    ]
+    assert loaded.header == ("id", "name", "more") and [len(x.files) for x in loaded.layouts] == [2, 1]
+    issues = [i for i in loaded.issues.collect() if i["check"] != "file_extension"]
+    assert Counter((i["check"], i["severity"]) for i in issues) == {
+        ("files_differ", "WARNING"): 1, ("file_loaded", "INFO"): 2,
+    }
+    assert len({i["issue_id"] for i in issues}) == 3
