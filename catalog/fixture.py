@@ -89,6 +89,40 @@ DATED = {
     ),
 }
 
+_YEAR, _MONTH, _DAY = (
+    f"substring(CAST(o_orderdate AS STRING), {at}, {size})" for at, size in ((1, 4), (6, 2), (9, 2))
+)
+_NAMES = (
+    "January", "February", "March", "April", "May", "June", "July", "August", "September",
+    "October", "November", "December",
+)
+
+
+def _named_month(length: int) -> str:
+    cases = " ".join(f"WHEN '{i:02}' THEN '{name[:length]}'" for i, name in enumerate(_NAMES, start=1))
+    return f"CASE {_MONTH} {cases} END"
+
+
+# Order dates in spellings that no known format reads; the clock has noon and midnight.
+SPELLED = {
+    "o_orderkey": "o_orderkey",
+    "named_date": (
+        f"CASE o_orderkey % 5 WHEN 0 THEN concat({_DAY}, ' ', {_named_month(9)}, ' ', {_YEAR}) "
+        f"WHEN 1 THEN concat({_DAY}, '-', upper({_named_month(3)}), '-', substring({_YEAR}, 3, 2)) "
+        f"WHEN 2 THEN concat({_named_month(3)}, ' ', {_DAY}, ', ', {_YEAR}) "
+        f"WHEN 3 THEN concat({_YEAR}, {_MONTH}, {_DAY}) ELSE concat('week ', {_DAY}) END"
+    ),
+    "short_date": f"concat({_MONTH}, '/', {_DAY}, '/', substring({_YEAR}, 3, 2))",
+    "clock_date": (
+        f"concat({_DAY}, '.', {_MONTH}, '.', {_YEAR}, CASE o_orderkey % 3 WHEN 0 THEN ' 12:05 AM' "
+        "WHEN 1 THEN ' 12:05 pm' ELSE ' 07:08:09 PM' END)"
+    ),
+    "zoned_date": (
+        f"concat({_YEAR}, '-', {_MONTH}, '-', {_DAY}, 'T07:08:09.250', "
+        "CASE WHEN o_orderkey % 2 = 0 THEN '+02:30' ELSE 'Z' END)"
+    ),
+}
+
 # Orders moved to the first day of their month: many dates, few days.
 MONTHLY = {
     "o_orderkey": "o_orderkey",

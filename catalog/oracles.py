@@ -6,7 +6,9 @@ SQL does not depend on the code it checks.
 
 from __future__ import annotations
 
-from catalog.fixture import AS_OF, COLUMNS, DATED, DIRTY_SQL, MONTHLY, TOKENS, TYPED, derived_sql
+from catalog.fixture import (
+    AS_OF, COLUMNS, DATED, DIRTY_SQL, MONTHLY, SPELLED, TOKENS, TYPED, derived_sql,
+)
 
 ORACLES: dict[str, str] = {}
 
@@ -729,3 +731,47 @@ ORACLES["file_layouts"] = """
     SELECT * FROM (VALUES ('utf-8', ',', 4::INTEGER, false), ('cp1251', ';', 4, false), ('utf-8', chr(9), 2, true))
       AS t(encoding, separator, n_columns, quoted_line_breaks)
 """
+
+# Column, shape, format, and which orders have it.
+SPELLINGS = (
+    ("named_date", "%2 %B %Y", "%d %B %Y", "o_orderkey % 5 = 0 AND month(o_orderdate) <> 5"),
+    ("named_date", "%2 %b %Y", "%d %b %Y", "o_orderkey % 5 = 0 AND month(o_orderdate) = 5"),
+    ("named_date", "%2-%b-%2", "%d-%b-%y", "o_orderkey % 5 = 1"),
+    ("named_date", "%b %2, %Y", "%b %d, %Y", "o_orderkey % 5 = 2"),
+    ("named_date", "%8", "%Y%m%d", "o_orderkey % 5 = 3"),
+    ("named_date", None, None, "o_orderkey % 5 = 4"),
+    ("short_date", "%2/%2/%2", "%m/%d/%y", "true"),
+    ("clock_date", "%2.%2.%Y %2:%2 %p", "%d.%m.%Y %I:%M %p", "o_orderkey % 3 < 2"),
+    ("clock_date", "%2.%2.%Y %2:%2:%2 %p", "%d.%m.%Y %I:%M:%S %p", "o_orderkey % 3 = 2"),
+    ("zoned_date", "%Y-%2-%2T%2:%2:%2.%f%z", "%Y-%m-%dT%H:%M:%S.%f%z", "true"),
+)
+
+
+def zoned(c: str) -> str:
+    return rf"regexp_replace({c}, 'Z$', '+00:00')"
+
+
+def _text(value: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if value is None else f"'{value}'"
+
+
+ORACLES["date_shapes"] = f"WITH t AS (SELECT *, o_orderdate FROM ({derived_sql(SPELLED)}) JOIN orders USING (o_orderkey)) " + (
+    "SELECT * FROM (" + union(
+        f"SELECT '{c}' AS \"column\", {_text(s)} AS shape, {_text(f)} AS date_format, count(*) AS n_values, "
+        f"count({f'try_strptime({zoned(c)}, {_text(f)})' if f else 'NULL'}) AS n_parsed FROM t WHERE {where}"
+        for c, s, f, where in SPELLINGS
+    ) + ") WHERE n_values > 0"
+)
+_DAY = "date_trunc('day', o_orderdate)"
+ORACLES["spelled_dates"] = (
+    f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN {_DAY}::TIMESTAMP END AS named_date, "
+    f"{_DAY}::TIMESTAMP AS short_date, {_DAY} + CASE o_orderkey % 3 WHEN 0 THEN INTERVAL '00:05:00' "
+    f"WHEN 1 THEN INTERVAL '12:05:00' ELSE INTERVAL '19:08:09' END AS clock_date, "
+    f"{_DAY} + CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL '04:38:09.25' ELSE INTERVAL '07:08:09.25' END AS zoned_date "
+    "FROM orders"
+)
+ORACLES["unreadable_column"] = (
+    "SELECT * REPLACE (CASE WHEN \"check\" = 'column_types' THEN value + 1 ELSE value END AS value) "
+    f"FROM ({ORACLES['validate_report']}) "
+    "UNION ALL SELECT 'Error', 'unreadable', 'broken', 'WARNING', CAST(0 AS DOUBLE)"
+)

@@ -8,12 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import gritsieve
-from catalog.fixture import AS_OF, DATED, MONTHLY, TOKENS, TYPED, derived, dirty_sales, table
+from catalog.fixture import (
+    AS_OF, DATED, MONTHLY, SPELLED, TOKENS, TYPED, derived, dirty_sales, table,
+)
 from gritsieve import roles
 from gritsieve.functions import dates, numbers, text
 from gritsieve.functions.text import ident, literal
 from gritsieve.operators import calendar, checks, duplicates, quantiles, values
+from gritsieve.operators import date_shapes as spellings
 from gritsieve.operators.checks import run_check
+from gritsieve.operators.fixes import apply_plan
 from gritsieve.operators.profile import column_profile, table_profile
 from gritsieve.plans.clean import clean_then_validate
 from gritsieve.sources import delimited
@@ -203,6 +207,20 @@ def best_date_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SPELLED_COLUMNS = tuple(name for name in SPELLED if name != "o_orderkey")
+
+
+def date_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """How the dates of each column are spelled, and what the format of each spelling reads."""
+    return spellings.date_shapes(derived(spark, folder, SPELLED), SPELLED_COLUMNS)
+
+
+def spelled_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """All these columns converted without being told a format."""
+    plan = [("cast_to_datetime", {"col": name}) for name in SPELLED_COLUMNS]
+    return apply_plan(derived(spark, folder, SPELLED), plan)
+
+
 @query
 def text_dates(df: DataFrame) -> DataFrame:
     profile = column_profile(df, "n_values", "date_hits")
@@ -543,6 +561,12 @@ def validate_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return shown(report(table(spark, folder, "lineitem")))
 
 
+@query
+def unreadable_column(df: DataFrame) -> DataFrame:
+    """The report of a table with a column that fails in some row whenever it is read."""
+    return shown(report(df.withColumn("broken", F.expr("CAST(substring(revenue, 1, 3) AS INT)"))))
+
+
 @query
 def severity_summary(df: DataFrame) -> DataFrame:
     return gritsieve.severity_summary(report(df))
@@ -602,6 +626,6 @@ def column_samples(df: DataFrame) -> DataFrame:
 for _function in (
     null_tokens_on_load, infer_types, title_case, few_rows, date_format_ratios, best_date_format,
     high_cardinality, ambiguous_dates, date_density, validate_lineitem, quoted_csv,
-    folder_of_layouts, file_layouts,
+    folder_of_layouts, file_layouts, date_shapes, spelled_dates,
 ):
     register(_function.__name__, _function)

@@ -8,10 +8,12 @@ one-digit days and months, and does not depend on the session time zone.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from datetime import date, datetime
 
 from pyspark.sql import types as T
 
+from gritsieve.functions import date_grammar
 from gritsieve.functions.text import literal
 from gritsieve.roles import kind
 
@@ -52,6 +54,8 @@ def _shape(date_format: str) -> tuple[str, str]:
 
 def parse_format(text: str, date_format: str) -> str:
     """Timestamp by one strptime format, null where the text does not fit it."""
+    if "%%" in date_format or set(date_grammar.directives(date_format)) - set(date_grammar.BASIC):
+        return date_grammar.parse(text, date_format)
     pattern, iso_order = _shape(date_format)
     return (
         f"CASE WHEN {text} RLIKE {pattern} THEN "
@@ -59,19 +63,36 @@ def parse_format(text: str, date_format: str) -> str:
     )
 
 
+def parse_iso(text: str) -> str:
+    return f"CASE WHEN {text} RLIKE {_ISO_LIKE} THEN try_cast({text} AS TIMESTAMP_NTZ) END"
+
+
 def parse_any(text: str) -> str:
     """Timestamp by ISO spelling, else by the first known format that fits."""
-    iso = f"CASE WHEN {text} RLIKE {_ISO_LIKE} THEN try_cast({text} AS TIMESTAMP_NTZ) END"
-    return f"coalesce({', '.join([iso, *(parse_format(text, fmt) for fmt in DATE_FORMATS)])})"
+    known = (parse_format(text, fmt) for fmt in DATE_FORMATS)
+    return f"coalesce({', '.join([parse_iso(text), *known])})"
+
+
+def parse_first(text: str, formats: Sequence[str]) -> str:
+    """Timestamp by the first of the formats of a column that fits, else by ISO spelling."""
+    return f"coalesce({', '.join([*(parse_format(text, fmt) for fmt in formats), parse_iso(text)])})"
+
 
+def to_timestamp(
+    value: str, data_type: T.DataType, date_format: str | Sequence[str] | None
+) -> str:
+    """Timestamp from a column of any type; a datetime column is left alone.
 
-def to_timestamp(value: str, data_type: T.DataType, date_format: str | None) -> str:
-    """Timestamp from a column of any type; a datetime column is left alone."""
+    Without a format ISO spelling and the known ones are tried; a list of formats, as the
+    spellings of a column show them, takes their place.
+    """
     if kind(data_type) == "datetime":
         return f"CAST({value} AS TIMESTAMP_NTZ)"
     text = value if kind(data_type) == "text" else f"CAST({value} AS STRING)"
     if date_format is None or date_format == AUTO:
         return parse_any(text)
+    if not isinstance(date_format, str):
+        return parse_first(text, date_format)
     return parse_format(text, date_format)
 
 

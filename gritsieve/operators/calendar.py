@@ -45,12 +45,12 @@ def date_formats(df: DataFrame) -> dict[str, str | None]:
 
 def date_summary(
     df: DataFrame,
-    formats: Mapping[str, str | None],
+    formats: Mapping[str, str | Sequence[str] | None],
     as_of: str | date | datetime | None = None,
 ) -> DataFrame:
     """Per date column: range, days covered, future and implausibly old dates.
 
-    ``formats`` maps a column to the format of its text (None for datetime columns).
+    ``formats`` maps a column to the format or formats of its text (None for datetime columns).
     Dates are first folded to one row per calendar day inside each task, so what is
     shuffled is bounded by the days in the range, not by the rows.
     """

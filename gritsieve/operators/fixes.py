@@ -2,8 +2,9 @@
 
 A fix is a new value for one column, a condition on the rows to keep, or a change
 of the whole table. Statistics that a fix fills in come from scalar subqueries, so
-applying it starts no job; only quantiles (``fill_median``, ``cap_outliers_iqr``)
-and ``drop_empty_columns`` look at the data first.
+applying it starts no job; only quantiles (``fill_median``, ``cap_outliers_iqr``),
+``drop_empty_columns`` and dates of text columns without a given format look at the
+data first.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from gritsieve.functions import dates, numbers, text
 from gritsieve.functions.numbers import nan_to_null
 from gritsieve.functions.text import ident
 from gritsieve.operators import quantiles
+from gritsieve.operators.date_shapes import inferred_formats
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,13 @@ class Target:
     def as_text(self) -> str:
         return f"CAST({self.column} AS STRING)"
 
+    def date_format(self) -> str | tuple[str, ...] | None:
+        """The format asked for, else those that the spellings of a text column show."""
+        asked = self.params.get("format")
+        if (asked is not None and asked != dates.AUTO) or roles.kind(self.data_type) != "text":
+            return asked
+        return inferred_formats(self.df, [self.name])[self.name]
+
     def quantiles(self, *probabilities: float) -> list[float | None]:
         """Exact quantiles; the count decides how they are found."""
         values = self.df.selectExpr(f"CAST({self.number} AS DOUBLE) AS value")
@@ -156,7 +165,7 @@ def cast_to_numeric(t: Target) -> Fix:
 
 
 def cast_to_datetime(t: Target) -> Fix:
-    return column_fix(dates.to_timestamp(t.column, t.data_type, t.params.get("format")))
+    return column_fix(dates.to_timestamp(t.column, t.data_type, t.date_format()))
 
 
 def cast_to_string(t: Target) -> Fix:
@@ -221,7 +230,7 @@ def drop_full_duplicate_columns(t: Target) -> Fix:
 
 
 def drop_future_dates(t: Target) -> Fix:
-    parsed = dates.to_timestamp(t.column, t.data_type, t.params.get("format"))
+    parsed = dates.to_timestamp(t.column, t.data_type, t.date_format())
     return row_fix(f"{parsed} IS NULL OR {parsed} <= {dates.moment(t.as_of)}")
 
 

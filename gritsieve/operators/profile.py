@@ -207,17 +207,73 @@ def scan(df: DataFrame) -> tuple[list[dict], dict]:
     row = _aggregate(
         df, _column_aggregates(df, MEASURES) | _table_aggregates(df, TABLE_MEASURES)
     ).first()
-    found = row.asDict()
+    return _records(df, row.asDict())
+
+
+def _records(
+    df: DataFrame, found: dict, without: Collection[str] = ()
+) -> tuple[list[dict], dict]:
     columns = [
         _identity(position, field)
-        | {"n_rows": row["n_rows"]}
+        | {"n_rows": found["n_rows"]}
         | {name: found.get(f"{position}.{name}") for name in MEASURES}
         for position, field in enumerate(df.schema.fields)
+        if field.name not in without
     ]
-    table = {"n_rows": row["n_rows"], "n_columns": len(df.columns)}
+    table = {"n_rows": found["n_rows"], "n_columns": len(df.columns)}
     return columns, table | {name: found.get(name) for name in TABLE_MEASURES}
 
 
+def isolated_scan(df: DataFrame) -> tuple[list[dict], dict, dict[str, Exception]]:
+    """What ``scan`` gives, but without the columns that cannot be read, and what failed there.
+
+    If the one scan fails, its aggregates are halved until each failing column, or measure of
+    the table, is alone: f failures among n columns take about 2 f log n scans of ever fewer
+    columns. Measures of the table are taken over the columns that can be read. If not even
+    the rows can be counted, or no part fails by itself, the failure is raised.
+    """
+    try:
+        return *scan(df), {}
+    except Exception as error:
+        whole = error
+    try:
+        found = _aggregate(df, {}).first().asDict()
+    except Exception:
+        raise whole from None
+    units: dict[str, dict[str, str]] = {}
+    for position, field in enumerate(df.schema.fields):
+        prefix = f"{position}."
+        units[field.name] = {
+            name: aggregate for name, aggregate in _column_aggregates(df, MEASURES).items() if name.startswith(prefix)
+        }
+    failures = _halved(df, units, found)
+    readable = df.select(*(ident(name) for name in df.columns if name not in failures))
+    table_units = {name: TABLE_MEASURES[name](readable) for name in TABLE_MEASURES}
+    failures |= _halved(readable, {name: unit for name, unit in table_units.items() if unit}, found)
+    if not failures:
+        raise whole
+    return *_records(df, found, failures), failures
+
+
+def _halved(df: DataFrame, units: dict[str, dict[str, str]], found: dict) -> dict[str, Exception]:
+    """Take the aggregates of all units into ``found``; the units that fail, with why."""
+    if not units:
+        return {}
+    try:
+        merged = {name: aggregate for unit in units.values() for name, aggregate in unit.items()}
+        found.update(_aggregate(df, merged).first().asDict())
+        return {}
+    except Exception as error:
+        names = list(units)
+        if len(names) == 1:
+            return {names[0]: error}
+    middle = len(names) // 2
+    failures = {}
+    for half in (names[:middle], names[middle:]):
+        failures |= _halved(df, {name: units[name] for name in half}, found)
+    return failures
+
+
 def _identity(position: int, field: T.StructField) -> dict:
     return {
         "position": position,

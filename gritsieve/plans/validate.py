@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gritsieve import roles
+from gritsieve.functions import dates
 from gritsieve.functions.numbers import nan_to_null
-from gritsieve.functions.text import literal, one_of
-from gritsieve.operators import calendar, checks, duplicates, profile, quantiles, values
+from gritsieve.functions.text import ident, literal, one_of
+from gritsieve.operators import (
+    calendar, checks, date_shapes, duplicates, profile, quantiles, values,
+)
 
 COLUMNS_FRAME = (
     "position int, column string, kind string, type string, n_rows bigint, "
@@ -68,6 +71,15 @@ def unique_names(names: Sequence[str]) -> list[str]:
     return result
 
 
+def _sections_of(field: T.StructField) -> set[int]:
+    """The sections that cannot be said to be all right without a column."""
+    roles_of = {
+        5: roles.kind(field.dataType) == "numeric", 6: roles.is_category_name(field.name),
+        7: roles.is_date(field), 8: roles.is_id(field.name), 9: roles.is_numeric_name(field.name),
+    }
+    return {2, 3, 4} | {section for section, applies in roles_of.items() if applies}
+
+
 class _Measurements:
     """The records of one table, filled in pass by pass."""
 
@@ -86,7 +98,9 @@ class _Measurements:
         self.columns: dict[str, dict] = {}
         self.links: list[dict] = []
         self.errors: list[tuple[str, str]] = []
+        self.unread: list[tuple[str, str]] = []  # columns or measures that failed, and why
         self.withheld: set[int] = set()
+        self.spelled: dict[str, tuple[str, ...]] = {}  # formats of dates in other spellings
         counts = Counter(header)
         self.table: dict = {
             "n_columns": len(df.columns),
@@ -110,12 +124,15 @@ class _Measurements:
     def run(self) -> None:
         """The scan first, then the passes that build on it, several jobs at a time.
 
+        A column that cannot be read is left out of all of them and reported.
+
         A pass that fails is reported and the others go on; the sections it serves
         get no closing OK.
         """
         self._attempt(self.scan, ())
         if self.errors:
             return
+        self._attempt(self.spellings, ())
         passes: tuple[tuple[Callable[[], None], tuple[int, ...]], ...] = (
             (self.categories_and_keys, (6, 8, 9)),
             (self.duplicates, ()),
@@ -148,9 +165,16 @@ class _Measurements:
         return [name for name, record in self.columns.items() if test(record)]
 
     def scan(self) -> None:
-        columns, table = profile.scan(self.df)
+        columns, table, failures = profile.isolated_scan(self.df)
         self.columns = {record["column"]: record for record in columns}
         self.table.update(table)
+        unread = [field for field in self.df.schema.fields if field.name in failures]
+        for name, error in failures.items():
+            self.unread.append((name, f"{type(error).__name__}: {error}"))
+        for field in unread:
+            self.withheld.update(_sections_of(field))
+        if unread:
+            self.df = self.df.select(*(ident(name) for name in self.columns))
         missing = {name: c["n_rows"] - c["n_values"] for name, c in self.columns.items()}
         self.table["empty_columns"] = self._named(lambda c: c["n_values"] == 0)
         self.table["null_columns"] = [
@@ -162,6 +186,23 @@ class _Measurements:
             {"column": name, "n": c["n_pseudo"]} for name, c in self.columns.items() if c["n_pseudo"]
         ]
 
+    def spellings(self) -> None:
+        """Look closer at text that is named like a date and no known format reads well."""
+        names = self._named(
+            lambda c: c["kind"] == "text"
+            and c["date_hits"] is not None
+            and not calendar.usable_format(c["date_hits"], c["n_values"])[1]
+            and c["n_values"] > 0
+        )
+        if not names:
+            return
+        for name, (formats, n_parsed) in date_shapes.spelled_dates(self.df, names).items():
+            hits = list(self.columns[name]["date_hits"])
+            if n_parsed > max(hits):
+                hits[dates.CANDIDATES.index(dates.AUTO)] = n_parsed
+                self.columns[name]["date_hits"] = hits
+                self.spelled[name] = formats
+
     def categories(self) -> None:
         candidates = self._named(
             lambda c: roles.is_category_name(c["column"])
@@ -274,7 +315,7 @@ class _Measurements:
             found, enough = calendar.usable_format(record["date_hits"], record["n_values"])
             record["date_format"] = found
             if enough:
-                formats[field.name] = found
+                formats[field.name] = self.spelled.get(field.name, found)
         if formats:
             self._merge(calendar.date_summary(self.df, formats, self.as_of))
 
@@ -375,9 +416,9 @@ def issues_frame(found: DataFrame) -> DataFrame:
 
 def single_issue(
     spark: SparkSession, check: str, section_no: int, severity: str, message: str,
-    fix_text: str = "", related: str | None = None,
+    fix_text: str = "", column: str | None = None, related: str | None = None,
 ) -> DataFrame:
-    row = (check, section_no, severity, None, related, 0.0, {}, message, fix_text, "", [], -1)
+    row = (check, section_no, severity, column, related, 0.0, {}, message, fix_text, "", [], -1)
     return issues_frame(
         spark.createDataFrame([(row,)], f"f {checks.FINDING}").select("f.*")
     )
@@ -416,7 +457,11 @@ def validate(
         found = _local(found.unionAll(_closings(found, frames["table"], measured.withheld)))
     spark = df.sparkSession
     result = None if found is None else issues_frame(found)
-    for name, message in measured.errors:
-        error = single_issue(spark, "error", 0, "WARNING", f"Step {name} failed: {message}")
+    failed = [("error", None, f"Step {name} failed: {message}") for name, message in measured.errors]
+    failed += [
+        ("unreadable", name, f"'{name}' could not be measured: {message}") for name, message in measured.unread
+    ]
+    for check, name, message in failed:
+        error = single_issue(spark, check, 0, "WARNING", message, column=name)
         result = error if result is None else result.unionAll(error)
     return result

@@ -6,8 +6,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import types as T
 
-from gritsieve import roles
-from gritsieve.functions import dates, numbers, text
+from gritsieve import roles, validate
+from gritsieve.functions import date_grammar, dates, numbers, text
+from gritsieve.operators import date_shapes
 
 
 @pytest.mark.parametrize(
@@ -167,3 +168,90 @@ def test_earlier_format_wins_ties(spark):
 def test_whole_days_between(spark):
     days = dates.days_between("timestamp_ntz'2020-01-01 23:00:00'", "timestamp_ntz'2020-01-03 01:00:00'")
     assert spark.range(1).selectExpr(days).first()[0] == 1
+
+
+MOMENT = datetime(2020, 6, 5, 19, 8, 9, 250000)
+
+
+@pytest.mark.parametrize("moment", [MOMENT, datetime(1969, 12, 31, 0, 0, 59), datetime(2068, 2, 29, 12, 30)])
+@pytest.mark.parametrize(
+    "fmt",
+    [
+        "%d %b %Y", "%B %d, %Y", "%d-%b-%y", "%m/%d/%y", "%y%m%d", "%Y%m%d", "%Y-%j", "%j/%Y", "%a, %d %b %Y", "%A %d %B %Y",
+        "%d.%m.%Y %I:%M %p", "%I:%M:%S %p on %d %B %Y", "%Y-%m-%dT%H:%M:%S.%f", "%b %Y", "%H:%M", "100%% %Y",
+    ],
+)
+def test_any_strptime_format(evaluate, fmt, moment):
+    shown = moment.strftime(fmt)
+    found = evaluate(dates.parse_format("v", fmt), [shown, shown.upper(), shown.lower(), shown + "x", "", None])
+    expected = datetime.strptime(shown, fmt)
+    assert found[3:] == [None, None, None] and found[0] == expected
+    assert {found[1], found[2]} <= {expected} | ({None} if "T%H" in fmt or " on " in fmt else set())
+
+
+def test_zones_are_moved_to_utc(evaluate):
+    values = ["5 Jan 2020 01:30 +0230", "5 Jan 2020 23:30 -01:00", "5 Jan 2020 01:30 Z", "5 Jan 2020 01:30 utc", "5 Jan 2020 01:30"]
+    assert evaluate(dates.parse_format("v", "%d %b %Y %H:%M %z"), values) == [
+        datetime(2020, 1, 4, 23, 0), datetime(2020, 1, 6, 0, 30), datetime(2020, 1, 5, 1, 30), datetime(2020, 1, 5, 1, 30), None,
+    ]
+
+
+def test_impossible_parts_are_null(evaluate):
+    assert evaluate(dates.parse_format("v", "%d %b %Y"), ["30 Feb 2020", "29 Feb 2020", "5 Foo 2020", "5 January 2020"]) == [
+        None, datetime(2020, 2, 29), None, None,
+    ]
+    assert evaluate(dates.parse_format("v", "%Y-%j"), ["2020-366", "2021-366", "2020-0"]) == [datetime(2020, 12, 31), None, None]
+    assert evaluate(dates.parse_format("v", "%d.%m.%Y %I %p"), ["1.1.2020 12 AM", "1.1.2020 13 AM", "1.1.2020 12 PM"]) == [
+        datetime(2020, 1, 1), None, datetime(2020, 1, 1, 12),
+    ]
+
+
+@pytest.mark.parametrize("fmt", ["%Q", "%d %d", "%H %I", "%B %b", "%Y %y", "%j %m %Y", "%p", "no directive", "%a"])
+def test_formats_that_cannot_be_read(fmt):
+    with pytest.raises(ValueError):
+        dates.parse_format("v", fmt)
+
+
+def test_shapes(evaluate):
+    expected = {
+        "5 Jan 2020": "%2 %b %Y", "January 5, 2020": "%B %2, %Y", "05-JAN-20": "%2-%b-%2", "20200105": "%8", "2020-061": "%Y-%j",
+        "Mon, 05 Feb 2020 07:08:09 PM": "%a, %2 %b %Y %2:%2:%2 %p", "2020-01-05T07:08:09.123+02:00": "%Y-%2-%2T%2:%2:%2.%f%z",
+        "7 May 1999 11:59pm": "%2 %b %Y %2:%2%p", "2020-01-05 07:08Z": "%Y-%2-%2 %2:%2%z", "05Jan2020": "%2%b%Y",
+        "soon": "", "12 bananas": "", "mayor 5": "", " 5 Jan 2020": "", "12345": "", "": "", "100%": None,
+    }
+    assert evaluate(date_grammar.shape("v"), list(expected)) == list(expected.values())
+
+
+@pytest.mark.parametrize(
+    ("shape", "formats"),
+    [
+        ("%2/%2/%Y", ("%d/%m/%Y", "%m/%d/%Y")), ("%2.%2.%2 %2:%2", ("%d.%m.%y %H:%M", "%m.%d.%y %H:%M")), ("%8", ("%Y%m%d",)),
+        ("%a, %2 %B %Y %2:%2:%2.%f %p %z", ("%a, %d %B %Y %I:%M:%S.%f %p %z",)), ("%2:%2", ()), ("%2 %2", ()), ("%a", ()),
+        ("%Y-%2-%2T%2:%2%z", ("%Y-%m-%dT%H:%M%z",)), ("%b %Y", ("%b %Y",)), ("%2 %a %Y", ()),
+    ],
+)
+def test_formats_of_shapes(shape, formats):
+    assert date_grammar.formats_of(shape) == formats
+    for fmt in formats:
+        dates.parse_format("v", fmt)
+
+
+@pytest.mark.parametrize(
+    ("values", "formats"),
+    [
+        (["01/02/2020", "13/02/2020"], ("%d/%m/%Y",)), (["01/02/2020", "02/13/2020"], ("%m/%d/%Y",)),
+        (["01/02/2020"], ("%d/%m/%Y",)), (["01/02/20"], ("%m/%d/%y",)), (["01/02/20", "01/13/2020", "01/02/2020"], ("%m/%d/%Y", "%m/%d/%y")),
+        (["01/02/20", "13/02/2020", "01/02/2020"], ("%d/%m/%Y", "%d/%m/%y")), (["soon", None], ()),
+    ],
+)
+def test_the_column_decides_which_is_the_day(spark, values, formats):
+    df = spark.createDataFrame([(v,) for v in values], "when string")
+    assert date_shapes.inferred_formats(df, ["when"]) == {"when": formats}
+
+
+def test_validation_reads_dates_in_other_spellings(spark):
+    rows = [(i, f"{1 + i % 28} {['Jan', 'Feb', 'March'][i % 3]} 2020") for i in range(40)]
+    issues = validate(spark.createDataFrame(rows, "n int, order_date string"), as_of="2026-01-01").collect()
+    found = {i["check"]: i for i in issues if i["column"] == "order_date"}
+    assert "date_parse_ratio" not in found and not [i for i in issues if i["section"] == "Error"]
+    assert found["text_dates"]["severity"] == "WARNING" and found["date_range"]["value"] == (datetime(2020, 3, 27) - datetime(2020, 1, 1)).days

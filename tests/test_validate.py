@@ -6,6 +6,7 @@ import pytest
 
 import gritsieve
 from gritsieve.operators import calendar, duplicates, profile
+from catalog.queries import shown
 from gritsieve.plans.validate import unique_names, validate
 
 AS_OF = "2026-01-01"
@@ -285,3 +286,42 @@ def test_clean_then_validate(frame):
     assert not {"pseudo_nulls", "text_numbers"} & {i["check"] for i in after}
     assert cleaned.count() == 20
     assert only(after, "full_duplicates")["severity"] == "OK"
+
+
+def broken(name, kind="INT"):
+    return f"CAST(concat('x', order_id) AS {kind}) AS {name}"
+
+
+def found_in(df):
+    return sorted(map(str, shown(validate(df, as_of="2026-01-01")).collect()))
+
+
+@pytest.mark.parametrize("count", [1, 3])
+def test_columns_that_cannot_be_read_leave_the_rest(spark, frame, count):
+    rows = [(i, f"c{i % 3}", float(i % 7) - 1, f"2020-01-{1 + i % 28:02}") for i in range(60)]
+    df = frame(rows, "order_id int, category string, price double, order_date string")
+    names = [f"broken_{i}" for i in range(count)]
+    both = df.selectExpr("order_id", *(broken(name) for name in names), "category", "price", "order_date")
+    whole = {x for x in found_in(df) if "column_types" not in x and "section_ok" not in x}
+    found = validate(both, as_of="2026-01-01").collect()
+    errors = [i for i in found if i["section"] == "Error"]
+    assert [(i["check"], i["column"], i["severity"]) for i in errors] == [("unreadable", name, "WARNING") for name in names]
+    assert len({i["issue_id"] for i in found}) == len(found)
+    rest = {x for x in found_in(both) if "column_types" not in x and "section_ok" not in x and "unreadable" not in x}
+    assert rest == whole
+    closed = {i["section_no"] for i in found if i["check"] == "section_ok"}
+    assert 3 not in closed and 1 in closed  # nothing is said to be all right that was not measured
+
+
+def test_rows_that_cannot_be_counted_are_one_failure(spark):
+    df = spark.range(10).where("CAST(concat('x', id) AS INT) > 1").selectExpr("id", "id AS price")
+    found = validate(df).collect()
+    assert [(i["section"], i["check"], i["severity"]) for i in found] == [("Error", "error", "WARNING")]
+
+
+def test_a_rule_that_fails_leaves_the_columns(frame, monkeypatch):
+    monkeypatch.setitem(profile.TABLE_MEASURES, "n_mismatch", lambda df: {"n_mismatch": "CAST(concat('x', max(price)) AS BIGINT)"})
+    df = frame([(1, 2.0), (2, 3.0)], "order_id int, price double")
+    found = validate(df).collect()
+    assert [(i["check"], i["column"]) for i in found if i["section"] == "Error"] == [("unreadable", "n_mismatch")]
+    assert [i for i in found if i["check"] == "shape"]
