@@ -713,6 +713,34 @@ ORACLES["clean_then_validate"] = (
     ) + " SELECT * FROM issues"
 )
 
+_OUTCOMES = (  # fix, column, rows before and after, values changed, columns dropped
+    ("drop_full_duplicates", None, "r0", "r1", "0", "0"),
+    ("replace_pseudo_nulls", "category", "r1", "r1",
+     f"(SELECT count(*) FROM first WHERE {normal('category')} IN {PLACEHOLDERS})", "0"),
+    ("strip_lowercase", "category", "r1", "r1",
+     f"(SELECT count(*) FROM first WHERE {normal('category')} NOT IN {PLACEHOLDERS} "
+     f"AND category <> {normal('category')})", "0"),
+    ("cast_to_numeric", "revenue", "r1", "r1", "(SELECT count(revenue) FROM first)", "0"),
+    ("cast_to_datetime", "order_date", "r1", "r1", "(SELECT count(order_date) FROM first)", "0"),
+    ("drop_future_dates", "order_date", "r1", "r2", "0", "0"),
+    ("drop_negative_rows", "quantity", "r2", "r3", "0", "0"),
+    ("cap_outliers_iqr", "price", "r3", "r3",
+     f"(SELECT count(*) FROM third WHERE price <> {capped('third')})", "0"),
+    ("fill_median", "price", "r3", "r3", "(SELECT count(*) FROM fourth WHERE price IS NULL)", "0"),
+    ("drop_empty_columns", None, "r3", "r3", "0", "1"),
+)
+ORACLES["plan_outcomes"] = (
+    f"WITH dirty_sales AS ({DIRTY_SQL}), {_CLEAN}, r AS (SELECT (SELECT count(*) FROM dirty_sales) AS r0, "
+    "(SELECT count(*) FROM first) AS r1, (SELECT count(*) FROM second WHERE order_date IS NULL OR "
+    f"order_date <= TIMESTAMP '{AS_OF}') AS r2, (SELECT count(*) FROM third) AS r3) " + union(
+        f"SELECT CAST({place} AS INTEGER) AS position, '{fix}' AS fix_id, "
+        f"{f"'{c}'" if c else 'CAST(NULL AS VARCHAR)'} AS \"column\", CAST({before} AS BIGINT) AS rows_before, "
+        f"CAST({after} AS BIGINT) AS rows_after, CAST({before} - {after} AS BIGINT) AS rows_dropped, "
+        f"CAST({changed} AS BIGINT) AS values_changed, CAST({dropped} AS BIGINT) AS columns_dropped FROM r"
+        for place, (fix, c, before, after, changed, dropped) in enumerate(_OUTCOMES, start=1)
+    )
+)
+
 dirty("column_samples", union(
     f"SELECT '{c}' AS \"column\", string_agg(v, '|' ORDER BY row_id, k NULLS FIRST, v) AS sample FROM "
     f"(SELECT row_id, order_id AS k, {c} AS v FROM dirty_sales WHERE {c} IS NOT NULL "

@@ -19,7 +19,7 @@ from gritsieve.operators import date_shapes as spellings
 from gritsieve.operators.checks import run_check
 from gritsieve.operators.fixes import apply_plan
 from gritsieve.operators.profile import column_profile, table_profile
-from gritsieve.plans.clean import clean_then_validate
+from gritsieve.plans.clean import clean, clean_then_validate
 from gritsieve.sources import delimited
 from gritsieve.sources.staging import shared_folder
 
@@ -614,6 +614,12 @@ def clean_and_report(df: DataFrame) -> DataFrame:
 register("clean_then_validate", on_dirty(clean_and_report))
 
 
+@query
+def plan_outcomes(df: DataFrame) -> DataFrame:
+    """What each fix of that plan did, counted while the cleaned table was written."""
+    return clean(df, PLAN, as_of=AS_OF, order_by=ROW_ORDER)[1]
+
+
 @query
 def column_samples(df: DataFrame) -> DataFrame:
     """The first five values of each text column in row order."""

@@ -1,7 +1,7 @@
 """Checks and cleaning for tables in Spark."""
 
 from gritsieve.operators.fixes import apply_fix, apply_plan, audit
-from gritsieve.plans.clean import clean_then_validate
+from gritsieve.plans.clean import clean, clean_then_validate
 from gritsieve.plans.report import (
     ordered, overall_status, section_status, severity_summary, with_severity,
 )
@@ -10,7 +10,7 @@ from gritsieve.sources.delimited import load, preview, validate_file, write_clea
 from gritsieve.sources.staging import stage
 
 __all__ = [
-    "apply_fix", "apply_plan", "audit", "clean_then_validate", "load", "ordered",
+    "apply_fix", "apply_plan", "audit", "clean", "clean_then_validate", "load", "ordered",
     "overall_status", "preview", "section_status", "severity_summary", "stage", "validate",
     "validate_file", "with_severity", "write_cleaned",
 ]

@@ -10,10 +10,10 @@ data first.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from gritsieve import roles
 from gritsieve.functions import dates, numbers, text
@@ -305,11 +305,14 @@ def apply_plan(
     as_of: str | date | datetime | None = None,
     order_by: Sequence[str] = (),
     stage: Callable[[DataFrame], DataFrame] | None = None,
+    watch: list[Watched] | None = None,
 ) -> DataFrame:
     """Apply a list of (fix_id, params) in order. Float NaN counts as missing throughout.
 
     With ``stage`` the table is written after a shuffle of whole rows when the next
     fixes need a statistic of it, so that the shuffle is not repeated for each one.
+    ``watch`` is a list that gets a ``Watched`` for each fix: counts that are taken while
+    the result is computed.
     """
     unknown = [fix_id for fix_id, _ in plan if fix_id not in FIXES]
     if unknown:
@@ -321,10 +324,67 @@ def apply_plan(
         if stage is not None and shuffled and fix_id in LOOKS_FIRST:
             df, shuffled = stage(df), False
         shuffled = shuffled or fix_id in SHUFFLES
-        df = _apply(*_prepare(df, fix_id, params, as_of, order_by))
+        target, fix = _prepare(df, fix_id, params, as_of, order_by)
+        if watch is None:
+            df = _apply(target, fix)
+        else:
+            watched, df = _watched(fix_id, target, fix)
+            watch.append(watched)
     return df
 
 
+@dataclass(frozen=True)
+class Watched:
+    """The counts of one fix, known once the table behind it has been computed."""
+
+    fix_id: str
+    column: str | None
+    columns_dropped: int
+    before: Observation
+    after: Observation | None = None
+
+    def counts(self) -> dict[str, int]:
+        """rows_before, rows_after and values_changed; waits for the first computation."""
+        found = dict(self.before.get)
+        return found if self.after is None else found | self.after.get
+
+
+def _watched(fix_id: str, target: Target, fix: Fix) -> tuple[Watched, DataFrame]:
+    """Apply a fix between counters. They stand in the plan itself, so nothing is read for
+    them, and no column is needed that the fix does not need."""
+    rows, none = F.count(F.lit(1)), F.count(F.lit(None))
+    before = Observation()
+
+    def counted(df: DataFrame, kept: Column, changed: Column) -> DataFrame:
+        return df.observe(
+            before, rows.alias("rows_before"), kept.alias("rows_after"), changed.alias("values_changed")
+        )
+
+    if isinstance(fix, TableFix):
+        dropped = len(target.df.columns) - len(fix.result.columns)
+        if fix_id not in SHUFFLES:  # all rows stay
+            return Watched(fix_id, target.name, dropped, before), counted(fix.result, rows, none)
+        after = Observation()
+        fix = FIXES[fix_id](replace(target, df=counted(target.df, rows, none)))
+        result = fix.result.observe(after, rows.alias("rows_after"))
+        return Watched(fix_id, target.name, dropped, before, after), result
+    if isinstance(fix, RowFix):
+        df = counted(target.df, F.count(F.when(fix.keep, True)), none)
+    else:
+        df = counted(target.df, rows, _changed(target, fix))
+    return Watched(fix_id, target.name, 0, before), _apply(replace(target, df=df), fix)
+
+
+def _changed(target: Target, fix: ColumnFix) -> Column:
+    """How many values a fix changes; across types, by their text."""
+    after = fix.value
+    if target.df.select(after).schema[0].dataType == target.data_type:
+        same = F.expr(target.column).eqNullSafe(after)
+    else:
+        same = F.expr(target.as_text).eqNullSafe(after.cast("string"))
+    return F.count(F.when(~same, True))
+
+
 def audit(
     df: DataFrame,
     fix_id: str,
@@ -342,12 +402,7 @@ def audit(
     columns_after = len(df.columns)
     rows_after, changed, statistic = F.expr("count(1)"), F.expr("0L"), F.expr("NULL")
     if isinstance(fix, ColumnFix):
-        after = fix.value
-        if target.df.select(after).schema[0].dataType == target.data_type:
-            same = F.expr(target.column).eqNullSafe(after)
-        else:
-            same = F.expr(target.as_text).eqNullSafe(after.cast("string"))
-        changed = F.count(F.when(~same, True))
+        changed = _changed(target, fix)
         if fix.statistic is not None:
             statistic = F.first(fix.statistic)
     elif isinstance(fix, RowFix):

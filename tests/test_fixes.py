@@ -5,8 +5,11 @@ from datetime import datetime
 import pytest
 
 import gritsieve
+from catalog.fixture import dirty_sales
+from catalog.queries import AUDITED, PLAN, ROW_ORDER
 from gritsieve.operators import fixes
-from gritsieve.operators.fixes import FIXES, WITHOUT_COLUMN
+from gritsieve.operators.fixes import FIXES, WITHOUT_COLUMN, Watched
+from gritsieve.plans.clean import told
 
 AS_OF = "2026-01-01"
 NAN = float("nan")
@@ -231,3 +234,36 @@ def test_audit(numbers, fix_id, params, dropped, changed, columns):
 
 def test_audit_tells_the_statistic(numbers):
     assert gritsieve.audit(numbers, "fill_mean", {"col": "x"}).first()["statistic"] == "1.5"
+
+
+def test_outcomes_are_those_of_single_audits(spark):
+    df = dirty_sales(spark, "/root/testdata/sf0.001")
+    for fix_id, params in (*AUDITED, ("drop_column", {"col": "price"}), ("fill_median", {"col": "price"}), ("cast_to_string", {"col": "price"})):
+        cleaned, outcomes = gritsieve.clean(df, [(fix_id, params)], as_of=AS_OF, order_by=ROW_ORDER)
+        wanted = gritsieve.audit(df, fix_id, params, as_of=AS_OF, order_by=ROW_ORDER).first()
+        found = outcomes.first()
+        for name in ("fix_id", "column", "rows_before", "rows_after", "rows_dropped", "values_changed", "columns_dropped"):
+            assert found[name] == wanted[name], (fix_id, name)
+        expected = gritsieve.apply_fix(df, fix_id, params, as_of=AS_OF, order_by=ROW_ORDER)
+        assert sorted(map(str, cleaned.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_outcomes_that_do_not_fit_are_counted_again(spark, monkeypatch):
+    df = dirty_sales(spark, "/root/testdata/sf0.001")
+    plan = PLAN[:7]
+    _, expected = gritsieve.clean(df, plan, as_of=AS_OF, order_by=ROW_ORDER)
+    counted = Watched.counts
+
+    def twice(self):  # as if tasks of the first stage had run again
+        found = counted(self)
+        return found | {"rows_before": found["rows_before"] + 5} if self.fix_id == "drop_full_duplicates" else found | {"rows_after": found["rows_after"] + 7}
+
+    monkeypatch.setattr(Watched, "counts", twice)
+    _, found = gritsieve.clean(df, plan, as_of=AS_OF, order_by=ROW_ORDER)
+    assert found.collect() == expected.collect()
+    assert told(found).first()["message"] == "drop_full_duplicates: 3 rows dropped, 0 values changed, 0 columns dropped"
+
+
+def test_an_empty_plan_has_no_outcomes(spark):
+    cleaned, outcomes = gritsieve.clean(spark.range(3), [])
+    assert cleaned.count() == 3 and outcomes.count() == 0
