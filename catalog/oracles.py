@@ -803,3 +803,4 @@ ORACLES["unreadable_column"] = (
     f"FROM ({ORACLES['validate_report']}) "
     "UNION ALL SELECT 'Error', 'unreadable', 'broken', 'WARNING', CAST(0 AS DOUBLE)"
 )
+ORACLES["revalidated_plan"] = ORACLES["clean_then_validate"]

@@ -614,6 +614,15 @@ def clean_and_report(df: DataFrame) -> DataFrame:
 register("clean_then_validate", on_dirty(clean_and_report))
 
 
+@query
+def revalidated_plan(df: DataFrame) -> DataFrame:
+    """The report after that plan, measured again after each fix as far as the fix reaches."""
+    state = gritsieve.measured(df, as_of=AS_OF, order_by=ROW_ORDER)
+    for fix_id, params in PLAN:
+        state = gritsieve.revalidated(state, fix_id, params)
+    return shown(state.issues)
+
+
 @query
 def plan_outcomes(df: DataFrame) -> DataFrame:
     """What each fix of that plan did, counted while the cleaned table was written."""

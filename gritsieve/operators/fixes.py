@@ -248,6 +248,13 @@ FIXES: dict[str, Callable[[Target], Fix]] = {
 # Fixes that shuffle whole rows, and fixes that look at the table before they change it.
 SHUFFLES = ("drop_full_duplicates", "drop_col_duplicates")
 LOOKS_FIRST = ("fill_mean", "fill_median", "fill_mode", "cap_outliers_iqr", "drop_empty_columns")
+# Fixes that change the values of one column, and fixes that only take columns away.
+COLUMN_FIXES = (
+    "fill_mean", "fill_median", "fill_mode", "fill_zero", "fill_unknown", "cast_to_numeric",
+    "cast_to_datetime", "cast_to_string", "strip_lowercase", "strip_titlecase",
+    "replace_pseudo_nulls", "abs_negative", "cap_outliers_iqr", "percent_divide_100",
+)
+COLUMN_DROPS = ("drop_column", "drop_empty_columns")
 WITHOUT_COLUMN = ("drop_full_duplicates", "drop_empty_columns", "drop_full_duplicate_columns")
 
 

@@ -255,6 +255,21 @@ def isolated_scan(df: DataFrame) -> tuple[list[dict], dict, dict[str, Exception]
     return *_records(df, found, failures), failures
 
 
+def measured(
+    df: DataFrame, names: Collection[str], table_measures: Iterable[str]
+) -> tuple[dict[str, dict], dict]:
+    """The measures of some columns, and some of the table, from one scan of what they need."""
+    own = df.select(*(ident(name) for name in names))
+    aggregates = _column_aggregates(own, MEASURES)
+    rules = _table_aggregates(df, table_measures)
+    found = dict.fromkeys(table_measures)
+    if not aggregates and not rules:
+        return {}, found
+    row = _aggregate(df, aggregates | rules).first().asDict()
+    columns, _ = _records(own, row)
+    return {record["column"]: record for record in columns}, found | {name: row[name] for name in rules}
+
+
 def _halved(df: DataFrame, units: dict[str, dict[str, str]], found: dict) -> dict[str, Exception]:
     """Take the aggregates of all units into ``found``; the units that fail, with why."""
     if not units:

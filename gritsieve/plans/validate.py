@@ -8,8 +8,9 @@ make up three small frames, and the checks run over them.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Collection, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from datetime import date, datetime
 from functools import cache
 
@@ -25,6 +26,8 @@ from gritsieve.functions.text import ident, literal, one_of
 from gritsieve.operators import (
     calendar, checks, date_shapes, duplicates, profile, quantiles, values,
 )
+from gritsieve.operators.fixes import COLUMN_DROPS, COLUMN_FIXES, SHUFFLES, apply_fix
+from gritsieve.sources.staging import stage
 
 COLUMNS_FRAME = (
     "position int, column string, kind string, type string, n_rows bigint, "
@@ -90,13 +93,19 @@ class _Measurements:
         expected_columns: Sequence[str],
         as_of: str | date | datetime | None,
         order_by: Sequence[str],
+        before: _Measurements | None = None,
+        touched: Collection[str] | None = None,
     ):
+        self.before = before  # of the same rows, with other values in the touched columns
+        self.touched = None if touched is None else set(touched)
         self.df = df
         self.spark = df.sparkSession
         self.as_of = as_of
         self.order_by = order_by
         self.columns: dict[str, dict] = {}
         self.links: list[dict] = []
+        self.wanted: dict[str, list[str]] = {}  # keys and the categories they are held against
+        self.rule: tuple[str, str] | None = None  # product and category column
         self.errors: list[tuple[str, str]] = []
         self.unread: list[tuple[str, str]] = []  # columns or measures that failed, and why
         self.withheld: set[int] = set()
@@ -164,7 +173,42 @@ class _Measurements:
     def _named(self, test: Callable[[dict], bool]) -> list[str]:
         return [name for name, record in self.columns.items() if test(record)]
 
+    def is_touched(self, name: str) -> bool:
+        return self.touched is None or name in self.touched
+
+    def differs(self, names: Collection[str] | None, before: Collection[str] | None) -> bool:
+        """Whether a measure of these columns has to be taken again."""
+        return self.touched is None or names != before or any(map(self.is_touched, names or ()))
+
+    def rescan(self) -> None:
+        """Measure the touched columns, and what the table's measures share with them."""
+        before = self.before
+        old_rules, rules = (
+            {"n_mismatch": profile.total_rule(df), "n_discount_ignored": profile.discount_rule(df)}
+            for df in (before.df, self.df)
+        )
+        columns_of = lambda rule: tuple(rule.values()) if isinstance(rule, dict) else rule
+        again = [
+            name for name, rule in rules.items() if self.differs(columns_of(rule), columns_of(old_rules[name]))
+        ]
+        names = [name for name in self.df.columns if name in self.touched]
+        found = profile.measured(self.df, names, again)
+        for position, name in enumerate(self.df.columns):
+            record = found[0].get(name) or {**before.columns[name]}
+            self.columns[name] = record | {"position": position, "n_rows": before.table["n_rows"]}
+        self.table.update({name: before.table.get(name) for name in (*profile.TABLE_MEASURES, "n_rows")})
+        self.table.update(found[1])
+        gaps = any(self.columns[name]["n_values"] != before.columns[name]["n_values"] for name in names)
+        if gaps or len(self.df.columns) != len(before.df.columns):
+            self.table.update(profile.measured(self.df, (), ("n_mostly_empty",))[1])
+        for name, formats in before.spelled.items():
+            if name in self.columns and name not in self.touched:
+                self.spelled[name] = formats
+        self._name_gaps()
+
     def scan(self) -> None:
+        if self.before is not None:
+            return self.rescan()
         columns, table, failures = profile.isolated_scan(self.df)
         self.columns = {record["column"]: record for record in columns}
         self.table.update(table)
@@ -175,6 +219,9 @@ class _Measurements:
             self.withheld.update(_sections_of(field))
         if unread:
             self.df = self.df.select(*(ident(name) for name in self.columns))
+        self._name_gaps()
+
+    def _name_gaps(self) -> None:
         missing = {name: c["n_rows"] - c["n_values"] for name, c in self.columns.items()}
         self.table["empty_columns"] = self._named(lambda c: c["n_values"] == 0)
         self.table["null_columns"] = [
@@ -189,7 +236,8 @@ class _Measurements:
     def spellings(self) -> None:
         """Look closer at text that is named like a date and no known format reads well."""
         names = self._named(
-            lambda c: c["kind"] == "text"
+            lambda c: self.is_touched(c["column"])
+            and c["kind"] == "text"
             and c["date_hits"] is not None
             and not calendar.usable_format(c["date_hits"], c["n_values"])[1]
             and c["n_values"] > 0
@@ -205,20 +253,25 @@ class _Measurements:
 
     def categories(self) -> None:
         candidates = self._named(
-            lambda c: roles.is_category_name(c["column"])
-            or (
-                c["kind"] == "text"
-                and c["n_values"] > 0
-                and c["distinct_floor"] <= profile.FEW_VALUES
+            lambda c: self.is_touched(c["column"])
+            and (
+                roles.is_category_name(c["column"])
+                or (
+                    c["kind"] == "text"
+                    and c["n_values"] > 0
+                    and c["distinct_floor"] <= profile.FEW_VALUES
+                )
             )
         )
         for name in candidates:
             self.columns[name].update(n_distinct=0, n_normalised=0, n_placeholder=0)
         if candidates:
             self._merge(values.category_values(self.df, candidates))
-        chosen = [name for name in candidates if self.is_category(self.columns[name])]
+        chosen = self._named(self.is_category)
         self.table["n_category_columns"] = len(chosen)
-        listed = [name for name in chosen if 0 < self.columns[name]["n_distinct"] <= 30]
+        listed = [
+            name for name in chosen if name in candidates and 0 < self.columns[name]["n_distinct"] <= 30
+        ]
         if listed:
             self._merge(values.smallest_values(self.df, listed))
 
@@ -251,8 +304,13 @@ class _Measurements:
         product = roles.product_id_column(self.df.columns)
         category = roles.category_column(self.df.columns)
         has_rule = product is not None and category is not None and product != category
+        if has_rule:
+            self.rule = (product, category)
         if has_rule and category not in wanted.setdefault(product, []):
             wanted[product].append(category)
+        self.wanted = {key: list(against) for key, against in wanted.items()}
+        if self.before is not None:
+            wanted = self._untold(wanted, linked, product if has_rule else None, category)
         if not wanted:
             return
         hashable = [
@@ -276,8 +334,32 @@ class _Measurements:
             if has_rule and key == product:
                 self.table["n_multi_category"] = found[category]
 
+    def _untold(self, wanted, linked, product, category) -> dict[str, list[str]]:
+        """The keys that have to be grouped again; what is known of the others is kept."""
+        before = self.before
+        known = {(link["column"], link["category"]): link["n_keys"] for link in before.links}
+        multi = before.table.get("n_multi_category")
+        again = {}
+        for key, against in wanted.items():
+            same = not self.differs([key, *against], [key, *before.wanted.get(key, ())])
+            kept = [(key, name) for name in linked.get(key, ())]
+            rule_known = key != product or (before.rule == (product, category) and multi is not None)
+            if not same or not rule_known or any(pair not in known for pair in kept):
+                again[key] = against
+                continue
+            self.links += [
+                {
+                    "position": self.columns[key]["position"], "column": key, "category": name,
+                    "n_keys": known[key, name],
+                }
+                for _, name in kept
+            ]
+            if key == product:
+                self.table["n_multi_category"] = multi
+        return again
+
     def lengths(self) -> None:
-        ids = [name for name in self.columns if roles.is_id(name)]
+        ids = [name for name in self.columns if roles.is_id(name) and self.is_touched(name)]
         if ids:
             self._merge(values.length_summary(self.df, ids))
 
@@ -285,7 +367,7 @@ class _Measurements:
         counts = {
             name: c["n_values"]
             for name, c in self.columns.items()
-            if c["kind"] == "numeric" and c["n_values"] > 0
+            if self.is_touched(name) and c["kind"] == "numeric" and c["n_values"] > 0
         }
         if not counts:
             return
@@ -306,7 +388,7 @@ class _Measurements:
     def calendar(self) -> None:
         formats = {}
         for field in self.df.schema.fields:
-            if not roles.is_date(field):
+            if not roles.is_date(field) or not self.is_touched(field.name):
                 continue
             record = self.columns[field.name]
             if record["kind"] == "datetime":
@@ -320,9 +402,15 @@ class _Measurements:
             self._merge(calendar.date_summary(self.df, formats, self.as_of))
 
     def duplicates(self) -> None:
-        rows = self.table["n_rows"]
-        self.table["n_duplicates"] = duplicates.duplicate_rows(self.df, rows).first()[0]
-        if self.table["soft_key"]:
+        rows, before = self.table["n_rows"], self.before
+        if self.differs(self.df.columns, None if before is None else before.df.columns):
+            self.table["n_duplicates"] = duplicates.duplicate_rows(self.df, rows).first()[0]
+        else:
+            self.table["n_duplicates"] = before.table["n_duplicates"]
+        soft_key = self.table["soft_key"]
+        if soft_key and not self.differs(soft_key, None if before is None else before.table["soft_key"]):
+            self.table["n_soft_duplicates"] = before.table["n_soft_duplicates"]
+        elif soft_key:
             soft = duplicates.surplus_rows(self.df, self.table["soft_key"])
             self.table["n_soft_duplicates"] = soft.first()[0]
 
@@ -330,6 +418,11 @@ class _Measurements:
         column = roles.payment_column(self.df.columns)
         if column is None:
             return
+        before = None if self.before is None else roles.payment_column(self.before.df.columns)
+        if not self.differs([column], [before]):
+            for name in ("suspicious", "n_suspicious"):
+                self.table[name] = self.before.table.get(name)
+            return
         suspicious = values.suspicious_values(self.df, column)
         rows = suspicious.orderBy("value").limit(values.LISTED_SUSPECTS).collect()
         self.table["suspicious"] = [row["value"] for row in rows]
@@ -339,7 +432,7 @@ class _Measurements:
 
     def samples(self) -> None:
         def doubtful(c: dict) -> bool:
-            if c["kind"] != "text" or c["n_values"] == 0:
+            if not self.is_touched(c["column"]) or c["kind"] != "text" or c["n_values"] == 0:
                 return False
             of = c["n_values"]
             dated = c["date_hits"] is not None
@@ -441,11 +534,64 @@ def validate(
     The table is read once per pass, each pass reading only its columns. A table
     that is costly to compute should be written first; see ``sources.staging``.
     """
-    header = list(df.columns if header is None else header)
+    return measured(
+        df, header=header, expected_columns=expected_columns, as_of=as_of, order_by=order_by
+    ).issues
+
+
+@dataclass(frozen=True)
+class Validated:
+    """A table, its issues, and the measures behind them."""
+
+    df: DataFrame
+    issues: DataFrame
+    options: Mapping
+    measurements: _Measurements = field(repr=False)
+
+
+def measured(
+    df: DataFrame,
+    *,
+    header: Sequence[str] | None = None,
+    expected_columns: Sequence[str] = (),
+    as_of: str | date | datetime | None = None,
+    order_by: Sequence[str] = (),
+) -> Validated:
+    """What ``validate`` finds, with the measures, so that ``revalidated`` can go on from them."""
+    options = {"expected_columns": expected_columns, "as_of": as_of, "order_by": order_by}
     names = unique_names(df.columns)
     table = nan_to_null(df if names == df.columns else df.toDF(*names))
-    measured = _Measurements(table, header, expected_columns, as_of, order_by)
-    measured.run()
+    found = _Measurements(table, list(df.columns if header is None else header), **options)
+    found.run()
+    return Validated(table, _issues(found), options, found)
+
+
+def revalidated(
+    before: Validated, fix_id: str, params: Mapping[str, str] | None = None
+) -> Validated:
+    """The table after one fix with its issues, measured again as far as the fix reaches.
+
+    A fix of one column has its passes read that column, and others only where a rule, a key
+    or a whole row holds it against them; without the column that ``drop_column`` and
+    ``drop_empty_columns`` take away nothing else changes. A fix that drops rows changes every
+    measure, and so does a table of which a measure failed; these are measured anew.
+    """
+    options = before.options
+    df = apply_fix(before.df, fix_id, params, as_of=options["as_of"], order_by=options["order_by"])
+    if fix_id in SHUFFLES:  # else each pass would shuffle all rows again
+        df = stage(df)
+    touched = {(params or {}).get("col")} if fix_id in COLUMN_FIXES else set()
+    old = before.measurements
+    if (fix_id not in COLUMN_FIXES and fix_id not in COLUMN_DROPS) or old.errors or old.unread:
+        return measured(df, **options)
+    found = _Measurements(df, list(df.columns), **options, before=old, touched=touched)
+    found.run()
+    if found.errors:
+        return measured(df, **options)
+    return Validated(df, _issues(found), options, found)
+
+
+def _issues(measured: _Measurements) -> DataFrame:
     if any(name == "scan" for name, _ in measured.errors):
         found = None
     else:
@@ -455,7 +601,7 @@ def validate(
             found = found.unionAll(checks.findings(name, frames[name]))
         found = _local(found)
         found = _local(found.unionAll(_closings(found, frames["table"], measured.withheld)))
-    spark = df.sparkSession
+    spark = measured.spark
     result = None if found is None else issues_frame(found)
     failed = [("error", None, f"Step {name} failed: {message}") for name, message in measured.errors]
     failed += [

@@ -17,6 +17,7 @@ FOLDER = "/root/testdata/sf0.001"
 REPORTS = (
     "validate_report", "validate_lineitem", "severity_summary", "report_ordered",
     "section_status", "report_filtered", "overall_status", "clean_then_validate",
+    "revalidated_plan", "unreadable_column", "plan_outcomes", "file_layouts",
 )
 QUERIES, ORACLES = catalog_queries.QUERIES, registry.oracle_sql()
 

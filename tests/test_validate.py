@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 
 import gritsieve
 from gritsieve.operators import calendar, duplicates, profile
+from catalog.fixture import dirty_sales
 from catalog.queries import shown
-from gritsieve.plans.validate import unique_names, validate
+from gritsieve.operators.fixes import COLUMN_FIXES
+from gritsieve.plans.validate import measured, revalidated, unique_names, validate
 
 AS_OF = "2026-01-01"
 
@@ -325,3 +328,55 @@ def test_a_rule_that_fails_leaves_the_columns(frame, monkeypatch):
     found = validate(df).collect()
     assert [(i["check"], i["column"]) for i in found if i["section"] == "Error"] == [("unreadable", "n_mismatch")]
     assert [i for i in found if i["check"] == "shape"]
+
+
+ORDER = {"as_of": AS_OF, "order_by": ("row_id", "order_id")}
+REACHES = [
+    *((fix_id, {"col": name}) for fix_id, name in zip(COLUMN_FIXES, 5 * ("price", "category", "order_date"))),
+    ("drop_column", {"col": "category"}), ("drop_column", {"col": "total_amount"}), ("drop_empty_columns", {}),
+    ("cast_to_string", {"col": "product_id"}), ("strip_lowercase", {"col": "payment_method"}),
+    ("fill_mode", {"col": "order_id"}), ("cast_to_numeric", {"col": "revenue"}), ("percent_divide_100", {"col": "discount"}),
+    ("drop_negative_rows", {"col": "quantity"}), ("drop_full_duplicates", {}),
+]
+
+
+def everything(issues):
+    return sorted(map(str, issues.collect()))
+
+
+@pytest.fixture(scope="module")
+def before(spark):
+    return measured(dirty_sales(spark, "/root/testdata/sf0.001"), **ORDER)
+
+
+@pytest.mark.parametrize(("fix_id", "params"), REACHES)
+def test_measuring_again_what_a_fix_reaches_is_as_good_as_all(before, fix_id, params):
+    after = revalidated(before, fix_id, params)
+    assert everything(after.issues) == everything(validate(after.df, **ORDER))
+
+
+def test_fixes_after_fixes(before):
+    after = before
+    for fix_id, params in [
+        ("replace_pseudo_nulls", {"col": "category"}), ("drop_column", {"col": "payment_method"}),
+        ("cast_to_datetime", {"col": "order_date"}), ("fill_unknown", {"col": "category"}), ("drop_empty_columns", {}),
+    ]:
+        after = revalidated(after, fix_id, params)
+    assert everything(after.issues) == everything(validate(after.df, **ORDER))
+
+
+def test_a_fix_reads_its_column_alone(before, monkeypatch):
+    """All other columns fail when they are read; whole rows are compared in one pass only."""
+    def failing(item):
+        if item.name in ("revenue", *ORDER["order_by"]):  # samples follow the row order
+            return item.name
+        return f"CAST(assert_true(row_id IS NULL AND row_id IS NOT NULL) AS {item.dataType.simpleString()}) AS {item.name}"
+
+    df = before.df
+    broken_df = df.selectExpr(*map(failing, df.schema.fields))
+    assert broken_df.dtypes == df.dtypes
+    monkeypatch.setattr(duplicates, "duplicate_rows", lambda df, rows: df.sparkSession.range(1).selectExpr("3L AS n"))
+    after = revalidated(replace(before, df=broken_df), "strip_lowercase", {"col": "revenue"})
+    found = after.issues.collect()
+    no_errors(found)
+    assert after.measurements.before is not None and pick(found, "full_duplicates")[0]["value"] == 3
