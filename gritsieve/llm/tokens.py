@@ -4,22 +4,31 @@ Both vocabularies split a text before their merges, and never across the place w
 word ends and a run of spaces or line ends begins. So a text's ids are those of its parts
 between such places, and each part has to be encoded once. Texts with other white space
 or with the name of a special token are encoded whole.
+
+The parts of a batch of texts are told apart in Arrow; Python sees each different one once.
+Those that are new are encoded many to a call, in one string, and told apart by the bytes
+of their tokens, or by a word between them where tokens do not keep their bytes.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from gritsieve.llm.common import held
 
-CACHED_PARTS = 400_000  # of the younger and of the older half of the memo
-ODD_SPACE = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -     　]")
+CACHED_PARTS = 250_000  # of the younger and of the older half of the memo
+MEMO_BYTES = 48 << 20  # of each half, with what Python's objects take
+ENTRY_BYTES = 150  # a part's name, its ids and its place, besides their contents
+TOGETHER = 500  # new parts in one string
+ODD_SPACE = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 DOUBLE_SPACE = re.compile("[ \n][ \n]")
 PARTS = re.compile("[ \n]*[^ \n]+|[ \n]+")
+BETWEEN = "\x01"
 
 
 class Encoder:
@@ -31,58 +40,121 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = b"" if end is None else np.array([end], self.type).tobytes()
+        self.end = np.array([] if end is None else [end], self.type).tobytes()
         names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(names) or "(?!)", re.IGNORECASE)
         ids = [x.ids for x in self.tokenizer.encode_batch_fast([" a\nb", "a", "b"], add_special_tokens=False)]
         self.drops_space = ids[0] == ids[1] + ids[2]
-        self.code = "H" if self.type.itemsize == 2 else "I"
+        between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if self.drops_space and len(between) == 1 else None
+        self.lengths = None if self.drops_space else self._lengths()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before known became full
+        self.size = 0
+
+    def _lengths(self) -> np.ndarray | None:
+        """Bytes of each token, if tokens keep the bytes of a text, one character for each."""
+        pieces = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        lengths = np.array([len(x or "") for x in pieces])
+        probe = " É\nx \u4e00y ~"
+        ids = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        return lengths if lengths[ids].sum() == len(probe.encode()) else None
 
-    def _fresh(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self.code, x.ids).tobytes() for x in found]
+        return [np.array(x.ids, self.type) for x in found]
+
+    def _cut(self, parts: list[str], ids: np.ndarray) -> list[bytes] | None:
+        """The ids of each part from those of all parts in one string; None if they do not fit."""
+        if self.between is not None:
+            cuts = np.flatnonzero(ids == self.between)
+            if len(cuts) != len(parts) - 1:
+                return None
+            return self._sliced(ids, np.r_[0, cuts + 1], np.r_[cuts, len(ids)])
+        over = np.r_[0, np.cumsum(self.lengths[ids])]
+        ends = np.cumsum([len(x.encode()) for x in parts])
+        cuts = np.searchsorted(over, ends)
+        if over[-1] != ends[-1] or (over[cuts] != ends).any():
+            return None
+        return self._sliced(ids, np.r_[0, cuts[:-1]], cuts)
+
+    def _sliced(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        data, size = ids.tobytes(), self.type.itemsize
+        return [data[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist())]
+
+    def _fresh(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of these strings."""
+        if self.between is None and self.lengths is None:
+            return [x.tobytes() for x in self._ids(parts)]
+        groups = [parts[i : i + TOGETHER] for i in range(0, len(parts), TOGETHER)]
+        joint = "" if self.between is None else f" {BETWEEN} "
+        out = []
+        for group, ids in zip(groups, self._ids([joint.join(x) for x in groups])):
+            out += self._cut(group, ids) or [x.tobytes() for x in self._ids(group)]
+        return out
 
     def _parts(self, text: str) -> list[str] | None:
-        """Names of the parts of a text: a word stands for itself behind a space, or in a
-        vocabulary without spaces for itself; "\n..." and "\0..." for what follows them,
-        with the line end or exactly. None: the text has to be encoded whole."""
-        if ODD_SPACE.search(text) or self.special.search(text):
+        """The parts of a text that has to be looked at character by character, by name: a
+        word stands for itself behind a space, or in a vocabulary without spaces for itself;
+        "\n..." and "\0..." for what follows them, with the line end or exactly. None: the
+        text has to be encoded whole, []: it has no such places and is split in Arrow."""
+        if ODD_SPACE.search(text) or self.special.search(text) or BETWEEN in text:
             return None
+        if self.drops_space or (text and text[0] not in " \n" and text[-1] not in " \n" and not DOUBLE_SPACE.search(text)):
+            return []
+        return ["\0" + x for x in PARTS.findall(text)]
+
+    def _learn(self, missing: list[str]) -> None:
+        older = self.older
+        again = {x: older[x] for x in missing if x in older}
+        new = [x for x in missing if x not in again]
         if self.drops_space:
-            return text.split()
-        if not text or text[0] in " \n" or text[-1] in " \n" or DOUBLE_SPACE.search(text):
-            return ["\0" + x for x in PARTS.findall(text)]
-        return ("\0" + text.replace("\n", " \n")).split(" ")
-
-    def _learn(self, missing: set[str]) -> None:
-        older, known = self.older, self.known
-        new = []
-        for part in missing:
-            if part in older:
-                known[part] = older[part]
-            else:
-                new.append(part)
-        plain = new if self.drops_space else [x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in new]
-        known.update(zip(new, self._fresh(plain)))
+            ids = self._fresh(new)
+        else:
+            exact, after = ([x for x in new if (x[:1] == "\0") is kind] for kind in (True, False))
+            new = exact + after
+            ids = [x.tobytes() for x in self._ids([x[1:] for x in exact])]
+            ids += self._fresh([x if x[:1] == "\n" else " " + x for x in after])
+        again.update(zip(new, ids))
+        self.known.update(again)
+        self.size += sum(map(len, again)) + sum(map(len, again.values())) + ENTRY_BYTES * len(again)
+
+    def _split(self, texts: list[str]) -> pa.ListArray:
+        """The names of the parts of texts whose words have one space or line end between them."""
+        plain = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " " if self.drops_space else " \n")
+        if not self.drops_space:
+            first, nothing = (pa.scalar(x, pa.large_string()) for x in ("\0", ""))
+            plain = pc.binary_join_element_wise(first, plain, nothing)
+        return pc.split_pattern(plain, " ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHED_PARTS:
-            self.older, self.known = self.known, {}
-        known, missing, out = self.known, set(), []
-        for text in texts:
-            parts = self._parts(text)
-            found = self._fresh([text]) if parts is None else list(map(known.get, parts))
-            holes = [i for i, x in enumerate(found) if x is None]
-            gaps = [parts[i] for i in holes]
-            missing.update(gaps)
-            out.append((found, holes, gaps))
-        self._learn(missing)
-        for found, holes, gaps in out:
-            for i, part in zip(holes, gaps):
-                found[i] = known[part]
-        return [np.frombuffer(b"".join(found) + self.end, self.type) for found, _, _ in out]
+        kinds = [self._parts(text) for text in texts]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        whole = [i for i, kind in enumerate(kinds) if kind is None]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+            out[i] = np.frombuffer(ids.tobytes() + self.end, self.type)
+        simple = [i for i, kind in enumerate(kinds) if kind == []]
+        others = [i for i, kind in enumerate(kinds) if kind]
+        lists = self._split([texts[i] for i in simple])
+        odd = [part for i in others for part in kinds[i]]
+        flat = pa.concat_arrays([lists.flatten(), pa.array(odd, pa.large_string())]).dictionary_encode()
+        sizes = np.r_[np.diff(lists.offsets.to_numpy()), [len(kinds[i]) for i in others]].astype(np.int64)
+
+        if len(self.known) > CACHED_PARTS or self.size > MEMO_BYTES:
+            self.older, self.known, self.size = self.known, {}, 0
+        names = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, names))
+        if holes := [i for i, x in enumerate(ids) if x is None]:
+            self._learn([names[i] for i in holes])
+            for i in holes:
+                ids[i] = self.known[names[i]]
+        different = np.empty(len(ids), object)
+        different[:] = ids
+        every = different[flat.indices.to_numpy()].tolist()
+        cuts = np.r_[0, np.cumsum(sizes)].tolist()
+        for i, a, b in zip([*simple, *others], cuts[:-1], cuts[1:]):
+            out[i] = np.frombuffer(b"".join(every[a:b]) + self.end, self.type)
+        return out
 
 
 def encoder(path: str, end: int | None = None) -> Encoder:
