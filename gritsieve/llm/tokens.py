@@ -12,6 +12,7 @@ of their tokens, or by a word between them where tokens do not keep their bytes.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -128,6 +129,15 @@ class Encoder:
         return pc.split_pattern(plain, " ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. No cycles arise here, so Python need not look for any among
+        the many small objects."""
+        gc.disable()
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         kinds = [self._parts(text) for text in texts]
         out: list[np.ndarray | None] = [None] * len(texts)
         whole = [i for i, kind in enumerate(kinds) if kind is None]
