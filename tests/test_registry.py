@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -13,6 +16,7 @@ from catalog.queries import PLAN, report, shown
 from gritsieve.operators.fixes import FIXES, apply_plan
 from tests.compare import connect, difference
 
+ROOT = Path(__file__).resolve().parents[1]
 FOLDER = "/root/testdata/sf0.001"
 REPORTS = (
     "validate_report", "validate_lineitem", "severity_summary", "report_ordered",
@@ -74,3 +78,15 @@ def test_scans_read_only_what_they_need(spark):
 
 def test_names_in_the_catalogue():
     assert catalog_queries.QUERIES.keys() <= registry.queries().keys()
+
+
+@pytest.mark.parametrize("missing", ["gritsieve.llm", "corpus_pipeline", "ahocorasick", "public_tokenizers"])
+def test_other_queries_are_there_without_the_text_part(missing):
+    """Whether the part is not there at all or a module that it needs cannot be imported."""
+    code = (
+        f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as e; "
+        "print(len(e.queries()), 'validate_report' in e.queries(), any(x.startswith('op') for x in e.queries()))"
+    )
+    done = subprocess.run([sys.executable, "-W", "always", "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.stdout.split() == [str(len(QUERIES)), "True", "False"], done.stderr
+    assert ("left out" in done.stderr) == (missing in ("ahocorasick", "public_tokenizers"))
