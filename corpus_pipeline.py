@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,12 +37,26 @@ def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 2048, with_ids=True)
 
 
+def in_small_batches(step: Callable) -> Callable:
+    """The step, with texts going to Python in batches of BATCH_BYTES at most: executors run
+    several steps one after the other and have to hold batches of them beside a grown heap."""
+
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return step(spark, docs, folder)
+
+    return run
+
+
+BATCH_BYTES = 6 << 20
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact_dedup", drop_copies),
-    ("ngram_join", drop_near_copies),
-    ("substring", cut_repeats),
-    ("packing", pack),
+    ("toxicity", in_small_batches(drop_toxic)),
+    ("exact_dedup", in_small_batches(drop_copies)),
+    ("ngram_join", in_small_batches(drop_near_copies)),
+    ("substring", in_small_batches(cut_repeats)),
+    ("packing", in_small_batches(pack)),
 ]
 
 #: Classifiers, minimal hashes and tokenizers have no SQL; tests hold the stages against
