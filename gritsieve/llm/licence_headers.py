@@ -87,7 +87,7 @@ HEADERS = [
     *((name, _gnu(*of)) for name, of in GNU.items()),
     *((name, _gnu(*of) + _gnu_rest(of[0])) for name, of in GNU.items()),
 ]
-#: What the beginning of a whole text has to say besides: texts of one family are alike.
+#: The title that has to stand first in a whole text besides: texts of one family are alike.
 TITLES = {
     "Apache-2.0": "apache license version 2 0", "GPL-2.0": "gnu general public license version 2",
     "GPL-3.0": "gnu general public license version 3", "LGPL-2.1": "gnu lesser general public license version 2 1",

@@ -1,7 +1,7 @@
 """Licence scan in SQL: TF-IDF cosine of parts of texts to templates, then inheritance.
 
-Parts are sentences (lines too end sentences), paragraphs, leading paragraphs together
-and, of licence files, the whole text. They are compared with statements, headers and
+Parts are sentences (lines too end sentences), paragraphs, up to eight of them in a row
+and, of licence files, the whole text, which is held against the texts whose title it has. They are compared with statements, headers and
 texts of licences; SPDX identifiers count as they stand. A part can only reach the threshold if
 it has one of a template's heavy words, those without which the rest of the template is
 too light; parts without any are not split into words. Weights come from the words' document counts in the whole
@@ -40,7 +40,7 @@ TEMPLATES = {
 THRESHOLD = 0.8
 LICENCE_FILE = "(?i)(^|/)(licen[cs]e|copying|unlicense)([.][a-z]+)?$"
 PARAGRAPHS = r"\n[^a-z0-9\n]*(?=\n)"  # lines without words, comment marks or none, lie between
-HEAD = 4000  # leading characters in which a header is looked for: twice the longest one
+HEADER_PARAGRAPHS = 8  # a header with its title and copyright line has no more
 SPDX = r"spdx-license-identifier:\s*\(?([a-z0-9.-]+)"
 BROADCAST_WORDS = 1_000_000
 SENTENCES = r"\n|(?<=[.!?;])[ \t]+"
@@ -97,23 +97,25 @@ def own_licences(
             needed |= heavy(vector, threshold)
     templates = spark.createDataFrame(vectors, "template int, licence string, whole boolean, word string, part double")
     has_heavy = "(^|[^a-z0-9])(" + "|".join(sorted(needed)) + ")([^a-z0-9]|$)"
-    head = f"split(substring(low, 1, {HEAD}), r'{PARAGRAPHS}')"
-    parts = F.array_distinct(F.concat(
-        F.split("low", SENTENCES), F.split("low", PARAGRAPHS),
-        F.expr(f"transform({head}, (x, i) -> array_join(slice({head}, 1, i + 1), ' '))"),
-    ))
+    # a header may stand anywhere: up to so many paragraphs in a row, where one has a heavy word
+    runs = f"transform(sequence(1, {HEADER_PARAGRAPHS}), n -> IF(exists(slice(heavy, i + 1, n), y -> y), array_join(slice(paragraphs, i + 1, n), ' '), NULL))"
+    headers = f"filter(flatten(transform(paragraphs, (x, i) -> {runs})), x -> x IS NOT NULL)"
     low = base.withColumn("low", F.lower("text"))
     part = (
-        low.where(F.col("low").rlike(has_heavy)).select("id", F.explode(parts).alias("part"), F.lit(False).alias("whole"))
+        low.where(F.col("low").rlike(has_heavy)).withColumn("paragraphs", F.split("low", PARAGRAPHS))
+        .withColumn("heavy", F.transform("paragraphs", lambda x: x.rlike(has_heavy)))
+        .select("id", F.explode(F.array_distinct(F.concat(F.split("low", SENTENCES), F.expr(headers)))).alias("part"), F.lit(False).alias("whole"))
         .where(F.col("part").rlike(has_heavy))
         .unionByName(low.where("file AND low IS NOT NULL").selectExpr("id", "low AS part", "true AS whole"))
         .withColumn("key", F.xxhash64("id", "part", "whole"))
     )
-    listed = ", ".join(f"IF(contains(began, '{title}'), '{name}', NULL)" for name, title in TITLES.items())
-    began = "concat(regexp_replace(substring(part, 1, 400), '[^a-z0-9]+', ' '), ' ') AS began"
-    titled = F.array_compact(F.expr(f"IF(whole, array({listed}), array())"))
+    # the title that stands first names the text; others are mentioned in it
+    listed = ", ".join(f"named_struct('at', instr(plain, '{title}'), 'name', '{name}')" for name, title in TITLES.items())
+    plain = "IF(whole, concat(regexp_replace(part, '[^a-z0-9]+', ' '), ' '), '') AS plain"
+    mentioned = F.expr(f"filter(array({listed}), x -> x.at > 0)")
+    titled = F.expr("transform(filter(mentioned, x -> x.at = array_min(transform(mentioned, y -> y.at))), x -> x.name)")
     vector = stage(
-        part.dropDuplicates(["key", "id"]).selectExpr("*", began).withColumn("titled", titled)
+        part.dropDuplicates(["key", "id"]).selectExpr("*", plain).withColumn("mentioned", mentioned).withColumn("titled", titled)
         .select("key", "id", "titled", F.explode(F.split("part", "[^a-z0-9]+")).alias("word")).where("word <> ''")
         .groupBy("key", "id", "titled", "word").agg(F.count("*").alias("n"))
     )

@@ -16,7 +16,7 @@ import zstandard
 from pyarrow import fs
 from tokenizers import Tokenizer
 
-from gritsieve.llm import alignment, hard_negatives, warc
+from gritsieve.llm import alignment, hard_negatives, licence_headers, licences, warc
 from gritsieve.llm import queries as registered
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -328,3 +328,25 @@ def test_new_queries_have_their_columns(spark):
     assert dict(registered.op12_warc(spark, folder).dtypes) == {
         "page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"
     }
+
+
+def test_licences_behind_long_preambles(spark):
+    def commented(text, width=9):
+        parts = text.split()
+        return "\n".join("# " + " ".join(parts[i : i + width]) for i in range(0, len(parts), width))
+
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    notes = "\n".join(f"# {words(9)}" for _ in range(80))
+    lines = "\n".join(f"Copyright 19{70 + i} Author {words(3)}" for i in range(12))
+    paragraphs = "\n#\n".join(map(commented, (licence_headers.BSD_2, licence_headers.BSD_NAMES, licence_headers.BSD_REST)))
+    texts = dict(licence_headers.whole_texts())
+    rows = [
+        ("BSD-3-Clause", "a.c", f"{notes}\n#\n# Copyright 1999 Somebody\n#\n{paragraphs}\n\nint x;\n{notes}"),
+        ("BSD-3-Clause", "b.c", f"int x;\n\n{paragraphs}\n\n{words(3000)}"),
+        *((name, f"{name}/LICENSE", f"{lines}\n\n{text}") for name, text in texts.items()), (None, "c.c", notes),
+    ]
+    data = [(i, path, text) for i, (_, path, text) in enumerate(rows)] + [(100 + i, f"x{i}", words(60)) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, path string, text string")
+    found = {r.doc_id: r.own_licence for r in licences.licences(df).collect()}
+    assert [found[i] for i in range(len(rows))] == [name for name, *_ in rows]
