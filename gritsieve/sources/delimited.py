@@ -347,6 +347,8 @@ def write_cleaned(df: DataFrame, folder: str, source: str) -> str:
         df.write.option("header", True)
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)

@@ -242,3 +242,10 @@ def test_folder_of_files_with_layouts_of_their_own(spark, write):
         ("files_differ", "WARNING"): 1, ("file_loaded", "INFO"): 2,
     }
     assert len({i["issue_id"] for i in issues}) == 3
+
+
+def test_export_keeps_spaces_around_cells(spark, tmp_path):
+    df = spark.createDataFrame([(1, "  x "), (2, "y\n "), (3, ' "q" ')], "id long, word string")
+    path = gritsieve.write_cleaned(df, str(tmp_path), "/data/words.csv")
+    loaded = gritsieve.load(spark, path)
+    assert sorted(map(tuple, loaded.df.collect())) == [(1, "  x "), (2, "y\n "), (3, ' "q" ')]
