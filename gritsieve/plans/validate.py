@@ -26,7 +26,7 @@ from gritsieve.functions.text import ident, literal, one_of
 from gritsieve.operators import (
     calendar, checks, date_shapes, duplicates, profile, quantiles, values,
 )
-from gritsieve.operators.fixes import COLUMN_DROPS, COLUMN_FIXES, SHUFFLES, apply_fix
+from gritsieve.operators.fixes import COLUMN_DROPS, COLUMN_FIXES, apply_fix
 from gritsieve.sources.staging import stage
 
 COLUMNS_FRAME = (
@@ -574,15 +574,16 @@ def revalidated(
     A fix of one column has its passes read that column, and others only where a rule, a key
     or a whole row holds it against them; without the column that ``drop_column`` and
     ``drop_empty_columns`` take away nothing else changes. A fix that drops rows changes every
-    measure, and so does a table of which a measure failed; these are measured anew.
+    measure: its table is written and measured anew. So is a table of which a measure failed.
     """
     options = before.options
     df = apply_fix(before.df, fix_id, params, as_of=options["as_of"], order_by=options["order_by"])
-    if fix_id in SHUFFLES:  # else each pass would shuffle all rows again
+    by_column = fix_id in COLUMN_FIXES or fix_id in COLUMN_DROPS
+    if not by_column:  # all passes follow, and plans of many fixes do not grow
         df = stage(df)
     touched = {(params or {}).get("col")} if fix_id in COLUMN_FIXES else set()
     old = before.measurements
-    if (fix_id not in COLUMN_FIXES and fix_id not in COLUMN_DROPS) or old.errors or old.unread:
+    if not by_column or old.errors or old.unread:
         return measured(df, **options)
     found = _Measurements(df, list(df.columns), **options, before=old, touched=touched)
     found.run()
