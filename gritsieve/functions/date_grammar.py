@@ -113,15 +113,16 @@ def _alone(names: Iterable[str]) -> str:
     return rf"(?i)(?<![a-z])(?:{_any(names)})(?![a-z])"
 
 
-# What is replaced by which directive, one after the other; names only where there are letters.
+# What is replaced by which directive, one after the other; names only where there are three
+# letters in a row.
 _NAMES = (
     (_alone(name for name in MONTHS if len(name) > 3), "%B"),
     (_alone(_short(MONTHS)), "%b"),
     (_alone(WEEKDAYS), "%A"),
     (_alone(_short(WEEKDAYS)), "%a"),
-    (r"(?i)(?<=[\d ])[ap]m(?![a-z])", "%p"),
 )
 _NUMBERS = (
+    (r"(?i)(?<=[\d ])[ap]m(?![a-z])", "%p"),
     (r"(?i)(:\d\d(?:\.\d{1,9})? ?|%p ?)(?:z|utc|gmt|[+-]\d\d:?\d\d)$", "$1%z"),
     (r"(:\d\d)\.\d{1,9}(?!\d)", "$1.%f"),
     (r"(?<![\d%])\d{1,2}(?!\d)", "%2"),
@@ -140,7 +141,7 @@ def _replaced(text: str, tokens: Iterable[tuple[str, str]]) -> str:
 
 def shape(text: str) -> str:
     """The shape of a value, null where something is no part of a date."""
-    found = f"CASE WHEN {text} RLIKE '[a-zA-Z]' THEN {_replaced(text, _NAMES)} ELSE {text} END"
+    found = f"CASE WHEN {text} RLIKE '[a-zA-Z]{{3}}' THEN {_replaced(text, _NAMES)} ELSE {text} END"
     found = _replaced(found, _NUMBERS)
     return f"CASE WHEN NOT contains({text}, '%') THEN regexp_extract({found}, {literal(_SHAPE)}, 0) END"
 
