@@ -288,11 +288,15 @@ def _near(percent: int, schema: pa.Schema) -> Callable:
     return make
 
 
-def _tiles(members: DataFrame, shingles: int) -> DataFrame:
-    """A row for each tile a set is in: the whole cluster, or pairs of its blocks."""
-    members = members.withColumn("size_band", F.expr("int(ln(n_shingles) / ln(1.25D))"))
+def _tiles(members: DataFrame, shingles: int, percent: int) -> DataFrame:
+    """A row for each tile a set is in: the whole cluster, or pairs of its blocks.
+
+    Sizes of linked sets are within 100 / percent, so their bands are equal or neighbours.
+    """
+    ratio = 1.25 if percent >= 80 else 101 / percent
+    members = members.withColumn("size_band", F.expr(f"int(ln(n_shingles) / ln({ratio}D))"))
     weights = members.groupBy("cluster", "size_band").agg(F.sum("n_shingles").alias("weight"))
-    # bands of a cluster are few: log(largest set) / log(1.25)
+    # bands of a cluster are few: log(largest set) / log(ratio)
     lists = weights.groupBy("cluster").agg(
         F.sum("weight").alias("weight"),
         F.map_from_entries(F.collect_list(F.struct("size_band", F.expr(f"int(weight / {shingles}) + 1")))).alias("blocks"),
@@ -372,7 +376,7 @@ def ngram_groups(
         made = _only(named_texts, rows.select("id")).mapInArrow(
             make(width, schema), f"id long, digest binary, {column} binary"
         )
-        tiles = _tiles(rows, shingles).join(made.dropDuplicates(["id", "digest"]), ["id", "digest"])
+        tiles = _tiles(rows, shingles, percent).join(made.dropDuplicates(["id", "digest"]), ["id", "digest"])
         return tiles.groupBy("cluster", "lower", "upper", "x", "y").applyInArrow(find(percent, edge), "a long, b long")
 
     weights = members.groupBy("cluster").agg((F.sum("n_shingles") > TILE_SHINGLES).alias("large"))
@@ -397,7 +401,36 @@ def drop_near_copies(
     df: DataFrame, text: str = "text", id: str = "doc_id", width: int = 5, percent: int = 80
 ) -> DataFrame:
     """The rows of df without those that are linked, through others or directly, to a
-    smaller id. Rows with a null id stay."""
-    groups = ngram_groups(df, text, id, width, percent)
-    gone = groups.where(f"component_id <> `{id}`").select(F.col(id).alias("__gone")).distinct()
-    return df.join(gone, F.col(id).cast("long") == F.col("__gone"), "left_anti")
+    smaller id. Rows with a null id stay.
+
+    Different texts of one id are judged each by itself; of linked ones of one id, the one
+    with the smallest hash stays. Equal rows stay or go together.
+    """
+    key, version = F.col(id).cast("long"), F.xxhash64(F.col(text).cast("string"))
+    spread = df.groupBy(key.alias("id")).agg(F.min(version).alias("low"), F.max(version).alias("high"))
+    several = stage(spread.where("id IS NOT NULL AND low < high").select("id"))
+    name = _unused("gone", df)
+    if several.isEmpty():
+        groups = ngram_groups(df, text, id, width, percent)
+        gone = groups.where(f"component_id <> `{id}`").select(F.col(id).alias(name)).distinct()
+        return df.join(gone, key == F.col(name), "left_anti")
+    # texts of an id that has several are told apart by numbers of their own
+    texts = df.select(key.alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL")
+    other = several.withColumn("several", F.lit(True))
+    numbered = texts.join(other, "id", "left").withColumn("version", F.xxhash64("text")).withColumn(
+        "node", F.expr("IF(several, -1 - (xxhash64(id, version) & 4611686018427387903), id)")
+    )
+    groups = ngram_groups(numbered, "text", "node", width, percent).distinct()
+    nodes = numbered.select("node", "id", "version").distinct()
+    placed = stage(nodes.join(groups, "node").select("component_id", "id", "version"))
+    stays = placed.groupBy("component_id").agg(F.min(F.struct("id", "version")).alias("stays"))
+    gone = placed.join(stays, "component_id").where("struct(id, version) <> stays")
+    gone = gone.select(F.struct("id", "version").alias(name))
+    return df.join(gone, F.struct(key.alias("id"), version.alias("version")) == F.col(name), "left_anti")
+
+
+def _unused(name: str, df: DataFrame) -> str:
+    taken = {x.lower() for x in df.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -140,6 +140,33 @@ def test_ngram_groups(odd, monkeypatch, width, percent):
     assert sorted_rows(found) == groups_by_brute_force(ROWS, width, percent)
 
 
+@pytest.mark.parametrize("block", [100, 64_000])
+def test_sets_two_size_bands_apart_are_linked_in_clusters_of_any_size(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", block)
+    monkeypatch.setattr(ngram_join, "BITMAP_SHINGLES", 2 * block)
+    long = sentence(400, 100).split()
+    rows = [(i, " ".join(long[: 100 - i])) for i in (0, 12, 24, 36, 37)] + [(90, sentence(401, 80))]
+    found = ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=60)
+    assert sorted_rows(found) == groups_by_brute_force(rows, 5, 60)
+    ends = spark.createDataFrame([rows[0], rows[4]], "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.ngram_groups(ends, percent=60).collect()} == {0}
+
+
+def test_near_copies_among_several_texts_of_one_id(spark):
+    text, clean = sentence(410, 100), sentence(411, 100)
+    near, again = text + " end", clean + " end"
+    rows = [(1, text), (5, near), (5, clean), (7, again), (7, again), (8, sentence(412, 30)), (None, text), (9, None)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, gone int")
+    kept = ngram_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    gone = [(5, near), (7, again), (7, again)]
+    assert sorted([tuple(r)[:2] for r in kept.collect()], key=str) == sorted([r for r in rows if r not in gone], key=str)
+    both = spark.createDataFrame([(3, text), (3, near)], "doc_id long, text string")
+    assert ngram_join.drop_near_copies(both).count() == 1
+    one = spark.createDataFrame([(3, text, 1), (4, near, 1), (None, text, 1)], "doc_id long, text string, gone int")
+    assert {r.doc_id for r in ngram_join.drop_near_copies(one).collect()} == {3, None}
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_sets_at_the_threshold_share_a_key(percent):
     rng, starts = np.random.default_rng(1), ngram_join.bands(percent, 40_000)
