@@ -1,5 +1,6 @@
 """Passages that repeat across documents, exactly or nearly, by compact windows.
 
+0. Of equal texts only the one with the smallest id goes on; the others are spans of it.
 1. A token is a run of WIDTH words. For each hash function, the token at c has the
    smallest hash in every passage within [left, right] that contains c: a compact window.
    Windows that hold a passage of the least length are the top of the Cartesian tree over
@@ -14,18 +15,21 @@
    whose token sets have the wanted similarity.
 5. The first document of a signature may have its token only, not the passage around it (a
    frequent line). So windows of the least length whose centres all occur elsewhere, and
-   which no comparison has covered, go round again under a hash of all their words: the
-   first document with that hash does have them. No exact repeat is left after that.
+   which no comparison has covered, go round again under a hash of all their words, with
+   those of other documents whose centres all do: the first document with that hash does
+   have them. No exact repeat is left after that.
 
 A passage stays in the document with the smallest id.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,7 +61,8 @@ def sliding_centres(hashes: np.ndarray, valid: np.ndarray, length: int) -> np.nd
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = np.flatnonzero(valid[: count - length + 1])
     least = np.minimum(behind[starts], ahead[starts + length - 1])
-    return np.unique(least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    places = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)  # never go back
+    return places[np.r_[True, places[1:] != places[:-1]]]
 
 
 def compact_windows(
@@ -68,20 +73,44 @@ def compact_windows(
     first and last: the bounds of each centre's text. Ancestors of a long window in the
     Cartesian tree are longer still, so the tree of the centres alone gives the bounds.
     """
-    left, right = first.copy(), last.copy()
-    values, places, texts = hashes[centres].tolist(), centres.tolist(), first.tolist()
-    stack: list[int] = []
-    for i, value in enumerate(values):
-        if stack and texts[stack[-1]] != texts[i]:
-            stack.clear()
-        while stack and values[stack[-1]] > value:
-            right[stack.pop()] = places[i] - 1
-        if stack:
-            left[i] = places[stack[-1]] + 1
-        stack.append(i)
+    if not len(centres):
+        return centres, centres
+    values, order = hashes[centres], np.arange(len(centres))
+    before = _smaller_before(values, first, np.greater)
+    after = order[::-1] - _smaller_before(values[::-1], first[::-1], np.greater_equal)[::-1]
+    after += order  # from the end, counted backwards
+    left = np.where(before < 0, first, centres[before] + 1)
+    right = np.where(after > order[-1], last, centres[np.minimum(after, order[-1])] - 1)
     return centres - left, right - centres
 
 
+NEAR_STEPS = 24
+
+
+def _smaller_before(values: np.ndarray, texts: np.ndarray, above: Callable) -> np.ndarray:
+    """For each place the nearest one before it, of the same text, whose value is not above
+    its own, or -1. texts: equal for places of one text, which stand together."""
+    found = np.arange(-1, len(values) - 1)
+    todo = np.arange(len(values))
+    for _ in range(NEAR_STEPS):
+        spot = found[todo]
+        inside = (spot >= 0) & (texts[spot] == texts[todo])
+        found[todo[~inside]] = -1
+        todo, spot = todo[inside], spot[inside]
+        todo = todo[above(values[spot], values[todo])]
+        found[todo] -= 1
+    if len(todo):  # few; what is found before them leads on
+        places, texts, values = found.tolist(), texts.tolist(), values.tolist()
+        over = operator.gt if above is np.greater else operator.ge
+        for i in todo.tolist():
+            spot = places[i]
+            while spot >= 0 and texts[spot] == texts[i] and over(values[spot], values[i]):
+                spot = places[spot]
+            places[i] = spot if spot >= 0 and texts[spot] == texts[i] else -1
+        found[todo] = [places[i] for i in todo.tolist()]
+    return found
+
+
 def windows(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     """All compact windows of all texts: key, text, place (token * FUNCTIONS + function)
     and reach (left in the upper 32 bits, right in the lower)."""
@@ -132,23 +161,27 @@ def _signatures(length: int) -> Callable:
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = windows(texts_of(batch, "text"), length)
-            ids = found["id"] = batch.column("id").to_numpy(zero_copy_only=False)[found["text"]]
+            own_ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids = found["id"] = own_ids[found["text"]]
+            # id and place as one number, to sort by
+            spot = np.unique(own_ids, return_inverse=True)[1][found["text"]].astype(np.int64) << 40 | found["place"]
             kind = (found["key"] ^ signed(mix(_classes(found["reach"]).astype(np.uint64), 43)))
-            rows, hubs = local_hubs(kind, ids, found["place"])
+            rows, hubs = local_hubs(kind, spot)
             firsts = rows[rows == hubs]
             ties = [(rows[rows != hubs], hubs[rows != hubs])]
             own = (rows != hubs) & (ids[rows] == ids[hubs])
             repeats = rows[own]  # in the order of their firsts
             counts = np.zeros(len(ids), np.int64)
             np.add.at(counts, hubs[own], 1)
-            rows, hubs = local_hubs(found["key"], ids, found["place"])
+            rows, hubs = local_hubs(found["key"], spot)
             ties.append((rows[rows != hubs], hubs[rows != hubs]))
             company = np.zeros(len(ids), bool)
             company[hubs[ids[rows] != ids[hubs]]] = True
             company[rows] = company[hubs]
-            tied = np.unique(np.concatenate([np.c_[a, b] for a, b in ties]), axis=0)
-            tied = tied[ids[tied[:, 0]] != ids[tied[:, 1]]]
-            rows, hubs = tied[:, 0], tied[:, 1]
+            rows, hubs = (np.concatenate(x) for x in zip(*ties))
+            apart = ids[rows] != ids[hubs]
+            tied = np.unique(rows[apart] * len(ids) + hubs[apart])
+            rows, hubs = tied // max(1, len(ids)), tied % max(1, len(ids))
             # a row that is tied already needs no company, so its key is just scattered
             spread = mix((ids[rows] ^ ids[hubs] << 1).astype(np.uint64), 41) >> np.uint64(48)
             columns = {
@@ -263,13 +296,17 @@ def _compared(least: int, percent: int) -> Callable:
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "words"):
             out: list[tuple] = []
-            for row in batch.to_pylist():
-                words, starts = hashed_words([row["words"], row["hub_words"]], lower=False)
-                mine, its = words[: starts[1]], words[starts[1] :]
-                if min(len(mine), len(its)) < least:
+            both = batch.column("words").to_pylist() + batch.column("hub_words").to_pylist()
+            words, starts = hashed_words(both, lower=False)
+            tokens, sizes, count = rolled(words, WIDTH), np.diff(starts), batch.num_rows
+            del both, words
+            numbers = [x for x in batch.schema.names if not x.endswith("words")]
+            for i, row in enumerate(batch.select(numbers).to_pylist()):
+                if min(sizes[i], sizes[count + i]) < least:
                     continue
+                mine, its = (tokens[starts[k] : starts[k + 1] - WIDTH + 1] for k in (i, count + i))
                 offset = row["hub_first"] - row["hub_base"] - row["first"] + row["base"]
-                spans = _token_spans(rolled(mine, WIDTH), rolled(its, WIDTH), offset, least - WIDTH + 1, percent)
+                spans = _token_spans(mine, its, offset, least - WIDTH + 1, percent)
                 for s, e, os, oe, similarity in spans:
                     out.append((
                         row["id"], row["version"], row["base"] + s, row["base"] + e + WIDTH - 1,
@@ -296,6 +333,7 @@ def repeated_spans(
     base = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(
         "id IS NOT NULL AND text IS NOT NULL"
     )
+    base, copies = _copies_apart(base, least)
     length = least - WIDTH + 1
     fields = ", ".join(f"{name} long" for name in SIGNATURES.names[:-1])
     shared = base.mapInArrow(
@@ -328,27 +366,64 @@ def repeated_spans(
     spans = stage(_verified(base, joint, ENOUGH, least, percent))
     # what no comparison has covered, by hashes of whole windows
     covered = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one document
-    open_keys = stage(
+    runs = stage(
         seen.groupBy("id").agg(F.collect_list(F.struct("key", "place", "reach", "later")).alias("seen"))
-        .join(covered, "id", "left").select("seen", "spans").mapInArrow(_open_keys(length), "key long").distinct()
+        .join(covered, "id", "left").select("id", "seen", "spans")
+        .mapInArrow(_shared_runs(length), "key long, id long, first long, last long, open boolean")
     )
+    open_keys = stage(runs.where("open").select("key").distinct())
     few = open_keys.count() <= BROADCAST_IDS
     wanted = (
-        seen.where(f"place % {FUNCTIONS} = 0").join(F.broadcast(open_keys) if few else open_keys, "key", "left_semi")
-        .groupBy("id").agg(F.collect_set(F.struct("place", "reach")).alias("wanted"))
+        runs.join(F.broadcast(open_keys) if few else open_keys, "key", "left_semi")
+        .groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("wanted"))
     )
-    whole_windows = stage(
+    found = stage(
         base.join(wanted, "id").select("id", "text", "wanted")
-        .mapInArrow(_whole_windows(length), "hash long, id long, start long")
+        .mapInArrow(_whole_windows(least), "hash long, id long, start long, count long, hub_id long, hub_start long")
     )
-    firsts = whole_windows.groupBy("hash").agg(
+    alone = found.where("hub_id IS NULL").drop("hub_id", "hub_start")
+    firsts = alone.groupBy("hash").agg(
         F.min(F.struct("id", "start")).alias("hub"), F.max("id").alias("high")
     ).where("hub.id < high")
-    again = whole_windows.join(firsts, "hash").where("hub.id < id").selectExpr(
-        "id", "hub.id AS hub_id", "0L AS function", "start AS lo", f"start + {length - 1} AS hi",
-        "hub.start AS hub_lo", f"hub.start + {length - 1} AS hub_hi",
+    late = alone.join(firsts, "hash").where("hub.id < id").selectExpr(
+        "id", "start", "count", "hub.id AS hub_id", "hub.start AS hub_start"
+    )
+    again = found.where("hub_id IS NOT NULL").select(late.columns).unionByName(late).selectExpr(
+        "id", "hub_id", "0L AS function", "start AS lo", f"start + count + {length - 2} AS hi",
+        "hub_start AS hub_lo", f"hub_start + count + {length - 2} AS hub_hi",
     )
-    return spans.unionByName(_verified(base, again, 1, least, percent))
+    return copies.unionByName(spans).unionByName(_verified(base, again, 1, least, percent))
+
+
+def _copies_apart(base: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of base but for texts that a smaller id has too, and the spans of these."""
+    known = stage(base.select("id", F.xxhash64("text").alias("version"), F.unhex(F.sha2("text", 256)).alias("digest")))
+    firsts = known.groupBy("digest").agg(F.min("id").alias("hub_id"), F.max("id").alias("high")).where("hub_id < high")
+    copies = stage(known.join(firsts, "digest").where("hub_id < id").select("id", "version", "hub_id").distinct())
+    few = copies.count() <= BROADCAST_IDS
+    placed = base.withColumn("version", F.xxhash64("text"))
+    of_text = F.broadcast(copies) if few else copies
+    rest = placed.join(of_text, ["id", "version"], "left_anti").select("id", "text")
+    counted = placed.join(of_text, ["id", "version"]).select("id", "version", "text", "hub_id")
+    return rest, counted.mapInArrow(_whole_texts(least), SPAN)
+
+
+def _whole_texts(least: int) -> Callable:
+    """Spans of whole texts, of at least so many words."""
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sizes = np.array([len(text.split()) for text in texts_of(batch, "text")])
+            long = np.flatnonzero(sizes >= least)
+            ids, versions, hubs = (
+                batch.column(x).to_numpy(zero_copy_only=False)[long] for x in ("id", "version", "hub_id")
+            )
+            zeros, sizes = np.zeros(len(long), np.int64), sizes[long]
+            yield table(dict(zip(
+                SPANS.names, (ids, versions, zeros, sizes, hubs, versions, zeros, sizes, np.ones(len(long)))
+            )), SPANS)
+
+    return make
 
 
 def _verified(base: DataFrame, joint: DataFrame, enough: int, least: int, percent: int) -> DataFrame:
@@ -384,70 +459,129 @@ def _verified(base: DataFrame, joint: DataFrame, enough: int, least: int, percen
     return sides(mine).join(hub, "pair").mapInArrow(_compared(least, percent), SPAN)
 
 
-def _open_keys(length: int) -> Callable:
-    """The keys of windows that may be repeats and that no span covers.
+RUNS = pa.schema([
+    *((x, pa.int64()) for x in ("key", "id", "first", "last")), ("open", pa.bool_()),
+])
+RUN_DOCUMENTS = 1000
+
+
+def _shared_runs(length: int) -> Callable:
+    """Runs (first, last) of windows of the least length that may be repeats, each by the
+    key of its centre. open: one that an earlier document may have, and no span covers.
 
-    Every window of the least length has one centre for each function, so an exact repeat
-    is a window whose centres occur in other documents, all of them.
+    Every window has one centre for each function, so an exact repeat is a window whose
+    centres occur in other documents, all of them.
     """
+    least = length + WIDTH - 1
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for seen, spans in zip(batch.column("seen"), batch.column("spans")):
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, RUN_DOCUMENTS):
+                batch = whole_batch.slice(at, RUN_DOCUMENTS)
+                seen, spans = batch.column("seen"), batch.column("spans")
                 key, place, reach, later = (
-                    seen.values.field(x).to_numpy(zero_copy_only=False) for x in ("key", "place", "reach", "later")
+                    seen.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("key", "place", "reach", "later")
                 )
+                owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(seen).to_numpy())
                 lo, hi = _starts(place // FUNCTIONS, reach, length)
-                size = int(hi.max()) + 2
-                steps = np.zeros((FUNCTIONS, size), np.int32)
-                np.add.at(steps, (place % FUNCTIONS, lo), 1)
-                np.add.at(steps, (place % FUNCTIONS, hi + 1), -1)
-                free = (np.cumsum(steps, axis=1) > 0).all(axis=0)
-                if spans.is_valid and free.any():
-                    covered = np.zeros(size + length + WIDTH, np.int32)
-                    for start, end in zip(*(spans.values.field(x).to_pylist() for x in ("start", "end"))):
-                        covered[start:end] = 1
-                    total = np.r_[0, np.cumsum(covered)]
-                    words = length + WIDTH - 1
-                    free &= total[words : words + size] - total[:size] < words
+                # all documents in a row, with room for the words of each one's last window
+                sizes = np.zeros(batch.num_rows, np.int64)
+                np.maximum.at(sizes, owner, hi + least + 1)
+                offsets = np.r_[0, np.cumsum(sizes)]
+                lo, hi = lo + offsets[owner], hi + offsets[owner]
+                shared = np.ones(offsets[-1], bool)
+                for function in range(FUNCTIONS):
+                    own = place % FUNCTIONS == function
+                    shared &= _within(lo[own], hi[own] + 1, offsets[-1])
+                covering = np.repeat(np.arange(batch.num_rows), pc.list_value_length(spans).fill_null(0).to_numpy())
+                ends = (spans.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("start", "end"))
+                start, end = (np.minimum(x, sizes[covering]) + offsets[covering] for x in ends)
+                covered = np.r_[0, np.cumsum(_within(start, end, offsets[-1]))]
+                free = shared.copy()
+                free[: max(0, len(free) - least + 1)] &= covered[least:] - covered[:-least] < least
                 total = np.r_[0, np.cumsum(free)]
-                some = later & (place % FUNCTIONS == 0) & (total[hi + 1] > total[lo])
-                out.append(np.unique(key[some]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64())], names=["key"])
+                steps = np.diff(np.r_[0, shared.astype(np.int8), 0])
+                opens, closes = np.flatnonzero(steps > 0), np.flatnonzero(steps < 0) - 1
+                # what runs and the windows around a centre of the first function have in common
+                own = np.flatnonzero(place % FUNCTIONS == 0)
+                begin, stop = np.searchsorted(closes, lo[own]), np.searchsorted(opens, hi[own], "right")
+                centre, run = _ranges(begin, stop - begin)
+                centre = own[centre]
+                first, last = np.maximum(lo[centre], opens[run]), np.minimum(hi[centre], closes[run])
+                base = offsets[owner[centre]]
+                yield table({
+                    "key": key[centre], "id": batch.column("id").to_numpy(zero_copy_only=False)[owner[centre]],
+                    "first": first - base, "last": last - base,
+                    "open": later[centre].astype(bool) & (total[last + 1] > total[first]),
+                }, RUNS)
 
     return make
 
 
+def _within(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Whether each of size places lies in one of the ranges."""
+    steps = np.zeros(size + 1, np.int32)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, ends, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, so many from each start, and before them whose they are."""
+    counts = np.maximum(counts, 0)
+    whose = np.repeat(np.arange(len(starts)), counts)
+    return whose, np.arange(len(whose)) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+
+
 def _starts(at: np.ndarray, reach: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The first and the last window of that length around each centre, within its reach."""
     left, right = reach >> 32, reach & 0xFFFFFFFF
     return np.maximum(at - left, at - length + 1), np.minimum(at, at + right - length + 1)
 
 
-WHOLE = pa.schema([("hash", pa.int64()), ("id", pa.int64()), ("start", pa.int64())])
+WHOLE = pa.schema([(x, pa.int64()) for x in ("hash", "id", "start", "count", "hub_id", "hub_start")])
 
 
-def _whole_windows(length: int) -> Callable:
-    """A hash of all words of each window around the wanted centres."""
+def _whole_windows(least: int) -> Callable:
+    """A hash of all words of each wanted window, or the first window of the batch that has it.
+
+    A hash is given by one document of the batch, so a frequent one has few rows in all.
+    Neighbours whose first windows are neighbours too are one row, with their count.
+    """
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for i, text in enumerate(texts_of(batch, "text")):
-                words, _ = hashed_words([text])
-                hashes = rolled(words, length + WIDTH - 1)
-                wanted = batch.column("wanted")[i].values
-                place, reach = (wanted.field(x).to_numpy(zero_copy_only=False) for x in ("place", "reach"))
-                lo, hi = _starts(place // FUNCTIONS, reach, length)
-                steps = np.zeros(int(hi.max()) + 2, np.int64)
-                np.add.at(steps, lo, 1)
-                np.add.at(steps, hi + 1, -1)
-                starts = np.flatnonzero(np.cumsum(steps) > 0)
-                starts = starts[starts < len(hashes)]  # an id may have texts of several lengths
-                columns = {"hash": signed(hashes[starts]), "id": np.full(len(starts), ids[i]), "start": starts}
-                yield table(columns, WHOLE)
+            ids, wanted = batch.column("id").to_numpy(zero_copy_only=False), batch.column("wanted")
+            words, starts = hashed_words(texts_of(batch, "text"))
+            hashes = rolled(words, least)
+            del words
+            owner = np.repeat(np.arange(len(ids)), pc.list_value_length(wanted).to_numpy())
+            first, last = (wanted.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("first", "last"))
+            run, place = _ranges(first + starts[owner], last - first + 1)
+            text = owner[run]
+            fits = place + least <= starts[text + 1]  # an id may have texts of several lengths
+            place, text = place[fits], text[fits]
+            hashes, id_, start = signed(hashes[place]), ids[text], place - starts[text]
+            rows, hubs = local_hubs(hashes, id_, start)
+            tied = id_[rows] != id_[hubs]
+            alone, rows, hubs = rows[~tied], rows[tied], hubs[tied]
+            order = np.lexsort((start[rows], text[rows]))
+            rows, hubs = rows[order], hubs[order]
+            goes_on = np.ones(max(0, len(rows) - 1), bool)
+            for values in (text[rows], text[hubs]):
+                goes_on &= values[1:] == values[:-1]
+            for values in (start[rows], start[hubs]):
+                goes_on &= np.diff(values) == 1
+            opens = np.flatnonzero(np.r_[True, ~goes_on][: len(rows)])
+            counts = np.diff(np.r_[opens, len(rows)])
+            mask = np.r_[np.ones(len(alone), bool), np.zeros(len(opens), bool)]
+            none, tie, hub = np.zeros(len(alone), np.int64), rows[opens], hubs[opens]
+            yield table({
+                "hash": np.r_[hashes[alone], hashes[tie]], "id": np.r_[id_[alone], id_[tie]],
+                "start": np.r_[start[alone], start[tie]], "count": np.r_[none + 1, counts],
+                "hub_id": pa.array(np.r_[none, id_[hub]], mask=mask),
+                "hub_start": pa.array(np.r_[none, start[hub]], mask=mask),
+            }, WHOLE)
 
     return make
 
