@@ -23,6 +23,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let the files of shuffles that no plan needs any more go now: Spark deletes them once
+    the driver's JVM has found their plans unreachable, which may be long after."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def split_of(id_column: str | Column) -> Column:
     """crc32 of the id as text, modulo five; null ids count as empty text."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column

@@ -34,13 +34,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritsieve.llm.common import hashed_words, local_hubs, mix, rolled, signed, slices, stage, table, texts_of
+from gritsieve.llm.common import drop_shuffles, hashed_words, local_hubs, mix, rolled, signed, slices, stage, table, texts_of
 
 WIDTH = 5
 FUNCTIONS, ENOUGH = 8, 2
 GAP = 12  # tokens without a match that a span may bridge
 SLACK = 12  # tokens around an interval that are compared as well
 BROADCAST_IDS = 2_000_000  # 16 MB
+LISTED = 1000  # intervals of one document, about, that are cut out of its text at a time
 WORD = regex.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -197,7 +198,8 @@ def _signatures(length: int) -> Callable:
                 )
             ends = np.r_[0, np.cumsum(np.r_[counts[firsts], np.zeros(len(rows), np.int64)])]
             listed = pa.StructArray.from_arrays([found["place"][repeats], found["reach"][repeats]], ["place", "reach"])
-            columns["also"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed)
+            none = pa.array(np.diff(ends) == 0)
+            columns["also"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed, mask=none)
             yield table(columns, SIGNATURES)
 
     return make
@@ -230,6 +232,14 @@ def _token_spans(
     tokens: np.ndarray, other: np.ndarray, offset: int, least: int, percent: int
 ) -> list[tuple]:
     """(start, end, other start, other end, similarity) of matching spans of tokens."""
+    begin, stop = max(0, -offset), min(len(tokens), len(other) - offset)
+    if stop - begin >= least:  # most are one run of equal tokens, with nothing else in common
+        same = tokens[begin:stop] == other[begin + offset : stop + offset]
+        count = np.count_nonzero(same)
+        if count >= least:
+            s, e = begin + int(same.argmax()), stop - int(same[::-1].argmax())
+            if e - s == count and not np.isin(np.r_[tokens[:s], tokens[e:]], other).any():
+                return [(s, e, s + offset, e + offset, 1.0)]
     matched, partner = _partners(tokens, other, offset)
     if not len(matched):
         return []
@@ -347,11 +357,12 @@ def repeated_spans(
         "low": F.min("id").over(whole), "high": F.max("id").over(whole), "company": F.max("company").over(whole),
     }).where("company = 1 OR low < high")
     by_kind = F.coalesce(own_hub, F.min(free).over(Window.partitionBy("key", "salt", "kind")))
-    each = "inline(concat(array(struct(place, reach)), also)) AS (place, reach)"
+    each = "inline(concat(array(struct(place, reach)), coalesce(also, array()))) AS (place, reach)"
     later = "(hub_id IS NOT NULL OR low < id) AS later"
     seen = stage(
         shared.withColumn("hubs", F.array_distinct(F.array(by_kind, "by_key"))).selectExpr("key", "id", "hubs", later, each)
     )
+    drop_shuffles(df.sparkSession)
     tied = seen.withColumn("hub", F.explode("hubs")).where("hub.id < id")
     # the window that both have around the centre, in places of either
     joint = tied.selectExpr(
@@ -450,10 +461,13 @@ def _verified(base: DataFrame, joint: DataFrame, enough: int, least: int, percen
     placed = base.withColumn("version", F.xxhash64("text"))
 
     def sides(wanted: DataFrame) -> DataFrame:
-        found = placed.join(wanted, "id").select(
-            "id", "version", "text", F.array(F.struct("pair", "lo", "hi")).alias("wanted")
+        many = stage(wanted.groupBy("id").agg((F.count("*") / LISTED + 1).cast("long").alias("lists")).where("lists > 1"))
+        few = many.count() <= BROADCAST_IDS
+        dealt = wanted.join(F.broadcast(many) if few else many, "id", "left")
+        lists = dealt.groupBy("id", F.expr("pmod(pair, coalesce(lists, 1))").alias("list")).agg(
+            F.collect_list(F.struct("pair", "lo", "hi")).alias("wanted")
         )
-        return found.mapInArrow(_parts, PART)
+        return placed.join(lists, "id").select("id", "version", "text", "wanted").mapInArrow(_parts, PART)
 
     hub = sides(its).select("pair", *(F.col(x).alias(f"hub_{x}") for x in ("id", "base", "first", "version", "words")))
     return sides(mine).join(hub, "pair").mapInArrow(_compared(least, percent), SPAN)
