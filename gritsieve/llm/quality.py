@@ -1,10 +1,10 @@
 """Quality rules: an isolation forest over rule statistics.
 
-Statistics of whole texts feed a fixed base rule and a forest of random splits. The
-forest is grown on a bounded sample of labelled rows (SAMPLE_ROWS, the smallest hashes
-of their ids; each tree sees TREE_ROWS of the good ones, and cuts within the box of all). Documents that random splits
-set apart early are anomalous; the threshold is the one that tells labelled bad rows from
-good ones best while it rejects at most a GOOD_LOST share of the good ones.
+Statistics of whole texts feed a fixed base rule and a forest of random splits. All labelled
+rows take part: each tree is grown, as the method has it, on TREE_ROWS drawn from all good
+ones, and cuts within the box of all rows. Documents that random splits set apart early are
+anomalous; the threshold is the one that tells all labelled bad rows from all good ones best
+while it rejects at most a GOOD_LOST share of the good ones.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritsieve.llm.common import hashed_words, rolled, slices, table
+from gritsieve.sources.staging import stage
 
-SAMPLE_ROWS = 20_000
 TREES, TREE_ROWS, DEPTH = 128, 256, 10
 GOOD_LOST = 0.005
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_marks", "n_digits", "n_distinct")
+SHARES = ("word_length", "symbols", "dup_lines", "repeat_words", "upper", "marks", "digits")
 
 
 def statistics(texts: list[str]) -> np.ndarray:
@@ -59,7 +60,7 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
 
 
 def ratios(counts: np.ndarray) -> np.ndarray:
-    """What the forest splits on, from 0 to 1: a statistic as a part of its sum with what
+    """SHARES, which the forest splits on, from 0 to 1: a statistic as a part of its sum with what
     it is compared to. They are shares, so that long texts aren't odd as such."""
     words, chars, lines = counts[:, 0], counts[:, 1], counts[:, 5]
     pairs = (
@@ -100,22 +101,26 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / _average_path(TREE_ROWS))
 
 
-def grow(values: np.ndarray, good: np.ndarray, seed: int = 7) -> Forest:
-    """Trees over samples of the good rows; cuts are drawn from the box of all rows.
+def grow(usual: np.ndarray, lowest: np.ndarray, highest: np.ndarray, seed: int = 7) -> Forest:
+    """Trees over the usual rows; cuts are drawn from the box of all rows.
 
-    So the places that good rows leave empty are set apart after a few cuts, also along
-    features that all good rows share.
+    So the places that usual rows leave empty are set apart after a few cuts, also along
+    features that all of them share. Given TREES * TREE_ROWS rows or more, no two trees
+    share one.
     """
     rng = np.random.default_rng(seed)
     places = 2 ** (DEPTH + 1) - 1
     feature = np.full((TREES, places), -1)
     cut, length = np.zeros((TREES, places)), np.zeros((TREES, places))
-    if not len(values):
+    if not len(usual):
         return Forest(feature, cut, length, np.inf)
-    usual = values[good] if good.any() else values
+    dealt = rng.permutation(len(usual)) if len(usual) >= TREES * TREE_ROWS else None
     for tree in range(TREES):
-        pick = rng.choice(len(usual), min(TREE_ROWS, len(usual)), replace=False)
-        work = [(0, 0, usual[pick], values.min(axis=0), values.max(axis=0))]
+        if dealt is None:
+            pick = rng.choice(len(usual), min(TREE_ROWS, len(usual)), replace=False)
+        else:
+            pick = dealt[tree * TREE_ROWS : (tree + 1) * TREE_ROWS]
+        work = [(0, 0, usual[pick], lowest, highest)]
         while work:
             at, depth, rows, low, high = work.pop()
             wide = np.flatnonzero(high > low)
@@ -132,16 +137,44 @@ def grow(values: np.ndarray, good: np.ndarray, seed: int = 7) -> Forest:
     return Forest(feature, cut, length, np.inf)
 
 
-def calibrated(forest: Forest, values: np.ndarray, good: np.ndarray) -> Forest:
-    """With the threshold that has the largest difference of rejected shares."""
-    if not len(values) or good.all() or not good.any():
+def calibrated(forest: Forest, rows: DataFrame) -> Forest:
+    """With the threshold that has the largest difference of rejected shares of all rows.
+
+    rows: SHARES and whether a row is good. Every anomaly among them is tried: they are
+    sorted over many tasks, and rows up to each are counted by ranges, then within them.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def anomalies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = shared.value.anomaly(np.column_stack([batch.column(x).to_numpy() for x in SHARES]))
+            yield pa.RecordBatch.from_arrays([pa.array(odd), batch.column("good")], ["level", "good"])
+
+    levels = stage(
+        rows.select(*SHARES, "good").mapInArrow(anomalies, "level double, good boolean")
+        .groupBy("level").agg(F.expr("count_if(good) AS good"), F.expr("count_if(NOT good) AS bad"))
+        .orderBy("level").withColumn("part", F.spark_partition_id())
+    )
+    parts = levels.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("part").collect()
+    n_good, n_bad = sum(x["good"] for x in parts), sum(x["bad"] for x in parts)
+    if not n_good or not n_bad:
         return forest
-    odd = forest.anomaly(values)
-    levels = np.unique(odd)
-    lost = 1 - np.searchsorted(np.sort(odd[good]), levels, "right") / good.sum()
-    found = 1 - np.searchsorted(np.sort(odd[~good]), levels, "right") / (~good).sum()
-    gain = np.where(lost <= GOOD_LOST, found - lost, -1.0)
-    return dataclasses.replace(forest, threshold=float(levels[np.argmax(gain)]))
+    before, good, bad = [], 0, 0
+    for x in parts:
+        before.append((x["part"], good, bad))
+        good, bad = good + x["good"], bad + x["bad"]
+    before = rows.sparkSession.createDataFrame(before, "part int, good_before long, bad_before long")
+    so_far = "OVER (PARTITION BY part ORDER BY level ROWS UNBOUNDED PRECEDING)"
+    best = (
+        levels.join(F.broadcast(before), "part")
+        .selectExpr(
+            "level", f"1 - (good_before + sum(good) {so_far}) / {n_good}D AS lost",
+            f"1 - (bad_before + sum(bad) {so_far}) / {n_bad}D AS found",
+        )
+        .selectExpr("level", f"IF(lost <= {GOOD_LOST}D, found - lost, -1D) AS gain")
+        .orderBy(F.desc("gain"), "level").first()
+    )
+    return dataclasses.replace(forest, threshold=best["level"])
 
 
 def _stats_of(forest, schema: pa.Schema) -> Callable:
@@ -170,25 +203,41 @@ SPARK_SCHEMA = (
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id",
-    label: str = "quality", sample_rows: int = SAMPLE_ROWS,
+    docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality"
 ) -> Forest:
-    """A forest from labelled rows that pass the base rule; 1 is good.
+    """A forest from all labelled rows that pass the base rule; 1 is good.
 
     Rows without id or label are left out; of several labels the lowest counts. Without
-    bad or good rows there is no threshold, and the base rule alone decides.
+    bad or good rows there is no threshold, and the base rule alone decides. The driver
+    gets the rows that trees are grown on, and a record for each task.
     """
-    sample = (
+    marks = (
         labels.select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("label"))
-        .where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.min("label").alias("label"))
-        .orderBy(F.xxhash64("id")).limit(sample_rows)
+        .where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg((F.min("label") == 1).alias("good"))
     )
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    some = base.join(F.broadcast(sample), "id", "left_semi").mapInArrow(_stats_of(None, SCHEMA), SPARK_SCHEMA)
-    rows = some.where("NOT base_failed").join(F.broadcast(sample), "id").orderBy("id", *COUNTS).toPandas()
-    values = ratios(rows[[*COUNTS, *MORE]].to_numpy(np.int64))
-    good = rows["label"].to_numpy() == 1
-    return calibrated(grow(values, good), values, good)
+    counts = base.where("id IS NOT NULL").mapInArrow(_stats_of(None, SCHEMA), SPARK_SCHEMA).where("NOT base_failed")
+    rows = stage(
+        counts.select("id", *COUNTS, *MORE).join(marks, "id")
+        .mapInArrow(_shares, "id long, good boolean, " + ", ".join(f"{x} double" for x in SHARES))
+    )
+    ends = rows.agg(
+        F.count_if("good"), *(end(x) for end in (F.min, F.max) for x in SHARES)
+    ).first()
+    lowest, highest = np.array(ends[1:], float).reshape(2, -1)
+    usual = (
+        rows.where("good" if ends[0] else "true")
+        .orderBy(F.xxhash64("id", *SHARES), "id", *SHARES).limit(TREES * TREE_ROWS).select(*SHARES).toPandas()
+    )
+    return calibrated(grow(usual.to_numpy(float), lowest, highest), rows)
+
+
+def _shares(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = ratios(np.column_stack([batch.column(x).to_numpy() for x in COUNTS + MORE]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("good"), *map(pa.array, found.T)], ["id", "good", *SHARES]
+        )
 
 
 def judge(docs: DataFrame, forest: Forest, text: str = "text", id: str = "doc_id") -> DataFrame:

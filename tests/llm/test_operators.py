@@ -414,6 +414,25 @@ def test_quality_on_labelled_rows(spark):
     assert found.kept[good].mean() > 0.98 and found.kept[~good].mean() < 0.3
 
 
+def test_quality_threshold_is_the_best_over_all_labelled_rows(spark):
+    docs = spark.range(0, 24_000, 1, 6).selectExpr("id AS doc_id", (
+        "array_join(transform(sequence(0, 60 + id % 31), i -> concat(hash(i, id) % 1000, "
+        "IF(pmod(hash(id, i, 1), 100) < pmod(hash(id, 2), 5 + 60 * CAST(id % 2 AS INT)), '<#>', 'X!'))), ' ') AS text"
+    ))
+    marks = docs.selectExpr("doc_id", "IF(doc_id % 2 = 0 OR doc_id % 5 = 0, 1, 0) AS quality")
+    forest = quality.fit(docs, marks)
+    found = quality.judge(docs, forest).where("NOT base_failed").join(marks, "doc_id").toPandas()
+    assert len(found) > 23_000
+    good = found.anomaly[found.quality == 1].to_numpy()
+    bad = found.anomaly[found.quality == 0].to_numpy()
+    best = (-1.0, 0.0)
+    for level in np.unique(found.anomaly):
+        lost = 1 - (good <= level).sum() / len(good)
+        gain = 1 - (bad <= level).sum() / len(bad) - lost if lost <= quality.GOOD_LOST else -1.0
+        best = max(best, (gain, -level))
+    assert forest.threshold == -best[1]
+
+
 def test_toxicity(spark, odd, labels):
     weights = toxicity.train(odd, labels)
     found = toxicity.score(odd, weights)
