@@ -158,6 +158,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The same rows spread evenly over the tasks of the session, for work that is costly per
+    row: a file is read by no more tasks than it has row groups, however many rows they hold."""
+    tasks = 3 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(tasks, df.rdd.getNumPartitions()))
+
+
 def _expressions(columns: dict[str, str]) -> list[str]:
     return [f"{expression} AS {name}" for name, expression in columns.items()]
 
@@ -166,6 +173,11 @@ def derived(spark: SparkSession, folder: str, columns: dict[str, str]) -> DataFr
     return table(spark, folder, "orders").selectExpr(*_expressions(columns))
 
 
+def spelled(spark: SparkSession, folder: str) -> DataFrame:
+    """SPELLED, whose columns go through many regular expressions."""
+    return dealt(table(spark, folder, "orders")).selectExpr(*_expressions(SPELLED))
+
+
 def dirty_sales(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     repeated = (

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import gritsieve
 from catalog.fixture import (
-    AS_OF, DATED, MONTHLY, SPELLED, TOKENS, TYPED, derived, dirty_sales, table,
+    AS_OF, DATED, MONTHLY, SPELLED, TOKENS, TYPED, dealt, derived, dirty_sales, spelled, table,
 )
 from gritsieve import roles
 from gritsieve.functions import dates, numbers, text
@@ -212,13 +212,13 @@ SPELLED_COLUMNS = tuple(name for name in SPELLED if name != "o_orderkey")
 
 def date_shapes(spark: SparkSession, folder: str) -> DataFrame:
     """How the dates of each column are spelled, and what the format of each spelling reads."""
-    return spellings.date_shapes(derived(spark, folder, SPELLED), SPELLED_COLUMNS)
+    return spellings.date_shapes(spelled(spark, folder), SPELLED_COLUMNS)
 
 
 def spelled_dates(spark: SparkSession, folder: str) -> DataFrame:
     """All these columns converted without being told a format."""
     plan = [("cast_to_datetime", {"col": name}) for name in SPELLED_COLUMNS]
-    return apply_plan(derived(spark, folder, SPELLED), plan)
+    return apply_plan(spelled(spark, folder), plan)
 
 
 @query

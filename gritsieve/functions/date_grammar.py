@@ -139,6 +139,11 @@ def _replaced(text: str, tokens: Iterable[tuple[str, str]]) -> str:
     return text
 
 
+def spelling(text: str) -> str:
+    """The value with a nought for each digit; its shape is that of the value."""
+    return f"translate({text}, '123456789', '000000000')"
+
+
 def shape(text: str) -> str:
     """The shape of a value, null where something is no part of a date."""
     found = f"CASE WHEN {text} RLIKE '[a-zA-Z]{{3}}' THEN {_replaced(text, _NAMES)} ELSE {text} END"

@@ -1,6 +1,6 @@
 """Formats of text columns by the shapes of their values.
 
-One aggregate counts the shapes of all columns. A shape has one format, unless day and
+One aggregate counts the spellings of all columns, which have few shapes. A shape has one format, unless day and
 month can change places; that is decided for a whole column by the numbers above twelve.
 """
 
@@ -13,35 +13,58 @@ from pyspark.sql import DataFrame, functions as F
 from gritsieve.functions import date_grammar as grammar
 from gritsieve.functions.dates import parse_first, parse_format
 from gritsieve.functions.text import count_where, ident, literal
+from gritsieve.sources.staging import stage
 
 _TWO = r"r'(\d{1,2})\D+(\d{1,2})'"
 
 
-def shape_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, shape, n_values, and how many have a first and a second number above twelve).
-
-    The grammar bounds the shapes a column can have, so each task sends few rows. Values
-    without a shape are counted under a null.
-    """
+def _spelled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, spelling) of the values that are not null."""
     cells = (
         f"struct({literal(name)} AS `column`, CAST({ident(name)} AS STRING) AS value)" for name in columns
     )
     values = df.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
-    return (
-        values.selectExpr("column", f"nullif({grammar.shape('value')}, '') AS shape", "value")
-        .groupBy("column", "shape")
+    return values.selectExpr("*", f"{grammar.spelling('value')} AS spelling")
+
+
+def spellings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, spelling, shape, n_values, and how many have a first and a second number above
+    twelve). A shape is sought once for all values of a spelling; none is null."""
+    counted = (
+        _spelled(df, columns)
+        .groupBy("column", "spelling")
         .agg(
             F.expr("count(1) AS n_values"),
             F.expr(f"{count_where(f'try_cast(regexp_extract(value, {_TWO}, 1) AS INT) > 12')} AS n_first"),
             F.expr(f"{count_where(f'try_cast(regexp_extract(value, {_TWO}, 2) AS INT) > 12')} AS n_second"),
         )
     )
+    return counted.selectExpr("*", f"nullif({grammar.shape('spelling')}, '') AS shape")
+
+
+def shape_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, shape, n_values, and how many have a first and a second number above twelve).
+
+    Each task sends a row per spelling: values that differ in their digits only are one.
+    Values without a shape are counted under a null.
+    """
+    return _shapes(spellings(df, columns))
+
+
+def _shapes(found: DataFrame) -> DataFrame:
+    return found.groupBy("column", "shape").agg(
+        *(F.sum(name).alias(name) for name in ("n_values", "n_first", "n_second"))
+    )
 
 
 def shape_formats(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, str]]:
     """For each column the format of each shape that is one of a date, the most frequent first."""
+    return _formats(shape_counts(df, columns), columns)
+
+
+def _formats(counts: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, str]]:
     counted: dict[str, list] = {name: [] for name in columns}
-    for row in shape_counts(df, columns).where("shape IS NOT NULL").collect():
+    for row in counts.where("shape IS NOT NULL").collect():
         counted[row["column"]].append(row)
     result = {}
     for name, rows in counted.items():
@@ -80,19 +103,16 @@ def spelled_dates(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[tupl
 def date_shapes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, shape, date_format, n_values, n_parsed): how the dates of text columns are
     spelled. Each value is read by the format of its own shape only."""
-    formats = shape_formats(df, columns)
-    cells = []
-    for name in columns:
-        value = f"CAST({ident(name)} AS STRING)"
-        cells.append(f"struct({literal(name)} AS `column`, {value} AS value, {grammar.shape(value)} AS shape)")
-    values = df.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
-    known = [(name, s, f) for name, found in formats.items() for s, f in found.items()]
+    found = stage(spellings(df, columns))
+    formats = _formats(_shapes(found), columns)
+    known = [(name, s, f) for name, shapes in formats.items() for s, f in shapes.items()]
     chosen = " ".join(f"WHEN `column` = {literal(n)} AND shape = {literal(s)} THEN {literal(f)}" for n, s, f in known)
     parsed = " ".join(f"WHEN {literal(f)} THEN {parse_format('value', f)}" for f in dict.fromkeys(f for *_, f in known))
     format_of = f"CASE {chosen} END" if known else "CAST(NULL AS STRING)"
     moment = f"CASE date_format {parsed} END" if known else "CAST(NULL AS TIMESTAMP_NTZ)"
+    shaped = found.where("shape IS NOT NULL").selectExpr("column", "spelling", "shape", f"{format_of} AS date_format")
     return (
-        values.selectExpr("column", "nullif(shape, '') AS shape", f"{format_of} AS date_format", "value")
+        _spelled(df, columns).join(shaped, ["column", "spelling"], "left")
         .selectExpr("column", "shape", "date_format", f"{moment} AS moment")
         .groupBy("column", "shape", "date_format")
         .agg(F.expr("count(1) AS n_values"), F.expr("count(moment) AS n_parsed"))

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import types as T
 
+from catalog.fixture import dealt
 from gritsieve import roles, validate
 from gritsieve.functions import date_grammar, dates, numbers, text
 from gritsieve.operators import date_shapes
@@ -255,3 +256,23 @@ def test_validation_reads_dates_in_other_spellings(spark):
     found = {i["check"]: i for i in issues if i["column"] == "order_date"}
     assert "date_parse_ratio" not in found and not [i for i in issues if i["section"] == "Error"]
     assert found["text_dates"]["severity"] == "WARNING" and found["date_range"]["value"] == (datetime(2020, 3, 27) - datetime(2020, 1, 1)).days
+
+
+def test_a_shape_is_sought_once_for_all_values_of_a_spelling(spark, evaluate):
+    odd = [
+        "5 Jan 2020", "13/02/99", "1/2/3", "20200131", "2020-01-05T07:08:09.250+02:30", "12:05 pm", "a12", "%2",
+        "31.12.1999 11:59:59 PM", "Mon, 07 May 2021", "2020 366", "٣/٤/٢٠", "1e5", "", " ", "week 07", "9" * 9,
+    ]
+    whole = evaluate(date_grammar.shape("v"), odd)
+    assert evaluate(date_grammar.shape(date_grammar.spelling("v")), odd) == whole
+    days = spark.range(1000).selectExpr("date_format(date_add(DATE'2001-01-01', CAST(id AS INT)), 'dd/MM/yyyy') AS day")
+    found = date_shapes.spellings(days, ["day"]).collect()
+    assert [(r["spelling"], r["shape"], r["n_values"]) for r in found] == [("00/00/0000", "%2/%2/%Y", 1000)]
+    assert found[0]["n_first"] > 500 and found[0]["n_second"] == 0
+
+
+def test_rows_of_one_partition_are_dealt_to_every_task(spark):
+    rows = spark.range(0, 1000, 1, 1)
+    sizes = [len(part) for part in dealt(rows).rdd.glom().collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism
+    assert sum(sizes) == 1000 and max(sizes) <= 2 * 1000 / len(sizes)
