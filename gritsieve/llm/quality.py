@@ -219,7 +219,9 @@ def fit(
     counts = base.where("id IS NOT NULL").mapInArrow(_stats_of(None, SCHEMA), SPARK_SCHEMA).where("NOT base_failed")
     rows = stage(
         counts.select("id", *COUNTS, *MORE).join(marks, "id")
-        .mapInArrow(_shares, "id long, good boolean, " + ", ".join(f"{x} double" for x in SHARES))
+        .mapInArrow(_shares, ", ".join(
+            ["id long", "good boolean", *(f"{x} long" for x in COUNTS), *(f"{x} double" for x in SHARES)]
+        ))
     )
     ends = rows.agg(
         F.count_if("good"), *(end(x) for end in (F.min, F.max) for x in SHARES)
@@ -227,7 +229,8 @@ def fit(
     lowest, highest = np.array(ends[1:], float).reshape(2, -1)
     usual = (
         rows.where("good" if ends[0] else "true")
-        .orderBy(F.xxhash64("id", *SHARES), "id", *SHARES).limit(TREES * TREE_ROWS).select(*SHARES).toPandas()
+        .orderBy(F.xxhash64("id", *SHARES), "id", *SHARES).limit(TREES * TREE_ROWS)
+        .orderBy("id", *COUNTS).select(*SHARES).toPandas()
     )
     return calibrated(grow(usual.to_numpy(float), lowest, highest), rows)
 
@@ -236,7 +239,8 @@ def _shares(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = ratios(np.column_stack([batch.column(x).to_numpy() for x in COUNTS + MORE]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("good"), *map(pa.array, found.T)], ["id", "good", *SHARES]
+            [*(batch.column(x) for x in ("id", "good", *COUNTS)), *map(pa.array, found.T)],
+            ["id", "good", *COUNTS, *SHARES],
         )
 
 
