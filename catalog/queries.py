@@ -21,7 +21,7 @@ from gritsieve.operators.fixes import apply_plan
 from gritsieve.operators.profile import column_profile, table_profile
 from gritsieve.plans.clean import clean, clean_then_validate
 from gritsieve.sources import delimited
-from gritsieve.sources.staging import shared_folder
+from gritsieve.sources.staging import shared_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -617,7 +617,7 @@ register("clean_then_validate", on_dirty(clean_and_report))
 @query
 def revalidated_plan(df: DataFrame) -> DataFrame:
     """The report after that plan, measured again after each fix as far as the fix reaches."""
-    state = gritsieve.measured(df, as_of=AS_OF, order_by=ROW_ORDER)
+    state = gritsieve.measured(stage(dealt(df)), as_of=AS_OF, order_by=ROW_ORDER)
     for fix_id, params in PLAN:
         state = gritsieve.revalidated(state, fix_id, params)
     return shown(state.issues)

@@ -57,6 +57,8 @@ ISSUE_COLUMNS = (
 )
 
 
+# Fixes whose result costs many regular expressions per value.
+PARSING_FIXES = ("cast_to_numeric", "cast_to_datetime")
 # Jobs of one validation that may run side by side.
 CONCURRENT_JOBS = 6
 
@@ -575,11 +577,12 @@ def revalidated(
     or a whole row holds it against them; without the column that ``drop_column`` and
     ``drop_empty_columns`` take away nothing else changes. A fix that drops rows changes every
     measure: its table is written and measured anew. So is a table of which a measure failed.
+    The table is also written after a fix that parses text, else each pass would parse again.
     """
     options = before.options
     df = apply_fix(before.df, fix_id, params, as_of=options["as_of"], order_by=options["order_by"])
     by_column = fix_id in COLUMN_FIXES or fix_id in COLUMN_DROPS
-    if not by_column:  # all passes follow, and plans of many fixes do not grow
+    if not by_column or fix_id in PARSING_FIXES:  # many passes follow, and plans of many fixes do not grow
         df = stage(df)
     touched = {(params or {}).get("col")} if fix_id in COLUMN_FIXES else set()
     old = before.measurements

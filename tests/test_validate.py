@@ -380,3 +380,13 @@ def test_a_fix_reads_its_column_alone(before, monkeypatch):
     found = after.issues.collect()
     no_errors(found)
     assert after.measurements.before is not None and pick(found, "full_duplicates")[0]["value"] == 3
+
+
+def test_a_table_is_written_after_a_fix_that_parses_text(spark, frame):
+    df = frame([(i, f"${i},100.50", f"{1 + i % 28:02}/01/2020") for i in range(50)], "id int, amount string, day string")
+    state = measured(df, as_of="2026-01-01", order_by=["id"])
+    for fix_id, col in (("cast_to_numeric", "amount"), ("cast_to_datetime", "day")):
+        state = revalidated(state, fix_id, {"col": col})
+        assert "regexp" not in state.df._jdf.queryExecution().optimizedPlan().toString().lower()
+    again = validate(state.df, as_of="2026-01-01", order_by=["id"])
+    assert sorted(map(str, state.issues.collect())) == sorted(map(str, again.collect()))
