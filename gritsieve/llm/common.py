@@ -13,20 +13,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritsieve.sources.staging import stage
+from gritsieve.sources import staging
 
 CACHED_WORDS = 200_000  # entries a memo may hold before it starts afresh
 SLICE_BYTES = 4 << 20
+SLICE_ROWS = 100_000  # of numbers, that go back to Spark at a time
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let the files of shuffles that no plan needs any more go now: Spark deletes them once
-    the driver's JVM has found their plans unreachable, which may be long after."""
-    spark.sparkContext._jvm.System.gc()
+def stage(df: DataFrame) -> DataFrame:
+    """The same table, read from a copy in the shared folder. Files of the shuffles that the
+    copy took go as soon as it is written; else Spark deletes them once the driver's JVM
+    has found their plans unreachable, which may be long after."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return staging.stage(df)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def split_of(id_column: str | Column) -> Column:
@@ -56,6 +65,12 @@ def give_back() -> None:
         trim(0)
 
 
+def by_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of SLICE_ROWS rows: Spark holds a part as a whole, outside its heap."""
+    for start in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(start, SLICE_ROWS)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The texts as UTF-8; null is empty."""
     return [text or b"" for text in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -8,7 +8,8 @@
 2. Windows with the same centre token and function share a signature. Each occurrence is
    tied to the first one (smallest id and place), and to the first one that reaches about
    as far: at first within its batch, so that few rows of a signature per batch go through
-   the shuffle, then over all batches.
+   the shuffle, then over all batches. No signature is of two functions, so they are dealt
+   with AT_ONCE at a time, and the shuffle of the ones before has gone by then.
 3. For each pair of documents, intervals that overlap are joined; they need the agreement
    of ENOUGH functions.
 4. The words of what remains are compared: spans of at least ``least`` words on both sides
@@ -24,6 +25,7 @@ A passage stays in the document with the smallest id.
 
 from __future__ import annotations
 
+import functools
 import operator
 from collections.abc import Callable, Iterable, Iterator
 
@@ -34,10 +36,11 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritsieve.llm.common import drop_shuffles, hashed_words, local_hubs, mix, rolled, signed, slices, stage, table, texts_of
+from gritsieve.llm.common import by_rows, hashed_words, local_hubs, mix, rolled, signed, slices, stage, table, texts_of
 
 WIDTH = 5
 FUNCTIONS, ENOUGH = 8, 2
+AT_ONCE = 4  # functions whose windows are in one shuffle
 GAP = 12  # tokens without a match that a span may bridge
 SLACK = 12  # tokens around an interval that are compared as well
 BROADCAST_IDS = 2_000_000  # 16 MB
@@ -112,9 +115,9 @@ def _smaller_before(values: np.ndarray, texts: np.ndarray, above: Callable) -> n
     return found
 
 
-def windows(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
-    """All compact windows of all texts: key, text, place (token * FUNCTIONS + function)
-    and reach (left in the upper 32 bits, right in the lower)."""
+def windows(texts: list[bytes], length: int, functions: range = range(FUNCTIONS)) -> dict[str, np.ndarray]:
+    """All compact windows of all texts by these functions: key, text, place (token *
+    FUNCTIONS + function) and reach (left in the upper 32 bits, right in the lower)."""
     words, starts = hashed_words(texts)
     tokens = rolled(words, WIDTH)
     begin, end = starts[:-1], np.maximum(starts[1:] - WIDTH + 1, starts[:-1])
@@ -124,7 +127,7 @@ def windows(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     np.add.at(valid, end[some] - length + 1, -1)
     valid = np.cumsum(valid)[:-1] > 0
     found: dict[str, list] = {"key": [], "text": [], "place": [], "reach": []}
-    for function in range(FUNCTIONS):
+    for function in functions:
         hashes = mix(tokens, 100 + function)
         centres = sliding_centres(hashes, valid, length)
         text = np.searchsorted(starts, centres, "right") - 1
@@ -151,7 +154,7 @@ def _classes(reach: np.ndarray) -> np.ndarray:
     return (np.log2(left + 1).astype(np.int64) << 6) + np.log2(right + 1).astype(np.int64)
 
 
-def _signatures(length: int) -> Callable:
+def _signatures(length: int, functions: range) -> Callable:
     """The first window of each key and class of a batch, and the ties of all others.
 
     Classes are at most a few hundred, so a key has a bounded number of rows per batch.
@@ -161,7 +164,7 @@ def _signatures(length: int) -> Callable:
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = windows(texts_of(batch, "text"), length)
+            found = windows(texts_of(batch, "text"), length, functions)
             own_ids = batch.column("id").to_numpy(zero_copy_only=False)
             ids = found["id"] = own_ids[found["text"]]
             # id and place as one number, to sort by
@@ -200,7 +203,7 @@ def _signatures(length: int) -> Callable:
             listed = pa.StructArray.from_arrays([found["place"][repeats], found["reach"][repeats]], ["place", "reach"])
             none = pa.array(np.diff(ends) == 0)
             columns["also"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed, mask=none)
-            yield table(columns, SIGNATURES)
+            yield from by_rows(table(columns, SIGNATURES))
 
     return make
 
@@ -345,24 +348,9 @@ def repeated_spans(
     )
     base, copies = _copies_apart(base, least)
     length = least - WIDTH + 1
-    fields = ", ".join(f"{name} long" for name in SIGNATURES.names[:-1])
-    shared = base.mapInArrow(
-        _signatures(length), f"{fields}, also array<struct<place: long, reach: long>>"
-    ).withColumn("kind", F.expr(CLASS))
-    free = F.when(F.col("hub_id").isNull(), F.struct(*OCCURRENCE))
-    own_hub = F.when(F.col("hub_id").isNotNull(), F.struct(*(F.col(f"hub_{x}").alias(x) for x in OCCURRENCE)))
-    whole = Window.partitionBy("key", "salt")
-    shared = shared.withColumns({
-        "by_key": F.coalesce(own_hub, F.min(free).over(whole)),
-        "low": F.min("id").over(whole), "high": F.max("id").over(whole), "company": F.max("company").over(whole),
-    }).where("company = 1 OR low < high")
-    by_kind = F.coalesce(own_hub, F.min(free).over(Window.partitionBy("key", "salt", "kind")))
-    each = "inline(concat(array(struct(place, reach)), coalesce(also, array()))) AS (place, reach)"
-    later = "(hub_id IS NOT NULL OR low < id) AS later"
-    seen = stage(
-        shared.withColumn("hubs", F.array_distinct(F.array(by_kind, "by_key"))).selectExpr("key", "id", "hubs", later, each)
-    )
-    drop_shuffles(df.sparkSession)
+    seen = functools.reduce(DataFrame.unionByName, (
+        stage(_seen(base, length, range(first, min(first + AT_ONCE, FUNCTIONS)))) for first in range(0, FUNCTIONS, AT_ONCE)
+    ))
     tied = seen.withColumn("hub", F.explode("hubs")).where("hub.id < id")
     # the window that both have around the centre, in places of either
     joint = tied.selectExpr(
@@ -406,6 +394,26 @@ def repeated_spans(
     return copies.unionByName(spans).unionByName(_verified(base, again, 1, least, percent))
 
 
+def _seen(base: DataFrame, length: int, functions: range) -> DataFrame:
+    """The windows by these functions whose keys are in several documents, and their hubs."""
+    fields = ", ".join(f"{name} long" for name in SIGNATURES.names[:-1])
+    shared = base.mapInArrow(
+        _signatures(length, functions), f"{fields}, also array<struct<place: long, reach: long>>"
+    ).withColumn("kind", F.expr(CLASS))
+    free = F.when(F.col("hub_id").isNull(), F.struct(*OCCURRENCE))
+    own_hub = F.when(F.col("hub_id").isNotNull(), F.struct(*(F.col(f"hub_{x}").alias(x) for x in OCCURRENCE)))
+    whole = Window.partitionBy("key", "salt")
+    shared = shared.withColumns({
+        "by_key": F.coalesce(own_hub, F.min(free).over(whole)),
+        "low": F.min("id").over(whole), "high": F.max("id").over(whole), "company": F.max("company").over(whole),
+    }).where("company = 1 OR low < high")
+    by_kind = F.coalesce(own_hub, F.min(free).over(Window.partitionBy("key", "salt", "kind")))
+    each = "inline(concat(array(struct(place, reach)), coalesce(also, array()))) AS (place, reach)"
+    later = "(hub_id IS NOT NULL OR low < id) AS later"
+    hubs = F.array_distinct(F.array(by_kind, "by_key"))
+    return shared.withColumn("hubs", hubs).selectExpr("key", "id", "hubs", later, each)
+
+
 def _copies_apart(base: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """The rows of base but for texts that a smaller id has too, and the spans of these."""
     known = stage(base.select("id", F.xxhash64("text").alias("version"), F.unhex(F.sha2("text", 256)).alias("digest")))
