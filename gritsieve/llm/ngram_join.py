@@ -25,17 +25,17 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritsieve.llm.common import (
-    components, local_hubs, mix, shingle_sets, signed, slices, stage, table, texts_of,
+    by_rows, components, local_hubs, mix, shingle_sets, signed, slices, stage, table, texts_of,
 )
 
 TILE_SHINGLES = 64_000  # shingles of a block: 0.5 MB
 BITMAP_SHINGLES = 256_000  # shingles of a block of bitmaps: 64 to 128 kB
+HELD_KEYS = 600_000  # keys of sets that are compared before the shuffle: 5 MB
 BROADCAST_IDS = 2_000_000  # ids of candidates that may be broadcast: 16 MB
 
 
@@ -94,66 +94,73 @@ def _segment_keys(members: np.ndarray, band: int, starts: np.ndarray, percent: i
     return np.r_[keys, mix(pair, 17)]
 
 
-def _set_rows(width: int, percent: int, with_keys: bool, schema: pa.Schema) -> Callable:
-    """Sizes and digests of sets, with the keys of their segments or without."""
+def _set_rows(width: int, schema: pa.Schema) -> Callable:
+    """Sizes and digests of sets."""
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(texts_of(batch, "text"), width)
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            yield table({"id": batch.column("id"), "n_shingles": [len(x) for x in sets], "digest": digests}, schema)
+
+    return make
+
+
+def _key_rows(width: int, percent: int, schema: pa.Schema) -> Callable:
+    """(key, id, hub): a segment's smallest id among about HELD_KEYS keys, and (id, hub) for
+    the others. Sets are made and compared in one Python process, of which few may run."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = bands(percent, 1 << 12)
+        ids, digests, keys, held = [], [], [], 0
         for batch in slices(batches, "text"):
-            sizes, digests, keys = [], [], []
-            for members in shingle_sets(texts_of(batch, "text"), width):
+            sets = shingle_sets(texts_of(batch, "text"), width)
+            for id_, members in zip(batch.column("id").to_pylist(), sets):
                 size = len(members)
+                if not size:
+                    continue
                 if size >= starts[-2]:
                     starts = bands(percent, 2 * size)
-                sizes.append(size)
-                digests.append(xxhash.xxh3_128_digest(members.tobytes()) if size else None)
-                if not size or not with_keys:
-                    keys.append(None)
-                    continue
                 band = int(np.searchsorted(starts, size, "right")) - 1
-                own = [_segment_keys(members, band, starts, percent)]
+                own = _segment_keys(members, band, starts, percent)
                 if band and percent * size <= 100 * (int(starts[band]) - 1):
-                    own.append(_segment_keys(members, band - 1, starts, percent))
-                keys.append(signed(np.concatenate(own)))
-            yield table(
-                {"id": batch.column("id"), "n_shingles": sizes, "digest": digests, "keys": keys},
-                schema,
-            )
+                    own = np.r_[own, _segment_keys(members, band - 1, starts, percent)]
+                if not len(own):
+                    continue
+                ids.append(id_)
+                digests.append(xxhash.xxh3_128_digest(members.tobytes()))
+                keys.append(signed(own))
+                held += len(own)
+            del sets
+            if held > HELD_KEYS:
+                yield from by_rows(_first_of_each(ids, digests, keys, schema))
+                ids, digests, keys, held = [], [], [], 0
+        if held:
+            yield from by_rows(_first_of_each(ids, digests, keys, schema))
 
     return make
 
 
-def _first_of_each(schema: pa.Schema) -> Callable:
-    """(key, id, hub): a segment's smallest id in the batch, and (id, hub) for the others."""
-
-    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            _, classes = np.unique(
-                np.array([x or b"" for x in batch.column("digest").to_pylist()], "S16"),
-                return_inverse=True,
-            )
-            rows, hubs = local_hubs(classes, ids)
-            alone = np.sort(rows[rows == hubs])
-            taken = batch.take(pa.array(alone))
-            lists = taken.column("keys")
-            keys = lists.flatten().to_numpy()
-            owner = np.repeat(ids[alone], pc.list_value_length(lists).to_numpy())
-            rows, hubs = local_hubs(keys, owner)
-            is_hub = owner[rows] == owner[hubs]
-            tied = np.unique(np.c_[owner[rows], owner[hubs]][~is_hub], axis=0)
-            local = signed(mix(tied[:, 0].astype(np.uint64) + mix(tied[:, 1].astype(np.uint64)), 19))
-            firsts = rows[is_hub]
-            yield table({
-                "key": np.r_[keys[firsts], local],
-                "id": np.r_[owner[firsts], tied[:, 0]],
-                "hub": pa.array(
-                    np.r_[np.zeros(len(firsts), np.int64), tied[:, 1]],
-                    mask=np.r_[np.ones(len(firsts), bool), np.zeros(len(tied), bool)],
-                ),
-            }, schema)
-
-    return make
+def _first_of_each(ids: list[int], digests: list[bytes], lists: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    ids = np.array(ids, np.int64)
+    _, classes = np.unique(np.array(digests, "S16"), return_inverse=True)
+    rows, hubs = local_hubs(classes, ids)
+    alone = np.sort(rows[rows == hubs])
+    keys = np.concatenate([lists[i] for i in alone])
+    owner = np.repeat(ids[alone], [len(lists[i]) for i in alone])
+    rows, hubs = local_hubs(keys, owner)
+    is_hub = owner[rows] == owner[hubs]
+    tied = np.unique(np.c_[owner[rows], owner[hubs]][~is_hub], axis=0)
+    local = signed(mix(tied[:, 0].astype(np.uint64) + mix(tied[:, 1].astype(np.uint64)), 19))
+    firsts = rows[is_hub]
+    return table({
+        "key": np.r_[keys[firsts], local],
+        "id": np.r_[owner[firsts], tied[:, 0]],
+        "hub": pa.array(
+            np.r_[np.zeros(len(firsts), np.int64), tied[:, 1]],
+            mask=np.r_[np.ones(len(firsts), bool), np.zeros(len(tied), bool)],
+        ),
+    }, schema)
 
 
 def _arrays(width: int, schema: pa.Schema) -> Callable:
@@ -324,14 +331,14 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
 
 
-def _shared_keys(sets: DataFrame) -> DataFrame:
+def _shared_keys(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges (a, b) from each set to the smallest id that has one of its keys.
 
-    A key has one row for each batch at most.
+    A key has few rows for each task.
     """
     fields = [("key", pa.int64()), ("id", pa.int64()), ("hub", pa.int64())]
-    shared = sets.where("size(keys) > 0").select("id", "digest", "keys").mapInArrow(
-        _first_of_each(pa.schema(fields)), "key long, id long, hub long"
+    shared = texts.where("id IS NOT NULL").mapInArrow(
+        _key_rows(width, percent, pa.schema(fields)), "key long, id long, hub long"
     )
     return shared.selectExpr(
         "id AS a", "coalesce(hub, min(id) OVER (PARTITION BY key)) AS b"
@@ -354,17 +361,10 @@ def ngram_groups(
     again takes less than keeping its set on disk.
     """
     base = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    fields = [("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))]
-
-    def sets_of(rows: DataFrame, with_keys: bool) -> DataFrame:
-        return rows.mapInArrow(
-            _set_rows(width, percent, with_keys, pa.schema(fields)),
-            "id long, n_shingles long, digest binary, keys array<long>",
-        )
-
-    sets = stage(sets_of(base, with_keys=False).drop("keys"))
+    fields = [("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary())]
+    sets = stage(base.mapInArrow(_set_rows(width, pa.schema(fields)), "id long, n_shingles long, digest binary"))
     named = sets.where("id IS NOT NULL AND n_shingles > 0")
-    clusters = components(_shared_keys(sets_of(base.where("id IS NOT NULL"), with_keys=True)))
+    clusters = components(_shared_keys(base, width, percent))
     # one row for each different set of a cluster
     candidates = clusters.join(named.select("id", "digest", "n_shingles"), F.col("id") == F.col("node"))
     members = candidates.groupBy(F.col("component").alias("cluster"), "digest", "n_shingles").agg(F.min("id").alias("id"))

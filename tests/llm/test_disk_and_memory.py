@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from gritsieve.llm import common, substring
+from gritsieve.llm import common, ngram_join, substring
 
 
 def _shuffle_files(spark):
@@ -44,3 +47,28 @@ def test_substring_signatures_go_through_several_shuffles(spark, monkeypatch):
     assert len(asked) > 1 and sorted(f for x in asked for f in x) == list(range(8))
     monkeypatch.setattr(substring, "AT_ONCE", 8)
     assert found == {tuple(r) for r in substring.passages(docs).collect()} and found
+
+
+@pytest.mark.parametrize("held", [1, 100, 600_000])
+def test_ngram_keys_are_made_in_one_python_process(spark, monkeypatch, held):
+    monkeypatch.setattr(ngram_join, "HELD_KEYS", held)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 60 + i)) for i in range(12)]
+    rows = [(i, x) for i, x in enumerate(texts)] + [(20 + i, x + " end") for i, x in enumerate(texts)]
+    rows += [(40, texts[0]), (41, "one two"), (42, "ONE two"), (43, ""), (44, None), (None, texts[1])]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    edges = ngram_join._shared_keys(docs, 5, 80)
+    assert edges._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    linked = {r.node: r.component for r in common.components(edges).collect()}
+    for i in range(12):
+        assert linked[i] == linked[20 + i] == i
+    assert linked[40] == 0
+    assert not {41, 42, 43, 44} & linked.keys()  # of so few shingles only equal sets are linked
+
+
+def test_rows_go_back_to_spark_in_parts(monkeypatch):
+    monkeypatch.setattr(common, "SLICE_ROWS", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10))], names=["x"])
+    parts = list(common.by_rows(batch))
+    assert [x.num_rows for x in parts] == [4, 4, 2]
+    assert pa.Table.from_batches(parts).column("x").to_pylist() == list(range(10))
