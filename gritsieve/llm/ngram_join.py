@@ -5,15 +5,18 @@
    band can have by more than the segments that may be empty, so linked sets share a
    whole segment that is not. Identical sets of one batch are one row, and a segment that
    several rows of a batch share goes through the shuffle once.
-2. Documents that share a segment form clusters of candidates.
+2. The document with the smallest id of a segment is its hub, and a cluster of candidates
+   is a hub with all documents that share a segment of which it is the hub. A document may
+   be in several. Clusters are not put together where they meet: segments of a frequent line
+   alone would tie half of all documents to one cluster, whose pairs grow with its square.
 3. Clusters are dealt out as tiles: the whole cluster, or for a large one pairs of
    blocks of neighbouring size bands. Hashed parity bitmaps bound the overlap of two sets
-   from above (each element in one set alone flips one bit). Tiles of large clusters first
-   get the bitmaps alone, about a thirtieth of the sets, and cut the clusters into those
-   that pairs within the bound connect.
-4. Tiles of these and of small clusters get the sets, and pairs that pass their bitmaps
-   are intersected exactly. Pairs that the tile already connects are skipped, so a tile
-   gives fewer edges than it has sets.
+   from above (each element in one set alone flips one bit). Tiles first get the bitmaps
+   alone, about a thirtieth of the sets; what pairs within the bound connect are closer
+   clusters, of which a document is in one at most.
+4. Tiles of these get the sets, and pairs that pass their bitmaps are intersected exactly.
+   Pairs that the tile already connects are skipped, so a tile gives fewer edges than it
+   has sets.
 5. Components of the edges are the groups.
 """
 
@@ -34,8 +37,9 @@ from gritsieve.llm.common import (
 )
 
 TILE_SHINGLES = 64_000  # shingles of a block: 0.5 MB
-BITMAP_SHINGLES = 256_000  # shingles of a block of bitmaps: 64 to 128 kB
+BITMAP_SHINGLES = 1_000_000  # shingles of a block of bitmaps: 250 to 500 kB
 HELD_KEYS = 600_000  # keys of sets that are compared before the shuffle: 5 MB
+KEY_ROWS = 16  # rows of a key that go through the shuffle from one part
 BROADCAST_IDS = 2_000_000  # ids of candidates that may be broadcast: 16 MB
 
 
@@ -107,8 +111,8 @@ def _set_rows(width: int, schema: pa.Schema) -> Callable:
 
 
 def _key_rows(width: int, percent: int, schema: pa.Schema) -> Callable:
-    """(key, id, hub): a segment's smallest id among about HELD_KEYS keys, and (id, hub) for
-    the others. Sets are made and compared in one Python process, of which few may run."""
+    """(key, id): a segment's ids among about HELD_KEYS keys, or if it has over KEY_ROWS of them
+    the smallest one, and (id, hub) for the others. Sets are made and compared in one Python process, of which few may run."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = bands(percent, 1 << 12)
@@ -149,7 +153,9 @@ def _first_of_each(ids: list[int], digests: list[bytes], lists: list[np.ndarray]
     keys = np.concatenate([lists[i] for i in alone])
     owner = np.repeat(ids[alone], [len(lists[i]) for i in alone])
     rows, hubs = local_hubs(keys, owner)
-    is_hub = owner[rows] == owner[hubs]
+    opens = np.flatnonzero(rows == hubs)
+    counts = np.diff(np.r_[opens, len(rows)])
+    is_hub = (owner[rows] == owner[hubs]) | np.repeat(counts <= KEY_ROWS, counts)
     tied = np.unique(np.c_[owner[rows], owner[hubs]][~is_hub], axis=0)
     local = signed(mix(tied[:, 0].astype(np.uint64) + mix(tied[:, 1].astype(np.uint64)), 19))
     firsts = rows[is_hub]
@@ -332,7 +338,8 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _shared_keys(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) from each set to the smallest id that has one of its keys.
+    """Edges (a, b) from each set to the smallest id that has one of its keys: over all
+    parts, or within its part (local) if this has many sets with the key.
 
     A key has few rows for each task.
     """
@@ -341,10 +348,26 @@ def _shared_keys(texts: DataFrame, width: int, percent: int) -> DataFrame:
         _key_rows(width, percent, pa.schema(fields)), "key long, id long, hub long"
     )
     return shared.selectExpr(
-        "id AS a", "coalesce(hub, min(id) OVER (PARTITION BY key)) AS b"
+        "id AS a", "coalesce(hub, min(id) OVER (PARTITION BY key)) AS b", "hub IS NOT NULL AS local"
     ).where("a <> b").distinct()
 
 
+def _clusters(edges: DataFrame) -> DataFrame:
+    """(cluster, node): each hub with the sets that have one of its keys, and itself.
+
+    Where a part has many sets with a key, they are tied to the first of the part, and this
+    to the hub of all parts; so the hubs of the first are hubs of these sets as well.
+    """
+    edges = stage(edges)
+    first, over = edges.where("local"), edges.where("NOT local").select(F.col("a").alias("b"), F.col("b").alias("cluster"))
+    return (
+        edges.selectExpr("b AS cluster", "a AS node")
+        .unionByName(edges.selectExpr("b AS cluster", "b AS node"))
+        .unionByName(first.join(over, "b").selectExpr("cluster", "a AS node"))
+        .distinct()
+    )
+
+
 def ngram_groups(
     df: DataFrame, text: str = "text", id: str = "doc_id", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -364,10 +387,14 @@ def ngram_groups(
     fields = [("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary())]
     sets = stage(base.mapInArrow(_set_rows(width, pa.schema(fields)), "id long, n_shingles long, digest binary"))
     named = sets.where("id IS NOT NULL AND n_shingles > 0")
-    clusters = components(_shared_keys(base, width, percent))
-    # one row for each different set of a cluster
+    firsts = named.groupBy("digest").agg(F.min("id").alias("first"))
+    # one row for each different set of a cluster, with the first id that has the set
+    clusters = _clusters(_shared_keys(base, width, percent))
     candidates = clusters.join(named.select("id", "digest", "n_shingles"), F.col("id") == F.col("node"))
-    members = candidates.groupBy(F.col("component").alias("cluster"), "digest", "n_shingles").agg(F.min("id").alias("id"))
+    members = stage(
+        candidates.select("cluster", "digest", "n_shingles").distinct()
+        .join(firsts.withColumnRenamed("first", "id"), "digest")
+    )
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     named_texts = base.where("id IS NOT NULL")
 
@@ -379,16 +406,12 @@ def ngram_groups(
         tiles = _tiles(rows, shingles, percent).join(made.dropDuplicates(["id", "digest"]), ["id", "digest"])
         return tiles.groupBy("cluster", "lower", "upper", "x", "y").applyInArrow(find(percent, edge), "a long, b long")
 
-    weights = members.groupBy("cluster").agg((F.sum("n_shingles") > TILE_SHINGLES).alias("large"))
-    weighed = stage(members.join(weights, "cluster"))
-    large = weighed.where("large").drop("large")
-    near = components(tiled(large, BITMAP_SHINGLES, _bitmap_rows, "bitmap", _near))
-    finer = large.drop("cluster").join(near, F.col("id") == F.col("node")).withColumnRenamed("component", "cluster")
-    closer = stage(weighed.where("NOT large").drop("large").unionByName(finer.drop("node")))
+    near = components(tiled(members, BITMAP_SHINGLES, _bitmap_rows, "bitmap", _near))
+    every = members.select("id", "digest", "n_shingles").distinct()
+    closer = stage(every.join(near.withColumnRenamed("component", "cluster"), F.col("id") == F.col("node")).drop("node"))
     links = tiled(closer, TILE_SHINGLES, _arrays, "members", _tile_links)
     groups = components(links)
-    classes = named.groupBy("digest").agg(F.min("id").alias("first"))
-    classes = classes.join(groups, F.col("first") == F.col("node"), "left").select(
+    classes = firsts.join(groups, F.col("first") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "first").alias("component_id")
     )
     linked = named.select("id", "n_shingles", "digest").join(classes, "digest", "left")

@@ -72,3 +72,35 @@ def test_rows_go_back_to_spark_in_parts(monkeypatch):
     parts = list(common.by_rows(batch))
     assert [x.num_rows for x in parts] == [4, 4, 2]
     assert pa.Table.from_batches(parts).column("x").to_pylist() == list(range(10))
+
+
+def test_rows_of_tiles_grow_with_the_documents_of_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 400)
+    monkeypatch.setattr(ngram_join, "BITMAP_SHINGLES", 400)
+    tiles, made = ngram_join._tiles, []
+
+    def counted(*args):
+        dealt = tiles(*args)
+        made[-1] += dealt.count()
+        return dealt
+
+    monkeypatch.setattr(ngram_join, "_tiles", counted)
+    for documents in (16, 80):  # each shares three quarters of its words with the next one
+        made.append(0)
+        lines = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(documents + 3)]
+        rows = [(i, " ".join(lines[i : i + 4])) for i in range(documents)]
+        rows.append((documents, " ".join([*lines[:4], "end"])))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        found = {r.doc_id: r.component_id for r in ngram_join.ngram_groups(docs).collect()}
+        assert found == {i: i for i in range(documents)} | {documents: 0}
+    assert 0 < made[1] <= 6 * made[0]
+
+
+def test_sets_of_a_frequent_key_meet_over_all_parts(spark):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(words + [f"end{i}"])) for i in range(60)]
+    rows += [(100 + i, " ".join(words[:-6] + [f"x{i}y{j}" for j in range(6)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    edges = ngram_join._shared_keys(docs.withColumnRenamed("doc_id", "id"), 5, 80)
+    assert edges.where("local").count() and edges.where("NOT local").count()
+    assert {r.component_id for r in ngram_join.ngram_groups(docs).collect()} == {0}
