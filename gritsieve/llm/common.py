@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from gritsieve.sources import staging
 
-CACHED_WORDS = 200_000  # entries a memo may hold before it starts afresh
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 100_000  # of numbers, that go back to Spark at a time
+SPACE = np.isin(np.arange(256), list(b"\x20\x09\x0a\x0b\x0c\x0d"))  # by byte
+_U = np.uint64
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -54,7 +55,6 @@ def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Record
         starts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows]
         for start, end in zip(starts[:-1], starts[1:]):
             yield batch.slice(start, end - start)
-    WORD_HASHES.clear()
     give_back()
 
 
@@ -76,17 +76,6 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [text or b"" for text in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; starts afresh when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-WORD_HASHES = WordHashes()
 HELD: dict[tuple, Any] = {}
 
 
@@ -95,7 +84,6 @@ def held(key: tuple, make: Callable) -> Any:
     that worker processes do not keep the memos of operators that ran before."""
     if key not in HELD:
         HELD.clear()
-        WORD_HASHES.clear()
         give_back()
         HELD[key] = make()
     return HELD[key]
@@ -104,18 +92,65 @@ def held(key: tuple, make: Callable) -> Any:
 def hashed_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and where each text starts in them.
 
-    bytes.lower() changes A-Z only and bytes.split() splits at 0x20 and 0x09-0x0D.
+    bytes.lower() changes A-Z only; words are split at 0x20 and 0x09-0x0D.
     """
     if HELD:
         HELD.clear()
         give_back()
-    words: list[bytes] = []
-    starts = np.zeros(len(texts) + 1, np.int64)
-    for i, text in enumerate(texts):
-        words += (text.lower() if lower else text).split()
-        starts[i + 1] = len(words)
-    hashes = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
-    return hashes, starts
+    joined = b" ".join(texts)
+    data = np.frombuffer(b" " * 8 + (joined.lower() if lower else joined) + b" " * 8, np.uint8)
+    edges = np.flatnonzero(np.diff(SPACE[data]))
+    begins, ends = edges[::2] + 1, edges[1::2] + 1
+    starts = np.searchsorted(begins, 8 + np.r_[0, np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)])
+    return _word_hashes(data, begins, ends - begins), starts
+
+
+def _word_hashes(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """xxh3_64 of each word: of up to 16 bytes all at once, by its definition, others one by one."""
+    hashes = np.empty(len(begins), np.uint64)
+    some = np.flatnonzero(sizes <= 3)
+    at, size = begins[some], sizes[some]
+    ends = [data[x].astype(np.uint64) for x in (at, at + (size >> 1), at + size - 1)]
+    bits = ends[0] << _U(16) | ends[1] << _U(24) | ends[2] | size.astype(np.uint64) << _U(8)
+    hashes[some] = _scattered(bits ^ _U(0x87275A9B), 33, 0xC2B2AE3D27D4EB4F, 29, 0x165667B19E3779F9, 32)
+    some = np.flatnonzero((sizes > 3) & (sizes <= 8))
+    at, size = begins[some], sizes[some]
+    bits = (_read(data, at, 4) << _U(32)) + _read(data, at + size - 4, 4) ^ _U(0xC73AB174C5ECD5A2)
+    bits ^= (bits << _U(49) | bits >> _U(15)) ^ (bits << _U(24) | bits >> _U(40))
+    bits *= _U(0x9FB21C651E98DF25)
+    bits ^= (bits >> _U(35)) + size.astype(np.uint64)
+    bits *= _U(0x9FB21C651E98DF25)
+    hashes[some] = bits ^ bits >> _U(28)
+    some = np.flatnonzero((sizes > 8) & (sizes <= 16))
+    at, size = begins[some], sizes[some]
+    low = _read(data, at, 8) ^ _U(0x6782737BEA4239B9)
+    high = _read(data, at + size - 8, 8) ^ _U(0xAF56BC3B0996523A)
+    bits = size.astype(np.uint64) + low.byteswap() + high + _folded(low, high)
+    hashes[some] = _scattered(bits, 37, 0x165667919E3779F9, 32)
+    for i in np.flatnonzero(sizes > 16).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[begins[i] : begins[i] + sizes[i]])
+    return hashes
+
+def _read(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The numbers of so many bytes, little-endian, at each place."""
+    view = np.ndarray(len(data) - size + 1, f"<u{size}", data, strides=(1,))
+    return view[at].astype(np.uint64)
+
+
+def _scattered(bits: np.ndarray, *steps: int) -> np.ndarray:
+    """Shifts to the right and factors in turn."""
+    for i, step in enumerate(steps):
+        bits = bits * _U(step) if i % 2 else bits ^ bits >> _U(step)
+    return bits
+
+
+def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper half of the product of 128 bits XOR its lower half."""
+    half, lower = _U(32), _U(0xFFFFFFFF)
+    cross = (a & lower) * (b & lower) >> half
+    middle = (a >> half) * (b & lower) + cross
+    other = (a & lower) * (b >> half) + (middle & lower)
+    return (a >> half) * (b >> half) + (middle >> half) + (other >> half) ^ a * b
 
 
 def mix(values: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -26,7 +26,6 @@ A passage stays in the document with the smallest id.
 from __future__ import annotations
 
 import functools
-import operator
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -88,30 +87,23 @@ def compact_windows(
     return centres - left, right - centres
 
 
-NEAR_STEPS = 24
-
-
 def _smaller_before(values: np.ndarray, texts: np.ndarray, above: Callable) -> np.ndarray:
     """For each place the nearest one before it, of the same text, whose value is not above
-    its own, or -1. texts: equal for places of one text, which stand together."""
+    its own, or -1. texts: equal for places of one text, which stand together.
+
+    All values between a place and what is found for it so far are above its own, so a
+    search may go on from a place that is above to what is found for that one.
+    """
     found = np.arange(-1, len(values) - 1)
     todo = np.arange(len(values))
-    for _ in range(NEAR_STEPS):
+    while len(todo):
         spot = found[todo]
         inside = (spot >= 0) & (texts[spot] == texts[todo])
         found[todo[~inside]] = -1
         todo, spot = todo[inside], spot[inside]
-        todo = todo[above(values[spot], values[todo])]
-        found[todo] -= 1
-    if len(todo):  # few; what is found before them leads on
-        places, texts, values = found.tolist(), texts.tolist(), values.tolist()
-        over = operator.gt if above is np.greater else operator.ge
-        for i in todo.tolist():
-            spot = places[i]
-            while spot >= 0 and texts[spot] == texts[i] and over(values[spot], values[i]):
-                spot = places[spot]
-            places[i] = spot if spot >= 0 and texts[spot] == texts[i] else -1
-        found[todo] = [places[i] for i in todo.tolist()]
+        goes_on = above(values[spot], values[todo])
+        todo = todo[goes_on]
+        found[todo] = found[spot[goes_on]]
     return found
 
 
@@ -211,24 +203,45 @@ def _signatures(length: int, functions: range) -> Callable:
 def _partners(tokens: np.ndarray, other: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that the other side has too, and for each its place there: of several, the
     one nearest to the usual offset, which tokens with a single place there tell."""
-    kinds, kind = np.unique(other, return_inverse=True)
-    spot = np.minimum(np.searchsorted(kinds, tokens), len(kinds) - 1)
-    matched = np.flatnonzero(kinds[spot] == tokens)
+    order = np.argsort(other, kind="stable")
+    ordered = other[order]
+    opens = _changes(ordered)
+    first = opens.nonzero()[0]
+    kinds, kind = ordered[first], opens.cumsum() - 1
+    spot = np.minimum(kinds.searchsorted(tokens), len(kinds) - 1)
+    matched = (kinds[spot] == tokens).nonzero()[0]
     wanted = spot[matched]
-    order = np.argsort(kind, kind="stable")
-    first = np.searchsorted(kind[order], np.arange(len(kinds)))
-    single = np.diff(np.r_[first, len(other)])[wanted] == 1
+    at = first[wanted]
+    usual = order[at] - matched
+    ends = np.empty(len(first), np.int64)
+    ends[:-1], ends[-1] = first[1:], len(other)
+    single = ends[wanted] - at == 1
+    if single.all():
+        return matched, order[at]
     if single.any():
-        offset = int(np.median(order[first[wanted[single]]] - matched[single]))
+        usual = np.sort(usual[single])
+        offset = int((usual[(len(usual) - 1) // 2] + usual[len(usual) // 2]) / 2)  # the median
     width = len(other) + 1
-    places = kind[order] * width + order
+    places = kind * width + order
     target = wanted * width + np.clip(matched + offset, 0, len(other))
-    after = np.minimum(np.searchsorted(places, target), len(places) - 1)
+    after = np.minimum(places.searchsorted(target), len(places) - 1)
     before = np.maximum(after - 1, 0)
-    far = np.abs(np.c_[places[before], places[after]] - target[:, None])
-    far[kind[order[before]] != wanted, 0] = 2 * width * width
-    far[kind[order[after]] != wanted, 1] = 2 * width * width
-    return matched, np.where(far[:, 0] < far[:, 1], order[before], order[after])
+    far_before, far_after = np.abs(places[before] - target), np.abs(places[after] - target)
+    far_before[kind[before] != wanted] = 2 * width * width
+    far_after[kind[after] != wanted] = 2 * width * width
+    return matched, np.where(far_before < far_after, order[before], order[after])
+
+
+def _changes(ordered: np.ndarray) -> np.ndarray:
+    """Whether each value, of one at least, is the first or another than the one before it."""
+    opens = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=opens[1:])
+    return opens
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    ordered = np.sort(values)
+    return ordered[_changes(ordered)]
 
 
 def _token_spans(
@@ -241,32 +254,38 @@ def _token_spans(
         count = np.count_nonzero(same)
         if count >= least:
             s, e = begin + int(same.argmax()), stop - int(same[::-1].argmax())
-            if e - s == count and not np.isin(np.r_[tokens[:s], tokens[e:]], other).any():
+            if e - s == count and (
+                count == len(tokens) or not np.isin(np.concatenate((tokens[:s], tokens[e:])), other).any()
+            ):
                 return [(s, e, s + offset, e + offset, 1.0)]
     matched, partner = _partners(tokens, other, offset)
     if not len(matched):
         return []
-    jumps = (np.diff(matched) > GAP) | (np.abs(np.diff(partner - matched)) > GAP)
-    cuts = np.r_[0, np.flatnonzero(jumps) + 1, len(matched)]
-    work = [(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+    steps, shift = matched[1:] - matched[:-1], partner - matched
+    shifts = np.abs(shift[1:] - shift[:-1])
+    cuts = [0, *(((steps > GAP) | (shifts > GAP)).nonzero()[0] + 1).tolist(), len(matched)]
+    work = [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if b - a >= 1]
     found = []
     while work:
         a, b = work.pop()
         if b - a < 1:
             continue
         s, e = matched[a], matched[b - 1] + 1
+        if e - s < least:
+            continue
         os, oe = partner[a:b].min(), partner[a:b].max() + 1
-        if min(e - s, oe - os) < least:
+        if oe - os < least:
             continue
-        mine, its = np.unique(tokens[s:e]), np.unique(other[os:oe])
-        shared = len(np.intersect1d(mine, its, assume_unique=True))
+        mine, its = _distinct(tokens[s:e]), _distinct(other[os:oe])
+        both = np.sort(np.concatenate((mine, its)))
+        shared = np.count_nonzero(both[1:] == both[:-1])
         union = len(mine) + len(its) - shared
         if 100 * shared >= percent * union:
             found.append((int(s), int(e), int(os), int(oe), shared / union))
             continue
-        steps = np.abs(np.diff(matched[a:b]) - 1) + np.abs(np.diff(partner[a:b] - matched[a:b]))
-        if steps.any():
-            cut = a + int(np.argmax(steps)) + 1
+        skipped = steps[a : b - 1] - 1 + shifts[a : b - 1]
+        if skipped.any():
+            cut = a + int(np.argmax(skipped)) + 1
             work += [(a, cut), (cut, b)]
     return sorted(found)
 
@@ -410,8 +429,8 @@ def _seen(base: DataFrame, length: int, functions: range) -> DataFrame:
     by_kind = F.coalesce(own_hub, F.min(free).over(Window.partitionBy("key", "salt", "kind")))
     each = "inline(concat(array(struct(place, reach)), coalesce(also, array()))) AS (place, reach)"
     later = "(hub_id IS NOT NULL OR low < id) AS later"
-    hubs = F.array_distinct(F.array(by_kind, "by_key"))
-    return shared.withColumn("hubs", hubs).selectExpr("key", "id", "hubs", later, each)
+    hubs = "IF(by_kind = by_key, array(by_key), array(by_kind, by_key)) AS hubs"
+    return shared.withColumn("by_kind", by_kind).selectExpr("*", hubs).selectExpr("key", "id", "hubs", later, each)
 
 
 def _copies_apart(base: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:

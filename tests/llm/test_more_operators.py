@@ -12,11 +12,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 import zstandard
 from pyarrow import fs
 from tokenizers import Tokenizer
 
-from gritsieve.llm import alignment, hard_negatives, licence_headers, licences, warc
+from gritsieve.llm import alignment, common, hard_negatives, licence_headers, licences, substring, warc
 from gritsieve.llm import queries as registered
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -350,3 +351,54 @@ def test_licences_behind_long_preambles(spark):
     df = spark.createDataFrame(data, "doc_id long, path string, text string")
     found = {r.doc_id: r.own_licence for r in licences.licences(df).collect()}
     assert [found[i] for i in range(len(rows))] == [name for name, *_ in rows]
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_words_are_hashed_together_as_the_library_hashes_each(monkeypatch, lower):
+    rng, spaces = np.random.default_rng(3), b"\x20\x09\x0a\x0b\x0c\x0d"
+    letters = [x for x in range(256) if x not in spaces]
+    words = [bytes(rng.choice(letters, 1 + i % 40).tolist()) for i in range(2000)]
+    texts = [bytes([spaces[i % 6]]).join(words[i : i + 7]) for i in range(0, 2000, 7)]
+    texts += [b"", b" \t", b"a", b"\n" + b"X" * 300 + b"  " + b"y" * 17, b""]
+    digest, asked = xxhash.xxh3_64_intdigest, []
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda word: asked.append(len(word)) or digest(word))
+    hashes, starts = common.hashed_words(texts, lower)
+    split = [(x.lower() if lower else x).split() for x in texts]
+    assert hashes.tolist() == [digest(word) for text in split for word in text]
+    assert starts.tolist() == np.cumsum([0, *map(len, split)]).tolist()
+    assert min(asked) > 16  # no call for each of the other words
+    for none in ([], [b""], [b" ", b""]):
+        hashes, starts = common.hashed_words(none, lower)
+        assert not len(hashes) and starts.tolist() == [0] * (len(none) + 1)
+
+
+@pytest.mark.parametrize("above", [np.greater, np.greater_equal])
+def test_the_nearest_smaller_place_before(above):
+    rng = np.random.default_rng(5)
+    for case in range(60):
+        values = rng.integers(0, [3, 40, 10**9][case % 3], 1 + 5 * case).astype(np.uint64)
+        texts = np.sort(rng.integers(0, 1 + case % 4, len(values)))
+        if case % 7 == 0:
+            values = np.sort(values)[::-1].copy()
+        wanted = [
+            max((j for j in range(i) if texts[j] == texts[i] and not above(values[j], values[i])), default=-1)
+            for i in range(len(values))
+        ]
+        assert substring._smaller_before(values, texts, above).tolist() == wanted
+
+
+def test_each_token_has_the_partner_nearest_to_the_usual_offset():
+    rng = np.random.default_rng(6)
+    for case in range(90):
+        kinds = [4, 30, 10**6][case % 3]
+        other = rng.integers(0, kinds, 1 + int(rng.integers(80))).astype(np.uint64)
+        tokens = np.r_[rng.integers(0, kinds, 9).astype(np.uint64), other[len(other) // 3 :]]
+        offset = int(rng.integers(-20, 20))
+        places = [np.flatnonzero(other == x) for x in tokens]
+        single = [p[0] - i for i, p in enumerate(places) if len(p) == 1]
+        usual = int(np.median(single)) if single else offset
+        matched, partner = substring._partners(tokens, other, offset)
+        assert matched.tolist() == [i for i, p in enumerate(places) if len(p)]
+        for i, j in zip(matched, partner):
+            aim = min(max(i + usual, 0), len(other))
+            assert abs(j - aim) == min(abs(places[i] - aim)) and j in places[i]
