@@ -8,11 +8,17 @@ or with the name of a special token are encoded whole.
 The parts of a batch of texts are told apart in Arrow; Python sees each different one once.
 Those that are new are encoded many to a call, in one string, and told apart by the bytes
 of their tokens, or by a word between them where tokens do not keep their bytes.
+
+A vocabulary that lower-cases texts and cuts letters from all else before its merges has
+fewer parts: texts are lower-cased, and words cut from what follows them, in Arrow. Words
+of a to z go straight to the merges then, and the last token of each tells them apart.
 """
 
 from __future__ import annotations
 
+import functools
 import gc
+import json
 import os
 import re
 
@@ -30,6 +36,16 @@ ODD_SPACE = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200
 DOUBLE_SPACE = re.compile("[ \n][ \n]")
 PARTS = re.compile("[ \n]*[^ \n]+|[ \n]+")
 BETWEEN = "\x01"
+MARK = re.compile("[\u0300-\u036f]")  # of accents that are put together with the letter before
+#: Normalisers and pre-tokenizers for which a letter's case, and a space behind a letter
+#: that no letter or digit follows, make no difference; the suffix of last tokens.
+LOWERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTS = {
+    "type": "Split", "behavior": "Removed", "invert": True,
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+}
+LAST = "</w>"
+WORD_ENDS = r"([a-z])([!-/:-@\[-`{-~])"
 
 
 class Encoder:
@@ -38,6 +54,7 @@ class Encoder:
     def __init__(self, path: str, end: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -49,6 +66,12 @@ class Encoder:
         between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if self.drops_space and len(between) == 1 else None
         self.lengths = None if self.drops_space else self._lengths()
+        self.merges = None  # encodes words of a to z, with a space between them
+        if self.between is not None and _lowers(path):
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = WhitespaceSplit()
+            pieces = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+            self.last = np.array([(x or "").endswith(LAST) for x in pieces])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before known became full
         self.size = 0
@@ -94,6 +117,19 @@ class Encoder:
             out += self._cut(group, ids) or [x.tobytes() for x in self._ids(group)]
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words of a to z."""
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        out = []
+        for group, found in zip(groups, self.merges.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, self.type)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                out += self._sliced(ids, np.r_[0, ends[:-1]], ends)
+            else:
+                out += [x.tobytes() for x in self._ids(group)]
+        return out
+
     def _parts(self, text: str) -> list[str] | None:
         """The parts of a text that has to be looked at character by character, by name: a
         word stands for itself behind a space, or in a vocabulary without spaces for itself;
@@ -101,6 +137,8 @@ class Encoder:
         text has to be encoded whole, []: it has no such places and is split in Arrow."""
         if ODD_SPACE.search(text) or self.special.search(text) or BETWEEN in text:
             return None
+        if self.merges is not None and not text.isascii() and MARK.search(text):
+            return None
         if self.drops_space or (text and text[0] not in " \n" and text[-1] not in " \n" and not DOUBLE_SPACE.search(text)):
             return []
         return ["\0" + x for x in PARTS.findall(text)]
@@ -109,7 +147,13 @@ class Encoder:
         older = self.older
         again = {x: older[x] for x in missing if x in older}
         new = [x for x in missing if x not in again]
-        if self.drops_space:
+        if self.merges is not None:
+            plain, other = [], []
+            for x in new:
+                (plain if x.isascii() and x.isalpha() else other).append(x)
+            new = plain + other
+            ids = self._words(plain) + self._fresh(other)
+        elif self.drops_space:
             ids = self._fresh(new)
         else:
             exact, after = ([x for x in new if (x[:1] == "\0") is kind] for kind in (True, False))
@@ -126,6 +170,8 @@ class Encoder:
         if not self.drops_space:
             first, nothing = (pa.scalar(x, pa.large_string()) for x in ("\0", ""))
             plain = pc.binary_join_element_wise(first, plain, nothing)
+        if self.merges is not None:
+            plain = pc.replace_substring_regex(pc.ascii_lower(plain), WORD_ENDS, r"\1 \2")
         return pc.split_pattern(plain, " ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -158,15 +204,27 @@ class Encoder:
             self._learn([names[i] for i in holes])
             for i in holes:
                 ids[i] = self.known[names[i]]
-        different = np.empty(len(ids), object)
-        different[:] = ids
-        every = different[flat.indices.to_numpy()].tolist()
-        cuts = np.r_[0, np.cumsum(sizes)].tolist()
+        every = pa.array(ids, pa.large_binary()).take(flat.indices)  # one after the other in its buffer
+        _, places, data = every.buffers()
+        joined = memoryview(data) if data else b""
+        cuts = np.frombuffer(places, np.int64)[np.r_[0, np.cumsum(sizes)]].tolist() if len(every) else [0] * (len(sizes) + 1)
         for i, a, b in zip([*simple, *others], cuts[:-1], cuts[1:]):
-            out[i] = np.frombuffer(b"".join(every[a:b]) + self.end, self.type)
+            out[i] = np.frombuffer(b"".join((joined[a:b], self.end)), self.type)
         return out
 
 
+@functools.cache
+def _lowers(path: str) -> bool:
+    """Whether this vocabulary is one of those that LOWERS and CUTS are about."""
+    with open(path, encoding="utf-8") as file:
+        known = json.load(file)
+    normalizers = (known["normalizer"] or {}).get("normalizers")
+    cuts, *rest = (known["pre_tokenizer"] or {}).get("pretokenizers") or [None]
+    bytes_only = [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+    model = known["model"]
+    return normalizers == LOWERS and cuts == CUTS and bytes_only and model.get("end_of_word_suffix") == LAST
+
+
 def encoder(path: str, end: int | None = None) -> Encoder:
     """This process's encoder for a vocabulary file."""
     return held(("tokens", path, end), lambda: Encoder(path, end))

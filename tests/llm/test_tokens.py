@@ -33,3 +33,12 @@ def test_ids_of_any_text(texts):
         encoder = tokens.encoder(public_tokenizers.path(name), 1)
         expected = [PLAIN[name].encode(x, add_special_tokens=False).ids + [1] for x in texts]
         assert [x.tolist() for x in encoder.encode(texts)] == expected
+
+
+def test_case_and_what_follows_a_word_make_no_new_parts():
+    encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    texts = ["Word word, WORD.%%% word", "it's IT'S (Word) word,", "H\u0331 h\u0331 A\u030a I\u0307 <\u0338 Word,", "ßa, ÀB. Éa', ab12, zzz!''s"]
+    plain = PLAIN["word_bpe_49k.json"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [plain.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+    assert set(encoder.known) >= {"word", ",", ".%%%", "it", "'s"}
+    assert not {"Word", "word,", "WORD.%%%", "it's", "IT'S"} & set(encoder.known)
