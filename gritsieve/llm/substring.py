@@ -134,7 +134,7 @@ def windows(texts: list[bytes], length: int, functions: range = range(FUNCTIONS)
 OCCURRENCE = ("id", "place", "reach")
 ALSO = pa.list_(pa.struct([("place", pa.int64()), ("reach", pa.int64())]))
 SIGNATURES = pa.schema([
-    *((x, pa.int64()) for x in ("key", "salt", "company", *OCCURRENCE, "hub_id", "hub_place", "hub_reach")),
+    *((x, pa.int64()) for x in ("key", "meet", "company", *OCCURRENCE, "hub_id", "hub_place", "hub_reach")),
     ("also", ALSO),
 ])
 #: Windows of about the same reach to either side, as copies have them, are of one class.
@@ -152,6 +152,7 @@ def _signatures(length: int, functions: range) -> Callable:
     Classes are at most a few hundred, so a key has a bounded number of rows per batch.
     Windows of the same document as the first one are listed in its row (also) and get
     the hub that it gets. company: whether the batch has the key in several documents.
+    meet: the key, by which rows of all batches meet; scattered for a row that is tied.
     """
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +180,10 @@ def _signatures(length: int, functions: range) -> Callable:
             tied = np.unique(rows[apart] * len(ids) + hubs[apart])
             rows, hubs = tied // max(1, len(ids)), tied % max(1, len(ids))
             # a row that is tied already needs no company, so its key is just scattered
-            spread = mix((ids[rows] ^ ids[hubs] << 1).astype(np.uint64), 41) >> np.uint64(48)
+            spread = found["key"][rows].view(np.uint64) ^ mix((ids[rows] ^ ids[hubs] << 1).view(np.uint64), 41)
             columns = {
                 "key": np.r_[found["key"][firsts], found["key"][rows]],
-                "salt": np.r_[np.zeros(len(firsts), np.int64), 1 + spread.astype(np.int64)],
+                "meet": np.r_[found["key"][firsts], signed(mix(spread, 47))],
                 "company": np.r_[company[firsts], np.ones(len(rows), bool)].astype(np.int64),
             }
             mask = np.r_[np.ones(len(firsts), bool), np.zeros(len(rows), bool)]
@@ -419,18 +420,23 @@ def _seen(base: DataFrame, length: int, functions: range) -> DataFrame:
     shared = base.mapInArrow(
         _signatures(length, functions), f"{fields}, also array<struct<place: long, reach: long>>"
     ).withColumn("kind", F.expr(CLASS))
-    free = F.when(F.col("hub_id").isNull(), F.struct(*OCCURRENCE))
-    own_hub = F.when(F.col("hub_id").isNotNull(), F.struct(*(F.col(f"hub_{x}").alias(x) for x in OCCURRENCE)))
-    whole = Window.partitionBy("key", "salt")
+    # numbers first, for keys of one document are half of all; one column is sorted by radix
+    whole = Window.partitionBy("meet")
     shared = shared.withColumns({
-        "by_key": F.coalesce(own_hub, F.min(free).over(whole)),
         "low": F.min("id").over(whole), "high": F.max("id").over(whole), "company": F.max("company").over(whole),
     }).where("company = 1 OR low < high")
-    by_kind = F.coalesce(own_hub, F.min(free).over(Window.partitionBy("key", "salt", "kind")))
+    free = F.when(F.col("hub_id").isNull(), F.struct(*OCCURRENCE))
+    own_hub = F.when(F.col("hub_id").isNotNull(), F.struct(*(F.col(f"hub_{x}").alias(x) for x in OCCURRENCE)))
+    by_key = F.coalesce(own_hub, F.min(free).over(whole))
+    by_kind = F.coalesce(own_hub, F.min(free).over(Window.partitionBy("meet", "kind")))
     each = "inline(concat(array(struct(place, reach)), coalesce(also, array()))) AS (place, reach)"
     later = "(hub_id IS NOT NULL OR low < id) AS later"
-    hubs = "IF(by_kind = by_key, array(by_key), array(by_kind, by_key)) AS hubs"
-    return shared.withColumn("by_kind", by_kind).selectExpr("*", hubs).selectExpr("key", "id", "hubs", later, each)
+    # the key's hub has the least id of all, so if it is not before the row, none is
+    hubs = "IF(by_key.id < id, IF(by_kind = by_key, array(by_key), array(by_kind, by_key)), NULL) AS hubs"
+    return (
+        shared.withColumn("by_key", by_key).withColumn("by_kind", by_kind)
+        .selectExpr("*", hubs).selectExpr("key", "id", "hubs", later, each)
+    )
 
 
 def _copies_apart(base: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:

@@ -31,6 +31,14 @@ def test_a_staged_table_leaves_no_shuffle_behind(spark):
     assert spark.conf.get(common.CLEANUP, "false") == "false"
 
 
+def test_substring_rows_without_an_earlier_hub_list_none(spark):
+    passage = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, f"a{i} {passage} b{i}") for i in range(6)], "id long, text string").repartition(3)
+    rows = substring._seen(docs, 46, range(8)).collect()
+    assert {r.id for r in rows if r.hubs is None} == {0}
+    assert rows and all(any(hub.id < r.id for hub in r.hubs) for r in rows if r.hubs is not None)
+
+
 def test_substring_signatures_go_through_several_shuffles(spark, monkeypatch):
     words = [[f"w{k}x{i}" for i in range(80)] for k in range(3)]
     texts = [words[0] + words[1], words[1] + words[2], words[2] + words[0], words[0][:70]]
